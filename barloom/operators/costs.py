@@ -50,7 +50,7 @@ class CostModel:
         budget = col(gross_edge_r) * col(stop_pct) - self.round_trip_pct()
         return self.dp_charge / F.when(budget > 0, budget) * 100.0
 
-    def min_risk_pct(self, max_share_of_stop_pct: float = 20.0) -> float:
+    def min_risk_pct(self, max_share_of_stop_pct: float = 25.0) -> float:
         """Stop distance under which slippage alone takes the allowed share."""
         return self.slippage_bps / max_share_of_stop_pct
 

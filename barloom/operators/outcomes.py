@@ -169,7 +169,7 @@ def simulate(signals: DataFrame, bars: DataFrame, horizon: int = 5, min_risk_pct
         F.min(F.when(F.col("ev").isNotNull(), F.struct("n", "session", "ev"))).alias("hit"),
         F.max(F.when(c.isNotNull(), F.struct("n", "session", "close"))).alias("last"))
     e = F.col("first.open")
-    risk_pct = 100.0 * (e - stop) / e
+    risk_pct = 100.0 * (e - stop) / F.when(e > 0, e)
     refused = (F.when(F.coalesce(F.col("qty"), F.lit(0)) <= 0, "quantity was zero")
                .when(F.col("first.session").isNull(), "no session after the decision date")
                .when(~truth(e > 0), "no usable open on the entry session")

@@ -57,7 +57,7 @@ def timing_test(signals: DataFrame, lattice: DataFrame, n_sessions: Column, cost
                     ((F.count_if(null >= F.col("obs")) + 1) / (F.count(null) + 1)).alias("p_value"),
                     F.count(null).alias("n_permutations"),
                     F.max(F.when(F.col("perm") == 0, F.col("n"))).alias("n_trades"),
-                    (100.0 * F.count_if(null < F.col("obs")) / F.count(null)).alias("percentile"))
+                    (100.0 * F.try_divide(F.count_if(null < F.col("obs")), F.count(null))).alias("percentile"))
 
 
 def numbered(trades: DataFrame, session: str, *tie) -> DataFrame:

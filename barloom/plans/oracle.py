@@ -58,8 +58,15 @@ def panel(grain: str = "month", kind=supp) -> list[str]:
 
 def sql(body: str, *ctes) -> str:
     parts = []
-    for c in ctes:
-        parts.extend(c if isinstance(c, list) else [c])
+
+    def flatten(c):
+        if isinstance(c, str):
+            parts.append(c)
+        else:
+            for x in c:
+                flatten(x)
+
+    flatten(ctes)
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

@@ -18,7 +18,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-MODULES = ("scans", "gates", "joins", "rollups", "indicators", "signals", "studies",
+MODULES = ("scans", "gates", "joins", "rollups", "indicators", "signals", "trades", "studies",
            "fundamental", "feeds", "streams")
 
 
