@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ranks import group_rank_pct
 from ..functions.scalars import base_symbol, truth
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,9 @@ def stage2(features: DataFrame, factors=DEFAULT_FACTORS, regime: str = "unknown"
     """Score 0..100 per name with its factor ranks.
 
     All factors are ranked together in long form, so their number does not add
-    shuffles; see ``group_rank_pct`` for how a large universe is ranked.
+    shuffles; see ``group_rank_pct`` for how a large universe is ranked. The
+    long form is stored first: ranking reads it more than once, and behind it
+    stands the whole feature computation.
     """
     keys = list(keys)
     src = features.where("flag_count > 0") if flagged_only else features
@@ -80,6 +83,7 @@ def stage2(features: DataFrame, factors=DEFAULT_FACTORS, regime: str = "unknown"
         F.struct(F.lit(f.name).alias("factor"), F.lit(f.weight).alias("weight"),
                  (f.direction * F.col(f.column)).cast("double").alias("v")) for f in use])).alias("f")
     ).select(*keys, "symbol", "extended", "f.*")
+    long = cut_lineage(long)
     ranked = group_rank_pct(long, keys + ["factor"], "v", "share").withColumn("rank", 100.0 * F.col("share"))
     score = (F.sum(F.col("rank") * F.col("weight"))
              / F.sum(F.when(F.col("rank").isNotNull(), F.col("weight"))))

@@ -30,6 +30,15 @@ def brand(grain: str = "month", name: str = "bars0") -> str:
                                   grain).replace("SELECT symbol,", "SELECT symbol, session,", 1) + ")"
 
 
+def calm(grain: str = "") -> str:
+    return """wks AS (SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS wk,
+        sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_quantity) AS volume, sum(l_extendedprice) AS turnover, count(*) AS trades
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+    bars0 AS (SELECT symbol, CAST(date_trunc('month', wk) AS DATE) AS session, arg_min(price, wk) AS open, max(price) AS high,
+        min(price) AS low, arg_max(price, wk) AS close, sum(volume) AS volume, sum(turnover) AS turnover,
+        CAST(sum(trades) AS BIGINT) AS trades FROM wks GROUP BY ALL)"""
+
+
 def series(grain: str = "month", name: str = "bars0") -> str:
     return f"{name} AS (" + _bars("'S' || l_suppkey AS symbol | l_returnflag AS series", "lineitem",
                                   grain).replace("SELECT symbol,", "SELECT session, symbol,", 1) + ")"

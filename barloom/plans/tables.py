@@ -53,6 +53,23 @@ def brand_bars(spark, sf, grain: str = "month", index: bool = True) -> DataFrame
     return index_sessions(out, sessions(spark, sf, grain)) if index else out
 
 
+def calm_bars(spark, sf, index: bool = True) -> DataFrame:
+    """Monthly brand bars whose prices are weekly volume-weighted averages."""
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
+    rows = _line(spark, sf, "week").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    weeks = rows.groupBy("symbol", F.col("session").alias("wk")).agg(
+        F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("turnover"),
+        F.count(F.lit(1)).alias("trades"))
+    weeks = weeks.withColumns({"price": F.col("turnover") / F.col("volume"),
+                               "session": F.to_date(F.date_trunc("month", "wk"))})
+    out = weeks.groupBy("symbol", "session").agg(
+        F.min_by("price", "wk").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "wk").alias("close"), F.sum("volume").alias("volume"),
+        F.sum("turnover").alias("turnover"), F.sum("trades").alias("trades"))
+    months = sessions(spark, sf, "week").select(F.to_date(F.date_trunc("month", "session")).alias("session")).distinct()
+    return index_sessions(out, months) if index else out
+
+
 def series_bars(spark, sf, grain: str = "month") -> DataFrame:
     """Supplier bars split by return flag: duplicate (session, symbol) keys."""
     rows = _line(spark, sf, grain).withColumns(

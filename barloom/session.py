@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def build_session(app: str = "barloom", master: str | None = None,
         "spark.sql.parquet.aggregatePushdown": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # call-site capture costs several JVM round trips per Column call
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     base.update(conf or {})
     for k, v in base.items():
@@ -28,21 +31,29 @@ def build_session(app: str = "barloom", master: str | None = None,
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read, from ``spark.checkpoint.dir``.
+
+    Only a local master without that setting gets a temporary folder; on a
+    cluster a missing setting is an error rather than a machine-local path.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+    """Write ``df`` as parquet in the shared folder and return the reread table.
 
-    Iterative operators call this so that a lost executor re-reads the
-    checkpoint files instead of replaying every earlier round. The folder comes
-    from ``spark.checkpoint.dir``; only a local master without that setting
-    gets a temporary one.
+    Used where one result feeds several branches or rounds: later plans scan the
+    stored columns instead of repeating the work, and a lost executor re-reads
+    files instead of replaying every earlier stage.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import math
+import time
 from pathlib import Path
 
 import duckdb
@@ -44,7 +45,9 @@ def digest(rows) -> str:
 
 def compare(spark_df, con, sql):
     """Return (ok, message)."""
+    t0 = time.time()
     sc, sr = canon(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    took = time.time() - t0
     cur = con.execute(sql)
     dc, dr = canon([d[0] for d in cur.description], cur.fetchall())
     if sc != dc:
@@ -56,4 +59,4 @@ def compare(spark_df, con, sql):
         return False, f"{len(a)} of {len(sr)} rows differ\n  spark {sc} {a[:3]}\n  duck  {b[:3]}"
     if not sr:
         return False, "both empty"
-    return True, f"{len(sr)} rows"
+    return True, f"{len(sr)} rows (spark {took:.2f}s)"
