@@ -70,6 +70,13 @@ def calm_bars(spark, sf, index: bool = True) -> DataFrame:
     return index_sessions(out, months) if index else out
 
 
+def vwap_weeks(spark, sf) -> DataFrame:
+    """Weekly brand panel whose close is the volume-weighted average price."""
+    b = brand_bars(spark, sf, "week")
+    return b.select("symbol", "session", "idx", (F.col("turnover") / F.col("volume")).alias("close"),
+                    "high", "low", "volume", "turnover", "trades")
+
+
 def series_bars(spark, sf, grain: str = "month") -> DataFrame:
     """Supplier bars split by return flag: duplicate (session, symbol) keys."""
     rows = _line(spark, sf, grain).withColumns(
