@@ -110,3 +110,42 @@ def industries(spark, sf) -> DataFrame:
             .join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"),
                     F.col("r_name").alias("industry"), F.col("n_name").alias("nation")))
+
+
+def filings(spark, sf) -> DataFrame:
+    """Quarterly figures per customer nation, disclosed thirty days after the quarter."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    q = (o.join(c, o.o_custkey == c.c_custkey)
+         .withColumns({"symbol": F.concat(F.lit("N"), "c_nationkey"),
+                       "period_start": F.to_date(F.date_trunc("quarter", "o_orderdate")),
+                       "nature": F.when(F.col("o_orderstatus") == "F", "consolidated")
+                       .when(F.col("o_orderstatus") == "O", "standalone").otherwise("unknown")}))
+    g = q.groupBy("symbol", "period_start", "nature").agg(
+        F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("o_totalprice") * (F.col("o_orderkey") % 7 - 2) / 50).alias("profit_after_tax"))
+    end = F.date_sub(F.add_months("period_start", 3), 1)
+    pat, rev = F.col("profit_after_tax"), F.col("revenue")
+    return g.withColumns({
+        "period_end": end, "disclosed_at": F.expr("cast(date_add(add_months(period_start, 3), 29) as timestamp) + interval 12 hours"),
+        "eps_basic": pat / 1e6, "paid_up_capital": F.col("n") * 1e5, "face_value": F.when(F.col("n") % 11 != 0, 10.0),
+        "profit_before_tax": pat * 1.3, "finance_costs": rev * 0.02, "depreciation": rev * 0.03, "tax_expense": pat * 0.3})
+
+
+def contracts(spark, sf) -> DataFrame:
+    """An option chain per shipped line: brand as underlying, part price as spot.
+
+    Strikes are rounded quantities around the spot, the premium falls with the
+    strike and carries the line's own noise.
+    """
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"), "p_retailprice")
+    li = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    day = F.to_date(F.date_trunc("month", "l_shipdate"))
+    d = li.select("symbol", day.alias("trade_date"), F.date_add(day, 28).alias("expiry"), F.col("l_linenumber").alias("ln"),
+                  F.when(F.col("l_orderkey") % 2 == 0, "CE").otherwise("PE").alias("option_type"),
+                  (900.0 + F.floor(F.col("l_quantity") / 2) * 10).alias("strike"), "l_discount", "l_quantity", "l_extendedprice")
+    g = d.groupBy("symbol", "trade_date", "expiry", "option_type", "strike").agg(
+        F.max("l_discount").alias("dc"), F.count(F.lit(1)).alias("k"), F.sum("l_quantity").alias("q"))
+    spot = F.lit(1020.0)
+    away = F.when(F.col("option_type") == "CE", spot - F.col("strike")).otherwise(F.col("strike") - spot)
+    return g.withColumns({"underlying": spot, "close": F.greatest(away, F.lit(0.0)) * 0.6 + 45.0 + away * 0.25 + F.col("dc") * 60,
+                          "volume": F.col("q"), "open_interest": F.col("q") * 20, "lot_size": F.lit(25.0)})
