@@ -18,7 +18,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-MODULES = ("scans", "gates", "joins", "rollups", "indicators", "signals", "trades", "portfolio", "studies",
+MODULES = ("scans", "gates", "indicators", "signals", "trades", "portfolio", "studies",
            "fundamental", "feeds", "streams")
 
 
