@@ -14,7 +14,7 @@ from .registry import query
 
 def ticks(spark, sf):
     schema = t.table(spark, sf, "events").schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events.parquet")
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events*.parquet")
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_id").alias("seq"),
                     (F.col("user_id") % 5 + 1).cast("double").alias("size"))
 
@@ -33,7 +33,7 @@ def stream_session_vwap(spark, sf):
 
 @query("2.12.4", f"SELECT norm, count(*) AS kept FROM (SELECT DISTINCT {NORM} AS norm FROM documents) GROUP BY norm")
 def stream_distinct_stories(spark, sf):
-    d = spark.readStream.schema(t.table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parquet")
+    d = spark.readStream.schema(t.table(spark, sf, "documents").schema).parquet(f"{sf}/documents*.parquet")
     items = d.select(F.split("text", "\n")[0].alias("title"), F.expr("timestamp'2026-01-01' + make_dt_interval(0, 0, 0, cast(doc_id as double) / 10)").alias("published_at"))
     return st.run_once(st.distinct_stories(items), mode="append").groupBy("norm").agg(F.count(F.lit(1)).alias("kept"))
 
