@@ -52,7 +52,7 @@ def close_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = 2
     met = v.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
         F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "symbol", "v")
 
-    def product(key, g: pd.DataFrame) -> pd.DataFrame:
+    def product(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         a, c = g[g["b"] == i], g[g["b"] == j]
         if a.empty or c.empty:

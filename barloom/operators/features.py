@@ -91,6 +91,13 @@ def _swing_low(window: int) -> Column:
                   & (F.col("low") == F.min("low").over(around)), F.col("low"))
 
 
+def _with_rs(p: DataFrame, benchmark: DataFrame | None) -> DataFrame:
+    if benchmark is None:
+        return p.withColumn("rs", F.lit(None).cast("double"))
+    p = with_benchmark(p, benchmark, fill=True)
+    return p.withColumn("rs", F.col("close") / price("bench")).drop("bench")
+
+
 def stage1(bars: DataFrame, as_of=None, benchmark: DataFrame | None = None,
            actions: DataFrame | None = None, min_bars: int = 30, swing_window: int = 3,
            rel_volume: float = 2.0, move_atrs: float = 1.5, near_high: float = 95.0,
@@ -102,19 +109,13 @@ def stage1(bars: DataFrame, as_of=None, benchmark: DataFrame | None = None,
     if actions is not None:
         cutoff = as_of if as_of is not None else src.agg(F.max("session")).scalar()
         p = p.join(unadjusted(src, actions, cutoff), "symbol", "left_anti")
-    p = p.withColumn("ago", T - F.col("idx"))
+    # joined before any window: the benchmark is calendar-sized and rides along
+    p = _with_rs(p, benchmark).withColumn("ago", T - F.col("idx"))
     p = smoothed(p, horizon)
     mid, sd = W.sma("close", 20), W.rolling(F.stddev_samp, "close", 20)
     p = p.withColumns({"mid": mid, "sd": sd, "swing": _swing_low(swing_window)})
     p = p.withColumn("width", 100.0 * 4.0 * F.col("sd") / price("mid"))
     ago = F.col("ago")
-    if benchmark is None:
-        p = p.withColumn("rs", F.lit(None).cast("double"))
-    else:
-        p = with_benchmark(p, benchmark, fill=True).withColumn("rs", F.col("close") / price("bench"))
-    today = W.whole()
-    p = p.withColumns({f"now_{c}": F.max(F.when(ago == 0, F.col(c))).over(today)
-                       for c in ("atr_pct", "rs", "width")})
 
     def at(c, k=0):
         return F.max(F.when(ago == k, F.col(c)))
@@ -123,12 +124,12 @@ def stage1(bars: DataFrame, as_of=None, benchmark: DataFrame | None = None,
         v = F.when((ago >= skip) & (ago < n + skip), F.col(c))
         return F.when(F.count(v) >= (need or n), agg(v))
 
-    def standing(c, n, need):
-        inside = ago < n
-        lower = F.count_if(inside & (F.col(c) < F.col(f"now_{c}")))
-        same = F.count_if(inside & (F.col(c) == F.col(f"now_{c}")))
-        total = F.count(F.when(inside, F.col(c)))
-        return F.when((same > 0) & (total >= need), 100.0 * (lower + (same + 1) / 2) / total)
+    def recent(c, n):
+        return F.collect_list(F.when(ago < n, F.col(c)))
+
+    def standing(seen, now, need):
+        lower, same = (F.size(F.filter(seen, f)) for f in (lambda v: v < now, lambda v: v == now))
+        return F.when(now.isNotNull() & (F.size(seen) >= need), 100.0 * (lower + (same + 1) / 2) / F.size(seen))
 
     newest = F.max(F.struct("idx", "adx_14", "dx", "plus_di_14", "minus_di_14", "rsi_14"))
     pivot = F.max(F.when(F.col("swing").isNotNull(), F.struct("idx", "swing")))
@@ -136,7 +137,7 @@ def stage1(bars: DataFrame, as_of=None, benchmark: DataFrame | None = None,
         F.count("close").alias("bars"), at("close").alias("close"), at("volume").alias("volume"),
         *[at("close", k).alias(f"c{k}") for k in (1, 5, 20)], at("open").alias("o0"),
         within(F.avg, "volume", 20, skip=1).alias("vbase"), at("atr_pct").alias("atr_pct"),
-        standing("atr_pct", 252, 60).alias("atr_pct_rank"),
+        recent("atr_pct", 252).alias("atr_seen"),
         *[within(F.avg, "close", n).alias(f"sma{n}") for n in (20, 50, 200)],
         within(F.max, "high", 252, need=1).alias("high_52w"), within(F.min, "low", 252, need=1).alias("low_52w"),
         pivot.alias("pivot"), within(F.min, "low", 20).alias("low_20"),
@@ -145,10 +146,12 @@ def stage1(bars: DataFrame, as_of=None, benchmark: DataFrame | None = None,
         at("width").alias("bb_width_pct"), at("mid").alias("bb_mid"),
         (at("mid") - 2.0 * at("sd")).alias("bb_lower"),
         within(lambda v: F.percentile(v, 0.2), "width", 120, need=40).alias("squeeze"),
-        standing("rs", 55, 20).alias("rs_rank"), newest.alias("n"))
+        recent("rs", 55).alias("rs_seen"), at("rs").alias("rs_now"), newest.alias("n"))
     still = T - F.col("n.idx")
     drift = F.pow(F.lit(1.0 - A14), still)
     g = g.where(F.col("bars") >= min_bars).withColumns({
+        "atr_pct_rank": standing(F.col("atr_seen"), F.col("atr_pct"), 60),
+        "rs_rank": standing(F.col("rs_seen"), F.col("rs_now"), 20),
         **{f"ret_{k}d_pct": finite(100.0 * (F.col("close") / price(f"c{k}") - 1.0)) for k in (1, 5, 20)},
         "rel_volume": finite(F.col("volume") / F.when(F.col("vbase") != 0, F.col("vbase"))),
         "gap_pct": finite(100.0 * (F.col("o0") / price("c1") - 1.0)),
@@ -172,11 +175,8 @@ def stage1_series(bars: DataFrame, benchmark: DataFrame | None = None, min_bars:
     A pivot is only known ``swing_window`` sessions later, so the newest known
     one is carried from that far back.
     """
-    p = smoothed(bars.select("symbol", "session", "idx", "open", "high", "low", "close", "volume"), horizon)
-    if benchmark is None:
-        p = p.withColumn("rs", F.lit(None).cast("double"))
-    else:
-        p = with_benchmark(p, benchmark, fill=True).withColumn("rs", F.col("close") / price("bench"))
+    p = bars.select("symbol", "session", "idx", "open", "high", "low", "close", "volume")
+    p = smoothed(_with_rs(p, benchmark), horizon)
     p = p.withColumns({"bb_mid": W.sma("close", 20), "__sd": W.rolling(F.stddev_samp, "close", 20),
                        "__swing": F.struct("idx", _swing_low(swing_window).alias("level"))})
     p = p.withColumn("bb_width_pct", 100.0 * 4.0 * F.col("__sd") / price("bb_mid"))

@@ -92,7 +92,7 @@ def pair_state(joint: DataFrame, window: int = WINDOW, min_obs: int = MIN_OBS) -
     g = g.select("y", "x", "n_obs", "beta", "alpha", "spread", ((F.col("spread") - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s"))).alias("zscore"),
                  F.when(F.col("__k") < 0, -F.log(F.lit(2.0)) / F.col("__k")).alias("half_life"))
 
-    def coint(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def coint(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("pos")["spread"].to_numpy(float)
         ok = len(x) >= min_obs and np.isfinite(x).all() and np.ptp(x) > 0
         return pd.DataFrame([(key[0], key[1], tau_p(adf_stat(x, constant=False), 2) if ok else None)], columns=["y", "x", "pvalue"])

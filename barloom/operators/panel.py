@@ -9,6 +9,8 @@ from ..schemas import require_columns
 
 # Fixed value: the mainstream cash-equity series.
 EQUITY_SERIES = ("EQ",)
+#: a century of days several times over; the most rows a calendar may have
+MAX_SESSIONS = 200_000
 
 
 class PanelError(ValueError):
@@ -28,13 +30,14 @@ def index_sessions(bars: DataFrame, sessions: DataFrame | None = None,
                    at: str = "idx") -> DataFrame:
     """Attach the position of each session in the panel's own calendar.
 
-    The calendar is bounded by the number of days the store covers (a few
-    thousand rows however many symbols trade), so numbering it in one task and
-    broadcasting it is safe at any data size.
+    The calendar holds one row per session however many symbols trade, so it is
+    numbered in one task and broadcast. The bound is enforced: a "calendar" with
+    more than ``MAX_SESSIONS`` rows fails instead of being broadcast.
     """
     cal = (sessions if sessions is not None else sessions_of(bars)).select("session")
     cal = cal.withColumn(at, F.row_number().over(Window.orderBy("session")) - 1)
-    return bars.join(F.broadcast(cal), "session")
+    fits = F.assert_true(F.col(at) < MAX_SESSIONS, F.lit("too many sessions for a calendar"))
+    return bars.join(F.broadcast(cal.where(fits.isNull())), "session")
 
 
 def last_session(bars: DataFrame, as_of=None):

@@ -120,7 +120,7 @@ def persistence(panel: DataFrame, nlags: int = 30, min_obs: int = MIN_OBS) -> Da
 
 def unit_roots(panel: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
     """ADF and KPSS per symbol with their agreement; nulls are opposite."""
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("idx")["close"].dropna().to_numpy(float)
         if len(x) < min_obs or np.ptp(x) == 0:
             return pd.DataFrame([(key[0], len(x), None, None, None, None)], columns=cols)

@@ -155,7 +155,7 @@ def allocate(candidates: DataFrame, cfg: RiskConfig = RiskConfig(), max_trades:
     ranked = candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     cols = ("session", "symbol", "rank", "entry", "stop", "atr_pct", "adv_shares", "sector", "cluster", "gate")
 
-    def walk(key, g):
+    def walk(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return _allocate(g, cfg, max_trades).assign(session=key[0])[
             ["session", "symbol", "rank", "approved", "reason", "qty", "position_value", "capital_at_risk"]]
 

@@ -9,16 +9,20 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from oracle import compare, connect  # noqa: E402
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 from barloom.plans import registry  # noqa: E402
 from barloom.session import build_session  # noqa: E402
 
 
 def main(argv):
     sf = "/root/testdata/sf0.01"
-    want = []
+    want, plain = [], False
     for a in argv:
         if a.startswith("sf="):
             sf = "/root/testdata/" + a[3:]
+        elif a == "plain":
+            plain = True
         elif a.startswith("mod="):
             registry.MODULES = tuple(a[4:].split(","))
         else:
@@ -27,10 +31,15 @@ def main(argv):
     if len(registry.MODULES) < 4:
         own = {f"barloom.plans.{m}" for m in registry.MODULES}
         qs = {k: q for k, q in qs.items() if q.run.__module__ in own}
-    spark = build_session("check", "local[8]", {"spark.sql.shuffle.partitions": "8",
-                                                "spark.ui.enabled": "false",
-                                                "spark.driver.memory": "16g",
-                                                "spark.ui.showConsoleProgress": "false"})
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+            "spark.ui.showConsoleProgress": "false"}
+    if plain:  # nothing of our own settings, as an outside caller would start it
+        b = SparkSession.builder.appName("check").master("local[8]")
+        for k, v in conf.items():
+            b = b.config(k, v)
+        spark = b.getOrCreate()
+    else:
+        spark = build_session("check", "local[8]", conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0
