@@ -136,38 +136,46 @@ def unit_roots(panel: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
 
 
 def _two_states(r: np.ndarray, rounds: int = 200, tol: float = 1e-8):
-    """EM of a two-state Gaussian chain; returns filtered and smoothed P(high)."""
-    n = len(r)
-    split = np.median(np.abs(r - r.mean()))
-    calm = np.abs(r - r.mean()) <= split
+    """EM of a two-state Gaussian chain; returns filtered and smoothed P(high).
+
+    The two probabilities of a step add to one, so the passes carry one number.
+    """
+    n, dev = len(r), np.abs(r - r.mean())
+    calm = dev <= np.median(dev)
     mu = np.array([r[calm].mean(), r[~calm].mean()])
-    var = np.array([r[calm].var() + 1e-8, r[~calm].var() + 1e-8])
-    P, start, last = np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5]), -np.inf
+    var = np.array([r[calm].var(), r[~calm].var()]) + 1e-8
+    stay, start, last = [0.95, 0.95], 0.5, -np.inf
     for _ in range(rounds):
         dens = np.exp(-0.5 * (r[:, None] - mu) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
-        f, c = np.empty((n, 2)), np.empty(n)
-        prior = start
-        for t in range(n):
-            v = prior * dens[t]
-            c[t] = v.sum()
-            f[t] = v / c[t]
-            prior = f[t] @ P
-        s, joint = f.copy(), np.zeros((2, 2))
-        for t in range(n - 2, -1, -1):
-            ahead = f[t] @ P
-            x = f[t][:, None] * P * (s[t + 1] / ahead)
-            s[t] = x.sum(1)
-            joint += x
-        P = joint / joint.sum(1, keepdims=True)
-        start, wt = s[0], s.sum(0)
-        mu = s.T @ r / wt
-        var = np.maximum((s * (r[:, None] - mu) ** 2).sum(0) / wt, 1e-10)
-        ll = np.log(c).sum()
+        d0, d1 = dens[:, 0].tolist(), dens[:, 1].tolist()
+        s0, s1 = stay
+        filt, norm, ahead, prior = [0.0] * n, [0.0] * n, [0.0] * n, start
+        for t in range(n):                      # P(state 1) forward
+            hi, lo = prior * d1[t], (1.0 - prior) * d0[t]
+            norm[t] = hi + lo
+            p = filt[t] = hi / norm[t]
+            prior = ahead[t] = p * s1 + (1.0 - p) * (1.0 - s0)
+        smooth, kept1, left0 = filt[:], 0.0, 0.0
+        for t in range(n - 2, -1, -1):          # and backward, counting moves
+            p, q, nxt = filt[t], ahead[t], smooth[t + 1]
+            up1, up0 = nxt / q if q > 0 else 0.0, (1.0 - nxt) / (1.0 - q) if q < 1 else 0.0
+            j11, j01 = p * s1 * up1, (1.0 - p) * (1.0 - s0) * up1
+            smooth[t] = j11 + p * (1.0 - s1) * up0
+            kept1 += j11
+            left0 += j01
+        s = np.array(smooth)
+        w1, w0 = float(s[:-1].sum()), float((1.0 - s[:-1]).sum())
+        stay = [1.0 - left0 / max(w0, 1e-12), kept1 / max(w1, 1e-12)]
+        start, wt = smooth[0], np.array([(1.0 - s).sum(), s.sum()]) + 1e-12
+        probs = np.column_stack([1.0 - s, s])
+        mu = probs.T @ r / wt
+        var = np.maximum((probs * (r[:, None] - mu) ** 2).sum(0) / wt, 1e-10)
+        ll = float(np.log(norm).sum())
         if ll - last < tol * abs(ll):
             break
         last = ll
-    hi = int(var[1] > var[0])
-    return f[:, hi], s[:, hi]
+    f = np.array(filt)
+    return (f, s) if var[1] > var[0] else (1.0 - f, 1.0 - s)
 
 
 def volatility_states(panel: DataFrame, min_obs: int = 250) -> DataFrame:

@@ -116,7 +116,7 @@ def cross_source_differences(spark, sf):
     return dated(rounded(d.select("symbol", "session", "close", "ref_close", "diff_pct"), "close", "ref_close", "diff_pct"), "session")
 
 
-@query("2.1.18 2.1.19 2.1.20 2.2.115", """WITH raw AS (SELECT 'S' || s_suppkey AS base, n_name AS industry, 'NIFTY_' || r_name AS idx, 1 AS pr FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 4 <> 0
+@query("2.1.18 2.1.19 2.1.20", """WITH raw AS (SELECT 'S' || s_suppkey AS base, n_name AS industry, 'NIFTY_' || r_name AS idx, 1 AS pr FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 4 <> 0
       UNION ALL SELECT 'S' || s_suppkey, r_name, 'BROAD', 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 3 <> 0)
       SELECT base, arg_min(industry, pr) AS industry, string_agg(idx, '|' ORDER BY pr) AS indices FROM raw GROUP BY base""")
 def sector_map(spark, sf):

@@ -347,3 +347,24 @@ def reconstruction_lag(spark, sf):
         "cast(o_orderdate as timestamp) + make_dt_interval(cast(o_orderkey % 4 as int), 20)").alias("recorded_at"))
     o = o.withColumn("lag_days", journal.reconstruction_lag().cast("long"))
     return o.groupBy("lag_days").agg(F.count(F.lit(1)).alias("decisions"), F.count_if(F.col("lag_days") > 0).alias("reconstructed"))
+
+
+DAY = "2000-03-01"
+
+
+@query("2.6.32 2.2.1", sql(f"""SELECT '{DAY}' AS as_of, (SELECT count(*) FROM bars WHERE session = DATE '{DAY}') AS universe_scanned, (SELECT count(*) FROM bars WHERE session = DATE '{DAY}' AND close >= 1500) AS survived_stage0,
+      (SELECT count(*) FROM uni) AS survived_stage1, (SELECT count(*) FROM scored) AS survived_stage2, count(*) AS analysed, count(*) FILTER (gate IS NULL) AS approved,
+      coalesce(string_agg(CASE WHEN gate IS NULL THEN symbol END, ',' ORDER BY n), '') AS trades,
+      CASE WHEN count(*) FILTER (gate IS NULL) = 0 THEN 'NO TRADE - ' || (SELECT string_agg(gate, ', ' ORDER BY c DESC, gate) FROM (SELECT gate, count(*) AS c FROM short WHERE gate IS NOT NULL GROUP BY gate ORDER BY c DESC, gate LIMIT 3)) END AS no_trade_reason FROM short""",
+      FEATS, SETUP_SQL, GATED_SQL, f"uni AS (SELECT * FROM feats WHERE session = DATE '{DAY}' AND close IS NOT NULL)", score_sql(ranking.REVERSAL_FACTORS, "uni"),
+      f"short AS (SELECT symbol, gate, n FROM (SELECT g.symbol, gate, row_number() OVER (ORDER BY score DESC, g.symbol) AS n FROM gated g JOIN scored s USING (symbol, session)) WHERE n <= 12)"))
+def daily_plan(spark, sf):
+    from ..operators import plan
+    f = feature_series(spark, sf)
+    day_ = f.where(F.col("session") == F.lit(DAY).cast("date"))
+    u = t.calm_bars(spark, sf).where(F.col("session") == F.lit(DAY).cast("date")).select("symbol", F.when(F.col("close") < 1500, "below price floor").alias("reason"))
+    score = cut_lineage(ranking.stage2(day_, ranking.REVERSAL_FACTORS, flagged_only=False).select("session", "symbol", "score"))
+    g = gated_setups(spark, sf, day_).join(score, ["session", "symbol"])
+    short = g.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "symbol"))).where("rank <= 12")
+    p = plan.daily_plan(u, day_, score, cut_lineage(short.select("symbol", "rank", F.col("gate").alias("reason"))), DAY)
+    return dated(p, "as_of")

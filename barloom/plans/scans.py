@@ -166,3 +166,16 @@ def panel_full_matrix(spark, sf):
 def data_freshness(spark, sf):
     f = panel.freshness(urgent_days(spark, sf), weekday_calendar(spark, sf), "1998-07-31")
     return dated(f, "latest_session", "expected_session")
+
+
+@query("2.1.5", sql(f"SELECT symbol, {day('session')}, {r('CASE WHEN session = DATE $$1997-05-01$$ THEN close * 2 ELSE close END', 'close')} FROM bars0".replace("$$", "'"), supp()))
+def stored_day_replaced(spark, sf):
+    """The panel goes into a session-partitioned store, one session is rewritten."""
+    import uuid
+
+    from ..session import shared_folder
+    path = f"{shared_folder(spark)}/barloom-bars-{uuid.uuid4().hex}"
+    panel.write_day(t.bars(spark, sf, index=False), path)
+    one = t.bars(spark, sf, index=False).where("session = date'1997-05-01'").withColumn("close", F.col("close") * 2)
+    panel.write_day(one, path)
+    return dated(rounded(panel.read_store(spark, path).select("symbol", "session", "close"), "close"), "session")

@@ -99,7 +99,7 @@ def stage1_features_weekly(spark, sf):
     return shown(features_at(t.brand_bars(spark, sf, "week"), None))
 
 
-@query("2.5.42 2.6.264", sql(f"SELECT {FEATURE_OUT}, {day('session')} FROM feats WHERE close IS NOT NULL",
+@query("2.5.42 2.6.8", sql(f"SELECT {FEATURE_OUT}, {day('session')} FROM feats WHERE close IS NOT NULL",
                             SM, BENCH, feature_sql()))
 def stage1_features_series(spark, sf):
     from .scans import dated
