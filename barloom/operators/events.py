@@ -19,22 +19,22 @@ def is_price_moving(*text) -> Column:
 def next_event(asks: DataFrame, events: DataFrame, moving_only: bool = True) -> DataFrame:
     """First event on or after each (symbol, as_of).
 
-    Events and questions share one sort per symbol and the next event is carried
-    back, so a symbol with many of both is never multiplied out.
-    ``known`` is false when the calendar has no entry for the symbol at all.
+    Both sides reduce to one row per symbol and day before they share a time
+    order, and the next event is carried back; the answer then joins the
+    questions on (symbol, as_of). ``known`` is false when the calendar has no
+    entry for the symbol at all.
     """
-    e = events.where("moving") if moving_only else events
-    marks = (e.select("symbol", F.col("event_date").alias("at"), F.lit(1).alias("k"), F.col("event_date").alias("ev"),
-                      "purpose", F.lit(None).cast("string").alias("ask"))
+    e = (events.where("moving") if moving_only else events).groupBy("symbol", "event_date").agg(F.min("purpose").alias("purpose"))
+    marks = (e.select("symbol", F.col("event_date").alias("at"), F.lit(1).alias("k"), F.col("event_date").alias("ev"), "purpose")
              .unionByName(asks.select("symbol", F.col("as_of").alias("at"), F.lit(0).alias("k"), F.lit(None).cast("date").alias("ev"),
-                                      F.lit(None).cast("string").alias("purpose"), F.col("ask").cast("string").alias("ask"))))
-    w = Window.partitionBy("symbol").orderBy("at", "k", "purpose").rowsBetween(0, Window.unboundedFollowing)
+                                      F.lit(None).cast("string").alias("purpose")).distinct()))
+    w = Window.partitionBy("symbol").orderBy("at", "k").rowsBetween(0, Window.unboundedFollowing)
     nxt = F.first(F.when(F.col("k") == 1, F.struct("ev", "purpose")), ignorenulls=True).over(w)
-    out = marks.withColumn("n", nxt).where("k = 0")
+    found = marks.withColumn("n", nxt).where("k = 0").select("symbol", F.col("at").alias("as_of"), "n")
     known = events.select("symbol", F.lit(True).alias("known")).distinct()
-    return (out.join(known, "symbol", "left").select(
-        "symbol", F.col("at").alias("as_of"), "ask", F.col("n.ev").alias("event_date"), F.col("n.purpose").alias("purpose"),
-        F.datediff("n.ev", "at").alias("days_until"), truth(F.col("known")).alias("known")))
+    return (asks.join(found, ["symbol", "as_of"]).join(known, "symbol", "left").select(
+        "symbol", "as_of", "ask", F.col("n.ev").alias("event_date"), F.col("n.purpose").alias("purpose"),
+        F.datediff("n.ev", "as_of").alias("days_until"), truth(F.col("known")).alias("known")))
 
 
 def blocks(holding_days: int) -> Column:

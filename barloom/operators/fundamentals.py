@@ -23,16 +23,22 @@ def latest_filing(filings: DataFrame, as_of) -> DataFrame:
 
 
 def latest_as_of(asks: DataFrame, filings: DataFrame, value: str) -> DataFrame:
-    """The value of the newest filing at each of many (symbol, as_of).
+    """The value of the newest filing at each distinct (symbol, as_of) date.
 
-    Questions and filings are merged into one time order per symbol and the last
-    filing is carried forward; nothing is joined many to many.
+    Filings reduce to the last one per symbol and first day on which a date
+    question can see it, questions to distinct days, so whatever share of the
+    rows one symbol holds, its merged time order has at most two rows per day.
+    The last filing is then carried forward.
     """
-    f = filings.select("symbol", F.col("disclosed_at").alias("at"), F.lit(0).alias("k"), F.struct("disclosed_at", value).alias("v"))
-    a = asks.select("symbol", F.col("as_of").cast("timestamp").alias("at"), F.lit(1).alias("k"), F.lit(None).cast(f.schema["v"].dataType).alias("v"))
+    ts = F.col("disclosed_at")
+    seen_on = F.date_add(F.to_date(ts), F.when(ts > F.to_date(ts).cast("timestamp"), 1).otherwise(0))
+    f = (filings.groupBy("symbol", seen_on.alias("at")).agg(F.max(F.struct("disclosed_at", value)).alias("v"))
+         .select("symbol", "at", F.lit(0).alias("k"), "v"))
+    a = asks.select("symbol", F.col("as_of").cast("date").alias("at"), F.lit(1).alias("k")).distinct()
+    a = a.withColumn("v", F.lit(None).cast(f.schema["v"].dataType))
     w = Window.partitionBy("symbol").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
     out = f.unionByName(a).withColumn("n", F.last("v", ignorenulls=True).over(w)).where("k = 1")
-    return out.select("symbol", F.to_date("at").alias("as_of"), F.col("n.disclosed_at").alias("disclosed_at"), F.col(f"n.{value}").alias(value))
+    return out.select("symbol", F.col("at").alias("as_of"), F.col("n.disclosed_at").alias("disclosed_at"), F.col(f"n.{value}").alias(value))
 
 
 def comparable(quarters: DataFrame) -> DataFrame:

@@ -135,15 +135,15 @@ def simulate(signals: DataFrame, bars: DataFrame, horizon: int = 5, min_risk_pct
     extra = [exit_level] if exit_level else []
     b = bars.select("symbol", "session", "open", "high", "low", "close", *extra,
                     F.row_number().over(num).alias("pos"))
-    marks = (b.select("symbol", F.col("session").alias("at"), F.lit(0).alias("kind"), "pos",
-                      F.lit(None).cast("string").alias("sid"))
+    # one row per symbol and day on either side, however many signals share a day
+    marks = (b.select("symbol", F.col("session").alias("at"), F.lit(0).alias("kind"), "pos")
              .unionByName(signals.select("symbol", F.col("decided_on").alias("at"), F.lit(1).alias("kind"),
-                                         F.lit(None).cast("int").alias("pos"), "sid")))
+                                         F.lit(None).cast("int").alias("pos")).distinct()))
     seen = Window.partitionBy("symbol").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     entry = (marks.withColumn("entry_pos", F.coalesce(F.max("pos").over(seen), F.lit(0)) + 1)
-             .where("kind = 1").select("symbol", "sid", "entry_pos"))
+             .where("kind = 1").select("symbol", F.col("at").alias("decided_on"), "entry_pos"))
     sig = signals.select("sid", "symbol", "decided_on", "stop", "target", "qty")
-    steps = (sig.join(entry.drop("symbol"), "sid")
+    steps = (sig.join(entry, ["symbol", "decided_on"])
              .withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
              .withColumn("pos", F.col("entry_pos") + F.col("n") - 1))
     met = steps.join(b, ["symbol", "pos"], "left")

@@ -171,7 +171,7 @@ def action_subjects(spark, sf):
       WHERE s.reason IS NULL AND o_orderkey % 50 <> 0)"""))
 def action_files(spark, sf):
     a = ca.actions(ca.parse_rows(subjects(spark, sf))).withColumn("note", F.col("subject"))
-    body = a.groupBy("symbol").agg(F.to_json(F.struct("symbol", F.collect_list(F.struct(F.col("ex_date").cast("string").alias("ex_date"), "type", "factor", "amount", "note")).alias("actions"))).alias("body"))
+    body = a.groupBy("symbol", F.floor(F.col("o_orderkey") / 1000).alias("b")).agg(F.to_json(F.struct("symbol", F.collect_list(F.struct(F.col("ex_date").cast("string").alias("ex_date"), "type", "factor", "amount", "note")).alias("actions"))).alias("body"))
     out = ca.load_files(body.select("body"))
     return dated(rounded(out.select("symbol", "ex_date", "type", "factor"), "factor"), "ex_date")
 
@@ -190,7 +190,7 @@ def holiday_payload(spark, sf, where="true"):
     h = F.struct(F.date_format("o_orderdate", "dd-MMM-yyyy").alias("tradingDate"), F.lit("").alias("weekDay"), F.concat(F.lit(" H"), "o_orderkey", F.lit(" ")).alias("description"),
                  F.when(k == 1, "10:00 to 13:30").when(k == 2, "Closed").otherwise("").alias("morning_session"),
                  F.when(k == 3, "6:15 to 7.30 p.m.").when(k == 1, "5:00 - 6:00").otherwise("").alias("evening_session"))
-    return o.groupBy(F.year("o_orderdate").alias("y")).agg(F.to_json(F.struct(F.collect_list(h).alias("CM"))).alias("body"))
+    return o.groupBy(F.floor(F.col("o_orderkey") / 16).alias("b")).agg(F.to_json(F.struct(F.collect_list(h).alias("CM"))).alias("body"))
 
 
 @query("2.1.24", f"""SELECT {day('CAST(o_orderdate AS DATE)', 'day')}, 'H' || o_orderkey AS name, CASE WHEN o_orderkey % 4 = 3 THEN 'special' ELSE 'holiday' END AS kind,
@@ -220,7 +220,7 @@ def result_payload(spark, sf):
                    F.when(k % 4 == 1, F.date_format(F.date_add(ts, 1), "yyyy-MM-dd")).otherwise("NA").alias("exchdisstime"),
                    F.when(k % 4 == 2, F.date_format(F.date_add(ts, 2), "dd-MMM-yyyy HH:mm")).alias("filingDate"), F.date_format(F.date_trunc("quarter", ts), "dd-MMM-yyyy").alias("fromDate"),
                    F.date_format(ts, "dd-MMM-yyyy").alias("toDate"), F.lit("Quarterly").alias("period"), F.when(k % 2 == 0, "http://x/-").otherwise(F.concat(F.lit("http://x/"), k)).alias("xbrl"), F.lit("null").alias("isin"))
-    return o.groupBy(F.pmod(F.col("o_custkey"), F.lit(500)).alias("b")).agg(F.to_json(F.collect_list(row)).alias("body")).select("body")
+    return o.groupBy(F.floor(k / 16).alias("b")).agg(F.to_json(F.collect_list(row)).alias("body")).select("body")
 
 
 @query("2.1.26 2.11.10 2.11.14", f"""SELECT 'C' || o_custkey AS symbol, {day("CASE o_orderkey % 4 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 2 DAY END", 'disclosed')}, {day("date_trunc('quarter', o_orderdate)", 'period_start')},
@@ -243,7 +243,7 @@ def shareholding_ingest(spark, sf):
     s = t.table(spark, sf, "supplier")
     row = F.struct(F.concat(F.lit("S"), "s_suppkey").alias("symbol"), F.lit("31-Mar-1997").alias("date"), F.lit("-").alias("broadcastDate"), F.lit("1997-04-20 10:11:12").alias("systemDate"),
                    F.col("s_acctbal").cast("string").alias("pr_and_prgrp"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey").cast("string")).otherwise("-").alias("public_val"), F.lit(None).cast("string").alias("employeeTrusts"))
-    p = s.groupBy("s_nationkey").agg(F.to_json(F.collect_list(row)).alias("body")).select("body")
+    p = s.groupBy(F.floor(F.col("s_suppkey") / 16).alias("b")).agg(F.to_json(F.collect_list(row)).alias("body")).select("body")
     return rounded(rs_.shareholding(rs_.parse(p, "shareholding")).select("symbol", "promoter_pct", "public_pct"), "promoter_pct", "public_pct")
 
 
@@ -252,7 +252,7 @@ def event_payload(spark, sf):
     row = F.struct(F.when(k % 11 != 0, F.concat(F.lit("C"), "o_custkey")).otherwise(" ").alias("symbol"), F.lit("co").alias("company"),
                    F.when(k % 3 == 0, "Financial Results").when(k % 3 == 1, "Dividend").otherwise("Other business").alias("purpose"), F.lit("to consider").alias("bm_desc"),
                    F.when(k % 7 != 0, F.date_format("o_orderdate", "dd-MMM-yyyy")).otherwise("soon").alias("date"))
-    return o.groupBy(F.pmod(k, F.lit(97)).alias("b")).agg(F.to_json(F.collect_list(row)).alias("body")).select("body")
+    return o.groupBy(F.floor(k / 16).alias("b")).agg(F.to_json(F.collect_list(row)).alias("body")).select("body")
 
 
 EV = "evs AS (SELECT 'C' || o_custkey AS symbol, CAST(o_orderdate AS DATE) AS event_date, CASE o_orderkey % 3 WHEN 0 THEN 'Financial Results' WHEN 1 THEN 'Dividend' ELSE 'Other business' END AS purpose FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0)"
@@ -330,7 +330,7 @@ def rss_ingest(spark, sf):
     h = headlines(spark, sf).withColumn("title", F.replace(F.replace("title", F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" ")))
     item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><link>"), F.col("item_id").cast("string"), F.lit("</link><pubDate>"),
                     F.when(F.col("item_id") % 9 == 0, "soon").otherwise(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss +0000")), F.lit("</pubDate><description>&lt;b&gt;x&lt;/b&gt; & y</description></item>"))
-    feed = h.groupBy("source", F.pmod("item_id", F.lit(50)).alias("b")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
+    feed = h.groupBy("source", F.floor(F.col("item_id") / 64).alias("b")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
     p = news.parse_rss(feed.select("source", "body"))
     return p.select(F.col("link").cast("long").alias("doc_id"), "title", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"), "caveat")
 
