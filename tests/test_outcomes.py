@@ -133,3 +133,14 @@ def test_product_over_signs(spark):
     df = spark.createDataFrame([(1, 0.5), (1, -2.0), (1, -3.0), (2, 4.0), (2, 0.0), (3, -1.5)], "k int, x double")
     got = {r.k: r.p for r in df.groupBy("k").agg(metrics.product_over(F.col("x")).alias("p")).collect()}
     assert got == {1: pytest.approx(3.0), 2: 0.0, 3: pytest.approx(-1.5)}
+
+
+def test_trade_metrics_and_worst_streak(spark):
+    r = [1.0, -1.0, -2.0, 3.0, -1.0, -1.0, -1.0, 2.0]
+    rows = [("a", pd.Timestamp("2021-01-01").date() + pd.Timedelta(days=i), x, 2, False) for i, x in enumerate(r)]
+    rows.append(("a", pd.Timestamp("2021-03-01").date(), 50.0, 2, True))     # still open: not counted
+    df = spark.createDataFrame(rows, "symbol string, entry_date date, trade_return_pct double, bars_held int, still_open boolean")
+    m = metrics.trade_metrics(df).first()
+    assert (m.closed_trades, m.max_losses_in_row) == (8, 3)
+    assert m.win_rate_pct == pytest.approx(37.5) and m.profit_factor == pytest.approx(1.0)
+    assert m.expectancy_pct == pytest.approx(np.mean(r)) and m.payoff_ratio == pytest.approx(2 / 1.2)

@@ -91,3 +91,14 @@ def test_binomial_tail(spark):
     df = spark.createDataFrame([(3, 10), (0, 10), (11, 10)], "k long, n long").withColumn("t", ss.binomial_tail("k", "n", 0.3))
     want = sum(math.comb(10, i) * .3 ** i * .7 ** (10 - i) for i in range(3, 11))
     assert [r.t for r in df.collect()] == [pytest.approx(want), 1.0, 0.0]
+
+
+def test_deflated_sharpe_formula(spark):
+    r = np.random.default_rng(12).normal(0.05, 1.0, 400)
+    df = spark.createDataFrame([("a", float(x)) for x in r], "k string, r double")
+    one, many = (ss.sharpe_robustness(df, ["k"], "r", trials=n).first() for n in (1, 50))
+    sr, c = r.mean() / r.std(ddof=1), r - r.mean()
+    skew, kurt = (c ** 3).mean() / r.std() ** 3, (c ** 4).mean() / r.std() ** 4
+    psr = tails.phi(sr * math.sqrt(399) / math.sqrt(1 - skew * sr + (kurt - 1) / 4 * sr ** 2))
+    assert one.psr == pytest.approx(psr, rel=1e-9) and one.dsr == pytest.approx(psr, rel=1e-9)
+    assert many.dsr < one.dsr and many.psr == pytest.approx(psr, rel=1e-9)
