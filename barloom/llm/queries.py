@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm import decontamination
 from barloom.llm.common import read
+from barloom.llm.sharding import shard
 from barloom.llm.token_counts import token_counts
 
 
@@ -14,7 +16,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts,
+    op1_token_counts, op3_decontamination, op10_sharding,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
