@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "read", "tokenizer_path", "running_start", "components"]
+__all__ = ["cut_lineage", "stored", "read", "tokenizer_path", "running_start", "components"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for tables with whole texts or token ids: compressed harder."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession).rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tokenizer_path(name: str) -> str:
     """Path of a public tokenizer file on the machine that calls this."""
     import public_tokenizers
     return str(public_tokenizers.path(name))
 
 
-def running_start(df: DataFrame, key: str, order: str, size: str, buckets: int = 512) -> DataFrame:
+def running_start(df: DataFrame, key: str, order: str, size: str, bits: int = 9) -> DataFrame:
     """``start``: the sum of ``size`` over the rows of the same ``key`` with a smaller ``order``.
 
     ``order`` is unique in its key and well spread (a hash). Its values fall
-    into ``buckets`` ranges: sums run inside a range, and a second small window
+    into ``2 ** bits`` ranges: sums run inside a range, and a second small window
     adds the totals of the ranges before it, so a key with most of the rows is
-    still shared out to ``buckets`` tasks.
+    still shared out to that many tasks.
     """
-    step = 2 ** 64 // buckets
-    b = df.withColumn("_b", F.floor((F.col(order).cast("decimal(20,0)") + F.lit(2 ** 63)) / F.lit(step)).cast("int"))
+    b = df.withColumn("_b", F.shiftright(order, 64 - bits))
     total = b.groupBy(key, "_b").agg(F.sum(size).alias("_t"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontamination
 from barloom.llm.common import read
+from barloom.llm.packing import pack
 from barloom.llm.quality import quality
 from barloom.llm.sharding import shard
 from barloom.llm.token_counts import token_counts
@@ -21,6 +22,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -30,6 +35,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op3_decontamination, op8_quality, op10_sharding,
+    op1_token_counts, op3_decontamination, op6_packing, op8_quality, op10_sharding,
 )}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
