@@ -11,12 +11,13 @@ to each of the 65,536 pairs is tabulated once, so that scoring is table lookups.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from barloom.llm.convnet import Net, learn, logistic, logits, random_net
+
 CHUNK, OVERLAP, WIDTH = 256, 64, 6
 EMBED, FILTERS, HIDDEN = 8, 32, 16
 #: Labelled documents of each class that are drawn for training, by the order of a hash of their id.
@@ -27,23 +28,10 @@ TRAIN_CHUNKS, EXCERPTS, ROUNDS = 8, 4, 5
 THRESHOLD = 0.3
 
 
-@dataclass
-class Net:
-    """Weights; ``a`` and ``b`` turn the mean chunk logit into the document's log odds."""
-    embed: np.ndarray   # 257 x EMBED, the last for the padding
-    conv: np.ndarray    # WIDTH x EMBED x FILTERS
-    bias: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-    a: float = 1.0
-    b: float = 0.0
-
-    def tables(self) -> list[np.ndarray]:
-        """Answers of the filters to each pair of neighbouring bytes (257 x 257), for the three places of a pair."""
-        single = [self.embed @ self.conv[k] for k in range(WIDTH)]
-        return [(single[k][:, None, :] + single[k + 1][None, :, :]).reshape(257 * 257, FILTERS).astype(np.float32) for k in range(0, WIDTH, 2)]
+def pair_tables(net: Net) -> list[np.ndarray]:
+    """Answers of the filters to each pair of neighbouring bytes (257 x 257), for the three places of a pair."""
+    single = [net.embed @ net.conv[k] for k in range(WIDTH)]
+    return [(single[k][:, None, :] + single[k + 1][None, :, :]).reshape(257 * 257, FILTERS).astype(np.float32) for k in range(0, WIDTH, 2)]
 
 
 def chunks(text: bytes) -> np.ndarray:
@@ -70,17 +58,13 @@ def maxima(rows: np.ndarray, tables: list[np.ndarray], bias: np.ndarray) -> np.n
     return np.maximum(out + bias, 0)
 
 
-def logits(net: Net, peak: np.ndarray) -> np.ndarray:
-    return np.maximum(peak @ net.w1 + net.b1, 0) @ net.w2 + net.b2
-
-
 def scores(net: Net, texts: list[bytes], tables: list[np.ndarray]) -> np.ndarray:
     """Probability of label 1 for each text."""
     rows = [chunks(t) for t in texts]
     ends = np.cumsum([len(r) for r in rows])
     value = logits(net, maxima(np.concatenate(rows), tables, net.bias))
     mean = np.add.reduceat(value, np.r_[0, ends[:-1]]) / np.diff(np.r_[0, ends])
-    return 1 / (1 + np.exp(-np.clip(net.a * mean + net.b, -30, 30)))
+    return net.odds(mean)
 
 
 def _spread(rows: np.ndarray, k: int) -> np.ndarray:
@@ -103,8 +87,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Net:
     (0.5 without any label).
     """
     rng = np.random.default_rng(seed)
-    net = Net(rng.normal(0, 0.5, (257, EMBED)), rng.normal(0, 0.25, (WIDTH, EMBED, FILTERS)), np.zeros(FILTERS),
-              rng.normal(0, 0.25, (FILTERS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.25, HIDDEN), np.zeros(()))
+    net = random_net(rng, 257, EMBED, WIDTH, FILTERS, HIDDEN)
     y = np.asarray(labels, float)
     if len(set(labels)) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1)
@@ -120,70 +103,13 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Net:
     for label in (0, 1):
         weight[target == label] /= max(weight[target == label].sum(), 1e-9)
     weight *= len(x) / 2
-    names = ("embed", "conv", "bias", "w1", "b1", "w2", "b2")
-    m = {n: np.zeros_like(getattr(net, n)) for n in names}
-    v = {n: np.zeros_like(getattr(net, n)) for n in names}
-    t = 0
-    for _ in range(ROUNDS):
-        perm = rng.permutation(len(x))
-        for k in range(0, len(perm), 128):
-            at = perm[k:k + 128]
-            grads = _gradients(net, x[at], target[at], weight[at])
-            t += 1
-            for n in names:
-                g = grads[n]
-                m[n] = 0.9 * m[n] + 0.1 * g
-                v[n] = 0.99 * v[n] + 0.01 * g * g
-                step = 0.004 * (m[n] / (1 - 0.9 ** t)) / (np.sqrt(v[n] / (1 - 0.99 ** t)) + 1e-7)
-                setattr(net, n, getattr(net, n) - step)
-    tables = net.tables()
+    learn(net, x, target, weight, rng, ROUNDS, stride=2)
+    tables = pair_tables(net)
     mean = np.array([logits(net, maxima(chunks(texts[i]), tables, net.bias)).mean() for i in held])
-    net.a, net.b = _logistic(mean, y[held])
+    net.a, net.b = logistic(mean, y[held])
     return net
 
 
-def _gradients(net: Net, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    places = np.arange(0, CHUNK - WIDTH + 1, 2)
-    e = net.embed[x]                                                     # n, CHUNK, EMBED
-    windows = np.stack([e[:, places + k] for k in range(WIDTH)], axis=2)  # n, places, WIDTH, EMBED
-    n, p = windows.shape[:2]
-    flat = windows.reshape(n * p, WIDTH * EMBED)
-    answer = (flat @ net.conv.reshape(WIDTH * EMBED, FILTERS)).reshape(n, p, FILTERS)
-    best = answer.argmax(axis=1)
-    top = np.take_along_axis(answer, best[:, None, :], 1)[:, 0] + net.bias
-    peak = np.maximum(top, 0)
-    h0 = peak @ net.w1 + net.b1
-    h = np.maximum(h0, 0)
-    z = h @ net.w2 + net.b2
-    d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / n
-    dh = np.outer(d, net.w2) * (h0 > 0)
-    dpeak = (dh @ net.w1.T) * (top > 0)
-    chosen = windows[np.arange(n)[:, None], best]                         # n, FILTERS, WIDTH, EMBED
-    dconv = np.einsum("nf,nfke->kef", dpeak, chosen)
-    dwin = np.einsum("nf,kef->nfke", dpeak, net.conv)
-    byte = x[np.arange(n)[:, None, None], places[best][:, :, None] + np.arange(WIDTH)]
-    dembed = np.zeros_like(net.embed)
-    np.add.at(dembed, byte.reshape(-1), dwin.reshape(-1, EMBED))
-    return {"embed": dembed, "conv": dconv, "bias": dpeak.sum(0), "w1": peak.T @ dh, "b1": dh.sum(0), "w2": h.T @ d, "b2": d.sum()}
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps, drawn a little towards slope 1 so that separable samples stay finite.
-
-    The classes count alike, so the probability does not depend on how often a label was drawn.
-    """
-    w = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(w * (p - y) * x).sum() + (a - 1), (w * (p - y)).sum() + 0.1 * b])
-        s = w * np.maximum(p * (1 - p), 1e-9)
-        hess = np.array([[(s * x * x).sum() + 1, (s * x).sum()], [(s * x).sum(), s.sum() + 0.1]])
-        da, db = np.linalg.solve(hess, g)
-        a, b = float(np.clip(a - np.clip(da, -1, 1), 0.05, 20)), b - float(np.clip(db, -2, 2))
-    return a, b
-
-
 def held_out(doc_id="doc_id"):
     """The rows that no label is learned from."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 0
@@ -216,7 +142,7 @@ def quality_scores(docs: DataFrame, net: Net) -> DataFrame:
     held = base.sparkSession.sparkContext.broadcast(net)  # weights only: about 10,000 numbers
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = held.value.tables()
+        tables = pair_tables(held.value)
         for texts in batches:
             raw = [(t or "").encode() for t in texts]
             out = np.empty(len(raw))
