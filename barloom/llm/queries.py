@@ -10,6 +10,7 @@ from barloom.llm import decontamination
 from barloom.llm.common import read
 from barloom.llm.packing import pack
 from barloom.llm.quality import quality
+from barloom.llm.secrets import secret_scan
 from barloom.llm.sharding import shard
 from barloom.llm.token_counts import token_counts
 
@@ -22,6 +23,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -35,6 +40,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op3_decontamination, op6_packing, op8_quality, op10_sharding,
+    op1_token_counts, op3_decontamination, op5_secret_scan, op6_packing, op8_quality, op10_sharding,
 )}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
