@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontamination
 from barloom.llm.common import read
+from barloom.llm.jaccard_join import jaccard_join
 from barloom.llm.packing import pack
 from barloom.llm.quality import quality
 from barloom.llm.secrets import secret_scan
@@ -35,11 +36,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op3_decontamination, op5_secret_scan, op6_packing, op8_quality, op10_sharding,
+    op1_token_counts, op3_decontamination, op5_secret_scan, op6_packing, op8_quality, op9_jaccard_join, op10_sharding,
 )}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
