@@ -57,14 +57,14 @@ def _bit_map(shingles: DataFrame) -> str:
     return f"cast(split('{','.join(map(str, cells))}', ',') AS array<bigint>)"  # folded to a constant by the optimizer
 
 
-def _places(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row per document: doc_id, _row, n_words and ``places`` (at, sh, before, around) where a benchmark shingle may stand."""
+def _places(docs: DataFrame, windows: DataFrame, name: Column) -> DataFrame:
+    """One row per document: doc_id (what ``name`` says), _row, n_words and ``places`` (at, sh, before, around) where a benchmark shingle may stand."""
     shingles = windows.select(F.explode(F.expr(
         f"transform(sequence(0, size(window) - least({SHINGLE}, size(window))), k -> struct(least({SHINGLE}, size(window)) AS size, "
         f"CASE size(window) WHEN 1 THEN {_shingle('window', 'k', 1)} WHEN 2 THEN {_shingle('window', 'k', 2)} ELSE {_shingle('window', 'k', 3)} END AS sh))"
     )).alias("s")).select("s.size", "s.sh").distinct()
     sizes = [r[0] for r in shingles.select("size").distinct().collect()]  # at most SHINGLE values
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), words(F.col("text")).alias("w"))
+    d = docs.select(name.alias("doc_id"), F.monotonically_increasing_id().alias("_row"), words(F.col("text")).alias("w"))
     if not sizes:
         return d.select("doc_id", "_row", F.size("w").cast("long").alias("n_words"), F.expr(
             "cast(array() AS array<struct<at: int, sh: bigint, before: int, around: array<string>>>)").alias("places"))
@@ -80,10 +80,10 @@ def _places(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return d.select("doc_id", "_row", F.size("w").cast("long").alias("n_words"), F.expr(places).alias("places"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def occurrences(docs: DataFrame, items: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, _row, n_words), and where windows occur in them: (_row, start, window, items)."""
     windows = cut_lineage(item_windows(items).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
-    table = cut_lineage(_places(docs, windows))
+    table = cut_lineage(_places(docs, windows, name))
     places = table.select("_row", "n_words", F.explode("places").alias("p")).select("_row", "n_words", "p.*")
     rarity = places.groupBy("sh").agg(F.count("*").alias("_n"))
     n = f"least({SHINGLE}, size(window))"
@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     null doc_ids are separate rows, and other columns are ignored. Without items
     or documents nothing is hit, or no row returned.
     """
-    table, found = occurrences(docs, items)
+    table, found = occurrences(docs, items, F.col("doc_id").cast("long"))
     found = cut_lineage(found)
     hit = (found.select("_row", F.explode(F.expr("sequence(start, start + size(window) - 1)")).alias("at")).distinct()
            .groupBy("_row").agg(F.count("*").alias("n_hit")))
@@ -120,6 +120,14 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
                       F.sha2(F.coalesce("_ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the documents in which a benchmark window occurs, all columns kept."""
+    digest = F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
+    table, found = occurrences(docs, items, digest)
+    hit = table.join(found.select("_row").distinct(), "_row", "left_semi").select(F.col("doc_id").alias("_h")).distinct()
+    return docs.withColumn("_d", digest).join(hit, F.col("_d") == F.col("_h"), "left_anti").drop("_d")
+
+
 SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
