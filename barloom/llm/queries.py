@@ -10,6 +10,7 @@ from barloom.llm import decontamination
 from barloom.llm.common import read
 from barloom.llm.jaccard_join import jaccard_join
 from barloom.llm.line_dedup import line_dedup
+from barloom.llm.nearest import nearest
 from barloom.llm.packing import pack
 from barloom.llm.quality import quality
 from barloom.llm.secrets import secret_scan
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -50,6 +55,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op3_decontamination, op4_line_dedup, op5_secret_scan, op6_packing, op8_quality, op9_jaccard_join, op10_sharding,
+    op1_token_counts, op2_nearest, op3_decontamination, op4_line_dedup, op5_secret_scan, op6_packing, op8_quality, op9_jaccard_join, op10_sharding,
 )}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
