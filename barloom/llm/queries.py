@@ -15,6 +15,7 @@ from barloom.llm.packing import pack
 from barloom.llm.quality import quality
 from barloom.llm.secrets import secret_scan
 from barloom.llm.sharding import shard
+from barloom.llm.suffix_tree import lm_scores
 from barloom.llm.token_counts import token_counts
 
 
@@ -42,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -55,6 +60,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op2_nearest, op3_decontamination, op4_line_dedup, op5_secret_scan, op6_packing, op8_quality, op9_jaccard_join, op10_sharding,
+    op1_token_counts, op2_nearest, op3_decontamination, op4_line_dedup, op5_secret_scan, op6_packing, op7_lm_scores, op8_quality, op9_jaccard_join, op10_sharding,
 )}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
