@@ -7,9 +7,11 @@ sessions since the previous value; w = 1-a when there is no gap) unrolls to
 
 with ``c`` the first value or ``(1-w) x``. Both sums are running window sums,
 constant work per row, so no Python and no per-symbol array fold is needed. To
-keep exp(-L) inside a double on long histories the series is cut into blocks of
-sessions; a block starts from the smoothed value the block before it ended on.
-What came before that has decayed below double precision.
+keep exp(-L) inside a double the series is cut into blocks of sessions. L starts
+at 0 at the first value of a block, however long the gap before it: the fade of
+that value multiplies what the block takes over, not the sums. What a block
+takes over is folded exactly over the ends of all blocks before it, a handful
+per symbol.
 """
 
 from __future__ import annotations
@@ -32,28 +34,24 @@ def wilder_alpha(n: int) -> float:
     return 1.0 / n
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple], by=BY, at=AT,
-        horizon: int | None = None, hold: bool = False) -> DataFrame:
+def ewm(df: DataFrame, specs: dict[str, tuple], by=BY, at=AT, hold: bool = False) -> DataFrame:
     """Add one smoothed column per entry ``out: (column, alpha)``.
 
     NULL inputs keep the previous smoothed value and widen the next gap. With
     ``hold`` the input is itself a carried quantity (a smoothed value keeps its
     level over untraded sessions), so those sessions repeat its last value.
-    ``horizon`` is an upper bound of ``at`` when the caller knows the calendar;
-    a short one skips the block split and its extra sort.
     """
     keys = [by] if isinstance(by, str) else list(by)
     rate = max(-math.log1p(-a) for _, a in specs.values())
-    block = int(_SPAN / rate)
-    one_block = horizon is not None and horizon <= block
 
-    steps = {}
+    steps = {"__blk": F.floor(F.col(at) / int(_SPAN / rate))}
     for out, (c, _) in specs.items():
         steps[f"__p_{out}"] = F.last(F.when(col(c).isNotNull(), F.col(at)),
                                      ignorenulls=True).over(before(by, at))
         if hold:
             steps[f"__v_{out}"] = F.last(col(c), ignorenulls=True).over(before(by, at))
     df = df.withColumns(steps)
+    run = so_far(keys + ["__blk"], at)
 
     weights = {}
     for out, (c, a) in specs.items():
@@ -67,26 +65,30 @@ def ewm(df: DataFrame, specs: dict[str, tuple], by=BY, at=AT,
             fade, fresh = k * math.log1p(-a) - F.log(d + a), x * a / (d + a)
         weights[f"__w_{out}"] = F.when(live, fade).otherwise(0.0)
         weights[f"__c_{out}"] = F.when(live, fresh).when(x.isNotNull(), x).otherwise(0.0)
-    if not one_block:
-        weights["__blk"] = F.floor(F.col(at) / block)
+        weights[f"__n_{out}"] = F.sum(x.isNotNull().cast("int")).over(run)
     df = df.withColumns(weights)
 
-    run = so_far(by, at) if one_block else so_far(keys + ["__blk"], at)
-    df = df.withColumns({f"__l_{o}": F.sum(f"__w_{o}").over(run) for o in specs})
-    df = df.withColumns({f"__s_{o}": F.sum(F.col(f"__c_{o}") * F.exp(-F.col(f"__l_{o}"))).over(run)
-                         for o in specs})
-    if not one_block:
-        prev = ordered(by, at)
-        turn = F.lag("__blk").over(prev) != F.col("__blk")
-        df = df.withColumns({f"__e_{o}": F.when(turn, F.lag(
-            F.exp(F.col(f"__l_{o}")) * F.col(f"__s_{o}")).over(prev)) for o in specs})
-        df = df.withColumns({f"__e_{o}": F.coalesce(
-            F.last(f"__e_{o}", ignorenulls=True).over(so_far(by, at)), F.lit(0.0)) for o in specs})
+    sums = {}
+    for out, (c, _) in specs.items():
+        first = col(c).isNotNull() & (F.col(f"__n_{out}") == 1)
+        sums[f"__l_{out}"] = F.sum(F.when(first, 0.0).otherwise(F.col(f"__w_{out}"))).over(run)
+        sums[f"__f_{out}"] = F.sum(F.when(first, F.col(f"__w_{out}")).otherwise(0.0)).over(run)
+    df = df.withColumns(sums)
+    df = df.withColumns({f"__s_{o}": F.sum(F.col(f"__c_{o}") * F.exp(-F.col(f"__l_{o}"))).over(run) for o in specs})
+
+    prev, far = ordered(by, at), so_far(by, at)
+    turn = F.lag("__blk").over(prev) != F.col("__blk")
+    df = df.withColumns({f"__e_{o}": F.when(turn, F.lag(F.struct(
+        (F.exp(F.col(f"__l_{o}")) * F.col(f"__s_{o}")).alias("own"),
+        F.exp(F.col(f"__l_{o}") + F.col(f"__f_{o}")).alias("keeps"))).over(prev)) for o in specs})
+    df = df.withColumns({f"__e_{o}": F.when(turn, F.aggregate(
+        F.collect_list(f"__e_{o}").over(far), F.lit(0.0), lambda v, e: e["own"] + e["keeps"] * v)) for o in specs})
+    df = df.withColumns({f"__e_{o}": F.coalesce(F.last(f"__e_{o}", ignorenulls=True).over(far), F.lit(0.0)) for o in specs})
 
     outs = {}
     for out, (c, _) in specs.items():
-        s = F.col(f"__s_{out}") if one_block else F.col(f"__s_{out}") + F.col(f"__e_{out}")
         started = col(c).isNotNull() | F.col(f"__p_{out}").isNotNull()
-        outs[out] = F.when(started, F.exp(F.col(f"__l_{out}")) * s)
+        carried = F.exp(F.col(f"__l_{out}") + F.col(f"__f_{out}")) * F.col(f"__e_{out}")
+        outs[out] = F.when(started, F.exp(F.col(f"__l_{out}")) * F.col(f"__s_{out}") + carried)
     df = df.withColumns(outs)
     return df.drop(*[n for n in df.columns if n.startswith("__")])

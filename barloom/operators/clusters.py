@@ -32,7 +32,7 @@ def return_vectors(panel: DataFrame, as_of=None, lookback: int = LOOKBACK, compl
     r = cut_lineage(r.join(usable, "symbol"))
     names = r.select("symbol").distinct().agg(F.count(F.lit(1))).scalar()
     full = r.groupBy("idx").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == names).select("idx")
-    r = r.join(F.broadcast(full), "idx")   # sessions: calendar-sized
+    r = r.join(full, "idx")
     g = r.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "r"))), lambda x: x["r"]).alias("v"),
                                 F.stddev_pop("r").alias("sd"), F.avg("r").alias("m"))
     g = g.where("sd > 0")
@@ -68,11 +68,11 @@ def close_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = 2
     return met.groupBy("i", "j").applyInPandas(product, "a string, z string, corr double")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable name per node, by propagation with label shortcuts."""
     both = cut_lineage(edges.select("a", "z").unionByName(edges.select(F.col("z").alias("a"), F.col("a").alias("z"))))
     lab = cut_lineage(nodes.select("symbol", F.col("symbol").alias("label")))
-    for _ in range(max_rounds):
+    while True:  # a round that changes nothing ends it
         near = both.join(lab.withColumnRenamed("symbol", "z"), "z").groupBy(F.col("a").alias("symbol")).agg(F.min("label").alias("m"))
         step = lab.join(near, "symbol", "left").select("symbol", "label", F.least("label", "m").alias("new"))
         hop = step.select(F.col("symbol").alias("new"), F.col("new").alias("far"))
@@ -80,7 +80,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         if step.where("new < label").isEmpty():
             return step.select("symbol", F.col("new").alias("label"))
         lab = step.select("symbol", F.col("new").alias("label"))
-    raise RuntimeError("components did not settle")
 
 
 def _average_linkage(D: np.ndarray, cut: float) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Trading costs and slippage as Column expressions."""
+"""Costs and slippage as Column expressions."""
 
 from __future__ import annotations
 

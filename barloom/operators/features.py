@@ -51,7 +51,7 @@ def exclusions(bars: DataFrame, actions: DataFrame | None, as_of, min_bars: int
                     .when(F.col("bars") < min_bars, f"fewer than {min_bars} bars").alias("reason"))
 
 
-def smoothed(df: DataFrame, horizon=None) -> DataFrame:
+def smoothed(df: DataFrame) -> DataFrame:
     """Every recursive quantity in two smoothing passes (inputs, then DX)."""
     d = F.col("close") - W.shift("close")
     df = df.withColumns({"__tr": true_range(), "__d": d, **directional_movement()})
@@ -59,14 +59,14 @@ def smoothed(df: DataFrame, horizon=None) -> DataFrame:
                          "__dn": F.when(F.col("__d").isNotNull(), F.greatest(-F.col("__d"), F.lit(0.0)))})
     df = df.withColumnsRenamed({"__tr": "tr", "__up": "up", "__dn": "dn"}).drop("__d")
     df = ewm(df, {"atr": ("tr", A14), "sm_plus": ("plus_dm", A14), "sm_minus": ("minus_dm", A14),
-                  "gain": ("up", A14), "loss": ("dn", A14)}, horizon=horizon)
+                  "gain": ("up", A14), "loss": ("dn", A14)})
     rng = F.when(F.col("atr") > 0, F.col("atr"))
     df = df.withColumns({"plus_di_14": finite(100.0 * F.col("sm_plus") / rng),
                          "minus_di_14": finite(100.0 * F.col("sm_minus") / rng)})
     both = F.col("plus_di_14") + F.col("minus_di_14")
     df = df.withColumn("dx", 100.0 * F.abs(F.col("plus_di_14") - F.col("minus_di_14"))
                        / F.when(both > 0, both))
-    df = ewm(df, {"adx_14": ("dx", A14)}, hold=True, horizon=horizon)
+    df = ewm(df, {"adx_14": ("dx", A14)}, hold=True)
     rs = F.col("gain") / F.when(F.col("loss") != 0, F.col("loss"))
     return df.withColumns({"rsi_14": 100.0 - 100.0 / (1.0 + rs),
                            "atr_pct": finite(100.0 * F.col("atr") / price("close"))}
@@ -101,7 +101,7 @@ def _with_rs(p: DataFrame, benchmark: DataFrame | None) -> DataFrame:
 def stage1(bars: DataFrame, as_of=None, benchmark: DataFrame | None = None,
            actions: DataFrame | None = None, min_bars: int = 30, swing_window: int = 3,
            rel_volume: float = 2.0, move_atrs: float = 1.5, near_high: float = 95.0,
-           extended_atrs: float = 4.0, horizon: int | None = None) -> DataFrame:
+           extended_atrs: float = 4.0) -> DataFrame:
     """Features of every symbol at ``as_of``; NULL wherever a window is short."""
     src = bars if as_of is None else bars.where(F.col("session") <= F.lit(as_of).cast("date"))
     T = src.agg(F.max("idx")).scalar()
@@ -111,7 +111,7 @@ def stage1(bars: DataFrame, as_of=None, benchmark: DataFrame | None = None,
         p = p.join(unadjusted(src, actions, cutoff), "symbol", "left_anti")
     # joined before any window: the benchmark is calendar-sized and rides along
     p = _with_rs(p, benchmark).withColumn("ago", T - F.col("idx"))
-    p = smoothed(p, horizon)
+    p = smoothed(p)
     mid, sd = W.sma("close", 20), W.rolling(F.stddev_samp, "close", 20)
     p = p.withColumns({"mid": mid, "sd": sd, "swing": _swing_low(swing_window)})
     p = p.withColumn("width", 100.0 * 4.0 * F.col("sd") / price("mid"))
@@ -168,15 +168,14 @@ def stage1(bars: DataFrame, as_of=None, benchmark: DataFrame | None = None,
 
 def stage1_series(bars: DataFrame, benchmark: DataFrame | None = None, min_bars: int = 30,
                   swing_window: int = 3, rel_volume: float = 2.0, move_atrs: float = 1.5,
-                  near_high: float = 95.0, extended_atrs: float = 4.0,
-                  horizon: int | None = None) -> DataFrame:
+                  near_high: float = 95.0, extended_atrs: float = 4.0) -> DataFrame:
     """The same features at every traded session, point-in-time by frame.
 
     A pivot is only known ``swing_window`` sessions later, so the newest known
     one is carried from that far back.
     """
     p = bars.select("symbol", "session", "idx", "open", "high", "low", "close", "volume")
-    p = smoothed(_with_rs(p, benchmark), horizon)
+    p = smoothed(_with_rs(p, benchmark))
     p = p.withColumns({"bb_mid": W.sma("close", 20), "__sd": W.rolling(F.stddev_samp, "close", 20),
                        "__swing": F.struct("idx", _swing_low(swing_window).alias("level"))})
     p = p.withColumn("bb_width_pct", 100.0 * 4.0 * F.col("__sd") / price("bb_mid"))

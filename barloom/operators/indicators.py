@@ -13,7 +13,7 @@ from ..functions import frames as W
 from ..functions.ewm import ewm, span_alpha, wilder_alpha
 from ..functions.scalars import col, finite, ratio, truth
 
-TRADING_DAYS = 252
+SESSIONS_PER_YEAR = 252
 
 
 class IndicatorError(ValueError):
@@ -87,7 +87,7 @@ def compressed(df: DataFrame, width="bb_width_pct", q: float = 0.2, n: int = 120
 
 def return_std(n: int = 20, annualise: bool = False, c="ret") -> Column:
     sd = W.rolling(F.stddev_samp, c, n)
-    return sd * (TRADING_DAYS ** 0.5) if annualise else sd
+    return sd * (SESSIONS_PER_YEAR ** 0.5) if annualise else sd
 
 
 # ---- structure -----------------------------------------------------------

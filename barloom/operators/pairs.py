@@ -102,7 +102,7 @@ def pair_state(joint: DataFrame, window: int = WINDOW, min_obs: int = MIN_OBS) -
 
 
 def screen(states: DataFrame, fdr: float = 0.10, min_half: float = 2.0, max_half: float = 60.0, keys=()) -> DataFrame:
-    """Benjamini-Hochberg over all tested pairs, then the trading reasons."""
+    """Benjamini-Hochberg over all tested pairs, then the reasons to leave a pair out."""
     n = lambda *c: Window.partitionBy(*keys).orderBy(*c)  # noqa: E731  one row per pair
     tested = states.where("pvalue IS NOT NULL")
     m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
@@ -114,7 +114,7 @@ def screen(states: DataFrame, fdr: float = 0.10, min_half: float = 2.0, max_half
     out = d.unionByName(states.where("pvalue IS NULL").withColumns(
         {"qvalue": F.lit(None).cast("double"), "__ok": F.lit(False), "__k": F.lit(None).cast("int")}))
     reason = (F.when(F.col("beta").isNull(), "not estimable").when(F.col("pvalue").isNull(), "the cointegration test failed")
-              .when(F.col("half_life").isNull(), "the spread does not revert").when(F.col("half_life") < min_half, "reverts inside trading costs")
+              .when(F.col("half_life").isNull(), "the spread does not revert").when(F.col("half_life") < min_half, "reverts within the costs")
               .when(F.col("half_life") > max_half, "reverts too slowly").otherwise(""))
     return out.withColumn("reason", reason).withColumn("passes", F.col("__ok") & (F.col("reason") == "")).drop("__ok", "__k")
 

@@ -9,8 +9,6 @@ from ..schemas import require_columns
 
 # Fixed value: the mainstream cash-equity series.
 EQUITY_SERIES = ("EQ",)
-#: a century of days several times over; the most rows a calendar may have
-MAX_SESSIONS = 200_000
 
 
 class PanelError(ValueError):
@@ -31,13 +29,12 @@ def index_sessions(bars: DataFrame, sessions: DataFrame | None = None,
     """Attach the position of each session in the panel's own calendar.
 
     The calendar holds one row per session however many symbols trade, so it is
-    numbered in one task and broadcast. The bound is enforced: a "calendar" with
-    more than ``MAX_SESSIONS`` rows fails instead of being broadcast.
+    numbered in one task. How it is joined is left to the optimizer, which knows
+    its size.
     """
     cal = (sessions if sessions is not None else sessions_of(bars)).select("session")
     cal = cal.withColumn(at, F.row_number().over(Window.orderBy("session")) - 1)
-    fits = F.assert_true(F.col(at) < MAX_SESSIONS, F.lit("too many sessions for a calendar"))
-    return bars.join(F.broadcast(cal.where(fits.isNull())), "session")
+    return bars.join(cal, "session")
 
 
 def last_session(bars: DataFrame, as_of=None):
@@ -128,7 +125,7 @@ def coverage(bars: DataFrame, calendar: DataFrame | None, requested: int | None
                            F.lit(None).cast("long").alias("missing"),
                            F.lit(False).alias("calendar_checked"), short.alias("truncated"),
                            F.lit(False).alias("complete"))
-    asked = calendar.where("is_trading").select(F.col("day").alias("session"))
+    asked = calendar.where("is_session").select(F.col("day").alias("session"))
     marks = (asked.withColumn("due", F.lit(1)).join(have.withColumn("got", F.lit(1)), "session", "full")
              .select("session", "due", "got"))
     lo, hi = have.agg(F.min("session")).scalar(), have.agg(F.max("session")).scalar()
@@ -145,7 +142,7 @@ def coverage(bars: DataFrame, calendar: DataFrame | None, requested: int | None
 
 def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Expected minus present."""
-    due = calendar.where("is_trading").select(F.col("day").alias("session"))
+    due = calendar.where("is_session").select(F.col("day").alias("session"))
     return due.join(sessions_of(bars), "session", "left_anti")
 
 
@@ -219,10 +216,10 @@ def read_store(spark, path: str, schema=None) -> DataFrame:
 
 
 def freshness(bars: DataFrame, calendar: DataFrame, today) -> DataFrame:
-    """Latest stored session and how many trading sessions it lags ``today``."""
+    """Latest stored session and how many sessions it lags ``today``."""
     today = F.lit(today).cast("date")
     latest = bars.agg(F.max("session")).scalar()
-    due = calendar.where(F.col("is_trading") & (F.col("day") <= today))
+    due = calendar.where(F.col("is_session") & (F.col("day") <= today))
     return due.agg(F.max("day").alias("expected_session"),
                    F.greatest(F.count_if(F.col("day") >= latest) - 1, F.lit(0)).alias("sessions_behind")
                    ).withColumn("latest_session", latest)

@@ -109,7 +109,7 @@ def extreme_returns(df: DataFrame, actions: DataFrame, limit: float = MOVE_LIMIT
 def session_issues(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Sessions expected but absent (warn) and present but not expected (fatal)."""
     have = df.select("session").distinct()
-    due = calendar.where("is_trading").select(F.col("day").alias("session"))
+    due = calendar.where("is_session").select(F.col("day").alias("session"))
     return (due.join(have, "session", "left_anti").withColumn("severity", F.lit("warn"))
             .unionByName(have.join(due, "session", "left_anti").withColumn("severity", F.lit("fatal"))))
 

@@ -180,7 +180,6 @@ CATALOGUE = (
     ("supertrend_adx", ("range", "high_vol"), "audited", False),
     ("bollinger_rsi", ("trending_down", "crisis"), "audited", True),
     ("donchian_breakout", ("range",), "audited", True),
-    ("pairs_trading", ("crisis",), "draft", False),
     ("opening_range_breakout", ("range",), "draft", False),
     ("ml_classifier", ("crisis",), "draft", False),
 )

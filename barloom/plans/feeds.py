@@ -144,20 +144,22 @@ def sector_coverage(spark, sf):
 
 def subjects(spark, sf):
     """A subject line written from each order, in the exchange's wording."""
-    o, k = t.table(spark, sf, "orders"), F.col("o_orderkey") % 9
+    o, k = t.table(spark, sf, "orders"), F.col("o_orderkey") % 13
     a, b = F.col("o_custkey") % 8 + 2, F.col("o_custkey") % 3 + 1
     text = (F.when(k == 0, F.concat(F.lit("Face Value Split (Sub-Division) - From Rs "), a * 5, F.lit("/- Per Share To Rs "), b, F.lit("/- Per Share")))
             .when(k == 1, F.concat(F.lit("Bonus "), b, F.lit(":"), a)).when(k == 2, F.concat(F.lit("Interim Dividend - Rs "), a, F.lit(".50 Per Share")))
             .when(k == 3, F.concat(F.lit("Final Dividend - Rs 1,"), a, F.lit("00 Per Share And Special Dividend - Re "), b, F.lit(" Including Dividend Rs 3")))
             .when(k == 4, "Rights 1:4 @ Premium Rs 20/-").when(k == 5, F.lit("Annual General Meeting")).when(k == 6, F.concat(F.lit("Bonus "), b, F.lit(":"), a, F.lit(" / Stock Split From Rs "), a * 5, F.lit(" To Rs "), b))
-            .when(k == 7, F.lit("   ")).otherwise("Change Of Name"))
+            .when(k == 7, F.lit("   ")).when(k == 9, F.concat(F.lit("Bonus "), b, F.lit(":"), a, F.lit(" / Stock Split")))
+            .when(k == 10, F.concat(F.lit("Interim Dividend - Rs "), a, F.lit(" Per Share / Stock Split"))).when(k == 11, F.concat(F.lit("Face Value Split From Rs "), a * 5, F.lit(" To Rs "), b, F.lit(" And Bonus Debentures")))
+            .when(k == 12, F.concat(F.lit("Bonus Debentures / Rights "), b, F.lit(":"), a)).otherwise("Change Of Name"))
     return o.select("o_orderkey", F.concat(F.lit("C"), "o_custkey").alias("symbol"), F.when(F.col("o_orderkey") % 50 != 0, F.to_date("o_orderdate")).alias("ex_date"), text.alias("subject"))
 
 
-SUBJ = """SELECT o_orderkey, CASE WHEN k IN (0, 6) THEN 'split' WHEN k = 1 THEN 'bonus' WHEN k IN (2, 3) THEN 'dividend' END AS type, CASE k WHEN 0 THEN a * 5 / b WHEN 1 THEN (b + a) / a WHEN 6 THEN a * 5 / b * (b + a) / a WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 END AS factor,
-      CASE WHEN k IN (0, 1, 6) THEN 0.0 WHEN k = 2 THEN a + 0.5 WHEN k = 3 THEN 1000 + a * 100 + b END AS amount,
-      CASE k WHEN 4 THEN 'moves the price but is no single factor' WHEN 5 THEN 'not price-affecting' WHEN 7 THEN 'empty subject' WHEN 8 THEN 'unrecognised subject' END AS reason
-      FROM (SELECT o_orderkey, o_orderkey % 9 AS k, CAST(o_custkey % 8 + 2 AS DOUBLE) AS a, CAST(o_custkey % 3 + 1 AS DOUBLE) AS b FROM orders)"""
+SUBJ = """SELECT o_orderkey, CASE WHEN k IN (0, 6, 11) THEN 'split' WHEN k IN (1, 9) THEN 'bonus' WHEN k IN (2, 3, 10) THEN 'dividend' END AS type, CASE k WHEN 0 THEN a * 5 / b WHEN 11 THEN a * 5 / b WHEN 10 THEN 1.0 WHEN 9 THEN (b + a) / a WHEN 1 THEN (b + a) / a WHEN 6 THEN a * 5 / b * (b + a) / a WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 END AS factor,
+      CASE WHEN k IN (0, 1, 6, 9, 11) THEN 0.0 WHEN k = 10 THEN a WHEN k = 2 THEN a + 0.5 WHEN k = 3 THEN 1000 + a * 100 + b END AS amount,
+      CASE k WHEN 4 THEN 'moves the price but is no single factor' WHEN 12 THEN 'moves the price but is no single factor' WHEN 5 THEN 'not price-affecting' WHEN 7 THEN 'empty subject' WHEN 8 THEN 'unrecognised subject' END AS reason
+      FROM (SELECT o_orderkey, o_orderkey % 13 AS k, CAST(o_custkey % 8 + 2 AS DOUBLE) AS a, CAST(o_custkey % 3 + 1 AS DOUBLE) AS b FROM orders)"""
 
 
 @query("2.1.21 2.1.23 2.11.2", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 AND coalesce(reason, '') <> 'empty subject' THEN NULL ELSE type END AS type, {r('factor', 'factor')}, {r('amount', 'amount')},
@@ -176,7 +178,7 @@ def action_files(spark, sf):
     return dated(rounded(out.select("symbol", "ex_date", "type", "factor"), "factor"), "ex_date")
 
 
-@query("2.1.22", "SELECT 'C' || c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 IN (0, 1, 2, 3, 6) AND o_orderkey % 50 <> 0)")
+@query("2.1.22", "SELECT 'C' || c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 13 IN (0, 1, 2, 3, 6, 9, 10, 11) AND o_orderkey % 50 <> 0)")
 def symbols_without_actions(spark, sf):
     asked = t.table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"))
     return ca.without_file(asked, ca.actions(ca.parse_rows(subjects(spark, sf))))
@@ -318,47 +320,57 @@ def xbrl_skipped(spark, sf):
 
 
 def headlines(spark, sf):
-    """First line of each document as a headline, ordered by document id."""
+    """Every line of every document as a headline, numbered in the order of document and line."""
     d = t.table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("item_id"), F.split("text", "\n")[0].alias("title"), "source",
-                    F.expr("timestamp'2026-01-01' + make_dt_interval(0, 0, cast(doc_id as int))").alias("published_at"), (F.col("doc_id") % 4 + 1).cast("int").alias("tier"))
+    return d.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "title")).select(
+        (F.col("doc_id") * 1048576 + F.col("line")).alias("item_id"), "title", "source",
+        F.expr("timestamp'2026-01-01' + make_dt_interval(0, 0, cast(doc_id as int))").alias("published_at"), (F.col("doc_id") % 4 + 1).cast("int").alias("tier"))
 
 
-@query("2.1.29", """SELECT doc_id, trim(replace(replace(split_part(text, chr(10), 1), '<', ' '), '>', ' ')) AS title, strftime(TIMESTAMP '2026-01-01' + to_minutes(doc_id), '%Y-%m-%d %H:%M') AS published, CASE WHEN doc_id % 9 = 0 THEN 'no usable time' END AS caveat FROM documents
-      WHERE doc_id % 9 <> 0 UNION ALL SELECT doc_id, trim(replace(replace(split_part(text, chr(10), 1), '<', ' '), '>', ' ')), NULL, 'no usable time' FROM documents WHERE doc_id % 9 = 0""")
+HEAD = """hl AS (SELECT doc_id * 1048576 + k - 1 AS item_id, doc_id, source, lines[k] AS title
+      FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents))"""
+
+
+@query("2.1.29", sql("""SELECT item_id, trim(replace(replace(title, '<', ' '), '>', ' ')) AS title,
+      CASE WHEN item_id % 9 <> 0 THEN strftime(TIMESTAMP '2026-01-01' + to_minutes(doc_id), '%Y-%m-%d %H:%M') END AS published,
+      CASE WHEN trim(replace(replace(title, '<', ' '), '>', ' ')) = '' THEN 'no title' WHEN item_id % 9 = 0 THEN 'no usable time' END AS caveat FROM hl""", HEAD))
 def rss_ingest(spark, sf):
+    """Feeds of all lines; every other item has attributes, and ampersands come bare, named and as numbers."""
     h = headlines(spark, sf).withColumn("title", F.replace(F.replace("title", F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" ")))
-    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><link>"), F.col("item_id").cast("string"), F.lit("</link><pubDate>"),
+    written = F.when(F.col("item_id") % 3 == 0, F.replace("title", F.lit("&"), F.lit("&amp;"))).when(F.col("item_id") % 3 == 1, F.replace("title", F.lit("&"), F.lit("&#38;"))).otherwise(F.col("title"))
+    item = F.concat(F.when(F.col("item_id") % 2 == 0, F.lit("<item>")).otherwise(F.lit('<item id="1">')), F.lit("<title>"), written, F.lit("</title><link>"), F.col("item_id").cast("string"), F.lit("</link><pubDate>"),
                     F.when(F.col("item_id") % 9 == 0, "soon").otherwise(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss +0000")), F.lit("</pubDate><description>&lt;b&gt;x&lt;/b&gt; & y</description></item>"))
-    feed = h.groupBy("source", F.floor(F.col("item_id") / 64).alias("b")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
+    feed = h.groupBy("source", F.floor(F.col("item_id") / 1048576 / 64).alias("b")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
     p = news.parse_rss(feed.select("source", "body"))
-    return p.select(F.col("link").cast("long").alias("doc_id"), "title", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"), "caveat")
+    return p.select(F.col("link").cast("long").alias("item_id"), F.coalesce("title", F.lit("")).alias("title"), F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"), "caveat")
 
 
-NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("2.11.3", f"SELECT doc_id, {NORM} AS norm FROM documents")
+@query("2.11.3", sql(f"SELECT item_id, {NORM} AS norm FROM hl", HEAD))
 def headline_normalised(spark, sf):
-    return headlines(spark, sf).select(F.col("item_id").alias("doc_id"), news.normalise("title").alias("norm"))
+    return headlines(spark, sf).select("item_id", news.normalise("title").alias("norm"))
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in news.STOPWORDS) + "]"
 
 
-@query("2.11.4 2.11.5 2.11.6", f"""WITH tk AS (SELECT doc_id, list_distinct(list_filter(string_split({NORM}, ' '), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))) AS t FROM documents)
-      SELECT a.doc_id, len(a.t) AS tokens, {r('CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END', 'similarity')},
-        CAST(list_has_any(a.t, ['profit', 'gain', 'top', 'beat']) AND NOT list_has_any(a.t, ['loss', 'fall', 'down']) AS INTEGER) AS up FROM tk a JOIN tk b ON b.doc_id = a.doc_id + 1""")
+@query("2.11.4 2.11.5 2.11.6", sql(f"""SELECT a.item_id, len(a.t) AS tokens, {r('CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END', 'similarity')},
+        CAST(NOT (list_has_any(a.t, {list(news.UP)}) AND list_has_any(a.t, {list(news.DOWN)})) AND NOT (list_has_any(b.t, {list(news.UP)}) AND list_has_any(b.t, {list(news.DOWN)}))
+          AND (list_has_any(a.t, {list(news.UP)}) AND list_has_any(b.t, {list(news.DOWN)}) OR list_has_any(a.t, {list(news.DOWN)}) AND list_has_any(b.t, {list(news.UP)})) AS INTEGER) AS opposed
+      FROM tk a JOIN tk b ON b.item_id = a.item_id + 1""", HEAD,
+      f"tk AS (SELECT item_id, list_distinct(list_filter(string_split({NORM}, ' '), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))) AS t FROM hl)"))
 def headline_similarity(spark, sf):
+    """Each line beside the next line of its document: shared words, and whether one says up and the other down."""
     h = headlines(spark, sf).select("item_id", news.tokens("title").alias("t"))
     nxt = h.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
-    has = lambda *w: F.arrays_overlap("t", F.array(*[F.lit(x) for x in w]))
-    return h.join(nxt, "item_id").select(F.col("item_id").alias("doc_id"), F.size("t").cast("long").alias("tokens"), r6(news.jaccard(F.col("t"), F.col("u")), "similarity"),
-                                         (has("profit", "gain", "top", "beat") & ~has("loss", "fall", "down")).cast("int").alias("up"))
+    return h.join(nxt, "item_id").select("item_id", F.size("t").cast("long").alias("tokens"), r6(news.jaccard(F.col("t"), F.col("u")), "similarity"),
+                                         news.opposed(F.col("t"), F.col("u")).cast("int").alias("opposed"))
 
 
-@query("2.11.8", f"""SELECT norm, min(doc_id) AS item_id, count(*) AS items, min(doc_id % 4 + 1) AS tier, count(DISTINCT source) AS sources, CAST(CASE min(doc_id % 4 + 1) WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.35 ELSE 0.2 END AS DOUBLE) AS weight
-      FROM (SELECT *, {NORM} AS norm FROM documents) GROUP BY norm""")
+@query("2.11.8", sql("""SELECT norm, min(item_id) AS item_id, count(*) AS items, min(doc_id % 4 + 1) AS tier, count(DISTINCT source) AS sources, CAST(CASE min(doc_id % 4 + 1) WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.35 ELSE 0.2 END AS DOUBLE) AS weight
+      FROM (SELECT *, """ + NORM + """ AS norm FROM hl) GROUP BY norm""", HEAD))
 def story_groups(spark, sf):
     g = news.exact_groups(headlines(spark, sf))
     return g.select("norm", F.col("first.item_id").alias("item_id"), "items", F.col("tier").cast("long").alias("tier"), F.size("sources").cast("long").alias("sources"), news.weight("tier").alias("weight"))

@@ -116,8 +116,8 @@ def extreme_returns(spark, sf):
     return e.groupBy("severity").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("symbol").alias("symbols"))
 
 
-@query("2.2.8", sql(f"""SELECT {day('day', 'session')}, 'warn' AS severity FROM calendar WHERE is_trading AND day NOT IN (SELECT d FROM ods)
-      UNION ALL SELECT {day('d', 'session')}, 'fatal' FROM ods WHERE d NOT IN (SELECT day FROM calendar WHERE is_trading)""",
+@query("2.2.8", sql(f"""SELECT {day('day', 'session')}, 'warn' AS severity FROM calendar WHERE is_session AND day NOT IN (SELECT d FROM ods)
+      UNION ALL SELECT {day('d', 'session')}, 'fatal' FROM ods WHERE d NOT IN (SELECT day FROM calendar WHERE is_session)""",
       CALENDAR_SQL, "ods AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT')"))
 def session_gaps(spark, sf):
     o = t.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("session"))
@@ -211,20 +211,20 @@ def price_moving_events(spark, sf):
 
 
 HOL = "hol AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 350000)"
-DIM = """dim AS (SELECT day, is_trading, first_value(day) OVER nxt AS next_session FROM (SELECT day, is_trading AND day NOT IN (SELECT day FROM hol) AS is_trading FROM calendar) WINDOW nxt AS (ORDER BY day))"""
+DIM = """dim AS (SELECT day, is_session, first_value(day) OVER nxt AS next_session FROM (SELECT day, is_session AND day NOT IN (SELECT day FROM hol) AS is_session FROM calendar) WINDOW nxt AS (ORDER BY day))"""
 
 
-@query("2.2.23", sql(f"""SELECT {day('c.day', 'day')}, CAST(c.ok AS INTEGER) AS is_trading, strftime((SELECT min(day) FROM ok o WHERE o.day > c.day), '%Y-%m-%d') AS next_session,
+@query("2.2.23", sql(f"""SELECT {day('c.day', 'day')}, CAST(c.ok AS INTEGER) AS is_session, strftime((SELECT min(day) FROM ok o WHERE o.day > c.day), '%Y-%m-%d') AS next_session,
       strftime((SELECT max(day) FROM ok o WHERE o.day < c.day), '%Y-%m-%d') AS previous_session, (SELECT count(*) FROM ok o WHERE o.day <= c.day) AS session_no
-      FROM (SELECT day, is_trading AND day NOT IN (SELECT day FROM hol) AS ok FROM calendar) c""", CALENDAR_SQL, HOL,
-      "ok AS (SELECT day FROM calendar WHERE is_trading AND day NOT IN (SELECT day FROM hol))"))
+      FROM (SELECT day, is_session AND day NOT IN (SELECT day FROM hol) AS ok FROM calendar) c""", CALENDAR_SQL, HOL,
+      "ok AS (SELECT day FROM calendar WHERE is_session AND day NOT IN (SELECT day FROM hol))"))
 def calendar_dimension(spark, sf):
     hol = t.table(spark, sf, "orders").where("o_totalprice > 350000").select(F.to_date("o_orderdate").alias("day")).distinct()
     d = cal_src.dimension(weekday_calendar(spark, sf), hol)
-    return dated(d.withColumn("is_trading", F.col("is_trading").cast("int")), "day", "next_session", "previous_session")
+    return dated(d.withColumn("is_session", F.col("is_session").cast("int")), "day", "next_session", "previous_session")
 
 
-@query("2.2.23", sql("""SELECT event_id, CAST(is_trading AND hhmm >= '09:15' AND hhmm < '15:30' AS INTEGER) AS open FROM (SELECT event_id, dayofweek(ts) NOT IN (0, 6) AS is_trading,
+@query("2.2.23", sql("""SELECT event_id, CAST(is_session AND hhmm >= '09:15' AND hhmm < '15:30' AS INTEGER) AS open FROM (SELECT event_id, dayofweek(ts) NOT IN (0, 6) AS is_session,
       strftime(ts, '%H:%M') AS hhmm FROM events)"""))
 def open_at_time(spark, sf):
     e = t.table(spark, sf, "events").select("event_id", "ts")

@@ -90,7 +90,7 @@ def series_collapsed(spark, sf):
     return panel.collapsed_rows(t.series_bars(spark, sf))
 
 
-CALENDAR_SQL = """calendar AS (SELECT d AS day, dayofweek(d) NOT IN (0, 6) AS is_trading FROM (
+CALENDAR_SQL = """calendar AS (SELECT d AS day, dayofweek(d) NOT IN (0, 6) AS is_session FROM (
       SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM
         (SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders)))"""
 DAYS_SQL = """odays AS (SELECT CAST(o_orderdate AS DATE) AS session FROM orders
@@ -102,7 +102,7 @@ def weekday_calendar(spark, sf):
     span = t.table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate")).alias("lo"),
                                             F.to_date(F.max("o_orderdate")).alias("hi"))
     return (span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
-            .withColumn("is_trading", F.weekday("day") < 5))
+            .withColumn("is_session", F.weekday("day") < 5))
 
 
 def urgent_days(spark, sf):
@@ -113,8 +113,8 @@ def urgent_days(spark, sf):
 
 @query("2.1.9 2.10.7", sql(f"""SELECT {day('min(h.session)', 'start')}, {day('max(h.session)', 'end')},
       count(DISTINCT h.session) AS days_loaded,
-      (SELECT count(*) FROM calendar, lim WHERE is_trading AND day BETWEEN lo AND hi) AS sessions_expected,
-      (SELECT count(*) FROM calendar, lim WHERE is_trading AND day BETWEEN lo AND hi
+      (SELECT count(*) FROM calendar, lim WHERE is_session AND day BETWEEN lo AND hi) AS sessions_expected,
+      (SELECT count(*) FROM calendar, lim WHERE is_session AND day BETWEEN lo AND hi
          AND day NOT IN (SELECT session FROM odays)) AS missing,
       1 AS calendar_checked, 0 AS truncated, 0 AS complete FROM odays h""",
     CALENDAR_SQL, DAYS_SQL, "lim AS (SELECT min(session) AS lo, max(session) AS hi FROM odays)"))
@@ -124,7 +124,7 @@ def panel_coverage(spark, sf):
     return dated(c.withColumns({f: F.col(f).cast("int") for f in flags}), "start", "end")
 
 
-@query("2.1.32 2.10.7", sql(f"""SELECT {day('day', 'session')} FROM calendar, lim WHERE is_trading
+@query("2.1.32 2.10.7", sql(f"""SELECT {day('day', 'session')} FROM calendar, lim WHERE is_session
       AND day BETWEEN lo AND hi AND day NOT IN (SELECT session FROM odays)""",
     CALENDAR_SQL, DAYS_SQL, "lim AS (SELECT min(session) AS lo, max(session) AS hi FROM odays)"))
 def panel_missing_sessions(spark, sf):
@@ -160,8 +160,8 @@ def panel_full_matrix(spark, sf):
 
 
 @query("2.2.24", sql(f"""SELECT {day('max(o.session)', 'latest_session')},
-      (SELECT {day('max(day)', 'e').replace(' AS e', '')} FROM calendar WHERE is_trading AND day <= DATE '1998-07-31') AS expected_session,
-      (SELECT greatest(count(*) - 1, 0) FROM calendar WHERE is_trading AND day <= DATE '1998-07-31'
+      (SELECT {day('max(day)', 'e').replace(' AS e', '')} FROM calendar WHERE is_session AND day <= DATE '1998-07-31') AS expected_session,
+      (SELECT greatest(count(*) - 1, 0) FROM calendar WHERE is_session AND day <= DATE '1998-07-31'
           AND day >= (SELECT max(session) FROM odays)) AS sessions_behind FROM odays o""", CALENDAR_SQL, DAYS_SQL))
 def data_freshness(spark, sf):
     f = panel.freshness(urgent_days(spark, sf), weekday_calendar(spark, sf), "1998-07-31")

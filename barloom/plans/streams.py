@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import intraday as st
 from . import tables as t
-from .feeds import NORM
+from .feeds import HEAD, NORM
 from .indicators import show
 from .oracle import HOURS, day, r, sql
 from .registry import query
@@ -31,10 +31,10 @@ def stream_session_vwap(spark, sf):
     return show(st.run_once(st.session_vwap(ticks(spark, sf)), ["symbol", "session"]), "vwap", "size")
 
 
-@query("2.12.4", f"SELECT norm, count(*) AS kept FROM (SELECT DISTINCT {NORM} AS norm FROM documents) GROUP BY norm")
+@query("2.12.4", sql(f"SELECT norm, count(*) AS kept FROM (SELECT DISTINCT {NORM} AS norm FROM hl) GROUP BY norm", HEAD))
 def stream_distinct_stories(spark, sf):
     d = spark.readStream.schema(t.table(spark, sf, "documents").schema).parquet(f"{sf}/documents*.parquet")
-    items = d.select(F.split("text", "\n")[0].alias("title"), F.expr("timestamp'2026-01-01' + make_dt_interval(0, 0, 0, cast(doc_id as double) / 10)").alias("published_at"))
+    items = d.select(F.explode(F.split("text", "\n")).alias("title"), F.expr("timestamp'2026-01-01' + make_dt_interval(0, 0, 0, cast(doc_id as double) / 10)").alias("published_at"))
     return st.run_once(st.distinct_stories(items), mode="append").groupBy("norm").agg(F.count(F.lit(1)).alias("kept"))
 
 

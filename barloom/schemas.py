@@ -25,7 +25,7 @@ PERIOD = _st(period_start=T.DateType(), period_end=T.DateType(), months=I, conso
              revenue=D, profit_after_tax=D, eps_basic=D, paid_up_capital=D, face_value=D,
              profit_before_tax=D, finance_costs=D, depreciation=D, tax_expense=D)
 FILINGS = _st(symbol=S, disclosed_at=T.TimestampType(), nature=S, periods=T.ArrayType(PERIOD))
-CALENDAR = _st(day=T.DateType(), is_trading=T.BooleanType(), name=S)
+CALENDAR = _st(day=T.DateType(), is_session=T.BooleanType(), name=S)
 DECISION = _st(as_of=T.DateType(), recorded_at=T.TimestampType(), version=I, regime=S,
                trades=T.ArrayType(_st(symbol=S, entry=D, stop=D, target=D, qty=L)))
 OUTCOME = _st(decision_date=T.DateType(), symbol=S, status=S, exit_price=D,

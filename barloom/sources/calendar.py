@@ -1,4 +1,4 @@
-"""Trading calendar: holiday files, merged years, the session dimension."""
+"""Session calendar: holiday files, merged years, the session dimension."""
 
 from __future__ import annotations
 
@@ -16,16 +16,16 @@ class CalendarError(ValueError):
 
 
 def dimension(calendar: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
-    """Every day with its trading flag, neighbours and running session number.
+    """Every day with its session flag, neighbours and running session number.
 
     A calendar is a few thousand rows, so one ordered window over it is bounded.
     """
-    d = calendar.select("day", "is_trading")
+    d = calendar.select("day", "is_session")
     if holidays is not None:
         off = holidays.select("day", F.lit(True).alias("off")).distinct()
-        d = d.join(off, "day", "left").withColumn("is_trading", F.col("is_trading") & F.col("off").isNull()).drop("off")
+        d = d.join(off, "day", "left").withColumn("is_session", F.col("is_session") & F.col("off").isNull()).drop("off")
     w = Window.orderBy("day")
-    live = F.when(F.col("is_trading"), F.col("day"))
+    live = F.when(F.col("is_session"), F.col("day"))
     return d.withColumns({
         "next_session": F.first(live, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
         "previous_session": F.last(live, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -33,8 +33,8 @@ def dimension(calendar: DataFrame, holidays: DataFrame | None = None) -> DataFra
 
 
 def settlement(dim: DataFrame) -> DataFrame:
-    """Next-session settlement of each trading day."""
-    return dim.where("is_trading").select(F.col("day").alias("trade_day"), F.col("next_session").alias("settles_on"))
+    """Next-session settlement of each session."""
+    return dim.where("is_session").select(F.col("day").alias("trade_day"), F.col("next_session").alias("settles_on"))
 
 
 def sessions_between(dim: DataFrame, start, end) -> DataFrame:
@@ -43,12 +43,12 @@ def sessions_between(dim: DataFrame, start, end) -> DataFrame:
     years = dim.select(F.year("day").alias("y")).distinct().agg(F.collect_set("y")).scalar()
     need = F.sequence(F.year(start), F.year(end))
     guard = F.assert_true(F.size(F.array_except(need, years)) == 0, F.lit("the calendar has no data for that year"))
-    return dim.where(F.col("is_trading") & F.col("day").between(start, end)).where(guard.isNull())
+    return dim.where(F.col("is_session") & F.col("day").between(start, end)).where(guard.isNull())
 
 
-def is_open_at(ts, trading) -> Column:
+def is_open_at(ts, in_session) -> Column:
     hhmm = F.date_format(col(ts), "HH:mm")
-    return col(trading) & (hhmm >= OPEN) & (hhmm < CLOSE)
+    return col(in_session) & (hhmm >= OPEN) & (hhmm < CLOSE)
 
 
 def _clock(hour: Column, minute: Column, half: Column) -> Column:

@@ -45,8 +45,6 @@ def main() -> None:
     bench = cut_lineage(weekly.groupBy("session").agg(F.avg("close").alias("bench")))
     feats = cut_lineage(features.stage1(weekly, benchmark=bench).withColumn("session", F.lit("2001-06-01").cast("date")))
     acts = cut_lineage(gates.actions(spark, sf))
-    # both calendars are shorter than this many sessions, so smoothing needs no block split
-    horizon = 2600
     rows = dict(weekly=weekly.count(), daily=daily.count())
     filings = cut_lineage(tables.filings(spark, sf))
     grid = [dict(stop_pct=float(s), rr=2.0, hold=10) for s in (5, 10, 20, 40)]
@@ -54,13 +52,13 @@ def main() -> None:
     runs = {
         "build_weekly_bars": lambda: tables.bars(spark, sf, "week"),
         "history_load": lambda: panel.history(bars, "2001-06-01", lookback=215, columns=["open", "high", "low", "close", "volume"]),
-        "stage1_features": lambda: features.stage1(weekly, benchmark=bench, horizon=horizon),
-        "stage1_features_daily": lambda: features.stage1(daily, horizon=horizon),
+        "stage1_features": lambda: features.stage1(weekly, benchmark=bench),
+        "stage1_features_daily": lambda: features.stage1(daily),
         "stage2_ranking": lambda: ranking.stage2(feats, ranking.REVERSAL_FACTORS, flagged_only=False),
         "universe_quality": lambda: quality.check_panel(weekly, acts),
         "back_adjustment": lambda: quality.adjust(daily, acts),
         "indicator_set": lambda: indicators.adx(indicators.rsi(indicators.macd(
-            indicators.atr(weekly, horizon=horizon), horizon=horizon), horizon=horizon), horizon=horizon).withColumns(
+            indicators.atr(weekly)))).withColumns(
             {**indicators.bollinger(), **indicators.donchian(20), "k": indicators.stochastic_k()}),
         "outcome_sweep": lambda: outcomes.lattice(weekly, grid),
         "preset_signals": lambda: presets.signals(weekly, presets.RULES["donchian_breakout"]),

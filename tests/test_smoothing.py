@@ -29,7 +29,7 @@ def test_ewm_matches_pandas_across_blocks(panel, monkeypatch, span):
 
 
 def test_ewm_wilder_with_gaps(panel):
-    got = spread(ew.ewm(panel, {"y": ("close", 1 / 14)}, horizon=160), "y")
+    got = spread(ew.ewm(panel, {"y": ("close", 1 / 14)}), "y")
     want = dense(panel).ewm(alpha=1 / 14, adjust=False).mean().where(dense(panel).notna())
     np.testing.assert_allclose(got.to_numpy(), want.reindex(got.index).to_numpy(), rtol=1e-10)
 
@@ -71,3 +71,17 @@ def test_nothing_looks_ahead(panel):
     a = build(panel).where(F.col("idx") == cut).select("symbol", *cols).toPandas().sort_values("symbol").set_index("symbol")
     b = build(panel.where(F.col("idx") <= cut)).where(F.col("idx") == cut).select("symbol", *cols).toPandas().sort_values("symbol").set_index("symbol")
     pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+
+
+@pytest.mark.parametrize("span,hole", [(9, (1501, 2699)), (2, (100, 698)), (200, (300, 2300))])
+def test_long_gap_across_blocks(spark, span, hole):
+    n = 6000
+    x = 100 + np.cumsum(np.random.default_rng(1).normal(0, 1, n))
+    x[hole[0]:hole[1]] = np.nan
+    s = pd.Series(x)
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "A", "idx": np.flatnonzero(s.notna()).astype("int32"), "close": s.dropna()}))
+    a = 2 / (span + 1)
+    got = ew.ewm(df, {"y": ("close", a), "fast": ("close", 0.9)}).orderBy("idx").toPandas()
+    for name, alpha in (("y", a), ("fast", 0.9)):
+        want = s.ewm(alpha=alpha, adjust=False, ignore_na=False).mean()[s.notna()]
+        np.testing.assert_allclose(got[name].to_numpy(), want.to_numpy(), rtol=1e-9)

@@ -63,7 +63,13 @@ def test_assert_clean(spark, panel):
     ("Rights 1:4", (None, None, None, "moves the price but is no single factor")),
     ("Annual General Meeting", (None, None, None, "not price-affecting")),
     ("", (None, None, None, "empty subject")),
-    ("Bonus issue", (None, None, None, "bonus without a usable ratio")),
+    ("Bonus issue", (None, None, None, "unrecognised subject")),
+    ("Bonus 1:1 / Stock Split", ("bonus", 2.0, 0.0, None)),
+    ("Interim Dividend - Rs 5 Per Share / Stock Split", ("dividend", 1.0, 5.0, None)),
+    ("Face Value Split From Rs 10 To Rs 2 And Bonus Debentures", ("split", 5.0, 0.0, None)),
+    ("Bonus Debentures / Rights 1:15 @ Premium Rs 1247", (None, None, None, "moves the price but is no single factor")),
+    ("Face Value Split From Rs 2 To Rs 10", (None, None, None, "split without a usable ratio")),
+    ("Final Dividend Rs 20.50 Per Shar", ("dividend", 1.0, 20.5, None)),
 ])
 def test_subjects(spark, text, want):
     r = spark.createDataFrame([(text,)], "s string").select(ca.parse("s").alias("a")).first().a
@@ -78,7 +84,7 @@ def test_session_window(spark, text, want):
 
 
 def test_unloaded_year_is_refused(spark):
-    d = cal.dimension(spark.sql("select explode(sequence(date'2020-01-01', date'2020-12-31')) as day").withColumn("is_trading", F.weekday("day") < 5))
+    d = cal.dimension(spark.sql("select explode(sequence(date'2020-01-01', date'2020-12-31')) as day").withColumn("is_session", F.weekday("day") < 5))
     assert cal.sessions_between(d, "2020-03-02", "2020-03-06").count() == 5
     with pytest.raises(Exception, match="no data"):
         cal.sessions_between(d, "2020-12-28", "2021-01-05").collect()
