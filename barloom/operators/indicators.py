@@ -281,11 +281,11 @@ def with_benchmark(df: DataFrame, bench: DataFrame, fill: bool = False) -> DataF
     only shared sessions remain.
     """
     if not fill:
-        return df.join(F.broadcast(bench), "session")
+        return df.join(bench, "session")
     days = df.select("session").distinct().join(bench, "session", "left")
     carried = days.select("session", F.last("bench", ignorenulls=True).over(
         Window.orderBy("session").rowsBetween(Window.unboundedPreceding, 0)).alias("bench"))
-    return df.join(F.broadcast(carried), "session", "left")
+    return df.join(carried, "session", "left")
 
 
 def rs_line(c="close") -> Column:

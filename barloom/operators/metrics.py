@@ -45,7 +45,7 @@ def max_drawdown_r(trades: DataFrame, session: str = "exit_date", r: str = "r_mu
     day = day.withColumn("__off", F.coalesce(F.sum("__sum").over(past), F.lit(0.0)))
     day = day.withColumn("__high", F.greatest(F.lit(0.0), F.coalesce(
         F.max(F.col("__off") + F.col("__max")).over(past), F.lit(0.0))))
-    return (t.join(F.broadcast(day.select(session, "__off", "__high")), session)
+    return (t.join(day.select(session, "__off", "__high"), session)
             .agg(F.least(F.lit(0.0), F.min(F.col("__off") + F.col("__run") - F.greatest(
                 F.col("__high"), F.col("__off") + F.col("__top")))).alias("max_drawdown_r")))
 

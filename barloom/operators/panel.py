@@ -161,7 +161,7 @@ def rewindow(bars: DataFrame, as_of, lookback: int | None = None, symbols=None)
             .withColumn("__age", F.row_number().over(Window.orderBy(F.desc("session")))))
     if lookback is not None:
         days = days.where(F.col("__age") <= lookback)
-    out = bars.join(F.broadcast(days.select("session")), "session", "left_semi")
+    out = bars.join(days.select("session"), "session", "left_semi")
     return out if symbols is None else out.where(F.col("symbol").isin(list(symbols)))
 
 
@@ -181,7 +181,7 @@ def densify(bars: DataFrame, fields=("open", "high", "low", "close", "volume"))
     cells = spread.select("symbol", F.col("__at").alias("idx"), real.alias("traded"),
                           *[F.when(real, F.col(f)).alias(f) for f in fields])
     cal = bars.select("idx", "session").distinct()
-    return cells.join(F.broadcast(cal), "idx")
+    return cells.join(cal, "idx")
 
 
 def lead_in(bars: DataFrame, fields=("open", "high", "low", "close", "volume")) -> DataFrame:
@@ -190,7 +190,7 @@ def lead_in(bars: DataFrame, fields=("open", "high", "low", "close", "volume"))
     cells = first.select("symbol", F.explode(F.sequence(F.lit(0), F.col("__first") - 1)).alias("idx"))
     cal = bars.select("idx", "session").distinct()
     blank = {f: F.lit(None).cast("double") for f in fields}
-    return (cells.withColumns({"traded": F.lit(False), **blank}).join(F.broadcast(cal), "idx"))
+    return (cells.withColumns({"traded": F.lit(False), **blank}).join(cal, "idx"))
 
 
 def full_matrix(bars: DataFrame, fields=("open", "high", "low", "close", "volume")) -> DataFrame:

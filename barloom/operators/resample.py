@@ -70,7 +70,7 @@ def numbered(trades: DataFrame, session: str, *tie) -> DataFrame:
     w = Window.orderBy(session).rowsBetween(Window.unboundedPreceding, -1)
     off = per.select(session, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     inside = F.row_number().over(Window.partitionBy(session).orderBy(*tie))
-    return (trades.withColumn("__i", inside).join(F.broadcast(off), session)
+    return (trades.withColumn("__i", inside).join(off, session)
             .withColumn("pos", F.col("__off") + F.col("__i") - 1).drop("__off", "__i"))
 
 

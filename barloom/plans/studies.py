@@ -122,7 +122,7 @@ def confirmed(p, buffer=1.0, ratio=1.2):
 def volume_breakouts(spark, sf):
     p = weekly(spark, sf)
     g = rg.index_gate(p).where("gate").select("session")
-    return show(confirmed(p).where("hit").join(F.broadcast(g), "session", "left_semi"), "vr")
+    return show(confirmed(p).where("hit").join(g, "session", "left_semi"), "vr")
 
 
 @query("2.5.69", sql(f"""SELECT symbol, {r('quantile_cont(vr, 0.5)', 'median_ratio')}, {r('avg(CASE WHEN vr >= 1.2 THEN 1.0 ELSE 0 END)', 'over_12')}, {r('avg(CASE WHEN vr >= 2 THEN 1.0 ELSE 0 END)', 'over_20')}

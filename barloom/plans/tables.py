@@ -7,7 +7,7 @@ symbol holds, each map task ships at most one row per bar.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.panel import index_sessions
 
@@ -16,13 +16,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-ORDER_KEY = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-             "l_extendedprice")
+def _place() -> Column:
+    """Order of a line inside its session as one number: day, order, line, part.
+
+    A number of fixed width keeps the aggregation buffer fixed too, so bars are
+    hash aggregated and no raw row is sorted. The bounds (31 days, 2 ** 50
+    orders, 128 lines, 18 digits of part) are checked, not assumed.
+    """
+    day = F.datediff("l_shipdate", "session").cast("long")
+    fits = (day.between(0, 31) & F.col("l_orderkey").between(0, 2 ** 50 - 1) & F.col("l_linenumber").between(0, 127)
+            & F.col("l_partkey").between(0, 10 ** 18 - 1))
+    head = F.shiftleft(day, 57) + F.shiftleft(F.col("l_orderkey").cast("long"), 7) + F.col("l_linenumber").cast("long")
+    key = head.cast("decimal(19,0)") * F.lit(10 ** 18).cast("decimal(19,0)") + F.col("l_partkey").cast("decimal(18,0)")
+    return F.when(fits, key).otherwise(F.raise_error(F.lit("an order key beyond the packed range")).cast("decimal(38,0)"))
 
 
 def _bars(rows: DataFrame, keys: list[str]) -> DataFrame:
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    at = F.struct(*ORDER_KEY)
+    price, at = F.col("l_extendedprice") / F.col("l_quantity"), _place()
     return rows.groupBy(*keys).agg(
         F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.max_by(price, at).alias("close"), F.sum("l_quantity").alias("volume"),
