@@ -125,7 +125,8 @@ def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     digest = F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
     table, found = occurrences(docs, items, digest)
     hit = table.join(found.select("_row").distinct(), "_row", "left_semi").select(F.col("doc_id").alias("_h")).distinct()
-    return docs.withColumn("_d", digest).join(hit, F.col("_d") == F.col("_h"), "left_anti").drop("_d")
+    named = docs.select(F.struct("*").alias("_doc"), digest.alias("_d"))
+    return named.join(hit, F.col("_d") == F.col("_h"), "left_anti").select("_doc.*")
 
 
 SQL = f"""

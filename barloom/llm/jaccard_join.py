@@ -294,6 +294,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     per_text = ids.groupBy("h").agg(F.min("_i").alias("_i"))
     best = (per_text.join(text_classes(docs), "h").groupBy("class")
             .agg(F.min(F.struct(F.col("_i").isNull().alias("last"), F.col("_i"), F.col("h"))).alias("m")).select(F.col("m._i").alias("_i"), F.col("m.h").alias("_h")))
-    named = docs.withColumn("_k", h)
-    met = named.join(best, (F.col("_k") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_i")))
-    return met.dropDuplicates(["_k"]).select(*[f"`{c}`" for c in docs.columns])
+    named = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), h.alias("_k"))
+    met = named.join(best, (F.col("_k") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")))
+    return met.dropDuplicates(["_k"]).select("_doc.*")

@@ -253,6 +253,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A document that held nothing else before (null, empty or blank) stays as it is.
     """
-    met = _joined(docs)
+    met = _joined(docs.select(F.struct("*").alias("_doc"), "doc_id", "text"))
     emptied = F.coalesce(F.size("drops") > 0, F.lit(False)) & (F.trim(F.regexp_replace("_left", r"\s+", " ")) == "")
-    return met.where(~emptied).select(*[F.col("_left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return met.where(~emptied).select(*[F.col("_left").alias("text") if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -17,8 +17,8 @@ from barloom.llm.quality import THRESHOLD, fit, quality_scores
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality_scores(docs, fit(docs, read(spark, sf_dir, "labels")))
-    return scored.where(F.col("quality_score") >= THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
+    scored = quality_scores(docs.select(F.struct("*").alias("doc"), "text"), fit(docs, read(spark, sf_dir, "labels")))
+    return scored.where(F.col("quality_score") >= THRESHOLD).select("doc.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
