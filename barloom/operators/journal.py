@@ -12,9 +12,8 @@ class JournalError(ValueError):
 
 
 def digest(*cols) -> Column:
-    """Sixteen hex characters over the named fields in name order."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(cols)]
-    return F.substring(F.sha2(F.concat_ws(";", *parts), 256), 1, 16)
+    """Sixteen hex characters over the named fields as JSON in name order, so no text can pass for two fields."""
+    return F.substring(F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
 def latest_versions(decisions: DataFrame, key: str, version: str = "version") -> DataFrame:

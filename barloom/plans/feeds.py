@@ -297,7 +297,9 @@ def xbrl_docs(spark, sf):
     nature = F.when(F.col("nature") == "consolidated", "Consolidated").otherwise("Standalone")
     xml = F.concat(F.lit('<?xml version="1.0"?><xbrli:xbrl><xbrli:context id="OneD"><xbrli:period><xbrli:startDate>1990-01-01</xbrli:startDate></xbrli:period></xbrli:context>\n'),
                    el("DateOfStartOfReportingPeriod", "period_start"), el("DateOfEndOfReportingPeriod", "period_end"), el("NatureOfReportStandaloneConsolidated", nature),
-                   el("RevenueFromOperations", "revenue"), el("ProfitLossForPeriod", "profit_after_tax"), el("TaxExpense", "tax_expense"), el("SegmentRevenue", "revenue", "Seg1"), F.lit("</xbrli:xbrl>"))
+                   el("TaxExpense", F.lit(-1.0)), el("RevenueFromOperations", "revenue"), el("BasicEarningsLossPerShareFromContinuingAndDiscontinuedOperations", "eps_basic"),
+                   F.concat(F.lit("<in-fin:FinanceCosts decimals='-5' contextRef='OneD'>"), F.col("finance_costs").cast("string"), F.lit("</in-fin:FinanceCosts>")),
+                   el("WhetherResultsAreAuditedOrUnaudited", F.when(F.col("nature") == "consolidated", "Audited").otherwise("Unaudited")), el("ProfitLossForPeriod", "profit_after_tax"), el("TaxExpense", "tax_expense"), el("SegmentRevenue", "revenue", "Seg1"), F.lit("</xbrli:xbrl>"))
     return f.select(F.concat_ws("/", "symbol", "period_start", "nature").alias("doc"), xml.alias("xml"))
 
 
@@ -305,13 +307,14 @@ from .fundamental import FIL, M  # noqa: E402
 
 
 @query("2.1.28 2.11.11 2.11.13 2.11.16", sql(f"""SELECT symbol || '/' || strftime(period_start, '%Y-%m-%d') || '/' || nature AS doc, {day('period_start', 'period_start')}, {day('period_end', 'period_end')}, 3 AS months, CAST(nature = 'consolidated' AS INTEGER) AS consolidated,
-      {r('revenue', 'revenue')}, {r('profit_after_tax', 'profit_after_tax')}, {r('tax_expense', 'tax_fact')}, {r(M('profit_after_tax', 'revenue'), 'net_margin_pct')} FROM filings WHERE nature <> 'unknown'""", FIL))
+      {r('revenue', 'revenue')}, {r('profit_after_tax', 'profit_after_tax')}, {r('tax_expense', 'tax_fact')}, {r(M('profit_after_tax', 'revenue'), 'net_margin_pct')}, {r('eps_basic', 'eps_basic')}, {r('finance_costs', 'finance_costs')}, CAST(nature = 'consolidated' AS INTEGER) AS audited FROM filings WHERE nature <> 'unknown'""", FIL))
 def xbrl_ingest(spark, sf):
     from ..operators.fundamentals import net_margin
     p = rs_.xbrl_periods(rs_.xbrl_facts(xbrl_docs(spark, sf), "doc", "xml"), "doc")
     p = p.select("doc", "period_start", "period_end", "months", F.col("consolidated").cast("int").alias("consolidated"), "revenue", "profit_after_tax",
-                 F.try_element_at("facts", F.lit("TaxExpense")).alias("tax_fact"), net_margin("profit_after_tax", "revenue").alias("net_margin_pct"))
-    return dated(rounded(p, "revenue", "profit_after_tax", "tax_fact", "net_margin_pct"), "period_start", "period_end")
+                 F.try_element_at("facts", F.lit("TaxExpense")).alias("tax_fact"), net_margin("profit_after_tax", "revenue").alias("net_margin_pct"),
+                 "eps_basic", "finance_costs", F.col("audited").cast("int").alias("audited"))
+    return dated(rounded(p, "revenue", "profit_after_tax", "tax_fact", "net_margin_pct", "eps_basic", "finance_costs"), "period_start", "period_end")
 
 
 @query("2.1.28", sql("SELECT symbol || '/' || strftime(period_start, '%Y-%m-%d') || '/' || nature AS doc, 1 AS skipped FROM filings WHERE nature <> 'unknown'", FIL))

@@ -279,20 +279,20 @@ def proposal_errors(spark, sf):
 # ---- journal -------------------------------------------------------------
 
 @query("2.6.29", sql("""SELECT conv_id, max(turn) AS version, count(*) AS versions, arg_max(role, turn) AS role,
-      arg_max(substr(sha256('role=' || role || ';text=' || text || ';turn=' || turn), 1, 16), turn) AS digest FROM conversations GROUP BY conv_id"""))
+      arg_max(substr(sha256(CAST(to_json({'role': role, 'text': text, 'turn': turn}) AS VARCHAR)), 1, 16), turn) AS digest FROM conversations GROUP BY conv_id"""))
 def decision_versions(spark, sf):
     c = t.table(spark, sf, "conversations").withColumn("digest", journal.digest("turn", "role", "text"))
     c = c.withColumnRenamed("turn", "version")
     return journal.latest_versions(c, "conv_id").select("conv_id", "version", "versions", "role", "digest")
 
 
-@query("2.6.30 2.11.15", sql("""SELECT o_orderkey, substr(sha256('o_custkey=' || o_custkey || ';o_orderkey=' || o_orderkey || ';o_orderstatus=' || o_orderstatus), 1, 16) AS digest FROM orders"""))
+@query("2.6.30 2.11.15", sql("""SELECT o_orderkey, substr(sha256(CAST(to_json({'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}) AS VARCHAR)), 1, 16) AS digest FROM orders"""))
 def content_digest(spark, sf):
     return t.table(spark, sf, "orders").select("o_orderkey", journal.digest("o_orderkey", "o_custkey", "o_orderstatus").alias("digest"))
 
 
 @query("2.6.40", sql("""SELECT conv_id, turn AS version, role, CAST(NULL AS VARCHAR) AS replaces FROM conversations UNION ALL
-      SELECT conv_id, max(turn) + 1, 'amended', arg_max(substr(sha256('role=' || role || ';turn=' || turn), 1, 16), turn)
+      SELECT conv_id, max(turn) + 1, 'amended', arg_max(substr(sha256(CAST(to_json({'role': role, 'turn': turn}) AS VARCHAR)), 1, 16), turn)
       FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id"""))
 def amended_decisions(spark, sf):
     c = t.table(spark, sf, "conversations").withColumn("digest", journal.digest("turn", "role")).select(

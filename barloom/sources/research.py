@@ -10,7 +10,10 @@ from ..functions.scalars import as_double, as_text, first_timestamp
 # figures, and the fields of each payload kind with their time fields by preference.
 FORMATS = ("dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd-MMM-yyyy HH:mm", "dd-MMM-yyyy", "yyyy-MM-dd")
 TAGS = {"revenue": "RevenueFromOperations", "other_income": "OtherIncome", "total_income": "Income", "expenses": "Expenses",
-        "profit_before_tax": "ProfitBeforeTax", "tax_expense": "TaxExpense", "profit_after_tax": "ProfitLossForPeriod"}
+        "profit_before_tax": "ProfitBeforeTax", "tax_expense": "TaxExpense", "profit_after_tax": "ProfitLossForPeriod",
+        "eps_basic": "BasicEarningsLossPerShareFromContinuingAndDiscontinuedOperations", "eps_diluted": "DilutedEarningsLossPerShareFromContinuingAndDiscontinuedOperations",
+        "face_value": "FaceValueOfEquityShareCapital", "paid_up_capital": "PaidUpValueOfEquityShareCapital", "finance_costs": "FinanceCosts",
+        "depreciation": "DepreciationDepletionAndAmortisationExpense", "employee_cost": "EmployeeBenefitExpense"}
 PERIOD_START, PERIOD_END = "DateOfStartOfReportingPeriod", "DateOfEndOfReportingPeriod"
 KINDS = {
     "result": (("symbol", "audited", "consolidated", "broadCastDate", "exchdisstime", "filingDate", "fromDate", "toDate", "period", "xbrl", "isin"),
@@ -86,7 +89,7 @@ def xbrl_facts(docs: DataFrame, key: str, xml: str) -> DataFrame:
     Facts are elements with a contextRef and text; one expression pulls them out
     of the document text, so the walk stays in the JVM.
     """
-    element = r"<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)\s[^>]*?contextRef=\"([^\"]+)\"[^>]*>([^<]+)<"
+    element = r"<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)\s[^>]*?contextRef=[\"']([^\"']+)[\"'][^>]*>([^<]+)<"
     pull = lambda g: F.regexp_extract_all(xml, F.lit(element), F.lit(g))
     z = F.arrays_zip(pull(1).alias("tag"), pull(2).alias("ctx"), pull(3).alias("text"))
     return (docs.select(key, F.posexplode(z).alias("pos", "f")).select(key, "pos", "f.ctx", "f.tag", F.trim("f.text").alias("text"))
@@ -95,18 +98,23 @@ def xbrl_facts(docs: DataFrame, key: str, xml: str) -> DataFrame:
 
 def xbrl_periods(facts: DataFrame, key: str) -> DataFrame:
     """One row per reporting context: dates from its own facts, named figures and
-    the full tag-to-number map. Contexts without a reporting period are breakdowns
-    and are left out; ``skipped_contexts`` counts them."""
+    the full tag-to-number map. A fact that is stated again in its context counts
+    with its last text. Contexts without a reporting period are breakdowns and are
+    left out; ``skipped_contexts`` counts them."""
     num = F.col("text").try_cast("double")
+    last = facts.groupBy(key, "ctx", "tag").agg(F.max("pos").alias("pos"))
+    facts = facts.join(last, [key, "ctx", "tag", "pos"], "left_semi")
     g = facts.groupBy(key, "ctx").agg(
         F.max_by("text", F.when(F.col("tag") == PERIOD_START, F.col("pos"))).alias("s"), F.max_by("text", F.when(F.col("tag") == PERIOD_END, F.col("pos"))).alias("e"),
         F.max_by("text", F.when(F.col("tag") == "NatureOfReportStandaloneConsolidated", F.col("pos"))).alias("nature"),
+        F.max_by("text", F.when(F.col("tag") == "WhetherResultsAreAuditedOrUnaudited", F.col("pos"))).alias("status"),
         *[F.max_by(num, F.when(F.col("tag") == tag, F.col("pos"))).alias(n) for n, tag in TAGS.items()],
         F.map_from_entries(F.array_compact(F.collect_set(F.when(num.isNotNull(), F.struct("tag", num.alias("v")))))).alias("facts"))
     g = g.withColumns({"period_start": F.try_to_timestamp("s", F.lit("yyyy-MM-dd")).cast("date"), "period_end": F.try_to_timestamp("e", F.lit("yyyy-MM-dd")).cast("date")})
     ok = g.where(F.col("period_end") >= F.col("period_start"))
     return ok.withColumns({"months": months("period_start", "period_end"),
-                           "consolidated": tri_state("nature", "Consolidated", "Standalone")}).drop("s", "e", "nature")
+                           "consolidated": tri_state("nature", "Consolidated", "Standalone"),
+                           "audited": tri_state("status", "Audited", "Unaudited")}).drop("s", "e", "nature", "status")
 
 
 def skipped_contexts(facts: DataFrame, key: str) -> DataFrame:
