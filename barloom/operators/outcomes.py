@@ -170,13 +170,13 @@ def simulate(signals: DataFrame, bars: DataFrame, horizon: int = 5, min_risk_pct
         F.max(F.when(c.isNotNull(), F.struct("n", "session", "close"))).alias("last"))
     e = F.col("first.open")
     risk_pct = 100.0 * (e - stop) / F.when(e > 0, e)
-    refused = (F.when(F.coalesce(F.col("qty"), F.lit(0)) <= 0, "quantity was zero")
-               .when(F.col("first.session").isNull(), "no session after the decision date")
-               .when(~truth(e > 0), "no usable open on the entry session")
-               .when(e - stop < TICK - 1e-9, "gapped to within a tick of the stop")
+    refused = (F.when(F.coalesce(F.col("qty"), F.lit(0)) <= 0, "nothing to buy")
+               .when(F.col("first.session").isNull(), "no later session")
+               .when(~truth(e > 0), "no opening price")
+               .when(e - stop < TICK - 1e-9, "opened at the stop")
                .when(truth(risk_pct < min_risk_pct) if min_risk_pct is not None else F.lit(False),
-                     "risk under the slippage floor")
-               .when(truth(e >= target), "gapped past the target before entry"))
+                     "risk too small for its slippage")
+               .when(truth(e >= target), "opened beyond the target"))
     taken = F.col("refused").isNull()
     g = g.withColumn("refused", refused)
     return g.select(

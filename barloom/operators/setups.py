@@ -254,12 +254,12 @@ def proposal_errors() -> Column:
     def odd(c):
         return truth(F.isnan(c) | (F.abs(c) == float("inf")))
     rules = [
-        (truth(F.aggregate("fractions", F.lit(0.0), lambda a, x: a + x) > 1.0 + 1e-9), "partial exits exceed the position"),
-        *[(odd(F.col(c)), f"{c} is not a finite number") for c in ("entry", "stop", "target")],
-        (truth((d > 0) & (s >= e)), "long setup has stop at or above entry"),
-        (truth((d < 0) & (s <= e)), "short setup has stop at or below entry"),
-        (truth((d > 0) & (t <= e)), "long setup has target at or below entry"),
-        (truth((d < 0) & (t >= e)), "short setup has target at or above entry")]
+        (truth(F.aggregate("fractions", F.lit(0.0), lambda a, x: a + x) > 1.0 + 1e-9), "fractions over one"),
+        *[(odd(F.col(c)), f"{c} not finite") for c in ("entry", "stop", "target")],
+        (truth((d > 0) & (s >= e)), "stop not below a long entry"),
+        (truth((d < 0) & (s <= e)), "stop not above a short entry"),
+        (truth((d > 0) & (t <= e)), "target not above a long entry"),
+        (truth((d < 0) & (t >= e)), "target not below a short entry")]
     return F.array_distinct(F.array_compact(F.array(*[F.when(p, F.lit(m)) for p, m in rules])))
 
 

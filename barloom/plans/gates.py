@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import as_double, as_text, r6
+from ..operators.events import MOVING_WORDS
 from ..operators import features as ft, quality as ql
 from ..sources import calendar as cal_src, symbols as sym
 from . import tables as t
@@ -200,8 +201,7 @@ def absent_values(spark, sf):
     return o.select("o_orderkey", as_text(words).alias("txt"), r6(as_double(nums), "num"))
 
 
-PRICE_WORDS = ("result|financial|earning|dividend|bonus|split|buyback|buy back|rights|merger|amalgamat|demerger"
-               "|fund rais|fundrais|preferential|stock option")
+PRICE_WORDS = "|".join(MOVING_WORDS)
 
 
 @query("2.2.18", f"""SELECT doc_id, CAST(regexp_matches(lower(source || ' ' || text), '{PRICE_WORDS}') AS INTEGER) AS moving FROM documents""")

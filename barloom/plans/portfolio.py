@@ -262,9 +262,9 @@ def position_trade_metrics(spark, sf):
 
 
 @query("2.2.20", sql(f"""SELECT symbol, {day('session')}, stance, list_sort(list_distinct(list_filter([
-       CASE WHEN list_sum(fr) > 1 + 1e-9 THEN 'partial exits exceed the position' END,
-       CASE WHEN d > 0 AND low >= open THEN 'long setup has stop at or above entry' END, CASE WHEN d < 0 AND low <= open THEN 'short setup has stop at or below entry' END,
-       CASE WHEN d > 0 AND high <= open THEN 'long setup has target at or below entry' END, CASE WHEN d < 0 AND high >= open THEN 'short setup has target at or above entry' END],
+       CASE WHEN list_sum(fr) > 1 + 1e-9 THEN 'fractions over one' END,
+       CASE WHEN d > 0 AND low >= open THEN 'stop not below a long entry' END, CASE WHEN d < 0 AND low <= open THEN 'stop not above a short entry' END,
+       CASE WHEN d > 0 AND high <= open THEN 'target not above a long entry' END, CASE WHEN d < 0 AND high >= open THEN 'target not below a short entry' END],
        lambda x: x IS NOT NULL))) AS errors FROM (SELECT *, [0.5, CASE WHEN trades % 3 = 0 THEN 0.6 ELSE 0.5 END] AS fr,
          CASE stance WHEN 'Buy' THEN 1 WHEN 'Sell' THEN -1 ELSE 0 END AS d FROM (SELECT *, CASE trades % 4 WHEN 0 THEN 'Buy' WHEN 1 THEN 'Sell' WHEN 2 THEN 'Hold' ELSE 'REVIEW' END AS stance FROM bars0))""", supp()))
 def proposal_errors(spark, sf):

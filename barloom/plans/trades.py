@@ -207,7 +207,7 @@ SIG_SQL = f"""sigs AS (SELECT symbol || '@' || idx AS sid, symbol, session AS de
 def sim_sql(sigs="sigs", horizon=5, level=None, floor=None, out="sim", src="bars0") -> list[str]:
     lvl = f"WHEN f.close < f.{level} THEN 'strategy_exit'" if level else ""
     lvp = f"WHEN f.close < f.{level} THEN f.close" if level else ""
-    flr = f"WHEN 100 * (e.open - s.stop) / e.open < {floor} THEN 'risk under the slippage floor'" if floor else ""
+    flr = f"WHEN 100 * (e.open - s.stop) / e.open < {floor} THEN 'risk too small for its slippage'" if floor else ""
     return [
         f"pb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session) AS pos FROM {src})",
         f"ep AS (SELECT s.sid, min(b.pos) AS p0 FROM {sigs} s JOIN pb b ON b.symbol = s.symbol AND b.session > s.decided_on GROUP BY s.sid)",
@@ -218,10 +218,10 @@ def sim_sql(sigs="sigs", horizon=5, level=None, floor=None, out="sim", src="bars
                 WHEN f.low <= s.stop THEN s.stop WHEN f.high >= s.target THEN s.target {lvp} END AS px
             FROM {sigs} s JOIN ep USING (sid) JOIN pb f ON f.symbol = s.symbol AND f.pos BETWEEN p0 AND p0 + {horizon - 1})""",
         "fh AS (SELECT sid, min(n) FILTER (ev IS NOT NULL) AS hn, max(n) AS ln FROM st GROUP BY sid)",
-        f"""{out} AS (SELECT s.*, CASE WHEN s.qty <= 0 THEN 'quantity was zero' WHEN e.sid IS NULL THEN 'no session after the decision date'
-              WHEN NOT coalesce(e.open > 0, false) THEN 'no usable open on the entry session'
-              WHEN e.open - s.stop < 0.01 - 1e-9 THEN 'gapped to within a tick of the stop' {flr}
-              WHEN e.open >= s.target THEN 'gapped past the target before entry' END AS refused,
+        f"""{out} AS (SELECT s.*, CASE WHEN s.qty <= 0 THEN 'nothing to buy' WHEN e.sid IS NULL THEN 'no later session'
+              WHEN NOT coalesce(e.open > 0, false) THEN 'no opening price'
+              WHEN e.open - s.stop < 0.01 - 1e-9 THEN 'opened at the stop' {flr}
+              WHEN e.open >= s.target THEN 'opened beyond the target' END AS refused,
               e.session AS entry_date, e.open AS entry_price, x.session AS exit_date,
               CASE WHEN hn IS NULL THEN x.close ELSE x.px END AS exit_price,
               CASE WHEN hn IS NULL THEN 'time' WHEN x.ev = 'both' THEN 'stop' ELSE replace(x.ev, 'gap_', '') END AS exit_reason,

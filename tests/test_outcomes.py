@@ -86,11 +86,11 @@ def test_simulated_exit(spark, bars, day, stop, target, horizon, want):
 
 
 @pytest.mark.parametrize("day,stop,target,qty,floor,want", [
-    ("2020-01-01", 9.0, 12.0, 0, None, "quantity was zero"),
-    ("2020-01-07", 9.0, 12.0, 1, None, "no session after the decision date"),
-    ("2020-01-01", 9.995, 12.0, 1, None, "gapped to within a tick of the stop"),
-    ("2020-01-01", 9.0, 9.9, 1, None, "gapped past the target before entry"),
-    ("2020-01-01", 9.8, 12.0, 1, 5.0, "risk under the slippage floor"),
+    ("2020-01-01", 9.0, 12.0, 0, None, "nothing to buy"),
+    ("2020-01-07", 9.0, 12.0, 1, None, "no later session"),
+    ("2020-01-01", 9.995, 12.0, 1, None, "opened at the stop"),
+    ("2020-01-01", 9.0, 9.9, 1, None, "opened beyond the target"),
+    ("2020-01-01", 9.8, 12.0, 1, 5.0, "risk too small for its slippage"),
 ])
 def test_refusals(spark, bars, day, stop, target, qty, floor, want):
     r = oc.simulate(signal(spark, "x", day, stop, target, qty), bars, 5, min_risk_pct=floor).first()
