@@ -211,7 +211,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     order of doc_id (null last), text digest and position. ``row`` is made of
     doc_id and the text's digest: repeated rows are treated alike.
     """
-    lines = (docs.select(_row_key().alias("row"), F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "s"))
+    named = docs.select(_row_key().alias("row"), F.col("doc_id").cast("long").alias("doc"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("all"))
+    lines = (named.select("row", "doc", F.posexplode("all").alias("pos", "s"))  # the text's digest once, not once a line
              .where(F.length("s") >= LEAST).select("row", "doc", "pos", digest(F.col("s")).alias("m")))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "pos")
     each = lines.groupBy("m").agg(F.min(place).alias("first"), F.count("*").alias("n"))
