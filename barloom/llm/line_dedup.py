@@ -115,8 +115,8 @@ def _lines(text: str | None) -> list[str]:
     return [s for s in text.split("\n") if len(s) >= LEAST] if text else []
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """Rows (probe, key, line, bits) of all lines: what each puts into the index and what it asks for."""
+def _keys(docs: DataFrame, probing: bool) -> DataFrame:
+    """Rows (key, line, bits) of all lines: what each asks for, or what it puts into the index."""
     asked: dict[int, list] = {}
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,23 +133,23 @@ def _keys(docs: DataFrame) -> DataFrame:
                             lines.append(s)
                 if len(seen) > SEEN:
                     seen.clear()
-                probe, keys, who = [], [], []
+                keys, who = [], []
                 for r, s in enumerate(lines):
                     n = len(s)
                     if n not in asked:
                         if len(asked) > 10_000:
                             asked.clear()
-                        asked[n] = [(False, n * 4 + i, p, p + size) for i, (p, size) in enumerate(segments(n))] + [(True, m * 4 + i, p, p + size) for m, i, p, size in probes(n)]
-                    for role, seed, p, q in asked[n]:
-                        probe.append(role)
+                        own = [(n, i, p, size) for i, (p, size) in enumerate(segments(n))]
+                        asked[n] = [(m * 4 + i, p, p + size) for m, i, p, size in (probes(n) if probing else own)]
+                    for seed, p, q in asked[n]:
                         keys.append(xxhash.xxh64_intdigest(s[p:q].encode("utf-8", "surrogatepass"), seed=seed))
                         who.append(r)
                 who = np.array(who, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(probe, pa.bool_()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)[who]),
-                     pa.array(parities(lines)[who])], names=["probe", "key", "line", "bits"])
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)[who]),
+                     pa.array(parities(lines)[who])], names=["key", "line", "bits"])
 
-    return docs.select("text").mapInArrow(made, "probe boolean, key long, line long, bits long")
+    return docs.select("text").mapInArrow(made, "key long, line long, bits long")
 
 
 def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -179,9 +179,8 @@ def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame) -> DataFrame:
     """(m, root): the digest of each line that has another line within two edits, and the number of its class."""
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    keys = _keys(docs)
-    index = keys.where("NOT probe").groupBy("key", "line").agg(F.max("bits").alias("bits"))
-    asked = keys.where("probe").select("key", F.col("line").alias("line2"), F.col("bits").alias("bits2"))
+    index = _keys(docs, False).groupBy("key", "line").agg(F.max("bits").alias("bits"))
+    asked = _keys(docs, True).select("key", F.col("line").alias("line2"), F.col("bits").alias("bits2"))
     near = (F.col("line") != F.col("line2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= 4 * EDITS)
     met = asked.join(index, "key").where(near).select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
     met = cut_lineage(met)
