@@ -230,11 +230,12 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 for t in texts:
                     tokens = t.split()
                     tokens.append(b"")
-                    found = [known[w] for w in tokens if w in known]
+                    value = list(map(known.get, tokens))
+                    missed = [w for w, v in zip(tokens, value) if v is None]
                     total.append(len(tokens))
-                    hits.append(len(found))
-                    sums.append(sum(found))
-                    rare.append(list(Counter(w for w in tokens if w not in known).items()) if len(found) < len(tokens) else [])
+                    hits.append(len(tokens) - len(missed))
+                    sums.append(sum(filter(None, value)))  # no word has the value 0
+                    rare.append(list(Counter(missed).items()))
                 ids = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([held_out(d) for d in ids]), pa.array(total, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()),
