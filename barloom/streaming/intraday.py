@@ -12,7 +12,7 @@ from ..sources.news import normalise
 
 
 def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Tumbling bars per symbol; ticks later than the watermark are dropped.
+    """Tumbling bars per symbol; ticks later than the watermark of an earlier batch are dropped.
 
     ``ticks``: symbol, ts, value, seq (orders ticks of one instant).
     """
@@ -24,7 +24,7 @@ def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> Data
 
 
 def session_vwap(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Value-weighted price of each symbol's session so far."""
+    """Value-weighted price of each symbol's session so far; late ticks as in ``bars``."""
     g = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(
         F.sum(F.col("value") * F.col("size")).alias("pv"), F.sum("size").alias("v"))
     return g.select("symbol", F.to_date("w.start").alias("session"), ratio("pv", "v").alias("vwap"), F.col("v").alias("size"))
