@@ -1,4 +1,11 @@
-"""Line dedup: lines within two edits of each other, found by a segment-partition join.
+"""Line dedup: exact repeats of any line, and near lines within an edit threshold that grows with their length.
+
+Lines of ``LEAST`` to ``LONG - 1`` characters are near within two edits, longer
+ones within a tenth of the longer line. Pairs within two edits are found exactly,
+by a segment-partition join; pairs further apart by MinHash bands of their
+four-character grams. Both are verified on the texts, so no pair beyond its
+threshold is linked; the bands miss some of the pairs whose edits are spread over
+the whole line (``test_bands_find_far_edits`` has the rates).
 
 A line of n characters is cut into ``EDITS + 1`` segments. Two edits cannot touch
 all three, so a line within two edits holds at least one of them unchanged, near
@@ -28,8 +35,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.llm.common import components, cut_lineage
 
 EDITS = 2
-#: Shorter lines stay: they repeat by chance, and two edits change much of them.
+#: Of shorter lines only exact repeats go: two edits change much of them.
 LEAST = 20
+#: From this length on the threshold is a tenth of the line.
+LONG = 64
+GRAM, BANDS, ROWS = 4, 16, 4
+#: One bit of each of the first BITS minima; lines that meet in a band must agree in LIKE of them. Unrelated lines agree in 29 on average.
+BITS, LIKE = 51, 32
+_draw = np.random.default_rng(42)
+_XOR = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_ODD = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 MAP_BITS = 1 << 22
 #: Distinct lines a task remembers so as to index a repeated line once; emptied when full, repeats are then removed later.
 SEEN = 200_000
@@ -48,6 +63,42 @@ def parities(lines: list[str]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).ravel()
 
 
+def allowed(n: int) -> int:
+    """Edits within which two lines are near, the longer one having n characters."""
+    return n // 10 if n >= LONG else EDITS
+
+
+def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys a line, each of ROWS minima over the hashes of its grams, and a tag; lines have GRAM characters at least.
+
+    The tag is the logarithm of the length in steps of 0.2 %, above BITS bits of minima.
+    """
+    if not lines:
+        return np.zeros((0, BANDS), np.int64), np.zeros(0, np.int64)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(codes) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        h = (h ^ codes[k:k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    ends = np.cumsum(size)
+    whole = np.ones(len(codes), bool)
+    for k in range(1, GRAM):
+        whole[ends - k] = False
+    h = (h[whole[:len(h)]] >> np.uint64(32)).astype(np.uint32)
+    starts = np.r_[0, np.cumsum(size - GRAM + 1)[:-1]]
+    out = np.zeros((len(lines), BANDS), np.uint64)
+    tag = np.floor(np.log(size) / .002).astype(np.int64) - 6000 << BITS
+    for k in range(BANDS * ROWS):
+        least = np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], starts).astype(np.uint64)
+        if k < BITS:
+            tag |= ((least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64)) << k
+        at = out[:, k // ROWS]
+        at[:] = (at + least + np.uint64(k // ROWS + 1)) * np.uint64(0xD6E8FEB86659FD93)
+        at ^= at >> np.uint64(32)
+    return out.view(np.int64), tag
+
+
 def segments(n: int) -> list[tuple[int, int]]:
     """(start, length) of the segments of a line of n characters, the longer ones last."""
     k = EDITS + 1
@@ -103,6 +154,8 @@ def within(a: str, b: str, most: int = EDITS) -> int:
         low = j + most  # row of the band's lower edge
         if low < rows:
             dist += not diag & edge
+            if dist > 2 * most:  # never falls on the diagonal, and at most by one in each of the last columns
+                return most + 1
         else:
             last = 1 << (width - 1 - (low - rows + 1))
             dist += bool(right & last) - bool(left & last)
@@ -152,6 +205,38 @@ def _keys(docs: DataFrame, probing: bool) -> DataFrame:
     return docs.select("text").mapInArrow(made, "key long, line long, bits long")
 
 
+def alike(tag: Column, tag2: Column) -> Column:
+    """Whether lengths (54 steps are a little over a tenth) and bits of two tags allow near lines."""
+    return ((F.abs(F.shiftright(tag, BITS) - F.shiftright(tag2, BITS)) <= 54)
+            & (F.bit_count(tag.bitwiseXOR(tag2).bitwiseAND(F.lit((1 << BITS) - 1))) <= BITS - LIKE))
+
+
+def _banded(docs: DataFrame) -> DataFrame:
+    """Rows (key, line, tag) of the bands of all long lines, each once, dealt by key."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                names, lines = [], []
+                for text in batch.slice(k, 200).column(0).to_pylist():
+                    for s in _lines(text):
+                        if len(s) >= LONG:
+                            name = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed=42)
+                            if name not in seen:
+                                seen.add(name)
+                                names.append(name)
+                                lines.append(s)
+                if len(seen) > SEEN:
+                    seen.clear()
+                keys, tag = bands(lines)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.repeat(np.array(names, np.uint64).view(np.int64), BANDS)),
+                     pa.array(np.repeat(tag, BANDS))], names=["key", "line", "tag"])
+
+    return docs.select("text").mapInArrow(made, "key long, line long, tag long").repartition("key").dropDuplicates(["key", "line"])
+
+
 def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(tid, line, s) of the lines with these hashes; the texts are read past a bit map of fixed size."""
     bits = names.select(F.pmod("line", F.lit(MAP_BITS)).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("at")).agg(
@@ -177,19 +262,24 @@ def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """(m, root): the digest of each line that has another line within two edits, and the number of its class."""
+    """(m, root): the digest of each line that has another line near it, and the number of its class."""
     docs = docs.select(F.col("text").cast("string").alias("text"))
     index = _keys(docs, False).groupBy("key", "line").agg(F.max("bits").alias("bits"))
     asked = _keys(docs, True).select("key", F.col("line").alias("line2"), F.col("bits").alias("bits2"))
     near = (F.col("line") != F.col("line2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= 4 * EDITS)
-    met = asked.join(index, "key").where(near).select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
-    met = cut_lineage(met)
+    met = asked.join(index, "key").where(near).select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b"))
+    long = _banded(docs)
+    other = long.select("key", F.col("line").alias("line2"), F.col("tag").alias("tag2"))
+    far = (long.join(other, "key").where("line < line2").where(alike(F.col("tag"), F.col("tag2")))
+           .select(F.col("line").alias("a"), F.col("line2").alias("b")))
+    met = cut_lineage(met.union(far).distinct())
     texts = _texts_of(docs, met.select(F.col("a").alias("line")).union(met.select("b")).distinct())
     pairs = (met.join(texts.select(F.col("line").alias("a"), F.col("tid").alias("u"), F.col("s").alias("x")), "a")
              .join(texts.select(F.col("line").alias("b"), F.col("tid").alias("v"), F.col("s").alias("y")), "b"))
 
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([within(a, b) <= EDITS for a, b in zip(x, y)], dtype=bool)
+        most = [allowed(max(len(a), len(b))) for a, b in zip(x, y)]
+        return pd.Series([within(a, b, k) <= k for a, b, k in zip(x, y, most)], dtype=bool)
 
     linked = cut_lineage(pairs.where(F.pandas_udf(close, "boolean")("x", "y")).select("u", "v"))
     return components(linked).join(texts.withColumnRenamed("tid", "node"), "node").select(digest(F.col("s")).alias("m"), "root")
@@ -212,7 +302,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     named = docs.select(_row_key().alias("row"), F.col("doc_id").cast("long").alias("doc"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("all"))
     lines = (named.select("row", "doc", F.posexplode("all").alias("pos", "s"))  # the text's digest once, not once a line
-             .where(F.length("s") >= LEAST).select("row", "doc", "pos", digest(F.col("s")).alias("m")))
+             .where(F.col("s").rlike(r"\S")).select("row", "doc", "pos", digest(F.col("s")).alias("m")))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "pos")
     each = lines.groupBy("m").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     each = cut_lineage(each.join(line_classes(docs), "m", "left").withColumn("class", F.coalesce(F.col("root").cast("string"), F.col("m"))).drop("root"))
@@ -237,7 +327,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text (what stays) and drops.
 
     ``drops`` lists every dropped line as position=doc_id:position of the line of
-    its class that stays, comma-joined. Lines under 20 characters stay. A null
+    its class that stays, comma-joined. Of lines under 20 characters exact repeats
+    are dropped; blank lines stay. A null
     text has no lines and stays null; an empty one has one empty line. Repeated
     rows get the same result; other columns are ignored; an empty table gives no
     rows. Very long lines are compared whole.
