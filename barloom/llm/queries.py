@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontamination
+from barloom.llm import decontamination, filter_audit
 from barloom.llm.common import read
 from barloom.llm.jaccard_join import jaccard_join
 from barloom.llm.line_dedup import line_dedup
@@ -59,7 +59,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters over all documents, by source."""
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_counts, op2_nearest, op3_decontamination, op4_line_dedup, op5_secret_scan, op6_packing, op7_lm_scores, op8_quality, op9_jaccard_join, op10_sharding,
+    op11_filter_audit,
 )}
-SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op11_filter_audit": filter_audit.SQL}
