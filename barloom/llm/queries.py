@@ -12,11 +12,13 @@ from barloom.llm.jaccard_join import jaccard_join
 from barloom.llm.line_dedup import line_dedup
 from barloom.llm.nearest import nearest
 from barloom.llm.packing import pack
+from barloom.llm.periodic_runs import periodic_runs
 from barloom.llm.quality import quality
 from barloom.llm.secrets import secret_scan
 from barloom.llm.sharding import shard
 from barloom.llm.suffix_tree import lm_scores
 from barloom.llm.token_counts import token_counts
+from barloom.llm.token_files import token_files
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +66,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as files with a shared dictionary and read back."""
+    return token_files(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, with the repetitions that the contract plants."""
+    return periodic_runs(read(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_counts, op2_nearest, op3_decontamination, op4_line_dedup, op5_secret_scan, op6_packing, op7_lm_scores, op8_quality, op9_jaccard_join, op10_sharding,
-    op11_filter_audit,
+    op11_filter_audit, op12_token_files, op13_periodic_runs,
 )}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op11_filter_audit": filter_audit.SQL}
