@@ -113,9 +113,9 @@ def screen(states: DataFrame, fdr: float = 0.10, min_half: float = 2.0, max_half
     d = d.withColumns({"qvalue": F.least(q, F.lit(1.0)), "__ok": truth(F.col("__k") <= cut)}).drop("__m")
     out = d.unionByName(states.where("pvalue IS NULL").withColumns(
         {"qvalue": F.lit(None).cast("double"), "__ok": F.lit(False), "__k": F.lit(None).cast("int")}))
-    reason = (F.when(F.col("beta").isNull(), "not estimable").when(F.col("pvalue").isNull(), "the cointegration test failed")
-              .when(F.col("half_life").isNull(), "the spread does not revert").when(F.col("half_life") < min_half, "reverts within the costs")
-              .when(F.col("half_life") > max_half, "reverts too slowly").otherwise(""))
+    reason = (F.when(F.col("beta").isNull(), "no hedge ratio").when(F.col("pvalue").isNull(), "no p-value")
+              .when(F.col("half_life").isNull(), "no half-life").when(F.col("half_life") < min_half, "half-life too short to pay for its trades")
+              .when(F.col("half_life") > max_half, "half-life longer than a position is held").otherwise(""))
     return out.withColumn("reason", reason).withColumn("passes", F.col("__ok") & (F.col("reason") == "")).drop("__ok", "__k")
 
 

@@ -198,7 +198,7 @@ FDR_SRC = """pv AS (SELECT 'S' || l_suppkey AS y, 'P' || (l_suppkey % 7) AS x, C
 
 
 @query("2.7.3", sql(f"""SELECT y, {r('pvalue', 'pvalue')}, {r('q', 'qvalue')}, reason, CAST(reason = '' AND coalesce(k <= (SELECT max(k) FROM fq WHERE pvalue <= k / m * 0.4), false) AS INTEGER) AS passes
-      FROM (SELECT pv.y, pv.pvalue, k, q, CASE WHEN pv.pvalue IS NULL THEN 'the cointegration test failed' WHEN half_life < 18 THEN 'reverts within the costs' WHEN half_life > 22 THEN 'reverts too slowly' ELSE '' END AS reason
+      FROM (SELECT pv.y, pv.pvalue, k, q, CASE WHEN pv.pvalue IS NULL THEN 'no p-value' WHEN half_life < 18 THEN 'half-life too short to pay for its trades' WHEN half_life > 22 THEN 'half-life longer than a position is held' ELSE '' END AS reason
             FROM pv LEFT JOIN fq USING (y))""", FDR_SRC,
       "f0 AS (SELECT y, pvalue, row_number() OVER (ORDER BY pvalue, y) AS k, CAST(count(*) OVER () AS DOUBLE) AS m FROM pv WHERE pvalue IS NOT NULL)",
       "fq AS (SELECT *, least(1.0, min(pvalue * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM f0)"))

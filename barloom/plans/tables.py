@@ -17,18 +17,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _place() -> Column:
-    """Order of a line inside its session as one number: day, order, line, part.
+    """Order of a line inside its session as one decimal number: day, order, line, part.
 
     A number of fixed width keeps the aggregation buffer fixed too, so bars are
-    hash aggregated and no raw row is sorted. The bounds (31 days, 2 ** 50
-    orders, 128 lines, 18 digits of part) are checked, not assumed.
+    hash aggregated and no raw row is sorted. Its 38 digits hold the day of a
+    session of up to 998 days, any order key and any line number, nulls last,
+    and five digits of the part key: lines that are equal up to their part key
+    (a line number given twice) are told apart by its remainder to 99,999.
     """
-    day = F.datediff("l_shipdate", "session").cast("long")
-    fits = (day.between(0, 31) & F.col("l_orderkey").between(0, 2 ** 50 - 1) & F.col("l_linenumber").between(0, 127)
-            & F.col("l_partkey").between(0, 10 ** 18 - 1))
-    head = F.shiftleft(day, 57) + F.shiftleft(F.col("l_orderkey").cast("long"), 7) + F.col("l_linenumber").cast("long")
-    key = head.cast("decimal(19,0)") * F.lit(10 ** 18).cast("decimal(19,0)") + F.col("l_partkey").cast("decimal(18,0)")
-    return F.when(fits, key).otherwise(F.raise_error(F.lit("an order key beyond the packed range")).cast("decimal(38,0)"))
+    whole = lambda n, digits: F.lit(str(n)).cast(f"decimal({digits},0)")
+    day = F.least(F.coalesce(F.datediff("l_shipdate", "session"), F.lit(999)), F.lit(999)).cast("decimal(3,0)")
+    order = F.coalesce((F.col("l_orderkey").cast("decimal(20,0)") + whole(2 ** 63, 20)).cast("decimal(20,0)"), whole(10 ** 20 - 1, 20))
+    line = F.greatest(F.least(F.col("l_linenumber").cast("long"), F.lit(7 * 10 ** 9)), F.lit(-2 ** 31)) + 2 ** 31
+    line = F.when(F.col("l_linenumber").isNull(), F.lit(10 ** 10 - 1)).otherwise(line)
+    part = F.coalesce(F.pmod("l_partkey", F.lit(99_999)).cast("long"), F.lit(99_999))
+    head = day * whole(10 ** 20, 21) + order
+    return (head * whole(10 ** 15, 16) + (line * 100_000 + part).cast("decimal(15,0)")).cast("decimal(38,0)")
 
 
 def _bars(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,7 +146,7 @@ def filings(spark, sf) -> DataFrame:
 
 
 def contracts(spark, sf) -> DataFrame:
-    """An option chain per shipped line: brand as underlying, part price as spot.
+    """An option chain per shipped line: brand as underlying, one fixed spot.
 
     Strikes are rounded quantities around the spot, the premium falls with the
     strike and carries the line's own noise.

@@ -61,8 +61,8 @@ def test_assert_clean(spark, panel):
     ("Interim Dividend - Rs 8.50 Per Share", ("dividend", 1.0, 8.5, None)),
     ("Dividend - Rs 1,250 And Special Dividend Re 1 Including Dividend Rs 9", ("dividend", 1.0, 1251.0, None)),
     ("Rights 1:4", (None, None, None, "moves the price but is no single factor")),
-    ("Annual General Meeting", (None, None, None, "not price-affecting")),
-    ("", (None, None, None, "empty subject")),
+    ("Annual General Meeting", (None, None, None, "leaves the price alone")),
+    ("", (None, None, None, "blank subject")),
     ("Bonus issue", (None, None, None, "unrecognised subject")),
     ("Bonus 1:1 / Stock Split", ("bonus", 2.0, 0.0, None)),
     ("Interim Dividend - Rs 5 Per Share / Stock Split", ("dividend", 1.0, 5.0, None)),
@@ -70,12 +70,41 @@ def test_assert_clean(spark, panel):
     ("Bonus Debentures / Rights 1:15 @ Premium Rs 1247", (None, None, None, "moves the price but is no single factor")),
     ("Face Value Split From Rs 2 To Rs 10", (None, None, None, "split without a usable ratio")),
     ("Final Dividend Rs 20.50 Per Shar", ("dividend", 1.0, 20.5, None)),
+    ("Bonus Issue Of Equity Shares In The Proportion Of 1:1", (None, None, None, "unrecognised subject")),
+    ("Bonus Debentures 1:15", ("bonus", 16 / 15, 0.0, None)),
+    ("Bonus Issue (1:1)", ("bonus", 2.0, 0.0, None)),
+    ("Face Value Split From Rs.10/- To Rs.2/-", ("split", 5.0, 0.0, None)),
+    ("Face Value Split From Rs. 2.50 To Re .50", ("split", 5.0, 0.0, None)),
+    ("Splitting Of Share Certificates From Rs 10 To Rs 2", (None, None, None, "unrecognised subject")),
+    ("Split Of Face Value\nFrom Rs 10 To Rs 2", (None, None, None, "unrecognised subject")),
+    ("Dividend Policy Of The Company Revised, Rs 5", (None, None, None, "unrecognised subject")),
+    ("\n \t", (None, None, None, "blank subject")), (None, (None, None, None, "blank subject")),
 ])
 def test_subjects(spark, text, want):
     r = spark.createDataFrame([(text,)], "s string").select(ca.parse("s").alias("a")).first().a
     assert (r.type, r.factor, r.amount, r.reason) == want
 
 
+# spellings of the exchange's archive: what stands around the amounts, and the amounts that count
+PAID = ["Dividend - Rs {} Per Share", "Dividend-Rs.{} Per Share", "Dividend-Rs.{}/- Per Share", " Dividend -  Rs {}/- Per Share", "Dividend- Rs {} Per Share",
+        "Dividend-Rs {} Per Share", "Dividend - Rs {}  Per Share", " Dividend Rs {} Per Sh", "Dividend Rs. {} Per Equity Share", "Interim Dividend - Re {} Per Share",
+        "Interim Dividend - Re  {} Per Share", "Interim Dividend - Rs {}/- Per Share (Purpose Revised)", "Special Dividend - Rs {} Per Share",
+        " Annual General Meeting/Dividend - Rs  {} Per Share", "Annual General Meeting/Dividend- Rs {} Per Share", "Annual General Meeting And Dividend Rs.{} Per Share",
+        "Annual General Meeting And Dividend - Rs.{}/- Per Share", "Annual General Meeting/ Dividend Rs. {} Per Equity Share",
+        "Annual General Meeting / Final Dividend Rs.{}/- Per Equity Share", "Dividend-Rs.{} Per Share (Including Special Dividend Of Rs.2/- Per Share)."]
+PAID_TWICE = ["Dividend - Rs {} Per Share /Special Dividend - Rs {} Per Share", "Interim Dividend - Rs {} Per Share Special Dividend - Rs {} Per Share",
+              "Interim Dividend Rs {} Per Share/ Special Dividend Rs {} Per Share", " Annual General Meeting/ Final Dividend Rs {} Per Shar/ Special Dividend - Rs {} Per Share",
+              "Annual General Meeting/Special Dividend - Rs {} Per Share /Dividend - Rs {} Per Share"]
+
+
+def test_every_spelling_of_a_dividend(spark):
+    amounts = ("1", "5.5", "6", "8.50", "16.50", "4.30", "10.15", "22", "1,250.75")
+    rows = [(s.format(a), float(a.replace(",", ""))) for s in PAID for a in amounts]
+    rows += [(s.format(a, b), float(a.replace(",", "")) + float(b.replace(",", ""))) for s in PAID_TWICE for a in amounts for b in amounts]
+    got = spark.createDataFrame(rows, "s string, want double").select("s", "want", ca.parse("s").alias("a")).collect()
+    assert [r for r in got if (r.a.type, r.a.amount) != ("dividend", pytest.approx(r.want))] == []
+
+
 @pytest.mark.parametrize("text,want", [("6:15 PM to 7:15 PM", ("18:15", "19:15")), ("6.15 to 7.15 p.m.", ("18:15", "19:15")), ("18:00-19:00", ("18:00", "19:00")),
                                        ("6:15 to 7:15", None), ("Closed", None), ("12:30 am to 1:00 am", ("00:30", "01:00"))])
 def test_session_window(spark, text, want):
