@@ -5,7 +5,7 @@ lost executor leaves no half file behind:
 
 * ``dictionary``: one row with the tokenizer, the closing id, the width of an id,
   and a zstandard dictionary trained on the serialized ids of a sample;
-* ``blocks``: the ids, about a megabyte of frames a row. A frame is one document's
+* ``blocks``: the ids, some hundred kilobytes of frames a row. A frame is one document's
   ids as little-endian integers, compressed on its own. Beside the frames stand
   the hash of the dictionary that they need, the documents' ids, token counts and
   the offsets of their frames, so that one short document is read by fetching its
@@ -23,11 +23,11 @@ import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -39,13 +39,23 @@ END = 2
 LEVEL = 3
 #: Bytes of the dictionary, documents it is trained on (the smallest of a hash), characters of each that take part.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 * 1024, 2000, 8000
-#: A block is closed at this many bytes of frames or documents.
-BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
+#: A block is closed at this many bytes of frames or documents; so many bytes of blocks are held in memory to write or read a file.
+BLOCK_BYTES, BLOCK_DOCS, GROUP_BYTES = 1 << 18, 1024, 8 << 20
+#: Bytes of ids that a worker holds before it passes them on.
+HELD_BYTES = 4 << 20
 #: Parts hold between these bytes of frames: as many parts as there are cores, unless they would be smaller or larger.
 PART_BYTES = (4 << 20, 128 << 20)
 #: Chunks whose ids a worker keeps, and the longest kept one; emptied when full, which costs time only.
-KEPT_CHUNKS, KEPT_LENGTH = 500_000, 64
-
+KEPT_CHUNKS, KEPT_LENGTH = 300_000, 64
+#: Stands between chunks that the library is asked for together. It is a token of its own, since digits are split off one by one.
+BETWEEN = "0"
+
+# letters, digits and signs on which every Unicode version agrees, without the capital whose small letter is two characters
+_LETTER = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_PLAIN = re.compile(rf"[ -~\n\t\r{_LETTER}]*").fullmatch
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+").findall
+#: Fixed value: how the tokenizer whose chunks are looked up one by one splits a text.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLANK = re.compile("[\t\n\r]")
 BLOCKS = ("part int, block int, dictionary string, first_doc long, last_doc long, start long, tokens long, "
           "doc_ids array<long>, counts array<long>, offsets array<long>, frames binary")
@@ -57,7 +67,9 @@ class ChunkIds:
     That is the same as whole texts if the tokenizer drops blanks: its splitter
     keeps matches alone, none of which holds a blank, and its normalizer changes
     characters one by one or together with combining marks, which a blank parts.
-    Other tokenizers get whole texts.
+    Texts of plain letters, digits and signs are cut at the splitter's own matches,
+    in small letters, so that fewer chunks are looked up; special strings are left
+    to the library. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -69,6 +81,7 @@ class ChunkIds:
         self.library.no_padding()
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
         self.by_chunk = self._drops_blanks(json.loads(self.library.to_str()))
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {"": b""}
 
     @staticmethod
@@ -79,24 +92,37 @@ class ChunkIds:
         return ([s["type"] for s in steps.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
                 and steps["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and steps["normalizers"][1]["content"] == " "
                 and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
-                and regex.search(split["pattern"].get("Regex", " "), " \t\n\r") is None
+                and split["pattern"] == {"Regex": SPLITTER}
                 and not any(m["single_word"] or m["lstrip"] or m["rstrip"] or m["normalized"] or " " in m["content"] for m in marks))
 
     def _asked(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without BETWEEN in them, from one text in which it parts them."""
+        mark = self._asked([BETWEEN])[0]
+        ids = np.frombuffer(self._asked([f" {BETWEEN} ".join(chunks)])[0], self.type)
+        ends = np.flatnonzero(ids == np.frombuffer(mark, self.type)[0]) if len(mark) == self.type.itemsize else ids
+        if len(ends) != len(chunks) - 1:
+            return self._asked(chunks)
+        raw, wide = ids.tobytes(), self.type.itemsize
+        begin, end = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
+        return [raw[b * wide:e * wide] for b, e in zip(begin, end)]
+
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._asked(texts)
-        parts = [_BLANK.sub(" ", t).split(" ") for t in texts]
+        parts = [_SPLIT(t.lower()) if _PLAIN(t) and not any(x in t for x in self.special) else _BLANK.sub(" ", t).split(" ") for t in texts]
         new = set().union(*parts).difference(self.chunks) if parts else set()
         if len(new) + len(self.chunks) > KEPT_CHUNKS:
             self.chunks = {"": b""}
             new = set().union(*parts) - {""}
-        asked = sorted(new)
-        self.chunks.update(zip(asked, self._asked(asked)))
+        plain, other = sorted(w for w in new if BETWEEN not in w), sorted(w for w in new if BETWEEN in w)
+        for k in range(0, len(plain), 1000):
+            self.chunks.update(zip(plain[k:k + 1000], self._together(plain[k:k + 1000])))
+        self.chunks.update(zip(other, self._asked(other)))
         out = [b"".join(map(self.chunks.__getitem__, words)) for words in parts]
-        for w in asked:
+        for w in new:
             if len(w) > KEPT_LENGTH:
                 del self.chunks[w]
         return out
@@ -145,8 +171,8 @@ def _frames(docs: DataFrame, tokenizer: str, end: int, dictionary: bytes) -> Dat
         close = np.array([end], tok.type).tobytes()
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                rows = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 200):
+                rows = batch.slice(k, 200)
                 ids = [b + close for b in tok.batch([t or "" for t in rows.column(2).to_pylist()])]
                 frames = [press.compress(b) for b in ids]
                 yield pa.RecordBatch.from_arrays(
@@ -213,7 +239,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     sorted_frames = frames.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
     head = [(digest(raw), bytearray(raw), tokenizer, end, opened(tokenizer).type.itemsize)]
     spark.createDataFrame(head, "sha256 string, dictionary binary, tokenizer string, end int, id_bytes int").coalesce(1).write.parquet(f"{path}/dictionary")
-    _in_blocks(sorted_frames, digest(raw)).write.option("compression", "none").parquet(f"{path}/blocks")
+    # frames are compressed already; small row groups, since a group is in memory while it is written or read
+    (_in_blocks(sorted_frames, digest(raw)).write.option("compression", "none").option("parquet.block.size", GROUP_BYTES)
+     .option("parquet.page.size.row.check.min", 4).option("parquet.block.size.row.check.min", 4).parquet(f"{path}/blocks"))
     sums = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     sums.select("part", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start")).coalesce(1).write.parquet(f"{path}/parts")
@@ -229,31 +257,41 @@ def _opened_set(spark: SparkSession, path: str) -> tuple[DataFrame, dict, bytes]
     return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(place, "part"), head, raw
 
 
-def _decoded(blocks: DataFrame, head: dict, raw: bytes, wanted: frozenset[int] | None = None) -> DataFrame:
+def _decoded(blocks: DataFrame, head: dict, raw: bytes, wanted: frozenset[int] | None = None, digests: bool = False) -> DataFrame:
+    """Documents of the blocks with their ids, or with the crc32 of these in their place."""
     kind, sha = np.dtype(f"<u{head['id_bytes']}"), head["sha256"]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor(dict_data=_dictionary(raw))
+        rows: list[tuple] = []
+        held = 0
+
+        def passed() -> pa.RecordBatch:
+            kinds = [pa.int64()] * 3 + [pa.int64() if digests else pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, kinds)],
+                                              names=["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"])
+
         for batch in batches:
             for row in range(batch.num_rows):
                 name, start, ids, counts, offsets = (batch.column(k)[row].as_py() for k in range(5))
                 if name != sha:
                     raise ValueError("a block needs another dictionary than the one beside it")
                 frames = memoryview(batch.column(5)[row].as_buffer())
-                starts = (start + np.cumsum([0, *counts])).tolist()
-                picked = [k for k, d in enumerate(ids) if wanted is None or d in wanted]
-                for k in range(0, len(picked), 512):
-                    some = picked[k:k + 512]
-                    wide = [np.frombuffer(unpress.decompress(frames[offsets[i]:offsets[i + 1]]), kind).astype("<u4") for i in some]
-                    if any(len(w) != counts[i] for w, i in zip(wide, some)):
-                        raise ValueError("a frame does not hold as many ids as its index says")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in some], pa.int64()), pa.array([starts[i] for i in some], pa.int64()),
-                         pa.array([counts[i] for i in some], pa.int64()), pa.array([w.tobytes() for w in wide], pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids"])
+                for k, (doc, n) in enumerate(zip(ids, counts)):
+                    if wanted is None or doc in wanted:
+                        wide = np.frombuffer(unpress.decompress(frames[offsets[k]:offsets[k + 1]]), kind).astype("<u4")
+                        if len(wide) != n:
+                            raise ValueError("a frame does not hold as many ids as its index says")
+                        rows.append((doc, start, n, zlib.crc32(wide) if digests else wide.tobytes()))
+                        held += 32 if digests else wide.nbytes
+                        if held > HELD_BYTES:
+                            yield passed()
+                            rows, held = [], 0
+                    start += n
+        yield passed()
 
     return (blocks.select("dictionary", (F.col("start") + F.col("part_start")).alias("start"), "doc_ids", "counts", "offsets", "frames")
-            .mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary"))
+            .mapInArrow(documents, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digests else 'ids binary'}"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -280,4 +318,4 @@ def token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int
     spark = docs.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer, end)
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return _decoded(*_opened_set(spark, path), digests=True)
