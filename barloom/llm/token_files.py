@@ -46,7 +46,7 @@ HELD_BYTES = 4 << 20
 #: Parts hold between these bytes of frames: as many parts as there are cores, unless they would be smaller or larger.
 PART_BYTES = (4 << 20, 128 << 20)
 #: Chunks whose ids a worker keeps, and the longest kept one; emptied when full, which costs time only.
-KEPT_CHUNKS, KEPT_LENGTH = 300_000, 64
+KEPT_CHUNKS, KEPT_LENGTH = 400_000, 64
 #: Stands between chunks that the library is asked for together. It is a token of its own, since digits are split off one by one.
 BETWEEN = "0"
 
@@ -113,10 +113,10 @@ class ChunkIds:
         if not self.by_chunk:
             return self._asked(texts)
         parts = [_SPLIT(t.lower()) if _PLAIN(t) and not any(x in t for x in self.special) else _BLANK.sub(" ", t).split(" ") for t in texts]
-        new = set().union(*parts).difference(self.chunks) if parts else set()
-        if len(new) + len(self.chunks) > KEPT_CHUNKS:
-            self.chunks = {"": b""}
-            new = set().union(*parts) - {""}
+        here = set().union(*parts)
+        new = here.difference(self.chunks)
+        if len(new) + len(self.chunks) > KEPT_CHUNKS:  # what these texts need again stays, and with it what is common
+            self.chunks = {"": b""} | {w: self.chunks[w] for w in here.difference(new)}
         plain, other = sorted(w for w in new if BETWEEN not in w), sorted(w for w in new if BETWEEN in w)
         for k in range(0, len(plain), 1000):
             self.chunks.update(zip(plain[k:k + 1000], self._together(plain[k:k + 1000])))
@@ -156,8 +156,11 @@ def digest(raw: bytes) -> str:
 
 def _sampled(docs: DataFrame, tokenizer: str, end: int) -> bytes:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    drawn = (docs.select(F.xxhash64(text, F.col("doc_id").cast("long")).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("s"))
-             .orderBy("h", "s").limit(SAMPLE_DOCS).collect())  # bounded by the two parameters
+    hashed = docs.select(F.xxhash64(text, F.col("doc_id").cast("long")).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("s"))
+    # hashes are spread evenly: a limit on them leaves a little more than the sample, whose smallest are taken
+    share = 1.2 * SAMPLE_DOCS / max(1, docs.count())
+    near = hashed if share >= 1 else hashed.where(F.col("h") < int(2 ** 64 * share) - 2 ** 63)
+    drawn = near.orderBy("h", "s").limit(SAMPLE_DOCS).collect()  # bounded by the two parameters
     tok = opened(tokenizer)
     close = np.array([end], tok.type).tobytes()
     return trained_dictionary([ids + close for ids in tok.batch([r["s"] for r in drawn])])
