@@ -1,30 +1,31 @@
 """Line dedup: exact repeats of any line, and near lines within an edit threshold that grows with their length.
 
-Lines of ``LEAST`` to ``LONG - 1`` characters are near within two edits, longer
-ones within a tenth of the longer line. Pairs within two edits are found exactly,
-by a segment-partition join; pairs further apart by MinHash bands of their
-four-character grams. Both are verified on the texts, so no pair beyond its
-threshold is linked; the bands miss some of the pairs whose edits are spread over
-the whole line (``test_bands_find_far_edits`` has the rates).
-
-A line of n characters is cut into ``EDITS + 1`` segments. Two edits cannot touch
-all three, so a line within two edits holds at least one of them unchanged, near
-the same place. Every line puts its segments into an index under (its length,
-segment number, content), and probes with those of its own substrings that can
-stand for a segment of a line of its length or up to two characters less: the
-start of a substring differs from the segment's by no more than the edits left
-of it, nor, counted from the end, by more than the edits right of it.
-
-A meeting of index and probe also compares 64 parity bits of the lines'
-character pairs. An edit changes at most four of them, so lines that differ in
-more than ``4 * EDITS`` are dropped inside the join, whatever segment they share.
-The rest is verified on the texts by banded bit-parallel edit distance.
-
-Lines are named by a hash only while candidates are sought; candidates are
-verified, and classes formed, on the texts themselves.
+A line of ``WORDS`` words or more is a sequence of words, any other a sequence of
+characters. Two lines of one kind are near if at most ``allowed`` insertions,
+deletions or replacements of an element part them: one word in twenty, at least
+one and at most ``MOST``; one character in ten, at most two. The shorter line
+counts. Lines of fewer than ten characters have exact repeats only.
+
+Near lines are found by a segment-partition join. A line with threshold t is cut
+into t + 1 segments (of its first elements; what remains belongs to none). t
+edits cannot touch all of them, so a line within t edits holds one unchanged,
+near the same place. Every line stands in the index under its segments (number
+and content) and asks with those of its own substrings that can stand for a
+segment of a line of its length or up to t less: the start of a substring differs
+from the segment's by no more than the edits left of it, nor, counted from the
+end, by more than the edits right of it. So every near pair meets, at any length;
+a line has at most t + 1 entries and some 2 t (t + 1) questions.
+
+Where lines meet, 56 parity bits of their words (or neighbouring characters) are
+compared before their texts are. Groups of near copies are not paired off: every
+line that meets others under a key is first compared with one line of that key;
+the classes that these links make are then compared with each other, under keys
+where several classes meet. A pair of one class needs no comparison, any other is
+verified on the texts by banded bit-parallel edit distance.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,93 +35,113 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.common import components, cut_lineage
 
-EDITS = 2
-#: Of shorter lines only exact repeats go: two edits change much of them.
-LEAST = 20
-#: From this length on the threshold is a tenth of the line.
-LONG = 64
-GRAM, BANDS, ROWS = 4, 16, 4
-#: One bit of each of the first BITS minima; lines that meet in a band must agree in LIKE of them. Unrelated lines agree in 29 on average.
-BITS, LIKE = 51, 32
-_draw = np.random.default_rng(42)
-_XOR = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_ODD = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-MAP_BITS = 1 << 22
+#: Lines of so many words are compared by words: one edit for every PER_EDIT of them, up to MOST.
+WORDS, PER_EDIT, MOST = 8, 20, 8
+#: Shorter ones by characters: one edit for every PER_CHARACTER, up to EDITS.
+PER_CHARACTER, EDITS = 10, 2
+BITS = 56
+#: Bits of the map of line names that texts are read past: eight a name, within these bounds. A fuller map only lets more pass to a join.
+MAP_BITS = (1 << 16, 1 << 27)
 #: Distinct lines a task remembers so as to index a repeated line once; emptied when full, repeats are then removed later.
 SEEN = 200_000
-
-
-def parities(lines: list[str]) -> np.ndarray:
-    """64 bits per line: for each of 64 hash values, whether an odd number of the line's character pairs has it."""
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(codes) < 2:
-        return np.zeros(len(lines), np.int64)
-    bit = ((codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(58)).astype(np.int64)
-    line = np.repeat(np.arange(len(lines)), size)
-    same = line[:-1] == line[1:]
-    odd = np.bincount(line[:-1][same] * 64 + bit[same], minlength=64 * len(lines)).reshape(-1, 64) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).ravel()
-
-
-def allowed(n: int) -> int:
-    """Edits within which two lines are near, the longer one having n characters."""
-    return n // 10 if n >= LONG else EDITS
-
-
-def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS keys a line, each of ROWS minima over the hashes of its grams, and a tag; lines have GRAM characters at least.
-
-    The tag is the logarithm of the length in steps of 0.2 %, above BITS bits of minima.
-    """
-    if not lines:
-        return np.zeros((0, BANDS), np.int64), np.zeros(0, np.int64)
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(codes) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        h = (h ^ codes[k:k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    ends = np.cumsum(size)
-    whole = np.ones(len(codes), bool)
-    for k in range(1, GRAM):
-        whole[ends - k] = False
-    h = (h[whole[:len(h)]] >> np.uint64(32)).astype(np.uint32)
-    starts = np.r_[0, np.cumsum(size - GRAM + 1)[:-1]]
-    out = np.zeros((len(lines), BANDS), np.uint64)
-    tag = np.floor(np.log(size) / .002).astype(np.int64) - 6000 << BITS
-    for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], starts).astype(np.uint64)
-        if k < BITS:
-            tag |= ((least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64)) << k
-        at = out[:, k // ROWS]
-        at[:] = (at + least + np.uint64(k // ROWS + 1)) * np.uint64(0xD6E8FEB86659FD93)
-        at ^= at >> np.uint64(32)
-    return out.view(np.int64), tag
-
-
-def segments(n: int) -> list[tuple[int, int]]:
-    """(start, length) of the segments of a line of n characters, the longer ones last."""
-    k = EDITS + 1
-    short, longer = n // k, n % k
-    sizes = [short] * (k - longer) + [short + 1] * longer
-    starts = np.cumsum([0, *sizes[:-1]]).tolist()
-    return list(zip(starts, sizes))
-
-
-def probes(n: int) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment, start, length) of the substrings with which a line of n characters asks."""
-    found = []
-    for m in range(max(LEAST, n - EDITS), n + 1):
-        for i, (p, size) in enumerate(segments(m)):
-            low = max(0, p - i, p + n - m - (EDITS - i))
-            high = min(n - size, p + i, p + n - m + (EDITS - i))
-            found += [(m, i, q, size) for q in range(low, high + 1)]
-    return found
-
-
-def within(a: str, b: str, most: int = EDITS) -> int:
-    """Edit distance of two strings if it is at most ``most``, else ``most + 1``.
+#: Characters of the texts that are worked on at once.
+AT_ONCE = 1 << 20
+#: Members of one class under one key are dealt into this many lists.
+LISTS = 64
+#: A line that stands this often is joined with its copies without a shuffle, if there are not more than HOT_LINES such lines.
+HOT_COPIES, HOT_LINES = 100_000, 10_000
+_B = 0x9E3779B97F4A7C15
+_POWER = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def allowed(n: int, by_words: bool) -> int:
+    """Edits within which a line of n elements and a longer one are near."""
+    return min(MOST, max(1, n // PER_EDIT)) if by_words else min(EDITS, n // PER_CHARACTER)
+
+
+def segments(n: int, by_words: bool) -> list[tuple[int, int]]:
+    """(start, length) of the segments of a line of n elements; lines of one threshold have equally long ones, if that is above 1."""
+    t = allowed(n, by_words)
+    size = (PER_EDIT * t if by_words and t > 1 else n) // (t + 1)
+    return [(i * size, size) for i in range(t + 1)]
+
+
+def probes(n: int, by_words: bool) -> set[tuple[int, int, int]]:
+    """(segment, start, length) of the substrings with which a line of n elements asks, besides its own segments."""
+    found = set()
+    for m in range(max(WORDS if by_words else PER_CHARACTER, n - (MOST if by_words else EDITS)), n + 1):
+        t, more = allowed(m, by_words), n - m
+        if more <= t:
+            for i, (p, size) in enumerate(segments(m, by_words)):
+                low, high = max(p - i, p + more - (t - i)), min(p + i, p + more + (t - i))
+                found |= {(i, q, size) for q in range(max(0, low), min(n - size, high) + 1)}
+    return found - {(i, p, size) for i, (p, size) in enumerate(segments(n, by_words))}
+
+
+@lru_cache(maxsize=20_000)
+def _pattern(n: int, by_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Starts, lengths and seeds of all keys of a line of n elements, its own segments first, and how many these are."""
+    own = [(i, p, size) for i, (p, size) in enumerate(segments(n, by_words))]
+    number, start, size = np.array(own + sorted(probes(n, by_words)), np.int64).reshape(-1, 3).T
+    seed = (number.astype(np.uint64) * np.uint64(2) + np.uint64(by_words)) * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64)
+    return start, size, seed, len(own)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """B and 1/B to the powers 0 .. n - 1, modulo 2 ** 64."""
+    if len(_POWER[0]) < n:
+        for k, base in enumerate((_B, pow(_B, -1, 2 ** 64))):
+            _POWER[k] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1 << 16), base, np.uint64))))
+    return _POWER[0][:n], _POWER[1][:n]
+
+
+def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, own, tag) of all keys of the lines: the line's number, whether the key is one of its segments, limit and parity bits."""
+    split = [s.split() for s in lines]
+    worded = [len(w) >= WORDS for w in split]
+    size = np.array([len(w) if by else len(s) for w, s, by in zip(split, lines, worded)], np.int64)
+    table = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=7) for w in set().union(*(w for w, by in zip(split, worded) if by))}
+    parts = [np.fromiter(map(table.__getitem__, w), np.uint64, len(w)) if by
+             else _mixed(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) for w, s, by in zip(split, lines, worded)]
+    number = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    up, down = _powers(len(number) + 1)
+    ahead = np.concatenate((np.zeros(1, np.uint64), np.cumsum(number * up[:len(number)])))
+    patterns = [_pattern(int(n), by) if by or n >= PER_CHARACTER else None for n, by in zip(size, worded)]
+    asked = [k for k, pat in enumerate(patterns) if pat is not None]
+    many = np.array([len(patterns[k][0]) for k in asked], np.int64)
+    line = np.repeat(np.array(asked, np.int64), many)
+    join = lambda c, kind: np.concatenate([patterns[k][c] for k in asked]) if asked else np.zeros(0, kind)
+    start, length, seed = join(0, np.int64) + begin[line], join(1, np.int64), join(2, np.uint64)
+    key = _mixed((ahead[start + length] - ahead[start]) * down[start] + seed)
+    own = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many) < np.repeat(np.array([patterns[k][3] for k in asked], np.int64), many)
+    # parity bits: of words, or of neighbouring characters; an edit changes two or four of them
+    by = np.repeat(np.array(worded, bool), size)
+    who = np.repeat(np.arange(len(lines)), size)
+    pair = np.zeros(len(number), np.uint64)
+    pair[:-1] = _mixed(number[:-1] * np.uint64(_B) + number[1:])
+    counts = by | np.append(who[:-1] == who[1:], False)[:len(number)]
+    bit = (np.where(by, _mixed(number), pair) % np.uint64(BITS)).astype(np.int64)
+    odd = np.zeros((len(lines), 64), np.uint8)
+    odd[:, 8:] = np.bincount(who[counts] * BITS + bit[counts], minlength=BITS * len(lines)).reshape(-1, BITS) & 1
+    tag = np.packbits(odd, axis=1).view(">i8").ravel().astype(np.int64)
+    tag |= np.array([allowed(int(n), by) * (2 if by else 4) for n, by in zip(size, worded)], np.int64) << BITS
+    return line, key.view(np.int64), own, tag[line]
+
+
+def alike(tag: Column, other: Column) -> Column:
+    """Whether the parity bits of two tags allow near lines."""
+    apart = F.bit_count(tag.bitwiseXOR(other).bitwiseAND(F.lit((1 << BITS) - 1)))
+    return apart <= F.least(F.shiftright(tag, BITS), F.shiftright(other, BITS))
+
+
+def within(a: str | list[str], b: str | list[str], most: int) -> int:
+    """Edit distance of two sequences if it is at most ``most``, else ``most + 1``.
 
     Common ends are taken off. The rest is Myers' bit-vector recurrence on the
     2 * most + 1 cells around the diagonal, which moves down a row a column; the
@@ -141,13 +162,13 @@ def within(a: str, b: str, most: int = EDITS) -> int:
         return len(a) if len(a) <= most else most + 1
     rows, width = len(a), 2 * most + 1
     full, edge = (1 << width) - 1, 1 << (width - 1)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << (i + most)
     # bit t of the band in column j (from 0) is row j - most + t (from 0); rows above the first are level
     up, down, dist = full & ~((1 << most) - 1), 0, min(most, rows)
     for j, c in enumerate(b):
-        match = places.get(c, 0) >> j & full
+        match = 0
+        for i in range(max(0, j - most), min(rows, j + most + 1)):
+            if a[i] == c:
+                match |= 1 << (i - j + most)
         diag = ((((match & up) + up) ^ up) | match | down) & full
         right = (down | ~(diag | up)) & full
         left = diag & up
@@ -164,95 +185,86 @@ def within(a: str, b: str, most: int = EDITS) -> int:
     return dist if dist <= most else most + 1
 
 
+def near(x: str, y: str) -> bool:
+    """Whether two lines are near."""
+    a, b = x.split(), y.split()
+    by_words = len(a) >= WORDS
+    if by_words != (len(b) >= WORDS):
+        return False
+    if not by_words:
+        a, b = x, y
+    most = allowed(min(len(a), len(b)), by_words)
+    return x == y or (most > 0 and within(a, b, most) <= most)
+
+
+def _name(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), seed=42)
+
+
 def _lines(text: str | None) -> list[str]:
-    return [s for s in text.split("\n") if len(s) >= LEAST] if text else []
+    """Lines that can have near ones."""
+    return [s for s in text.split("\n") if len(s) >= PER_CHARACTER and not s.isspace()] if text else []
 
 
-def _keys(docs: DataFrame, probing: bool) -> DataFrame:
-    """Rows (key, line, bits) of all lines: what each asks for, or what it puts into the index."""
-    asked: dict[int, list] = {}
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+    """The texts of the batches, some AT_ONCE characters at a time."""
+    for batch in batches:
+        some: list[str | None] = []
+        size = 0
+        for text in batch.column(0):
+            some.append(text.as_py())
+            size += len(some[-1] or "")
+            if size > AT_ONCE:
+                yield some
+                some, size = [], 0
+        if some:
+            yield some
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                names, lines = [], []
-                for text in batch.slice(k, 200).column(0).to_pylist():
-                    for s in _lines(text):
-                        name = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed=42)
-                        if name not in seen:
-                            seen.add(name)
-                            names.append(name)
-                            lines.append(s)
-                if len(seen) > SEEN:
-                    seen.clear()
-                keys, who = [], []
-                for r, s in enumerate(lines):
-                    n = len(s)
-                    if n not in asked:
-                        if len(asked) > 10_000:
-                            asked.clear()
-                        own = [(n, i, p, size) for i, (p, size) in enumerate(segments(n))]
-                        asked[n] = [(m * 4 + i, p, p + size) for m, i, p, size in (probes(n) if probing else own)]
-                    for seed, p, q in asked[n]:
-                        keys.append(xxhash.xxh64_intdigest(s[p:q].encode("utf-8", "surrogatepass"), seed=seed))
-                        who.append(r)
-                who = np.array(who, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)[who]),
-                     pa.array(parities(lines)[who])], names=["key", "line", "bits"])
-
-    return docs.select("text").mapInArrow(made, "key long, line long, bits long")
-
-
-def alike(tag: Column, tag2: Column) -> Column:
-    """Whether lengths (54 steps are a little over a tenth) and bits of two tags allow near lines."""
-    return ((F.abs(F.shiftright(tag, BITS) - F.shiftright(tag2, BITS)) <= 54)
-            & (F.bit_count(tag.bitwiseXOR(tag2).bitwiseAND(F.lit((1 << BITS) - 1))) <= BITS - LIKE))
-
-
-def _banded(docs: DataFrame) -> DataFrame:
-    """Rows (key, line, tag) of the bands of all long lines, each once, dealt by key."""
+
+def _keys(docs: DataFrame) -> DataFrame:
+    """Rows (key, line, own, tag) of all lines; a repeated line may come once a task."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                names, lines = [], []
-                for text in batch.slice(k, 200).column(0).to_pylist():
-                    for s in _lines(text):
-                        if len(s) >= LONG:
-                            name = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed=42)
-                            if name not in seen:
-                                seen.add(name)
-                                names.append(name)
-                                lines.append(s)
-                if len(seen) > SEEN:
-                    seen.clear()
-                keys, tag = bands(lines)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(np.array(names, np.uint64).view(np.int64), BANDS)),
-                     pa.array(np.repeat(tag, BANDS))], names=["key", "line", "tag"])
-
-    return docs.select("text").mapInArrow(made, "key long, line long, tag long").repartition("key").dropDuplicates(["key", "line"])
+        for texts in _portions(batches):
+            names, lines = [], []
+            for text in texts:
+                for s in _lines(text):
+                    name = _name(s)
+                    if name not in seen:
+                        seen.add(name)
+                        names.append(name)
+                        lines.append(s)
+            if len(seen) > SEEN:
+                seen.clear()
+            if lines:
+                line, key, own, tag = keys_of(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(names, np.uint64).view(np.int64)[line]), pa.array(own), pa.array(tag)],
+                                                 names=["key", "line", "own", "tag"])
+
+    return docs.select("text").mapInArrow(made, "key long, line long, own boolean, tag long")
 
 
 def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(tid, line, s) of the lines with these hashes; the texts are read past a bit map of fixed size."""
-    bits = names.select(F.pmod("line", F.lit(MAP_BITS)).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("v")).collect()  # at most MAP_BITS / 64 rows
-    table = np.zeros(MAP_BITS // 64, np.int64)
-    for r in bits:
+    """(tid, line, s) of the lines with these hashes; the texts are read past a bit map of bounded size."""
+    names = cut_lineage(names)
+    size = MAP_BITS[0]
+    while size < min(MAP_BITS[1], 8 * names.count()):
+        size *= 2
+    bits = names.select(F.pmod("line", F.lit(size)).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("v"))
+    table = np.zeros(size // 64, np.int64)
+    for r in bits.toLocalIterator():  # at most MAP_BITS / 64 rows
         table[r["at"]] = r["v"]
     held = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for texts in _portions(batches):
             out = {}
-            for text in batch.column(0).to_pylist():
+            for text in texts:
                 for s in _lines(text):
-                    h = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed=42)
-                    b = (h - 2 ** 64 if h >= 2 ** 63 else h) % MAP_BITS
+                    h = _name(s)
+                    b = h % size
                     if int(held.value[b >> 6]) >> (b & 63) & 1:
                         out[s] = h
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(out.values()), np.uint64).view(np.int64)), pa.array(list(out), pa.string())], names=["line", "s"])
@@ -261,28 +273,48 @@ def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
     return cut_lineage(rows.select(F.monotonically_increasing_id().alias("tid"), "line", "s"))
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """(m, root): the digest of each line that has another line near it, and the number of its class."""
-    docs = docs.select(F.col("text").cast("string").alias("text"))
-    index = _keys(docs, False).groupBy("key", "line").agg(F.max("bits").alias("bits"))
-    asked = _keys(docs, True).select("key", F.col("line").alias("line2"), F.col("bits").alias("bits2"))
-    near = (F.col("line") != F.col("line2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= 4 * EDITS)
-    met = asked.join(index, "key").where(near).select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b"))
-    long = _banded(docs)
-    other = long.select("key", F.col("line").alias("line2"), F.col("tag").alias("tag2"))
-    far = (long.join(other, "key").where("line < line2").where(alike(F.col("tag"), F.col("tag2")))
-           .select(F.col("line").alias("a"), F.col("line2").alias("b")))
-    met = cut_lineage(met.union(far).distinct())
-    texts = _texts_of(docs, met.select(F.col("a").alias("line")).union(met.select("b")).distinct())
-    pairs = (met.join(texts.select(F.col("line").alias("a"), F.col("tid").alias("u"), F.col("s").alias("x")), "a")
-             .join(texts.select(F.col("line").alias("b"), F.col("tid").alias("v"), F.col("s").alias("y")), "b"))
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of near lines."""
+    both = (pairs.join(texts.select(F.col("tid").alias("u"), F.col("s").alias("x")), "u")
+            .join(texts.select(F.col("tid").alias("v"), F.col("s").alias("y")), "v"))
 
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        most = [allowed(max(len(a), len(b))) for a, b in zip(x, y)]
-        return pd.Series([within(a, b, k) <= k for a, b, k in zip(x, y, most)], dtype=bool)
+        return pd.Series([near(a, b) for a, b in zip(x, y)], dtype=bool)
+
+    return cut_lineage(both.where(F.pandas_udf(close, "boolean")("x", "y")).select("u", "v"))
 
-    linked = cut_lineage(pairs.where(F.pandas_udf(close, "boolean")("x", "y")).select("u", "v"))
-    return components(linked).join(texts.withColumnRenamed("tid", "node"), "node").select(digest(F.col("s")).alias("m"), "root")
+
+def _pairs_of_classes(met: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines of different classes that meet under a key and have alike tags, from rows (key, tid, own, tag, root)."""
+    several = met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    lists = cut_lineage(met.join(several, "key", "left_semi").groupBy("key", "root", F.pmod("tid", F.lit(LISTS)).alias("part"))
+                        .agg(F.collect_list(F.struct("tid", "own", "tag")).alias("xs")))
+    other = lists.select("key", F.col("root").alias("root2"), F.col("xs").alias("ys"))
+    each = (lists.join(other, "key").where("root < root2").select(F.explode("xs").alias("x"), "ys")
+            .select("x", F.explode("ys").alias("y")).where("x.own OR y.own").where(alike(F.col("x.tag"), F.col("y.tag"))))
+    return each.select(F.least("x.tid", "y.tid").alias("u"), F.greatest("x.tid", "y.tid").alias("v")).distinct()
+
+
+def line_classes(docs: DataFrame) -> DataFrame:
+    """(m, root): the digest of each line that has another line near it, and the number of its class."""
+    docs = docs.select(F.col("text").cast("string").alias("text"))
+    keys = cut_lineage(_keys(docs))
+    shared = (keys.groupBy("key").agg(F.max("own").alias("own"), F.min("line").alias("lo"), F.max("line").alias("hi"))
+              .where("own AND lo <> hi").select("key"))
+    met = cut_lineage(keys.join(shared, "key", "left_semi").groupBy("key", "line").agg(F.max("own").alias("own"), F.max("tag").alias("tag")))
+    texts = _texts_of(docs, met.select("line").distinct())
+    met = cut_lineage(met.join(texts.select("line", "tid"), "line").select("key", "tid", "own", "tag"))
+    first = F.when(F.col("own"), F.col("tid"))
+    heads = met.groupBy("key").agg(F.min(first).alias("head"), F.min_by("tag", first).alias("head_tag"))
+    stars = cut_lineage(met.join(heads, "key").where("tid <> head").where(alike(F.col("tag"), F.col("head_tag")))
+                        .select(F.least("tid", "head").alias("u"), F.greatest("tid", "head").alias("v")).distinct())
+    links = _verified(stars, texts)
+    roots = cut_lineage(components(links))
+    met = met.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    more = _verified(_pairs_of_classes(met).join(stars, ["u", "v"], "left_anti"), texts)
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
+    return roots.join(texts.withColumnRenamed("tid", "node"), "node").select(digest(F.col("s")).alias("m"), "root")
 
 
 def digest(s: Column) -> Column:
@@ -307,9 +339,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     each = lines.groupBy("m").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     each = cut_lineage(each.join(line_classes(docs), "m", "left").withColumn("class", F.coalesce(F.col("root").cast("string"), F.col("m"))).drop("root"))
     kept = each.groupBy("class").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where("all > 1")
-    multi = each.join(kept, "class").select("m", F.col("kept.row").alias("row0"), F.col("kept.pos").alias("pos0"),
+    multi = each.join(kept, "class").select("m", "n", F.col("kept.row").alias("row0"), F.col("kept.pos").alias("pos0"),
                                             F.concat_ws(":", F.coalesce(F.col("kept.doc").cast("string"), F.lit("")), F.col("kept.pos").cast("string")).alias("first"))
-    gone = lines.join(multi, "m").where("row <> row0 OR pos <> pos0").select("row", F.struct("pos", "first").alias("d")).distinct()
+    multi = cut_lineage(multi)
+    hot = multi.where(F.col("n") > HOT_COPIES)
+    if 0 < hot.count() <= HOT_LINES:  # the copies of a very common line stay where they are; lines as common as that are few
+        met = lines.join(multi.where(F.col("n") <= HOT_COPIES), "m").unionByName(lines.join(F.broadcast(hot), "m"))
+    else:
+        met = lines.join(multi, "m")
+    gone = met.where("row <> row0 OR pos <> pos0").select("row", F.struct("pos", "first").alias("d")).distinct()
     return gone.groupBy("row").agg(F.sort_array(F.collect_list("d")).alias("drops"))
 
 
@@ -319,7 +357,9 @@ def _joined(docs: DataFrame) -> DataFrame:
     met = named.join(drops.withColumnRenamed("row", "_r"), F.col("_row") == F.col("_r"), "left")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     gone = F.coalesce(F.expr("transform(drops, d -> d.pos)"), F.array().cast("array<int>"))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains(gone, i)), "\n")
+    # bound once: a line is fetched by its number, and numbers are subtracted as sets
+    left = F.transform(F.array(F.split(text, "\n")), lambda all_: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), gone), lambda i: F.element_at(all_, i + 1)), "\n"))[0]
     return met.withColumn("_left", F.when(F.size(gone) > 0, left).otherwise(F.col("text").cast("string")))
 
 
@@ -327,7 +367,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text (what stays) and drops.
 
     ``drops`` lists every dropped line as position=doc_id:position of the line of
-    its class that stays, comma-joined. Of lines under 20 characters exact repeats
+    its class that stays, comma-joined. Of lines under ten characters exact repeats
     are dropped; blank lines stay. A null
     text has no lines and stays null; an empty one has one empty line. Repeated
     rows get the same result; other columns are ignored; an empty table gives no

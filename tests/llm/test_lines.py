@@ -1,6 +1,7 @@
 """Line dedup and near-duplicate join against brute force."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -42,16 +43,37 @@ def test_banded_distance():
             assert ld.within(a, b, most) == min(edits(a, b), most + 1)
 
 
-def test_segments_and_parities_lose_nothing():
+@pytest.mark.parametrize("by_words", [True, False])
+def test_segments_and_parities_lose_nothing(by_words):
     rng = random.Random(3)
-    for _ in range(3000):
-        a = "".join(rng.choice("abcd") for _ in range(rng.randint(22, 40)))
-        b = changed(rng, a, 2)
-        long, short = (a, b) if len(a) >= len(b) else (b, a)
-        index = {(len(short), i, short[p:p + n]) for i, (p, n) in enumerate(ld.segments(len(short)))}
-        assert any((m, i, long[q:q + n]) in index for m, i, q, n in ld.probes(len(long)))
-        x, y = ld.parities([a, b])
-        assert ((int(x) ^ int(y)) & (2 ** 64 - 1)).bit_count() <= 4 * ld.EDITS
+    least = ld.WORDS if by_words else ld.PER_CHARACTER
+    for _ in range(1500):
+        a = [rng.choice("abcd") + (str(rng.randrange(9)) if by_words else "") for _ in range(rng.choice([least, 19, 20, 25, 39, 40, 41, 60, 61, 100, 159, 161, 200]))]
+        a = a[:7] if by_words and len(a) < ld.WORDS else a
+        b = list(a)
+        for _ in range(ld.allowed(len(a), by_words)):
+            k, o = rng.randrange(len(b)), rng.random()
+            b[k:k + (o < .7)] = [rng.choice("abcdx")] if o < .4 or o >= .7 else []
+        if min(len(a), len(b)) < least:
+            continue
+        x, y = (" ".join(a), " ".join(b)) if by_words else ("".join(a), "".join(b))
+        if edits(a, b) > ld.allowed(min(len(a), len(b)), by_words):
+            continue  # shrank below a step of the threshold
+        line, key, own, tag = ld.keys_of(["zz", x, "some other line", y])
+        mine, theirs = set(key[line == 1].tolist()), set(key[line == 3].tolist())
+        assert set(key[(line == 1) & own].tolist()) & theirs or set(key[(line == 3) & own].tolist()) & mine
+        u, v = int(tag[line == 1][0]), int(tag[line == 3][0])
+        apart = ((u ^ v) & ((1 << ld.BITS) - 1)).bit_count()
+        assert apart <= min(u >> ld.BITS, v >> ld.BITS) and ld.near(x, y)
+
+
+def test_keys_do_not_depend_on_neighbours():
+    lines = ["one two three four five six seven eight", "short", "a line of ten chars or more", "x" * 300, " ".join(map(str, range(500)))]
+    line, key, own, tag = ld.keys_of(lines)
+    for k, s in enumerate(lines):
+        alone = ld.keys_of([s])
+        assert key[line == k].tolist() == alone[1].tolist() and tag[line == k].tolist() == alone[3].tolist() and own[line == k].tolist() == alone[2].tolist()
+    assert not (line == 1).any() and own[line == 4].sum() == ld.MOST + 1
 
 
 def classes(n, links):
@@ -68,15 +90,38 @@ def classes(n, links):
     return [find(k) for k in range(n)]
 
 
+def plainly_near(a, b):
+    """The rule of near lines, by the full table of edit distances."""
+    x, y = a.split(), b.split()
+    if (len(x) >= 8) != (len(y) >= 8):
+        return False
+    if len(x) >= 8:
+        short = min(len(x), len(y))
+        most = min(8, max(1, short // 20))
+    else:
+        x, y, short = a, b, min(len(a), len(b))
+        most = min(2, short // 10)
+    if not most or abs(len(x) - len(y)) > most or sum((Counter(x) - Counter(y)).values()) > most:
+        return False
+    return edits(x, y) <= most
+
+
 def expected_drops(docs):
     """{doc_id: drops} by comparing all lines with all lines."""
     rows = sorted(((d, t) for d, t in docs), key=lambda r: r[0])
-    lines = [(d, k, s) for d, t in rows for k, s in enumerate((t or "").split("\n")) if len(s) >= ld.LEAST]
+    lines = [(d, k, s) for d, t in rows for k, s in enumerate((t or "").split("\n")) if s.strip()]
     distinct = list(dict.fromkeys(s for *_, s in lines))
     at = {s: k for k, s in enumerate(distinct)}
-    bags = [set(zip(s, s[1:])) for s in distinct]
-    close = [(a, b) for a, b in combinations(range(len(distinct)), 2) if abs(len(distinct[a]) - len(distinct[b])) <= 2
-             and len(bags[a] ^ bags[b]) <= 8 and edits(distinct[a], distinct[b]) <= 2]
+    # only lines of almost one length can be near; words come before characters
+    size = sorted(range(len(distinct)), key=lambda k: (len(distinct[k].split()) < 8, len(distinct[k].split()) if len(distinct[k].split()) >= 8 else len(distinct[k])))
+    measure = [(len(distinct[k].split()) if len(distinct[k].split()) >= 8 else -len(distinct[k])) for k in size]
+    close = []
+    for i, a in enumerate(size):
+        for j in range(i + 1, len(size)):
+            if abs(abs(measure[j]) - abs(measure[i])) > 8 or (measure[i] > 0) != (measure[j] > 0):
+                break
+            if plainly_near(distinct[a], distinct[size[j]]):
+                close.append((a, size[j]))
     root = classes(len(distinct), close)
     first, out = {}, {}
     for d, k, s in lines:
@@ -100,12 +145,51 @@ def test_line_dedup(spark):
         assert got[d].text == "\n".join(s for k, s in enumerate(t.split("\n")) if k not in gone)
 
 
+def test_line_dedup_of_words(spark, monkeypatch):
+    monkeypatch.setattr(ld, "LISTS", 3)
+    monkeypatch.setattr(ld, "HOT_COPIES", 5)
+    rng = random.Random(14)
+    vocabulary = ["w%d" % k for k in range(60)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice([7, 8, 9, 19, 20, 39, 40, 45, 61, 170]))] for _ in range(25)]
+    docs = []
+    for k in range(120):
+        out = []
+        for _ in range(rng.randint(0, 5)):
+            w = list(base[0] if rng.random() < .3 else rng.choice(base))
+            for _ in range(rng.randint(0, 3)):
+                j, o = rng.randrange(len(w)), rng.random()
+                w[j:j + (o < .8)] = [rng.choice(vocabulary)] if o < .6 or o >= .8 else []
+            out.append(" ".join(w))
+        docs.append((k, "\n".join([*out, "", "Home"])))
+    got = {r.doc_id: r.drops for r in ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.drops}
+    want = expected_drops(docs)
+    assert got == want and any(len(v.split(",")) > 3 for v in want.values())
+
+
+def test_line_dedup_of_documents(spark):
+    docs = read(spark, SF, "documents").where("doc_id < 400")  # a fixture: every pair is compared
+    got = {r.doc_id: r.drops for r in ld.line_dedup(docs).collect() if r.drops}
+    assert got == expected_drops([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_a_class_under_a_shared_segment(spark):
+    """Near copies of one line, and other lines that share a segment with them but are near only each other."""
+    rng = random.Random(15)
+    head = "alpha beta gamma delta"
+    near = [f"{head} epsilon zeta eta theta iota w{k}" for k in range(150)]
+    pairs = [f"{head} {' '.join(rng.choice('abcdefgh') * 3 + str(rng.randrange(99)) for _ in range(6))}" for _ in range(20)]
+    others = [p + tail for p in pairs for tail in ("", " end")]
+    docs = [(k, s) for k, s in enumerate(near + others)]
+    got = {r.doc_id: r.drops for r in ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.drops}
+    assert got == expected_drops(docs) and len(got) == 149 + 20
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = ld.line_dedup(odd_docs(spark)).collect()
     assert len(rows) == 14
     of = {r.doc_id: r for r in rows if r.doc_id}
     assert of[1].text is None and of[1].n_lines == 0 and of[2].n_lines == 1 and of[4].n_dropped == 0 and of[5].drops == "0=4:0"
-    assert of[7].drops == "0=4:0" and of[11].drops == "0=4:0,1=4:0" and of[11].text == "short"
+    assert of[7].drops == "0=4:0" and of[11].drops == "0=4:0,1=4:0" and of[11].text == "short"  # one word of fifteen differs
     assert ld.line_dedup(no_docs(spark)).count() == 0
     left = ld.without_repeats(odd_docs(spark))
     assert left.columns == odd_docs(spark).columns and 5 not in [r.doc_id for r in left.collect()] and left.where("doc_id = 4").count() == 2
