@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage
 before it kept, and returns a table that is written as Parquet and read again.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, whatever other
+columns there are and however they are called. A null text counts as empty; very
+long texts are read whole; repeated rows and null doc_ids are documents like
+others; an empty table passes every stage as one.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,29 +19,37 @@ from barloom.llm.quality import THRESHOLD, fit, quality_scores
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; null and empty texts have a score like any other."""
     scored = quality_scores(docs.select(F.struct("*").alias("doc"), "text"), fit(docs, read(spark, sf_dir, "labels")))
     return scored.where(F.col("quality_score") >= THRESHOLD).select("doc.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand, up to two edits, elsewhere before; emptied documents go."""
+    """Documents without the lines that repeat, or are near, a line elsewhere before.
+
+    Before means a smaller doc_id (null last), then the text's digest, then the
+    place. Documents that this leaves without anything go; null, empty and blank
+    texts stay as they are; repeated rows lose the same lines.
+    """
     left = without_repeats(docs)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Equal texts and repeated rows are one group, null and empty texts among them.
+    """
     return one_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; texts without words hold none."""
     return without_benchmark(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens; a null or empty text is its closing id."""
     return pack(docs)
 
 
