@@ -75,23 +75,3 @@ def rolling(agg, c, n: int, need: int | None = None, **kw) -> Column:
 
 def rolling_prior(agg, c, n: int, need: int | None = None, **kw) -> Column:
     return gated(agg, c, n, prior_n(n, **kw), need)
-
-
-def rolling_quantile(c, q: float, n: int, need: int | None = None, **kw) -> Column:
-    return gated(lambda x: F.percentile(x, q), c, n, last_n(n, **kw), need)
-
-
-def rolling_rank_pct(c, n: int, need: int | None = None, ties: str = "average", **kw) -> Column:
-    """Where the current value stands in its own last n values, as a share.
-
-    ``average`` gives the mean rank of ties over the count; ``max`` gives the
-    share of values at or below the current one.
-    """
-    c = col(c)
-    frame = last_n(n, **kw)
-    seen = F.collect_list(c).over(frame)
-    lower = F.size(F.filter(seen, lambda v: v < c))
-    same = F.size(F.filter(seen, lambda v: v == c))
-    pos = lower + (same + 1) / 2 if ties == "average" else lower + same
-    return F.when(c.isNotNull() & (F.count(c).over(frame) >= (need or n)),
-                  pos / F.count(c).over(frame))

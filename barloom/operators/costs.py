@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import col
+from ..functions.selection import with_quantiles
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,8 @@ def retail_bound(df: DataFrame, turnover, position_value: float, keys=(),
     """Median and 95th percentile of participation and slippage over turnover."""
     d = df.where(col(turnover) > 0).withColumn("__p", position_value / col(turnover))
     d = d.withColumn("__b", model.bps("__p"))
-    return d.groupBy(*keys).agg(
-        (100.0 * F.percentile("__p", 0.5)).alias("median_participation_pct"),
-        (100.0 * F.percentile("__p", 0.95)).alias("p95_participation_pct"),
-        F.percentile("__b", 0.5).alias("median_bps"), F.percentile("__b", 0.95).alias("p95_bps"),
-        (2.0 * F.percentile("__b", 0.5) / 100.0).alias("median_round_trip_pct"))
+    out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    out = with_quantiles(out, d, keys, "__p", {"p50": 0.5, "p95": 0.95})
+    out = with_quantiles(out, d, keys, "__b", {"median_bps": 0.5, "p95_bps": 0.95})
+    return out.select(*keys, (100.0 * F.col("p50")).alias("median_participation_pct"), (100.0 * F.col("p95")).alias("p95_participation_pct"),
+                      "median_bps", "p95_bps", (2.0 * F.col("median_bps") / 100.0).alias("median_round_trip_pct"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import frames as W
 from ..functions.ewm import ewm, wilder_alpha
+from ..functions.order_stats import Quantile, Rank, with_order_stats
 from ..functions.scalars import finite, price, truth
 from .indicators import directional_movement, true_range, with_benchmark
 
@@ -184,20 +185,20 @@ def stage1_series(bars: DataFrame, benchmark: DataFrame | None = None, min_bars:
     dist = {f"dist_sma{n}_pct": finite(100.0 * (F.col("close") / price(W.sma("close", n)) - 1.0))
             for n in (20, 50, 200)}
     hi, lo = W.rolling(F.max, "high", 252, 1), W.rolling(F.min, "low", 252, 1)
-    squeeze = W.rolling_quantile("bb_width_pct", 0.2, 120, 40)
     p = p.withColumns({
         "bars": F.count("close").over(W.so_far()),
         **{f"ret_{k}d_pct": finite(100.0 * (F.col("close") / price(W.shift("close", k)) - 1.0)) for k in (1, 5, 20)},
         "rel_volume": finite(F.col("volume") / F.nullif(W.rolling_prior(F.avg, "volume", 20), F.lit(0.0))),
         "gap_pct": finite(100.0 * (F.col("open") / price(W.shift("close")) - 1.0)),
-        "atr_pct_rank": 100.0 * W.rolling_rank_pct("atr_pct", 252, 60), **dist,
+        **dist,
         "high_52w": hi, "low_52w": lo,
         "low_20": W.rolling(F.min, "low", 20), "prior_high_20": W.rolling_prior(F.max, "high", 20),
         "prior_low_10": W.rolling_prior(F.min, "low", 10), "__pivot": pivot,
-        "bb_lower": F.col("bb_mid") - 2.0 * F.col("__sd"),
-        "compressed": truth(F.col("bb_width_pct") <= squeeze),
-        "rs_rank": 100.0 * W.rolling_rank_pct("rs", 55, 20)})
-    p = p.withColumns({"swing_low": F.col("__pivot.level"),
+        "bb_lower": F.col("bb_mid") - 2.0 * F.col("__sd")})
+    # after the windows, whose partitioning and order end here
+    p = with_order_stats(p, {"atr_pct_rank": Rank("atr_pct", 252, 60), "rs_rank": Rank("rs", 55, 20), "__squeeze": Quantile("bb_width_pct", 0.2, 120, 40)})
+    p = p.withColumns({"atr_pct_rank": 100.0 * F.col("atr_pct_rank"), "rs_rank": 100.0 * F.col("rs_rank"),
+                       "compressed": truth(F.col("bb_width_pct") <= F.col("__squeeze")), "swing_low": F.col("__pivot.level"),
                        "swing_low_age": (F.col("idx") - F.col("__pivot.idx")).cast("double"),
                        "pos_52w_pct": finite(100.0 * (F.col("close") - F.col("low_52w"))
                                              / F.nullif(F.col("high_52w") - F.col("low_52w"), F.lit(0.0)))})

@@ -11,19 +11,46 @@ YEAR, YEAR_TOL, STEP, STEP_TOL, MAX_GROWTH = 365, 45, 91, 35, 100.0
 NATURES = ("consolidated", "standalone")
 
 
-def known_at(filings: DataFrame, as_of) -> DataFrame:
-    return filings.where(F.col("disclosed_at") <= F.lit(as_of).cast("timestamp"))
+#: A date means the moment its session opens: what was disclosed later that day is not known yet.
+MARKET_OPEN = "09:15:00"
 
 
-def latest_filing(filings: DataFrame, as_of) -> DataFrame:
-    """Newest filing per symbol disclosed by ``as_of``, as a partial aggregation."""
+def moment(as_of) -> Column:
+    """A timestamp as it is, a date as its open."""
+    text = str(as_of)
+    return F.lit(f"{text} {MARKET_OPEN}" if len(text) == 10 else text).cast("timestamp")
+
+
+def period_months(start="period_start", end="period_end") -> Column:
+    """Length of a period in whole months, from its days: 3 a quarter, 9 and 12 the year to date."""
+    return F.greatest(F.lit(1), F.round((F.datediff(col(end), col(start)) + 1) / 30.44).cast("int"))
+
+
+def spanning(filings: DataFrame, months: int | None) -> DataFrame:
+    """Periods of that length. Filings without ``period_start`` hold quarters only."""
+    if months is None or "period_start" not in filings.columns:
+        return filings
+    return filings.where(period_months() == months)
+
+
+def known_at(filings: DataFrame, as_of, months: int | None = None) -> DataFrame:
+    return spanning(filings.where(F.col("disclosed_at") <= moment(as_of)), months)
+
+
+def latest_filing(filings: DataFrame, as_of, months: int | None = None) -> DataFrame:
+    """Newest filing per symbol disclosed by ``as_of``, as a partial aggregation.
+
+    Without ``months`` any period counts, since a filing whose numbers are not
+    read yet is still the latest; of one filing's periods the shortest is taken.
+    """
     rest = [c for c in filings.columns if c != "symbol"]
-    return (known_at(filings, as_of).groupBy("symbol")
-            .agg(F.max_by(F.struct(*rest), F.struct("disclosed_at", "period_end", "nature")).alias("r")).select("symbol", "r.*"))
+    order = ["disclosed_at", "period_end", *(["period_start"] if "period_start" in rest else []), "nature"]
+    return (known_at(filings, as_of, months).groupBy("symbol")
+            .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select("symbol", "r.*"))
 
 
 def latest_as_of(asks: DataFrame, filings: DataFrame, value: str) -> DataFrame:
-    """The value of the newest filing at each distinct (symbol, as_of) date.
+    """The value of the newest filing at the open of each distinct (symbol, as_of) date.
 
     Filings reduce to the last one per symbol and first day on which a date
     question can see it, questions to distinct days, so whatever share of the
@@ -31,7 +58,8 @@ def latest_as_of(asks: DataFrame, filings: DataFrame, value: str) -> DataFrame:
     The last filing is then carried forward.
     """
     ts = F.col("disclosed_at")
-    seen_on = F.date_add(F.to_date(ts), F.when(ts > F.to_date(ts).cast("timestamp"), 1).otherwise(0))
+    opened = F.to_timestamp(F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit(f" {MARKET_OPEN}")))
+    seen_on = F.date_add(F.to_date(ts), F.when(ts > opened, 1).otherwise(0))
     f = (filings.groupBy("symbol", seen_on.alias("at")).agg(F.max(F.struct("disclosed_at", value)).alias("v"))
          .select("symbol", "at", F.lit(0).alias("k"), "v"))
     a = asks.select("symbol", F.col("as_of").cast("date").alias("at"), F.lit(1).alias("k")).distinct()
@@ -49,7 +77,7 @@ def comparable(quarters: DataFrame) -> DataFrame:
     """
     rank = F.when(F.col("nature") == NATURES[0], 0).otherwise(1)
     w = Window.partitionBy("symbol", "nature")
-    q = quarters.where(F.col("nature").isin(*NATURES) & F.col("period_end").isNotNull())
+    q = spanning(quarters, 3).where(F.col("nature").isin(*NATURES) & F.col("period_end").isNotNull())
     q = q.withColumn("cur_end", F.max("period_end").over(w))
     off = F.abs(F.datediff("period_end", F.date_sub("cur_end", YEAR)))
     twin = (F.col("period_end") < F.col("cur_end")) & (off <= YEAR_TOL)
@@ -80,14 +108,22 @@ def derived(prefix: str = "") -> dict[str, Column]:
             "op_margin_pct": finite(100.0 * ebit / above(c("revenue"))), "interest_cover": finite(ebit / above(c("finance_costs")))}
 
 
-def build_table(filings: DataFrame, as_of) -> DataFrame:
-    """Growth, margin change, filing age and derived ratios per symbol."""
-    q = known_at(filings, as_of)
+def build_table(filings: DataFrame, as_of, sectors: DataFrame | None = None) -> DataFrame:
+    """Growth, margin change, filing age and derived ratios per symbol, from its quarters.
+
+    ``industry`` comes from ``sectors`` (symbol, industry) and is null without it.
+    """
+    q = known_at(filings, as_of, 3)
     newest = q.groupBy("symbol").agg(F.max("disclosed_at").alias("last_disclosed"))
     t = comparable(q).join(newest, "symbol")
     now, was = (lambda n: F.col(f"current.{n}")), (lambda n: F.col(f"prior.{n}"))
     m1, m0 = net_margin(now("profit_after_tax"), now("revenue")), net_margin(was("profit_after_tax"), was("revenue"))
-    return t.select("symbol", "nature", now("period_end").alias("period_end"), now("revenue").alias("revenue"),
+    if sectors is not None:
+        named = sectors.groupBy(base_symbol("symbol").alias("__b")).agg(F.min("industry").alias("industry"))
+        t = t.join(named, base_symbol("symbol") == F.col("__b"), "left")
+    else:
+        t = t.withColumn("industry", F.lit(None).cast("string"))
+    return t.select("symbol", "industry", "nature", now("period_end").alias("period_end"), now("revenue").alias("revenue"),
                     now("profit_after_tax").alias("profit_after_tax"), m1.alias("net_margin_pct"),
                     growth(now("revenue"), was("revenue")).alias("revenue_growth_yoy_pct"),
                     growth(now("profit_after_tax"), was("profit_after_tax")).alias("profit_growth_yoy_pct"),
@@ -97,11 +133,26 @@ def build_table(filings: DataFrame, as_of) -> DataFrame:
                     *[v.alias(k) for k, v in derived("current.").items()])
 
 
-def coverage_counts(asked: DataFrame, table: DataFrame) -> DataFrame:
+def coverage_reasons(asked: DataFrame, filings: DataFrame, as_of, table: DataFrame | None = None) -> DataFrame:
+    """(base, reason) of every asked symbol: complete, or the first thing that is missing.
+
+    A symbol with a stored body that could not be read (``unreadable``, where the
+    filings have it) is told apart from one without filings, and one whose
+    quarters have no nature or end from one without a year-ago quarter.
+    """
+    known = filings.where(F.col("disclosed_at") <= moment(as_of))
+    broken = F.max(F.coalesce("unreadable", F.lit(False))) if "unreadable" in filings.columns else F.lit(False)
+    length = period_months() if "period_start" in filings.columns else F.lit(3)
+    held = known.groupBy(base_symbol("symbol").alias("base")).agg(broken.alias("broken"), F.max((length == 3).cast("int")).alias("quarters"))
+    t = (build_table(filings, as_of) if table is None else table).select(base_symbol("symbol").alias("base"), "coverage")
+    a = asked.select(base_symbol("symbol").alias("base")).join(held, "base", "left").join(t, "base", "left")
+    return a.select("base", F.when(F.col("broken"), "unreadable").when(F.coalesce("quarters", F.lit(0)) == 0, "no filings on file")
+                    .when(F.col("coverage").isNull(), "no quarterly numbers").otherwise(F.col("coverage")).alias("reason"))
+
+
+def coverage_counts(asked: DataFrame, filings: DataFrame, as_of) -> DataFrame:
     """Exclusive reason per asked symbol, counted."""
-    a = asked.select(base_symbol("symbol").alias("base")).join(
-        table.select(base_symbol("symbol").alias("base"), "coverage"), "base", "left")
-    return a.groupBy(F.coalesce("coverage", F.lit("no filings on file")).alias("reason")).agg(F.count(F.lit(1)).alias("symbols"))
+    return coverage_reasons(asked, filings, as_of).groupBy("reason").agg(F.count(F.lit(1)).alias("symbols"))
 
 
 def trailing_twelve(quarters: DataFrame) -> DataFrame:
@@ -110,7 +161,7 @@ def trailing_twelve(quarters: DataFrame) -> DataFrame:
     A missing figure in any of the four makes its sum NULL.
     """
     w = Window.partitionBy("symbol", "nature").orderBy(F.desc("period_end"))
-    q = quarters.where(F.col("nature").isin(*NATURES)).withColumns(
+    q = spanning(quarters, 3).where(F.col("nature").isin(*NATURES)).withColumns(
         {"k": F.row_number().over(w), "step": F.datediff(F.lag("period_end").over(w), "period_end")}).where("k <= 4")
     total = lambda c: F.when(F.count(c) == 4, F.sum(c))
     g = q.groupBy("symbol", "nature").agg(

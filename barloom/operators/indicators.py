@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import frames as W
 from ..functions.ewm import ewm, span_alpha, wilder_alpha
+from ..functions.order_stats import Quantile, Rank, with_order_stats
 from ..functions.scalars import col, finite, ratio, truth
 
 SESSIONS_PER_YEAR = 252
@@ -81,8 +82,8 @@ def bollinger(c="close", n: int = 20, k: float = 2.0, sample: bool = True) -> di
 
 def compressed(df: DataFrame, width="bb_width_pct", q: float = 0.2, n: int = 120,
                need: int | None = None) -> DataFrame:
-    edge = W.rolling_quantile(width, q, n, need)
-    return df.withColumn("compressed", truth(F.col(width) <= edge))
+    df = with_order_stats(df, {"__edge": Quantile(width, q, n, need)})
+    return df.withColumn("compressed", truth(F.col(width) <= F.col("__edge"))).drop("__edge")
 
 
 def return_std(n: int = 20, annualise: bool = False, c="ret") -> Column:
@@ -292,8 +293,8 @@ def rs_line(c="close") -> Column:
     return finite(ratio(c, "bench"))
 
 
-def rs_rank(n: int = 63, c="rs") -> Column:
-    return 100.0 * W.rolling_rank_pct(c, n, ties="max")
+def rs_rank(df: DataFrame, n: int = 63, c: str = "rs", out: str = "rs_rank") -> DataFrame:
+    return with_order_stats(df, {out: Rank(c, n, ties="max")}).withColumn(out, 100.0 * F.col(out))
 
 
 # ---- latest values ------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import frames as W
+from ..functions.selection import with_quantiles, with_stretch
+from ..session import cut_lineage
 from .costs import CostModel
 
 
@@ -33,19 +35,22 @@ def by_exit(trades: DataFrame, keys=()) -> DataFrame:
 def max_drawdown_r(trades: DataFrame, session: str = "exit_date", r: str = "r_multiple", tie=("symbol", "sid")) -> DataFrame:
     """Deepest fall of the running R sum from its high, the high starting at 0.
 
-    The running sum over all trades is built from two levels, trades inside a
-    session and session totals over the calendar, so no task sorts every trade.
+    Trades stand by session, then ``tie``. A stretch of them is summed up by its
+    total and its highest running sum, and summaries of neighbours combine, so
+    stretches are taken one by one: value ranges of the first tie column inside a
+    session. A session with most of the trades is as many stretches as others.
     """
-    t = trades.where(F.col(r).isNotNull())
-    w = Window.partitionBy(session).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
+    t = with_stretch(cut_lineage(trades.where(F.col(r).isNotNull()).select(session, *tie, r)), tie[0])
+    unit = [session, "__stretch"]
+    w = Window.partitionBy(*unit).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("__run", F.sum(r).over(w))
     t = t.withColumn("__top", F.max("__run").over(w))
-    day = t.groupBy(session).agg(F.sum(r).alias("__sum"), F.max("__run").alias("__max"))
-    past = Window.orderBy(session).rowsBetween(Window.unboundedPreceding, -1)
-    day = day.withColumn("__off", F.coalesce(F.sum("__sum").over(past), F.lit(0.0)))
-    day = day.withColumn("__high", F.greatest(F.lit(0.0), F.coalesce(
+    part = t.groupBy(*unit).agg(F.sum(r).alias("__sum"), F.max("__run").alias("__max"))
+    past = Window.orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)  # at most 65 rows a session
+    part = part.withColumn("__off", F.coalesce(F.sum("__sum").over(past), F.lit(0.0)))
+    part = part.withColumn("__high", F.greatest(F.lit(0.0), F.coalesce(
         F.max(F.col("__off") + F.col("__max")).over(past), F.lit(0.0))))
-    return (t.join(day.select(session, "__off", "__high"), session)
+    return (t.join(part.select(*unit, "__off", "__high"), unit)
             .agg(F.least(F.lit(0.0), F.min(F.col("__off") + F.col("__run") - F.greatest(
                 F.col("__high"), F.col("__off") + F.col("__top")))).alias("max_drawdown_r")))
 
@@ -58,12 +63,12 @@ def linspace_windows(n: Column, windows: int) -> Column:
 
 def cohort_summary(trades: DataFrame, keys, month: str, rr: float, cost_r: float, min_trades: int = 30) -> DataFrame:
     """Per window: net R as mean of monthly means, median, share at target."""
-    t = trades.withColumn("net", F.col("r") - cost_r)
+    t = cut_lineage(trades.select(*keys, month, "r").withColumn("net", F.col("r") - cost_r))
     cohort = t.groupBy(*keys, month).agg(F.avg("net").alias("m"))
     net = cohort.groupBy(*keys).agg(F.avg("m").alias("net_r"))
-    flat = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.median("net").alias("median_net_r"),
+    flat = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"),
                                 (100.0 * F.avg((F.abs(F.col("r") - rr) < 1e-9).cast("double"))).alias("target_hit_pct"))
-    out = flat.join(net, list(keys))
+    out = with_quantiles(flat.join(net, list(keys)), t, keys, "net", {"median_net_r": 0.5})
     scored = F.col("trades") >= min_trades
     return out.withColumns({"scored": scored, "positive": scored & (F.col("net_r") > 0)})
 

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import truth
+from ..functions.selection import join_on, with_stretch
 from ..functions.tails import adf_stat, tau_p
+from ..session import cut_lineage
 
 MIN_OBS, WINDOW = 120, 250
 
@@ -102,15 +104,28 @@ def pair_state(joint: DataFrame, window: int = WINDOW, min_obs: int = MIN_OBS) -
 
 
 def screen(states: DataFrame, fdr: float = 0.10, min_half: float = 2.0, max_half: float = 60.0, keys=()) -> DataFrame:
-    """Benjamini-Hochberg over all tested pairs, then the reasons to leave a pair out."""
-    n = lambda *c: Window.partitionBy(*keys).orderBy(*c)  # noqa: E731  one row per pair
-    tested = states.where("pvalue IS NOT NULL")
-    m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    k = F.row_number().over(n("pvalue", "y", "x"))
-    d = tested.withColumns({"__m": m, "__k": k})
-    q = F.min(F.col("pvalue") * F.col("__m") / F.col("__k")).over(n("pvalue", "y", "x").rowsBetween(0, Window.unboundedFollowing))
-    cut = F.max(F.when(F.col("pvalue") <= F.col("__k") / F.col("__m") * fdr, F.col("__k"))).over(Window.partitionBy(*keys))
-    d = d.withColumns({"qvalue": F.least(q, F.lit(1.0)), "__ok": truth(F.col("__k") <= cut)}).drop("__m")
+    """Benjamini-Hochberg over all tested pairs, then the reasons to leave a pair out.
+
+    Pairs are dealt by ranges of their p-value. A range's count gives the ranks of
+    the next one, its smallest ratio the bound of those before it, so neither
+    ranks nor the step-up minimum need all pairs in one task.
+    """
+    unit = [*keys, "__stretch"]
+    d = cut_lineage(with_stretch(states.where("pvalue IS NOT NULL"), "pvalue"))
+    whole = Window.partitionBy(*keys).orderBy("__stretch")  # at most 65 rows a family of tests, as are the windows over it
+    per = d.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n"))
+    per = per.withColumns({"__off": F.coalesce(F.sum("__n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                           "__m": F.sum("__n").over(Window.partitionBy(*keys))})
+    inside = Window.partitionBy(*unit).orderBy("pvalue", "y", "x")
+    d = join_on(d, per.drop("__n"), unit)
+    d = d.withColumn("__k", F.col("__off") + F.row_number().over(inside))
+    d = cut_lineage(d.withColumn("__q", F.min(F.col("pvalue") * F.col("__m") / F.col("__k")).over(inside.rowsBetween(0, Window.unboundedFollowing))))
+    per = d.groupBy(*unit).agg(F.min("__q").alias("__least"), F.max(F.when(F.col("pvalue") <= F.col("__k") / F.col("__m") * fdr, F.col("__k"))).alias("__last"))
+    per = per.withColumns({"__later": F.min("__least").over(whole.rowsBetween(1, Window.unboundedFollowing)),
+                           "__cut": F.max("__last").over(Window.partitionBy(*keys))}).select(*unit, "__later", "__cut")
+    d = join_on(d, per, unit)
+    d = d.withColumns({"qvalue": F.least("__q", "__later", F.lit(1.0)), "__ok": truth(F.col("__k") <= F.col("__cut")), "__k": F.col("__k").cast("int")})
+    d = d.drop("__stretch", "__off", "__m", "__q", "__later", "__cut")
     out = d.unionByName(states.where("pvalue IS NULL").withColumns(
         {"qvalue": F.lit(None).cast("double"), "__ok": F.lit(False), "__k": F.lit(None).cast("int")}))
     reason = (F.when(F.col("beta").isNull(), "no hedge ratio").when(F.col("pvalue").isNull(), "no p-value")

@@ -182,19 +182,30 @@ def adjustment_steps(bars: DataFrame, actions: DataFrame, as_of=None, dividends:
     return steps
 
 
+def factor_intervals(steps: DataFrame) -> DataFrame:
+    """Per symbol the ex dates in order, each with the product of its factor and all later ones: ``cuts``.
+
+    From one such date to the next the adjustment factor is the later date's
+    product, so actions alone tell the factor of every session.
+    """
+    per_day = steps.groupBy("symbol", "ex_date").agg(F.sum("lnf").alias("lnf"))
+    later = Window.partitionBy("symbol").orderBy(F.desc("ex_date")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = per_day.withColumn("factor", F.exp(F.sum("lnf").over(later)))
+    return rows.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ex_date", "factor"))).alias("cuts"))
+
+
 def adjust(bars: DataFrame, actions: DataFrame, as_of=None, dividends: bool = False) -> DataFrame:
     """Back-adjusted prices and volume beside the raw ones.
 
-    A bar's factor is the product over actions with a later ex date. Actions are
-    merged into the symbol's own time order and summed in logs backwards, so
-    there is no join of every bar with every action.
+    A bar's factor is the product over actions with a later ex date. Bars meet
+    their symbol's factor intervals, a row with a few dates, and look their own
+    session up in it: they are neither sorted nor paired with actions, and stay
+    where they are if the intervals are small enough to be sent to them.
     """
-    steps = adjustment_steps(bars, actions, as_of, dividends).groupBy("symbol", "ex_date").agg(F.sum("lnf").alias("lnf"))
-    marks = steps.select("symbol", F.col("ex_date").alias("session"), F.lit(0).alias("k"), "lnf")
-    b = bars.withColumns({"k": F.lit(1), "lnf": F.lit(None).cast("double")})
-    w = Window.partitionBy("symbol").orderBy("session", "k").rowsBetween(1, Window.unboundedFollowing)
-    both = b.unionByName(marks, allowMissingColumns=True).withColumn(
-        "adj_factor", F.exp(F.coalesce(F.sum("lnf").over(w), F.lit(0.0)))).where("k = 1").drop("k", "lnf")
+    cuts = factor_intervals(adjustment_steps(bars, actions, as_of, dividends))
+    ahead = F.get(F.filter("__cuts", lambda c: c["ex_date"] > F.col("session")), F.lit(0))["factor"]
+    both = (bars.join(cuts.select("symbol", F.col("cuts").alias("__cuts")), "symbol", "left")
+            .withColumn("adj_factor", F.coalesce(ahead, F.lit(1.0))).select(*bars.columns, "adj_factor"))
     return both.withColumns({**{f"adj_{c}": F.col(c) * F.col("adj_factor") for c in ("open", "high", "low", "close")},
                              "adj_volume": F.col("volume") / F.col("adj_factor")})
 

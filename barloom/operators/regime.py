@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import frames as W
+from ..functions.dominance import count_not_above
 from ..functions.scalars import truth
+from ..functions.selection import with_quantiles
+from ..session import cut_lineage
 
 # History floors and thresholds of each dimension.
 MIN_SESSIONS, MIN_VOL = 60, 120
@@ -48,8 +51,9 @@ def regime_series(panel: DataFrame) -> DataFrame:
     vol_frame = w.rowsBetween(-19, 0)
     d = d.withColumns({"sigma": F.stddev_samp("daily").over(w.rowsBetween(-59, 0)),
                        "vol": F.when(F.count("daily").over(vol_frame) == 20, F.stddev_samp("daily").over(vol_frame))})
-    seen = F.collect_list("vol").over(past)
-    d = d.withColumns({"vol_pctile": 100.0 * F.try_divide(F.size(F.filter(seen, lambda v: v <= F.col("vol"))), F.size(seen)),
+    d = cut_lineage(d)  # a row a session; ranked and joined with itself
+    d = count_not_above(d, "idx", "vol")
+    d = d.withColumns({"vol_pctile": F.when(F.count("vol").over(past) > 0, 100.0 * F.try_divide(F.coalesce("not_above", F.lit(0)), F.count("vol").over(past))),
                        "drawdown_pct": 100.0 * (F.col("composite") / F.col("peak") - 1.0)})
     d = d.withColumn("trend_z", F.when(truth(F.col("sigma") >= MIN_SIGMA), F.col("change") / (F.col("sigma") * 20 ** 0.5))
                      .otherwise(F.col("change") / FALLBACK))
@@ -82,8 +86,9 @@ def sector_medians(panel: DataFrame, sectors: DataFrame, n: int = 20, min_names:
     """Median n-session return per industry and session, leading and lagging."""
     p = panel.withColumn("change", F.col("close") / F.nullif(W.shift("close", n), F.lit(0.0)) - 1.0)
     g = (p.join(sectors.select("symbol", "industry"), "symbol").where("change IS NOT NULL")
-         .groupBy("session", "industry").agg(F.median("change").alias("median_change"), F.count("change").alias("names"))
-         .where(F.col("names") >= min_names))
+         .select("session", "industry", "change"))
+    g = with_quantiles(g.groupBy("session", "industry").agg(F.count("change").alias("names")).where(F.col("names") >= min_names),
+                       g, ["session", "industry"], "change", {"median_change": 0.5}).select("session", "industry", "median_change", "names")
     w = Window.partitionBy("session")
     hi = F.row_number().over(w.orderBy(F.desc("median_change"), "industry"))
     lo = F.row_number().over(w.orderBy("median_change", F.desc("industry")))

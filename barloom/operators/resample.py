@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.selection import with_quantiles, with_stretch
+from ..session import cut_lineage
 from .outcomes import sequential_sums
 
 
@@ -63,15 +65,18 @@ def timing_test(signals: DataFrame, lattice: DataFrame, n_sessions: Column, cost
 def numbered(trades: DataFrame, session: str, *tie) -> DataFrame:
     """Global position by (session, tie...) without one global sort task.
 
-    Rows are counted per session, the counts are accumulated over the calendar,
-    and rows are numbered inside their session.
+    Rows are counted per stretch (a value range of the first tie column inside a
+    session), the counts are accumulated over sessions and stretches, and rows
+    are numbered inside their stretch; a session with most of the rows is many.
     """
-    per = trades.groupBy(session).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(session).rowsBetween(Window.unboundedPreceding, -1)
-    off = per.select(session, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    inside = F.row_number().over(Window.partitionBy(session).orderBy(*tie))
-    return (trades.withColumn("__i", inside).join(off, session)
-            .withColumn("pos", F.col("__off") + F.col("__i") - 1).drop("__off", "__i"))
+    t = cut_lineage(with_stretch(trades, tie[0]))
+    unit = [session, "__stretch"]
+    per = t.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)  # at most 65 rows a session
+    off = per.select(*unit, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy(*unit).orderBy(*tie))
+    return (t.withColumn("__i", inside).join(off, unit)
+            .withColumn("pos", F.col("__off") + F.col("__i") - 1).drop("__off", "__i", "__stretch"))
 
 
 def bootstrap_paths(sequence: DataFrame, n_trades: int = 200, n_paths: int = 2000, block: int = 20,
@@ -102,15 +107,17 @@ def bootstrap_paths(sequence: DataFrame, n_trades: int = 200, n_paths: int = 200
 
 
 def ruin_report(paths: DataFrame) -> DataFrame:
+    paths = cut_lineage(paths)
     f, d = F.col("final"), F.col("max_dd")
-    return paths.agg(
-        F.count(F.lit(1)).alias("n_paths"), (100 * (F.percentile(f, 0.5) - 1)).alias("median_return_pct"),
-        (100 * (F.percentile(f, 0.05) - 1)).alias("p5_return_pct"),
-        (100 * (F.percentile(f, 0.95) - 1)).alias("p95_return_pct"),
-        (100 * F.percentile(d, 0.5)).alias("median_max_drawdown_pct"),
-        (100 * F.percentile(d, 0.95)).alias("p95_max_drawdown_pct"),
-        F.avg((f < 1).cast("double")).alias("prob_loss"), F.avg((d > 0.2).cast("double")).alias("prob_drawdown_over_20"),
-        F.avg((d > 0.35).cast("double")).alias("prob_drawdown_over_35"))
+    out = paths.agg(
+        F.count(F.lit(1)).alias("n_paths"), F.avg((f < 1).cast("double")).alias("prob_loss"),
+        F.avg((d > 0.2).cast("double")).alias("prob_drawdown_over_20"), F.avg((d > 0.35).cast("double")).alias("prob_drawdown_over_35"))
+    out = with_quantiles(out, paths, (), "final", {"f50": 0.5, "f05": 0.05, "f95": 0.95})
+    out = with_quantiles(out, paths, (), "max_dd", {"d50": 0.5, "d95": 0.95})
+    gain = lambda c: 100 * (F.col(c) - 1)
+    return out.select("n_paths", gain("f50").alias("median_return_pct"), gain("f05").alias("p5_return_pct"), gain("f95").alias("p95_return_pct"),
+                      (100 * F.col("d50")).alias("median_max_drawdown_pct"), (100 * F.col("d95")).alias("p95_max_drawdown_pct"),
+                      "prob_loss", "prob_drawdown_over_20", "prob_drawdown_over_35")
 
 
 def trades_to_significance(mean, sd, t_target: float = 2.0) -> Column:

@@ -230,14 +230,80 @@ def sharpe_robustness(returns: DataFrame, keys, r: str, trials: int = 1, periods
         "min_track_record": F.when(sr > benchmark, 1 + shape * F.pow(NormalDist().inv_cdf(0.95) / (sr - benchmark), F.lit(2.0)))})
 
 
-def binomial_tail(k, n, p: float) -> Column:
-    """P(X >= k) of a binomial: one walk over the terms, each from the last."""
-    k, n = F.col(k), F.col(n)
-    start = F.struct((n * math.log1p(-p)).alias("lt"), F.lit(0.0).alias("s"))
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 1: Stirling's series eight further on."""
+    z = x + 8.0
+    head = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + _series(z)
+    return head - F.log(x * (x + 1) * (x + 2) * (x + 3)) - F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+
+
+def _series(z: Column) -> Column:
+    return 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+
+
+def _beyond_stirling(x: Column) -> Column:
+    """What log_gamma has beyond (x - 1/2) ln x - x + ln(2 pi) / 2."""
+    return F.when(x > 100.0, _series(x)).otherwise(log_gamma(x) - ((x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi)))
+
+
+def _beta_terms(a: Column, b: Column, off: Column) -> Column:
+    """ln of t^a (1 - t)^b / B(a, b) at ``off`` from the mean a / (a + b), without the large terms that cancel there."""
+    mean = a / (a + b)
+    return (0.5 * (F.log(a) + F.log(b) - F.log(a + b) - math.log(2 * math.pi)) + _beyond_stirling(a + b) - _beyond_stirling(a) - _beyond_stirling(b)
+            + a * F.log1p(off / mean) + b * F.log1p(-off / (1 - mean)))
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, steps: int) -> Column:
+    """Continued fraction of the incomplete beta function, from its far end; for x below (a + 1) / (a + b + 2)."""
+    def step(f, k):
+        j = (F.lit(steps) - k).cast("double")  # steps .. 1
+        even = j * (b - j) * x / ((a + 2 * j - 1) * (a + 2 * j))
+        odd = -(a + j) * (a + b + j) * x / ((a + 2 * j) * (a + 2 * j + 1))
+        return 1.0 + even / (1.0 + odd / f)
+
+    far = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(1.0), step)
+    return 1.0 / (1.0 - (a + b) * x / (a + 1) / far)
+
 
-    def step(a, i):
-        grow = F.when(i < n, F.log((n - i) / (i + 1.0)) + math.log(p / (1 - p))).otherwise(0.0)
-        return F.struct((a["lt"] + grow).alias("lt"), (a["s"] + F.when(i >= k, F.exp(a["lt"])).otherwise(0.0)).alias("s"))
+def incomplete_beta(a: Column, b: Column, x: Column, steps: int = 300) -> Column:
+    """Regularised incomplete beta function I_x(a, b) for a, b >= 1, with the same work for every row."""
+    front = F.exp(_beta_terms(a, b, x - a / (a + b)))
+    low = x < (a + 1) / (a + b + 2)
+    p, q, y = F.when(low, a).otherwise(b), F.when(low, b).otherwise(a), F.when(low, x).otherwise(1 - x)
+    part = front / p * _beta_fraction(p, q, y, steps)
+    return F.when(low, part).otherwise(1.0 - part)
 
-    tail = F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step, lambda a: a["s"])
-    return F.when(k > n, 0.0).when(k <= 0, 1.0).otherwise(tail)
+
+#: Where both parameters are beyond this the density is summed over NODES points instead: the fraction would need more steps.
+SUM_FROM, NODES = 3000.0, 64
+
+
+def _beta_sum(a: Column, b: Column, x: Column) -> Column:
+    """I_x(a, b) of large a and b: the density summed from x outwards to where nothing is left of it."""
+    nodes, weights = np.polynomial.legendre.leggauss(NODES)
+    mean, spread = a / (a + b), F.sqrt(a * b / (a + b + 1)) / (a + b)
+    above = x > mean
+    end = F.when(above, F.least(F.lit(1.0), F.greatest(mean + 12 * spread, x + 6 * spread))).otherwise(
+        F.greatest(F.lit(0.0), F.least(mean - 12 * spread, x - 6 * spread)))
+    half = (end - x) / 2
+    points = F.array(*[F.struct(F.lit(float(u)).alias("u"), F.lit(float(w)).alias("w")) for u, w in zip(nodes, weights)])
+
+    def add(s, point):
+        off = (x - mean) + half * (1 + point["u"])
+        t = mean + off
+        return s + point["w"] * F.exp(_beta_terms(a, b, off)) / (t * (1 - t))
+
+    outside = F.abs(half) * F.aggregate(points, F.lit(0.0), add)
+    return F.when(above, 1.0 - outside).otherwise(outside)
+
+
+def binomial_tail(k, n, p: float) -> Column:
+    """P(X >= k) of a binomial of n trials, as the incomplete beta function of k and n - k + 1.
+
+    Counts are doubles and no step is made for a trial, so a row costs the same
+    whatever its counts.
+    """
+    k, n = F.col(k).cast("double"), F.col(n).cast("double")
+    a, b, x = F.greatest(k, F.lit(1.0)), F.greatest(n - k + 1, F.lit(1.0)), F.lit(float(p))
+    tail = F.when((a > SUM_FROM) & (b > SUM_FROM), _beta_sum(a, b, x)).otherwise(incomplete_beta(a, b, x))
+    return F.when(k.isNull() | n.isNull(), None).when(k > n, 0.0).when(k <= 0, 1.0).otherwise(tail)

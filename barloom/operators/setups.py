@@ -38,6 +38,8 @@ class RiskConfig:
     vol_reference_atr_pct: float | None = None
     risk_off_exposure_pct: float = 0.0
     max_staleness_days: int = 5
+    max_daily_loss_pct: float = 3.0
+    max_drawdown_pct: float | None = None
 
 
 def direction(stance) -> Column:
@@ -71,19 +73,19 @@ def propose(features: DataFrame, stop_atrs: float = 2.0, target_r: float = 2.0,
 
 
 def gate_reason(cfg: RiskConfig = RiskConfig(), slippage="expected_slippage_pct", tradeable="tradeable",
-                age="data_age_days", risk_off: bool = False) -> Column:
-    """First hard gate a single trade fails, in the fixed order, else NULL."""
+                age="data_age_days", risk_off: bool | Column = False) -> Column:
+    """First hard gate a single trade fails, in the fixed order, else NULL. ``risk_off``: for all rows, or a condition."""
     e, s, t = F.col("entry"), F.col("stop"), F.col("target")
     dist = F.abs(e - s)
     slip = col(slippage)
-    bad = [F.isnan(F.col(c)) | (F.abs(F.col(c)) == float("inf")) for c in ("entry", "stop", "target", "atr_pct", "adv_shares")]
+    bad = [F.isnan(c) | (F.abs(c) == float("inf")) for c in (e, s, t, F.col("atr_pct"), slip, F.col("adv_shares"))]
     malformed = bad[0]
     for b in bad[1:]:
         malformed = truth(malformed) | truth(b)
     return first_reason([
         ("not_tradeable", ~truth(col(tradeable))),
         ("stale_data", col(age) > cfg.max_staleness_days),
-        ("market_risk_off", F.lit(risk_off and cfg.risk_off_exposure_pct <= 0)),
+        ("market_risk_off", truth(F.lit(risk_off) if isinstance(risk_off, bool) else risk_off) & F.lit(cfg.risk_off_exposure_pct <= 0)),
         ("extreme_volatility", F.col("atr_pct") > cfg.max_instrument_atr_pct),
         ("malformed_input", malformed),
         ("illiquid_vs_adv", F.col("adv_shares") <= 0),
@@ -95,73 +97,143 @@ def gate_reason(cfg: RiskConfig = RiskConfig(), slippage="expected_slippage_pct"
     ])
 
 
-def _allocate(g: pd.DataFrame, cfg: RiskConfig, max_trades: int) -> pd.DataFrame:
-    """Walk one session's candidates in rank order against shrinking room."""
-    cap = cfg.capital
-    room = {"sector": {}, "cluster": {}}
-    held = heat = 0.0
-    out = []
-    lots = lambda q: int(q // cfg.lot_size * cfg.lot_size)
-    for row in g.sort_values(["rank", "symbol"]).itertuples():
-        if held >= max_trades:
-            break
-        why, qty = row.gate, 0
-        cluster = row.cluster if isinstance(row.cluster, str) else None
-        if not isinstance(why, str):
-            dist, scale = abs(row.entry - row.stop), 1.0
-            if cfg.vol_reference_atr_pct and row.atr_pct > 0:
-                scale = min(1.0, cfg.vol_reference_atr_pct / row.atr_pct)
-            qty = lots(cap * cfg.risk_pct * scale / 100.0 / dist)
-            if held >= cfg.max_open_positions:
-                why = "max_open_positions"
-            elif qty <= 0:
-                why = "qty_rounds_to_zero"
-            else:
-                limit = cap * cfg.max_position_pct / 100.0
-                qty = qty if qty * row.entry <= limit else lots(limit / row.entry)
-                value = qty * row.entry
-                if qty <= 0:
-                    why = "position_value_cap"
-                elif room["sector"].get(row.sector, 0.0) + value > cap * cfg.max_sector_pct / 100.0:
-                    why = "sector_cap"
-                elif cluster and room["cluster"].get(cluster, 0.0) + value > cap * cfg.max_correlated_pct / 100.0:
-                    why = "correlated_cap"
-                elif heat + qty * dist > cap * cfg.max_open_risk_pct / 100.0:
-                    why = "portfolio_heat_cap"
-                elif row.adv_shares and qty * 100.0 > cfg.max_adv_participation_pct * row.adv_shares:
-                    qty = lots(row.adv_shares * cfg.max_adv_participation_pct / 100.0)
-                    why = None if qty > 0 else "illiquid_vs_adv"
-            if not isinstance(why, str):
-                held += 1
-                heat += qty * dist
-                for k, name in (("sector", row.sector), ("cluster", cluster or row.sector)):
-                    room[k][name] = room[k].get(name, 0.0) + qty * row.entry
-        ok = not isinstance(why, str)
-        out.append((row.symbol, row.rank, ok, None if ok else why, qty if ok else 0,
-                    round(qty * row.entry, 2) if ok else 0.0, round(qty * abs(row.entry - row.stop), 2) if ok else 0.0))
-    return pd.DataFrame(out, columns=["symbol", "rank", "approved", "reason", "qty", "position_value", "capital_at_risk"])
+@dataclass
+class Book:
+    """An account between two decisions: open positions, and what closed ones left.
 
+    A position is (symbol, quantity, entry, risk, sector, cluster, exit day, P&L at
+    that exit). Equity is the capital and what positions have realised.
+    """
+    positions: list[tuple]
+    equity: float
+    peak: float
+    today: float = 0.0
 
-def allocate(candidates: DataFrame, cfg: RiskConfig = RiskConfig(), max_trades: int = 3,
-             top: int = 20) -> DataFrame:
-    """Approve names of each session in rank order until ``max_trades`` stand.
+    def open_day(self, day) -> None:
+        """Close what has reached its exit by ``day``; only exits of that very day are today's result."""
+        due = [p for p in self.positions if p[6] is not None and p[6] <= day]
+        self.positions = [p for p in self.positions if p[6] is None or p[6] > day]
+        self.today = sum(p[7] for p in due if p[6] == day)
+        self.equity += sum(p[7] for p in due)
+        self.peak = max(self.peak, self.equity)
+
+    @property
+    def drawdown_pct(self) -> float:
+        return max(0.0, (self.peak - self.equity) / self.peak * 100.0) if self.peak > 0 else 0.0
+
+    def value(self, at: int, name) -> float:
+        return sum(p[1] * p[2] for p in self.positions if p[at] == name)
 
-    Each approval uses up sector, cluster and heat room for the next name, so a
-    session is a fold - over at most ``top`` rows, cut by a group limit that
-    Spark applies before the shuffle. ``candidates``: session, symbol, score,
-    entry, stop, target, atr_pct, adv_shares, sector, cluster, gate.
+
+def _size(row, book: Book, cfg: RiskConfig) -> tuple[str | None, int]:
+    """(reason, quantity) of one candidate against the book, gates in the fixed order."""
+    cap = cfg.capital
+    lots = lambda q: int(q // cfg.lot_size * cfg.lot_size)
+    if row.event:
+        return "event_in_window", 0
+    if isinstance(row.gate, str):
+        return row.gate, 0
+    if len(book.positions) >= cfg.max_open_positions and not any(p[0] == row.symbol for p in book.positions):
+        return "max_open_positions", 0
+    if -book.today >= cap * cfg.max_daily_loss_pct / 100.0:
+        return "daily_loss_cap", 0
+    if cfg.max_drawdown_pct is not None and book.drawdown_pct >= cfg.max_drawdown_pct:
+        return "drawdown_cap", 0
+    dist, risk_pct = abs(row.entry - row.stop), cfg.risk_pct
+    if cfg.vol_reference_atr_pct and row.atr_pct > 0:
+        risk_pct = risk_pct * min(1.0, cfg.vol_reference_atr_pct / row.atr_pct)
+    if row.risk_off:
+        if cfg.risk_off_exposure_pct <= 0:
+            return "market_risk_off", 0
+        risk_pct = risk_pct * cfg.risk_off_exposure_pct / 100.0
+    qty = lots(cap * risk_pct / 100.0 / dist)
+    if qty <= 0:
+        return "qty_rounds_to_zero", 0
+    held, limit = book.value(0, row.symbol), cap * cfg.max_position_pct / 100.0
+    if held + qty * row.entry > limit:
+        qty = lots((limit - held) / row.entry) if limit > held else 0
+        if qty <= 0:
+            return "position_value_cap", 0
+    value = qty * row.entry
+    if book.value(4, row.sector) + value > cap * cfg.max_sector_pct / 100.0:
+        return "sector_cap", 0
+    if row.cluster is not None and book.value(5, row.cluster) + value > cap * cfg.max_correlated_pct / 100.0:
+        return "correlated_cap", 0
+    if sum(p[3] for p in book.positions) + qty * dist > cap * cfg.max_open_risk_pct / 100.0:
+        return "portfolio_heat_cap", 0
+    if row.adv_shares > 0 and 100.0 * qty / row.adv_shares > cfg.max_adv_participation_pct:
+        qty = lots(row.adv_shares * cfg.max_adv_participation_pct / 100.0)
+        if qty <= 0:
+            return "illiquid_vs_adv", 0
+    return None, qty
+
+
+WALKED = ("session date, symbol string, rank int, approved boolean, reason string, qty long, position_value double, capital_at_risk double, "
+          "open_positions int, realised_today double, equity double, drawdown_pct double")
+
+
+def _walk(g: pd.DataFrame, cfg: RiskConfig, max_trades: int) -> list[tuple]:
+    """Candidates of one book, session by session and rank by rank; a session ends once ``max_trades`` stand."""
+    book, out, day, stood = Book([], cfg.capital, cfg.capital), [], None, 0
+    none = lambda x: None if pd.isna(x) else x
+    for row in g.sort_values(["session", "rank", "symbol"]).itertuples(index=False):
+        row = row._replace(**{c: none(getattr(row, c)) for c in ("cluster", "sector", "gate", "exit_on", "exit_value")})
+        if row.session != day:
+            day, stood = row.session, 0
+            book.open_day(day)
+        if stood >= max_trades:
+            continue
+        why, qty = _size(row, book, cfg)
+        value, risk = qty * row.entry, qty * abs(row.entry - row.stop)
+        out.append((day, row.symbol, row.rank, why is None, why, qty, round(value, 2) if qty else 0.0, round(risk, 2) if qty else 0.0,
+                    len(book.positions), book.today, book.equity, book.drawdown_pct))
+        if why is None:
+            stood += 1
+            book.positions.append((row.symbol, qty, row.entry, risk, row.sector, row.cluster or row.sector, row.exit_on,
+                                   qty * row.exit_value if row.exit_value is not None else 0.0))
+    return out
+
+
+def walk_book(candidates: DataFrame, cfg: RiskConfig = RiskConfig(), max_trades: int = 3, top: int = 20, keys=()) -> DataFrame:
+    """Approve names session by session against one book that is carried on.
+
+    Each approval uses up sector, cluster and heat room for those after it, until
+    its exit: ``exit_on`` (null: stays open) and ``exit_value``, the gain of one
+    share by then. What exits on the session itself is that day's result, on which
+    the daily loss cap works; the drawdown cap works on realised equity against
+    its high over the sessions walked. A name with ``event`` (one falls into the
+    holding window) is refused before it is sized. ``risk_off`` scales the risk of
+    a session down to the allowed share, none refuses it. A null cluster is no
+    claim, so that cap does not run.
+
+    ``candidates``: session, symbol, score, entry, stop, atr_pct, adv_shares,
+    sector, cluster, gate, event, risk_off, exit_on, exit_value, and ``keys`` that
+    tell books apart. A book is one fold over at most ``top`` rows a session, cut
+    by a group limit that Spark applies before the shuffle.
     """
-    w = Window.partitionBy("session").orderBy(F.desc("score"), "symbol")
+    w = Window.partitionBy(*keys, "session").orderBy(F.desc("score"), "symbol")
     ranked = candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    cols = ("session", "symbol", "rank", "entry", "stop", "atr_pct", "adv_shares", "sector", "cluster", "gate")
+    names = [f.split()[0] for f in WALKED.split(", ")]
+    cols = ("session", "symbol", "rank", "entry", "stop", "atr_pct", "adv_shares", "sector", "cluster", "gate", "event", "risk_off", "exit_on", "exit_value")
+    key_types = "".join(f"{k} {dict(candidates.dtypes)[k]}, " for k in keys)
 
     def walk(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return _allocate(g, cfg, max_trades).assign(session=key[0])[
-            ["session", "symbol", "rank", "approved", "reason", "qty", "position_value", "capital_at_risk"]]
+        out = pd.DataFrame(_walk(g, cfg, max_trades), columns=names)
+        for k, v in zip(keys, key):
+            out[k] = v
+        return out[[*keys, *names]]
+
+    books = ranked.select(*keys, *cols) if keys else ranked.select(*cols, F.lit(0).alias("__book"))
+    return books.groupBy(*(keys or ["__book"])).applyInPandas(walk, key_types + WALKED)
 
-    return ranked.select(*cols).groupBy("session").applyInPandas(
-        walk, "session date, symbol string, rank int, approved boolean, reason string, qty long, "
-              "position_value double, capital_at_risk double")
+
+def allocate(candidates: DataFrame, cfg: RiskConfig = RiskConfig(), max_trades: int = 3,
+             top: int = 20) -> DataFrame:
+    """``walk_book`` with an empty book at every session: sessions are independent and spread out."""
+    flat = candidates.withColumns({"event": F.lit(False), "risk_off": F.lit(False), "exit_on": F.lit(None).cast("date"),
+                                   "exit_value": F.lit(None).cast("double"), "__day": F.col("session")})
+    return walk_book(flat, cfg, max_trades, top, ["__day"]).select(
+        "session", "symbol", "rank", "approved", "reason", "qty", "position_value", "capital_at_risk")
 
 
 def exposure(positions: DataFrame, keys=("session",)) -> DataFrame:

@@ -252,6 +252,50 @@ def shareholding_ingest(spark, sf):
     return rounded(rs_.shareholding(rs_.parse(p, "shareholding")).select("symbol", "promoter_pct", "public_pct"), "promoter_pct", "public_pct")
 
 
+def order_payload(spark, sf, *fields):
+    """A JSON array of rows made from each order, sixteen order keys a body."""
+    o = t.table(spark, sf, "orders")
+    return o.groupBy(F.floor(F.col("o_orderkey") / 16).alias("b")).agg(F.to_json(F.collect_list(F.struct(*fields))).alias("body")).select("body")
+
+
+@query("2.1.26", f"""SELECT symbol, {day("CASE k WHEN 0 THEN d ELSE d + INTERVAL 1 DAY END", 'disclosed')}, CASE WHEN o_orderkey % 7 <> 0 THEN 'Outcome of Board Meeting' END AS category, 'order ' || o_orderkey AS text,
+      CASE WHEN o_orderkey % 3 = 1 THEN 'http://x/' || o_orderkey || '.pdf' END AS attachment_url FROM (SELECT 'C' || o_custkey AS symbol, o_orderkey, o_orderkey % 4 AS k, o_orderdate AS d FROM orders) WHERE k < 3""")
+def announcements_ingest(spark, sf):
+    k, ts = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    p = order_payload(spark, sf, F.concat(F.lit("C"), "o_custkey").alias("symbol"), F.when(k % 7 != 0, " Outcome of Board Meeting ").otherwise("-").alias("desc"),
+                      F.when(k % 4 == 0, F.date_format(ts, "dd-MMM-yyyy HH:mm:ss")).otherwise("-").alias("an_dt"), F.when(k % 4 == 1, F.date_format(F.date_add(ts, 1), "yyyy-MM-dd HH:mm:ss")).alias("sort_date"),
+                      F.when(k % 4 == 2, F.date_format(F.date_add(ts, 1), "dd-MMM-yyyy")).otherwise("NA").alias("exchdisstime"), F.concat(F.lit("order "), k).alias("attchmntText"),
+                      F.when(k % 3 == 1, F.concat(F.lit("http://x/"), k, F.lit(".pdf"))).otherwise("null").alias("attchmntFile"))
+    out = rs_.announcements(rs_.parse(p, "announcement")).withColumnRenamed("disclosed_at", "disclosed")
+    return dated(out, "disclosed")
+
+
+@query("2.1.26", f"""SELECT 'C' || o_custkey AS symbol, {day("CASE o_orderkey % 3 WHEN 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 2 DAY END", 'disclosed')}, {day("CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 9 DAY END", 'meeting_date')},
+      CASE o_orderkey % 2 WHEN 0 THEN 'Financial Results' ELSE 'Dividend' END AS purpose, 'to consider ' || o_orderkey AS description FROM orders WHERE o_orderkey % 3 < 2""")
+def board_meetings_ingest(spark, sf):
+    k, ts = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    p = order_payload(spark, sf, F.concat(F.lit("C"), "o_custkey").alias("symbol"), F.when(k % 5 != 0, F.date_format(F.date_add(ts, 9), "dd-MMM-yyyy")).otherwise("-").alias("bm_date"),
+                      F.when(k % 2 == 0, "Financial Results").otherwise(" Dividend").alias("bm_purpose"), F.concat(F.lit("to consider "), k).alias("bm_desc"),
+                      F.when(k % 3 == 0, F.date_format(ts, "dd-MMM-yyyy HH:mm")).alias("bm_timestamp"), F.when(k % 3 == 1, F.date_format(F.date_add(ts, 2), "yyyy-MM-dd")).otherwise("-").alias("exchdisstime"))
+    out = rs_.board_meetings(rs_.parse(p, "board_meeting")).withColumnRenamed("disclosed_at", "disclosed")
+    return dated(out, "disclosed", "meeting_date")
+
+
+@query("2.1.26", f"""SELECT 'C' || o_custkey AS symbol, {day("o_orderdate + to_days(CAST(3 + o_orderkey % 4 AS INTEGER))", 'disclosed')}, 'holder ' || o_orderkey AS acquirer, CASE WHEN o_orderkey % 2 = 0 THEN 'Market Purchase' END AS mode,
+      {r('o_totalprice', 'shares_after')}, {r('CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 100 / 8.0 END', 'pct_after')}, {day('o_orderdate', 'from_date')}, {day('o_orderdate + INTERVAL 2 DAY', 'to_date')}, '7(2)' AS regulation
+      FROM orders WHERE o_orderkey % 4 < 3""")
+def insider_deals_ingest(spark, sf):
+    """Dated by what made them known; a row with nothing but the day of the deal is undated."""
+    k, ts = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    p = order_payload(spark, sf, F.concat(F.lit("C"), "o_custkey").alias("symbol"), F.concat(F.lit("holder "), k).alias("acqName"), F.when(k % 2 == 0, "Market Purchase").otherwise("").alias("acqMode"),
+                      F.col("o_totalprice").cast("string").alias("afterAcqSharesNo"), F.when(k % 5 != 0, (k % 100 / 8.0).cast("string")).otherwise("-").alias("afterAcqSharesPer"),
+                      F.date_format(ts, "dd-MMM-yyyy").alias("acqfromDt"), F.date_format(F.date_add(ts, 2), "dd-MMM-yyyy").alias("acqtoDt"),
+                      F.when(k % 4 == 0, F.date_format(F.date_add(ts, 3), "dd-MMM-yyyy HH:mm")).alias("date"), F.when(k % 4 == 1, F.date_format(F.date_add(ts, 4), "yyyy-MM-dd")).alias("exchdisstime"),
+                      F.when(k % 4 == 2, F.date_format(F.date_add(ts, 5), "dd-MMM-yyyy")).otherwise("NA").alias("intimDt"), F.lit("7(2)").alias("anex"))
+    out = rs_.insider_deals(rs_.parse(p, "insider_deal")).withColumnRenamed("disclosed_at", "disclosed")
+    return dated(rounded(out, "shares_after", "pct_after"), "disclosed", "from_date", "to_date")
+
+
 def event_payload(spark, sf):
     o, k = t.table(spark, sf, "orders"), F.col("o_orderkey")
     row = F.struct(F.when(k % 11 != 0, F.concat(F.lit("C"), "o_custkey")).otherwise(" ").alias("symbol"), F.lit("co").alias("company"),

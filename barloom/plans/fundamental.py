@@ -20,7 +20,7 @@ FIL = """filings AS (SELECT *, profit_after_tax / 1e6 AS eps_basic, n * 1e5 AS p
         sum(o_totalprice) AS revenue, count(*) AS n, sum(o_totalprice * (o_orderkey % 7 - 2) / 50) AS profit_after_tax
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL))"""
 AS_OF = "1997-08-20"
-KNOWN = f"known AS (SELECT * FROM filings WHERE disclosed_at <= TIMESTAMP '{AS_OF}')"
+KNOWN = f"known AS (SELECT * FROM filings WHERE disclosed_at <= TIMESTAMP '{AS_OF} 09:15:00')"
 
 
 @query("2.1.33 2.3.1", sql(f"""SELECT symbol, strftime(disclosed_at, '%Y-%m-%d') AS disclosed, nature, {r('revenue', 'revenue')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol
@@ -34,7 +34,7 @@ ASKS = "asks AS (SELECT DISTINCT 'N' || c_nationkey AS symbol, CAST(o_orderdate
 
 
 @query("2.3.1", sql(f"""SELECT a.symbol, {day('a.as_of', 'as_of')}, strftime(c.disclosed_at, '%Y-%m-%d') AS disclosed, {r('c.revenue', 'revenue')}
-      FROM asks a ASOF LEFT JOIN (SELECT * FROM filings WHERE nature = 'consolidated') c ON c.symbol = a.symbol AND c.disclosed_at <= a.as_of""", FIL, ASKS))
+      FROM asks a ASOF LEFT JOIN (SELECT * FROM filings WHERE nature = 'consolidated') c ON c.symbol = a.symbol AND c.disclosed_at <= a.as_of + INTERVAL 9 HOUR + INTERVAL 15 MINUTE""", FIL, ASKS))
 def filings_as_of(spark, sf):
     o, c = t.table(spark, sf, "orders"), t.table(spark, sf, "customer")
     asks = (o.where("o_orderpriority = '1-URGENT'").join(c, o.o_custkey == c.c_custkey)
@@ -56,9 +56,11 @@ M = lambda p, v: f"100 * {p} / nullif({v}, 0)"
       date_diff('day', CAST((SELECT max(disclosed_at) FROM known k WHERE k.symbol = best.symbol) AS DATE), DATE '{AS_OF}') AS days_since_filing,
       CASE WHEN pe0 IS NULL THEN 'no year-ago comparison' ELSE 'complete' END AS coverage, {r('paid_up_capital / face_value', 'shares_outstanding')}, {r('profit_before_tax + finance_costs', 'ebit')},
       {r('100 * (profit_before_tax + finance_costs) / revenue', 'op_margin_pct')}, {r('CASE WHEN profit_before_tax > 0 THEN 100 * tax_expense / profit_before_tax END', 'effective_tax_rate_pct')},
-      {r('(profit_before_tax + finance_costs) / finance_costs', 'interest_cover')} FROM best""", FIL, KNOWN, CMP))
+      {r('(profit_before_tax + finance_costs) / finance_costs', 'interest_cover')}, {r('revenue', 'revenue')}, {r('profit_after_tax', 'profit_after_tax')},
+      {r('profit_before_tax + finance_costs + depreciation', 'ebitda')}, {r('CASE WHEN profit_before_tax > 0 THEN (profit_before_tax + finance_costs) * (1 - 100 * tax_expense / profit_before_tax / 100) END', 'nopat')}
+      FROM best""", FIL, KNOWN, CMP))
 def fundamentals_table(spark, sf):
-    b = fd.build_table(t.filings(spark, sf), AS_OF).drop("ebitda", "nopat", "revenue", "profit_after_tax")
+    b = fd.build_table(t.filings(spark, sf), AS_OF).drop("industry")
     b = b.withColumn("days_since_filing", F.col("days_since_filing").cast("long"))
     return dated(rounded(b, *[c for c, ty in b.dtypes if ty == "double"]), "period_end")
 
@@ -68,7 +70,54 @@ def fundamentals_table(spark, sf):
 def fundamentals_coverage(spark, sf):
     s = t.table(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey", F.lit(".NS")).alias("symbol")).distinct()
     extra = s.limit(1).select(F.lit("N99.NS").alias("symbol"))
-    return fd.coverage_counts(s.union(extra), fd.build_table(t.filings(spark, sf), AS_OF))
+    return fd.coverage_counts(s.union(extra), t.filings(spark, sf), AS_OF)
+
+
+# filings that hold the year to date beside the quarter; the quarters are told from it by their days alone
+SPANS = """spans AS (SELECT * FROM filings UNION ALL SELECT symbol, CAST(date_trunc('year', period_start) AS DATE) AS period_start, nature, ytd_rev AS revenue, ytd_n AS n, ytd_pat AS profit_after_tax,
+      ytd_pat / 1e6, ytd_n * 1e5, CASE WHEN ytd_n % 11 <> 0 THEN 10.0 END, ytd_pat * 1.3, ytd_rev * 0.02, ytd_rev * 0.03, ytd_pat * 0.3, period_end, disclosed_at
+    FROM (SELECT *, sum(revenue) OVER w AS ytd_rev, CAST(sum(n) OVER w AS BIGINT) AS ytd_n, sum(profit_after_tax) OVER w AS ytd_pat FROM filings
+          WINDOW w AS (PARTITION BY symbol, nature, year(period_start) ORDER BY period_start)) WHERE month(period_start) > 1)"""
+MONTHS_SQL = "greatest(1, CAST(round((date_diff('day', period_start, period_end) + 1) / 30.44) AS INTEGER))"
+
+
+@query("2.1.33 2.3.1", sql(f"""SELECT months, symbol, strftime(disclosed_at, '%Y-%m-%d') AS disclosed, nature, {day('period_start', 'period_start')}, {r('revenue', 'revenue')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, months
+      ORDER BY disclosed_at DESC, period_end DESC, nature DESC) AS k FROM (SELECT *, {MONTHS_SQL} AS months FROM spans) WHERE disclosed_at <= TIMESTAMP '{AS_OF} 09:15:00' AND months IN (3, 9, 12)) WHERE k = 1""", FIL, SPANS))
+def latest_filings_by_length(spark, sf):
+    """The newest filing with a quarter, with nine months, with a year, of each symbol."""
+    f = t.filings(spark, sf, year_to_date=True)
+    out = [fd.latest_filing(f, AS_OF, m).withColumn("months", F.lit(m)) for m in (3, 9, 12)]
+    out = out[0].unionByName(out[1]).unionByName(out[2])
+    return dated(rounded(out.select("months", "symbol", F.date_format("disclosed_at", "yyyy-MM-dd").alias("disclosed"), "nature", "period_start", "revenue"), "revenue"), "period_start")
+
+
+@query("2.8.1 2.8.2", sql(f"""SELECT symbol, symbol AS industry, nature, {day('period_end', 'period_end')}, {r('revenue', 'revenue')}, {r(G('revenue', 'rev0'), 'revenue_growth_yoy_pct')},
+      {r(G('profit_after_tax', 'pat0'), 'profit_growth_yoy_pct')} FROM best WHERE symbol <> 'N5' UNION ALL SELECT symbol, NULL, nature, {day('period_end', 'period_end')}, {r('revenue', 'revenue')},
+      {r(G('revenue', 'rev0'), 'revenue_growth_yoy_pct')}, {r(G('profit_after_tax', 'pat0'), 'profit_growth_yoy_pct')} FROM best WHERE symbol = 'N5'""", FIL, KNOWN, CMP))
+def fundamentals_beside_year_to_date(spark, sf):
+    """The table from filings that hold the year to date too: the same quarters are compared, with their industry."""
+    n = t.table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey", F.lit(".NS")).alias("symbol"), F.concat(F.lit("N"), "n_nationkey").alias("industry")).where("industry <> 'N5'")
+    b = fd.build_table(t.filings(spark, sf, year_to_date=True), AS_OF, n)
+    b = b.select("symbol", "industry", "nature", "period_end", "revenue", "revenue_growth_yoy_pct", "profit_growth_yoy_pct")
+    return dated(rounded(b, "revenue", "revenue_growth_yoy_pct", "profit_growth_yoy_pct"), "period_end")
+
+
+def patchy_filings(spark, sf):
+    """Filings of which some names have only the year to date, some no nature, some a body that cannot be read."""
+    k = F.substring("symbol", 2, 2).cast("int")
+    f = t.filings(spark, sf, year_to_date=True).where((k % 5 != 1) | (fd.period_months() != 3)).where((k % 7 != 2) | (F.col("period_start") >= "1997-01-01"))
+    return f.withColumns({"nature": F.when(k % 5 == 2, "unknown").otherwise(F.col("nature")), "unreadable": (k % 5 == 3) & (F.col("n") % 2 == 0)})
+
+
+@query("2.4.24", sql(f"""SELECT 'N' || n AS base, CASE WHEN broken THEN 'unreadable' WHEN NOT coalesce(q, false) THEN 'no filings on file' WHEN ce IS NULL THEN 'no quarterly numbers' WHEN NOT twin THEN 'no year-ago comparison' ELSE 'complete' END AS reason
+      FROM range(30) t(n) LEFT JOIN (SELECT CAST(substr(symbol, 2) AS BIGINT) AS n, bool_or(n % 2 = 0 AND CAST(substr(symbol, 2) AS BIGINT) % 5 = 3) AS broken, bool_or(months = 3) AS q FROM pk GROUP BY ALL) USING (n)
+      LEFT JOIN (SELECT CAST(substr(symbol, 2) AS BIGINT) AS n, max(ce) AS ce, bool_or(period_end < ce AND abs(date_diff('day', period_end, ce) - 365) <= 45) AS twin
+        FROM (SELECT *, max(period_end) OVER (PARTITION BY symbol, nature) AS ce FROM pk WHERE months = 3 AND nature <> 'unknown' AND CAST(substr(symbol, 2) AS BIGINT) % 5 <> 2) GROUP BY ALL) USING (n)""", FIL, SPANS,
+      f"""pk AS (SELECT * FROM (SELECT *, {MONTHS_SQL} AS months FROM spans) WHERE disclosed_at <= TIMESTAMP '{AS_OF} 09:15:00' AND (CAST(substr(symbol, 2) AS BIGINT) % 5 <> 1 OR months <> 3)
+            AND (CAST(substr(symbol, 2) AS BIGINT) % 7 <> 2 OR period_start >= DATE '1997-01-01'))"""))
+def fundamentals_coverage_reasons(spark, sf):
+    asked = spark.range(30).select(F.concat(F.lit("n"), "id", F.lit(".NS")).alias("symbol"))  # the asked names; five have no filings at all
+    return fd.coverage_reasons(asked, patchy_filings(spark, sf), AS_OF)
 
 
 TTM = ["tq AS (SELECT *, row_number() OVER w AS k, date_diff('day', period_end, lag(period_end) OVER w) AS st FROM known WHERE nature <> 'unknown' WINDOW w AS (PARTITION BY symbol, nature ORDER BY period_end DESC))",

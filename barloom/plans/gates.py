@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions.scalars import as_double, as_text, r6
 from ..operators.events import MOVING_WORDS
 from ..operators import features as ft, quality as ql
+from ..session import cut_lineage
 from ..sources import calendar as cal_src, symbols as sym
 from . import tables as t
 from .indicators import show
@@ -49,6 +50,21 @@ def faulty(spark, sf):
         "volume": F.when(k == 5, None).when(k == 6, 0).when(k == 13, -F.col("volume")).otherwise(F.col("volume"))})
 
 
+# a panel of volume-weighted months within a band and with few faults, so that some names pass every check
+MILD_SQL = """bad AS (SELECT symbol, session, px AS open, CASE WHEN sid % 5 = 1 AND trades = 3 THEN px * 0.5 ELSE px END AS high, px AS low,
+    CASE WHEN sid % 5 = 2 AND trades = 2 THEN NULL ELSE px END AS close, CASE WHEN sid % 5 = 3 AND trades = 5 THEN -volume WHEN sid % 5 = 4 AND trades < 9 THEN 0 ELSE volume END AS volume, trades
+    FROM (SELECT *, CAST(substr(symbol, 2) AS BIGINT) AS sid, greatest(1365, least(1635, turnover / volume)) AS px FROM bars0))"""
+
+
+def mildly_faulty(spark, sf):
+    b, k, s = t.bars(spark, sf, index=False), F.col("trades"), F.substring("symbol", 2, 12).cast("long")
+    px = F.greatest(F.lit(1365.0), F.least(F.lit(1635.0), F.col("turnover") / F.col("volume")))
+    return b.select(
+        "symbol", "session", px.alias("open"), F.when((s % 5 == 1) & (k == 3), px * 0.5).otherwise(px).alias("high"), px.alias("low"),
+        F.when((s % 5 == 2) & (k == 2), None).otherwise(px).alias("close"),
+        F.when((s % 5 == 3) & (k == 5), -F.col("volume")).when((s % 5 == 4) & (k < 9), 0).otherwise(F.col("volume")).alias("volume"), "trades")
+
+
 ACT_SQL = """acts AS (SELECT DISTINCT 'S' || l_suppkey AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS ex_date,
     CASE WHEN l_linenumber >= 5 THEN 'split' WHEN l_linenumber >= 3 THEN 'bonus' ELSE 'dividend' END AS type,
     CASE WHEN l_linenumber >= 5 THEN 2.0 WHEN l_linenumber >= 3 THEN 1.5 ELSE 1.0 END AS factor, l_quantity AS amount
@@ -134,6 +150,32 @@ def reference_reconciliation(spark, sf):
     return rounded(out, "worst_pct")
 
 
+@query("2.2.15", sql("""SELECT symbol, n AS rank FROM (SELECT symbol, row_number() OVER (ORDER BY tv DESC, symbol) AS n FROM (SELECT symbol, sum(turnover) AS tv FROM bars0 GROUP BY symbol))
+      WHERE n <= 40 AND symbol NOT IN (SELECT symbol FROM (SELECT symbol, "check", CASE WHEN "check" = 'zero_volume' AND 100.0 * count(*) / n >= 20 THEN 'fatal' ELSE severity END AS sev
+        FROM iss JOIN (SELECT symbol, count(*) AS n FROM bad GROUP BY symbol) USING (symbol) GROUP BY symbol, "check", severity, n) WHERE sev = 'fatal')""",
+      supp(), MILD_SQL, ACT_SQL, GAP_SQL.replace("SRC", "bad").replace("LIM", "20"), ISSUE_SQL))
+def vetted_on_every_check(spark, sf):
+    """A shortlist less the names with a fatal issue of any check; the gate refuses the panel and passes what is left."""
+    b, acts = t.bars(spark, sf, index=False), actions(spark, sf)
+    top = b.groupBy("symbol").agg(F.sum("turnover").alias("tv")).orderBy(F.desc("tv"), "symbol").limit(40)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("tv"), "symbol")))  # forty rows
+    panel = cut_lineage(mildly_faulty(spark, sf))
+    left = cut_lineage(ql.vet(top, ql.check_panel(panel, acts)).select("symbol", F.col("rank").cast("long").alias("rank")))
+    ql.assert_clean(panel.join(left, "symbol", "left_semi"), acts)
+    return left
+
+
+@query("2.2.11", sql("""SELECT count(*) > 0 AS refused FROM iss WHERE severity = 'fatal'""", supp(), MILD_SQL, ACT_SQL, GAP_SQL.replace("SRC", "bad").replace("LIM", "20"), ISSUE_SQL))
+def panel_refused(spark, sf):
+    """Whether the hard gate refuses the panel as it is."""
+    try:
+        ql.assert_clean(mildly_faulty(spark, sf), actions(spark, sf))
+        refused = False
+    except ql.QualityError:
+        refused = True
+    return spark.range(1).select(F.lit(refused).alias("refused"))
+
+
 @query("2.2.11 2.2.15", sql("""SELECT symbol, n AS rank FROM (SELECT symbol, row_number() OVER (ORDER BY tv DESC, symbol) AS n FROM (SELECT symbol, sum(turnover) AS tv FROM bars0 GROUP BY symbol))
       WHERE n <= 40 AND symbol NOT IN (SELECT symbol FROM bad WHERE trades = 13 AND volume < 0)""", supp(), FAULT_SQL))
 def vetted_shortlist(spark, sf):

@@ -211,7 +211,7 @@ def ind_relative_strength(spark, sf):
     b = t.brand_bars(spark, sf, "week")
     bench = b.groupBy("session").agg(F.avg("close").alias("bench"), F.count(F.lit(1)).alias("n")).where("n >= 25").drop("n")
     b = ind.with_benchmark(b, bench).withColumn("rs", ind.rs_line())
-    return show(b.withColumn("rs_rank", ind.rs_rank(63)), "rs", "rs_rank")
+    return show(ind.rs_rank(b, 63), "rs", "rs_rank")
 
 
 @query("2.3.12", sql(body(rs("rs")), BW, BENCH,

@@ -6,7 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import frames as W
 from ..functions.scalars import r6
-from ..operators import features as ft, journal, metrics, outcomes as oc, ranking, resample, setups
+from ..functions.selection import with_quantiles
+from ..operators import events as ev_ops, features as ft, journal, metrics, outcomes as oc, ranking, resample, setups
 from ..session import cut_lineage
 from . import tables as t
 from .indicators import BENCH, BW, LAG, SM, gate, layer, prior, rs, show
@@ -105,6 +106,84 @@ def allocation_by_session(spark, sf):
     return dated(a, "session")
 
 
+#: Tight enough that every cap is met, on an account of ten million.
+BOOK = setups.RiskConfig(capital=10_000_000.0, risk_pct=1.0, max_position_pct=12.0, max_sector_pct=18.0, max_correlated_pct=14.0, max_open_risk_pct=5.0,
+                         max_open_positions=6, max_adv_participation_pct=25.0, max_daily_loss_pct=0.6, max_drawdown_pct=6.0,
+                         vol_reference_atr_pct=60.0, risk_off_exposure_pct=50.0, max_instrument_atr_pct=150.0, max_stop_distance_pct=60.0)
+BOOK_TRADES, BOOK_TOP, BOOK_BARS = 3, 12, 4
+
+
+def book_candidates(spark, sf):
+    """Gated setups with what each would earn by its exit, cluster labels, events in the holding window and risk-off sessions."""
+    f = feature_series(spark, sf)
+    g = cut_lineage(gated_setups(spark, sf, f).drop("score"))
+    sid = F.concat("symbol", F.lit("@"), "idx")
+    sig = g.select(sid.alias("sid"), "symbol", F.col("session").alias("decided_on"), "stop", "target", F.lit(1).cast("long").alias("qty"))
+    done = oc.simulate(sig, t.calm_bars(spark, sf), BOOK_BARS).where("refused IS NULL").select(
+        "sid", F.col("exit_date").alias("exit_on"), (F.col("exit_price") - F.col("entry_price")).alias("exit_value"))
+    score = ranking.stage2(f, ranking.REVERSAL_FACTORS, flagged_only=False).select("session", "symbol", "score")
+    digit = F.substring("symbol", 7, 2).cast("int") % 10
+    ev = t.table(spark, sf, "part").where("p_size = 50").select(F.col("p_brand").alias("symbol"), F.expr("date_add(date'1992-01-01', int(p_partkey % 2500))").alias("event_date"),
+                                                                F.lit("results").alias("purpose"), F.lit(True).alias("moving"))
+    asks = g.select("symbol", F.col("session").alias("as_of")).distinct().withColumn("ask", F.lit(0))
+    near = ev_ops.next_event(asks, ev).where(ev_ops.blocks(5)).select("symbol", F.col("as_of").alias("session"), F.lit(True).alias("near"))
+    out = g.withColumn("sid", sid).join(done, "sid", "left").join(score, ["session", "symbol"]).join(near, ["symbol", "session"], "left")
+    return out.withColumns({"sector": maker(), "cluster": F.when(digit <= 3, F.concat(F.lit("CORR:"), digit)), "event": F.coalesce("near", F.lit(False)),
+                            "risk_off": F.month("session").isin(3, 9)})
+
+
+_C = BOOK.capital
+BOOK_SQL = [
+    "sigs AS (SELECT symbol || '@' || idx AS sid, symbol, session AS decided_on, stop, target, CAST(1 AS BIGINT) AS qty FROM setups WHERE close IS NOT NULL)",
+    *sim_sql(horizon=BOOK_BARS),
+    "pev AS (SELECT p_brand AS symbol, DATE '1992-01-01' + CAST(p_partkey % 2500 AS INTEGER) AS d FROM part WHERE p_size = 50)",
+    f"""cand AS (SELECT *, row_number() OVER (ORDER BY session, rank) AS rn FROM (SELECT g.session, g.symbol, g.entry, g.stop, g.atr_pct, g.adv_shares, g.gate,
+          substr(g.symbol, 7, 1) AS sector, CASE WHEN CAST(substr(g.symbol, 7, 2) AS INTEGER) % 10 <= 3 THEN 'CORR:' || (CAST(substr(g.symbol, 7, 2) AS INTEGER) % 10) END AS cluster,
+          EXISTS (SELECT 1 FROM pev WHERE pev.symbol = g.symbol AND d BETWEEN g.session AND g.session + 5) AS event, month(g.session) IN (3, 9) AS risk_off,
+          CASE WHEN refused IS NULL THEN exit_date END AS exit_on, CASE WHEN refused IS NULL THEN exit_price - entry_price END AS exit_value,
+          row_number() OVER (PARTITION BY g.session ORDER BY s.score DESC, g.symbol) AS rank
+        FROM gated g JOIN scored s ON s.symbol = g.symbol AND s.session = g.session LEFT JOIN sim ON sim.sid = g.symbol || '@' || g.idx) WHERE rank <= {BOOK_TOP})""",
+    # the book, row by row: what has come to its exit leaves at the first row of a session
+    f"""book AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS DATE) AS session, CAST(0 AS BIGINT) AS stood, {_C!r}::DOUBLE AS equity, {_C!r}::DOUBLE AS peak, 0.0::DOUBLE AS today,
+          CAST([] AS STRUCT(symbol VARCHAR, qty DOUBLE, entry DOUBLE, risk DOUBLE, sector VARCHAR, cluster VARCHAR, exit_on DATE, gain DOUBLE)[]) AS pos,
+          CAST(NULL AS VARCHAR) AS reason, 0.0::DOUBLE AS qty, CAST(0 AS BIGINT) AS before, false AS seen
+        UNION ALL
+        SELECT rn, session, CASE WHEN seen AND why IS NULL THEN stood + 1 ELSE stood END, equity, peak, today,
+          CASE WHEN seen AND why IS NULL THEN list_append(pos, {{'symbol': symbol, 'qty': q, 'entry': entry, 'risk': q * abs(entry - stop), 'sector': sector,
+            'cluster': coalesce(cluster, sector), 'exit_on': exit_on, 'gain': coalesce(q * exit_value, 0)}}) ELSE pos END,
+          why, CASE WHEN why IS NULL THEN q ELSE 0 END, len(pos), seen
+        FROM (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN q1 <= 0 THEN 'qty_rounds_to_zero' WHEN q2 <= 0 THEN 'position_value_cap'
+              WHEN coalesce(list_sum([p.qty * p.entry FOR p IN pos IF p.sector = nm]), 0) + q2 * entry > {_C * BOOK.max_sector_pct / 100.0!r} THEN 'sector_cap'
+              WHEN cluster IS NOT NULL AND coalesce(list_sum([p.qty * p.entry FOR p IN pos IF p.cluster = cl]), 0) + q2 * entry > {_C * BOOK.max_correlated_pct / 100.0!r} THEN 'correlated_cap'
+              WHEN coalesce(list_sum([p.risk FOR p IN pos]), 0) + q2 * abs(entry - stop) > {_C * BOOK.max_open_risk_pct / 100.0!r} THEN 'portfolio_heat_cap'
+              WHEN q3 <= 0 THEN 'illiquid_vs_adv' END AS why, q3 AS q FROM (
+          SELECT *, CASE WHEN adv_shares > 0 AND 100.0 * q2 / adv_shares > {BOOK.max_adv_participation_pct!r} THEN floor(adv_shares * {BOOK.max_adv_participation_pct!r} / 100.0) ELSE q2 END AS q3 FROM (
+          SELECT *, CASE WHEN own + q1 * entry > {_C * BOOK.max_position_pct / 100.0!r} THEN greatest(0, floor(({_C * BOOK.max_position_pct / 100.0!r} - own) / entry)) ELSE q1 END AS q2 FROM (
+          SELECT *, coalesce(list_sum([p.qty * p.entry FOR p IN pos IF p.symbol = sy]), 0) AS own,
+            floor({_C!r} * (CASE WHEN risk_off THEN rp * {BOOK.risk_off_exposure_pct!r} / 100.0 ELSE rp END) / 100.0 / abs(entry - stop)) AS q1,
+            CASE WHEN event THEN 'event_in_window' WHEN gate IS NOT NULL THEN gate
+              WHEN len(pos) >= {BOOK.max_open_positions} AND len([p.symbol FOR p IN pos IF p.symbol = sy]) = 0 THEN 'max_open_positions'
+              WHEN -today >= {_C * BOOK.max_daily_loss_pct / 100.0!r} THEN 'daily_loss_cap'
+              WHEN greatest(0, (peak - equity) / peak * 100.0) >= {BOOK.max_drawdown_pct!r} THEN 'drawdown_cap' END AS early FROM (
+          SELECT *, greatest(peak0, equity) AS peak, {BOOK.risk_pct!r} * least(1.0, {BOOK.vol_reference_atr_pct!r} / atr_pct) AS rp, stood < {BOOK_TRADES} AS seen FROM (
+          SELECT c.rn, c.session, c.symbol, c.symbol AS sy, c.sector AS nm, c.cluster AS cl, c.entry, c.stop, c.atr_pct, c.adv_shares, c.gate, c.sector, c.cluster, c.event, c.risk_off,
+            c.exit_on, c.exit_value, CASE WHEN b.session = c.session THEN b.stood ELSE 0 END AS stood, b.peak AS peak0,
+            [p FOR p IN b.pos IF p.exit_on IS NULL OR p.exit_on > c.session] AS pos,
+            b.equity + coalesce(list_sum([p.gain FOR p IN b.pos IF p.exit_on <= c.session]), 0) AS equity,
+            CASE WHEN b.session = c.session THEN b.today ELSE coalesce(list_sum([p.gain FOR p IN b.pos IF p.exit_on = c.session]), 0) END AS today
+          FROM book b JOIN cand c ON c.rn = b.rn + 1)))))))"""]
+
+
+@query("2.6.18 2.6.19 2.6.17", sql(f"""SELECT {day('c.session', 'session')}, c.symbol, CAST(rank AS INTEGER) AS rank, reason IS NULL AS approved, reason, CAST(b.qty AS BIGINT) AS qty,
+      {r('b.qty * c.entry', 'position_value')}, {r('b.qty * abs(c.entry - c.stop)', 'capital_at_risk')}, CAST(before AS INTEGER) AS open_positions, {r('today', 'realised_today')},
+      {r('equity', 'equity')}, {r('greatest(0, (peak - equity) / peak * 100.0)', 'drawdown_pct')} FROM book b JOIN cand c USING (rn) WHERE seen""",
+      FEATS, SETUP_SQL, GATED_SQL, "uni AS (SELECT * FROM feats WHERE close IS NOT NULL)", score_sql(ranking.REVERSAL_FACTORS, "uni"), BOOK_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
+def carried_book(spark, sf):
+    """One book from the first session to the last, with every gate and cap that allocation has."""
+    w = setups.walk_book(book_candidates(spark, sf), BOOK, BOOK_TRADES, BOOK_TOP)
+    return dated(rounded(w, "position_value", "capital_at_risk", "realised_today", "equity", "drawdown_pct"), "session")
+
+
 @query("2.6.20", sql(f"""SELECT {day('session')}, CAST(sum(n) AS BIGINT) AS positions, {r('sum(k)', 'open_risk')}, {r('sum(v)', 'exposure')}, {r('max(v)', 'largest_sector_exposure')}
      FROM (SELECT session, substr(symbol, 7, 1) AS sector, count(*) AS n, sum(10 * entry) AS v, sum(10 * abs(entry - stop)) AS k FROM gated
            WHERE gate IS NULL GROUP BY ALL) GROUP BY session""", FEATS, SETUP_SQL, GATED_SQL))
@@ -158,8 +237,9 @@ def replayed(spark, sf):
 @query("2.6.8 2.4.13", sql(f"""SELECT strategy, w AS "window", count(*) AS trades, {r('avg(rm)', 'mean_r')}, {r('median(rm)', 'median_r')},
       CAST(count(*) >= 10 AS INTEGER) AS scored FROM done JOIN ws ON ws.session = decided_on GROUP BY ALL""", BW, BENCH, feature_sql(), PROP_SQL, REPLAY_SQL))
 def strategy_walk_forward(spark, sf):
-    g = replayed(spark, sf).groupBy("strategy", "window").agg(
-        F.count(F.lit(1)).alias("trades"), F.avg("r_multiple").alias("mean_r"), F.median("r_multiple").alias("median_r"))
+    done = cut_lineage(replayed(spark, sf))
+    g = done.groupBy("strategy", "window").agg(F.count(F.lit(1)).alias("trades"), F.avg("r_multiple").alias("mean_r"))
+    g = with_quantiles(g, done, ["strategy", "window"], "r_multiple", {"median_r": 0.5})
     return rounded(g.withColumn("scored", (F.col("trades") >= 10).cast("int")), "mean_r", "median_r")
 
 

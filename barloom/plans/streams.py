@@ -41,15 +41,13 @@ def stream_distinct_stories(spark, sf):
 
 @query("2.12.1 2.1.31", sql(f"SELECT symbol, {day('session')}, count(*) AS bars, {r('sum(close)', 'close_sum')} FROM hours GROUP BY symbol, session", HOURS))
 def stream_upserted_sessions(spark, sf):
-    """Bars land by foreachBatch into a session-partitioned store, twice; the second
-    pass replaces what the first one wrote."""
+    """A stream of bars drives the upsert into a store by session; stale bars that lie there before are replaced."""
     import uuid
 
     from ..session import shared_folder
     path = f"{shared_folder(spark)}/barloom-store-{uuid.uuid4().hex}"
-    b = st.run_once(st.bars(ticks(spark, sf)), ["symbol", "bar_ts"]).withColumn("session", F.to_date("bar_ts"))
-    write = st.upsert_sessions(path)
-    write(b.withColumn("close", F.col("close") * 0), 0)
-    write(b, 1)
-    s = spark.read.schema(b.schema).parquet(path)
+    stale = t.hour_bars(spark, sf).where("hour(bar_ts) < 6").withColumns({"close": F.lit(0.0), "volume": F.lit(0).cast("long")})
+    st.upsert_sessions(path)(stale.select("symbol", "bar_ts", "open", "high", "low", "close", "volume", "session"), 0)
+    st.keep_sessions(st.bars(ticks(spark, sf)), path, f"{path}__state")
+    s = spark.read.parquet(path)
     return show(s.groupBy("symbol", "session").agg(F.count(F.lit(1)).alias("bars"), F.sum("close").alias("close_sum")), "bars", "close_sum")

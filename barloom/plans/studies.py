@@ -331,17 +331,41 @@ def binomial_tails(spark, sf):
 
 # ---- clusters ------------------------------------------------------------
 
-def labelled(spark, sf, threshold):
-    v = cl.return_vectors(cut_lineage(weekly(spark, sf)), lookback=150, completeness=0.9)
-    return cl.cluster_map(v, threshold)
+def labelled(spark, sf, threshold, delta=0.0):
+    return cl.clusters(cut_lineage(weekly(spark, sf)), lookback=150, threshold=threshold, completeness=0.9, min_overlap=60, delta=delta)
 
 
 @query("2.7.8 2.7.16")
 def correlation_clusters(spark, sf):
-    lab = labelled(spark, sf, 0.12)
+    """A label, or the reason why there is none, of every name."""
+    lab = cut_lineage(labelled(spark, sf, 0.12))
     return lab.join(cl.sizes(lab), "label", "left")
 
 
+@query("2.7.8", sql("""SELECT symbol, CASE WHEN NOT enough THEN 'too few prices in the window' END AS reason, n_obs FROM
+      (SELECT symbol, count(ret) >= greatest(round(0.9 * (max(hi) - min(lo))), 3) AS enough FROM wr GROUP BY symbol),
+      (SELECT count(*) AS n_obs FROM (SELECT idx, count(ret) AS k FROM wr JOIN (SELECT symbol FROM wr GROUP BY symbol HAVING count(ret) >= greatest(round(0.9 * (max(hi) - min(lo))), 3)) USING (symbol)
+       GROUP BY idx) WHERE k = (SELECT count(*) FROM (SELECT symbol FROM wr GROUP BY symbol HAVING count(ret) >= greatest(round(0.9 * (max(hi) - min(lo))), 3))))""", VW,
+      """wn AS (SELECT symbol, idx, close, max(idx) OVER () AS hi, min(idx) OVER () AS lo FROM bars WHERE idx > (SELECT max(idx) - 150 FROM bars))""",
+      """wr AS (SELECT a.*, a.close / nullif(b.close, 0) - 1 AS ret FROM wn a LEFT JOIN wn b ON a.symbol = b.symbol AND b.idx = a.idx - 1)"""))
+def cluster_coverage(spark, sf):
+    """Which names can be clustered at all, and over how many common sessions."""
+    return cl.measured_names(cut_lineage(weekly(spark, sf)), lookback=150, completeness=0.9, min_overlap=1).select("symbol", "reason", "n_obs")
+
+
+@query("2.7.9")
+def cluster_shrinkage(spark, sf):
+    """How the clusters change when correlations are shrunk: their number, the largest, agreement with the unshrunk ones."""
+    plain = cut_lineage(labelled(spark, sf, 0.12).where("label IS NOT NULL"))
+    out = None
+    for delta in (0.0, 0.1, 0.3, 0.5):
+        other = plain if delta == 0.0 else cut_lineage(labelled(spark, sf, 0.12, delta).where("label IS NOT NULL"))
+        size = other.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("clusters"), F.max("n").alias("largest"))
+        row = size.crossJoin(cl.adjusted_rand(plain, other)).withColumn("delta", F.lit(delta))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, "ari")
+
+
 @query("2.7.9", sql(f"""SELECT {r('(ij - i * j / t) / nullif((i + j) / 2 - i * j / t, 0)', 'ari')} FROM
       (SELECT sum(n * (n - 1) / 2) AS ij FROM (SELECT count(*) AS n FROM lb GROUP BY la, lb)), (SELECT sum(n * (n - 1) / 2) AS i FROM (SELECT count(*) AS n FROM lb GROUP BY la)),
       (SELECT sum(n * (n - 1) / 2) AS j FROM (SELECT count(*) AS n FROM lb GROUP BY lb)), (SELECT count(*) * (count(*) - 1) / 2 AS t FROM lb)""",
@@ -363,6 +387,15 @@ def shortlist_collisions(spark, sf):
     return d.agg(r6(F.avg(F.col("dup").cast("double")), "collision_share"), F.count(F.lit(1)).alias("days"))
 
 
+@query("2.7.17")
+def cluster_collisions(spark, sf):
+    """Sessions on which two of the four most traded names belong to one cluster."""
+    p = cut_lineage(weekly(spark, sf))
+    w = Window.partitionBy("session").orderBy(F.desc("turnover"), "symbol")
+    top = p.where(F.col("idx") > p.agg(F.max("idx") - 60).scalar()).withColumn("n", F.row_number().over(w)).where("n <= 4")
+    return dated(cl.collisions(top, labelled(spark, sf, 0.12)), "session")
+
+
 SWEEP = [dict(stop_pct=float(s), rr=2.0, hold=h) for s in (4, 8, 12, 16, 20) for h in (6, 12)]
 
 

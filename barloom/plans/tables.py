@@ -7,7 +7,7 @@ symbol holds, each map task ships at most one row per bar.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.panel import index_sessions
 
@@ -126,8 +126,12 @@ def industries(spark, sf) -> DataFrame:
                     F.col("r_name").alias("industry"), F.col("n_name").alias("nation")))
 
 
-def filings(spark, sf) -> DataFrame:
-    """Quarterly figures per customer nation, disclosed thirty days after the quarter."""
+def filings(spark, sf, year_to_date: bool = False) -> DataFrame:
+    """Quarterly figures per customer nation, disclosed thirty days after the quarter.
+
+    With ``year_to_date`` each filing from the second quarter on also holds the
+    figures since the year began, as periods of 6, 9 and 12 months.
+    """
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     q = (o.join(c, o.o_custkey == c.c_custkey)
          .withColumns({"symbol": F.concat(F.lit("N"), "c_nationkey"),
@@ -137,12 +141,17 @@ def filings(spark, sf) -> DataFrame:
     g = q.groupBy("symbol", "period_start", "nature").agg(
         F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n"),
         F.sum(F.col("o_totalprice") * (F.col("o_orderkey") % 7 - 2) / 50).alias("profit_after_tax"))
-    end = F.date_sub(F.add_months("period_start", 3), 1)
+    g = g.withColumn("next", F.add_months("period_start", 3))
+    if year_to_date:
+        so_far = Window.partitionBy("symbol", "nature", F.year("period_start")).orderBy("period_start").rowsBetween(Window.unboundedPreceding, 0)
+        g = g.unionByName(g.withColumns({c: F.sum(c).over(so_far) for c in ("revenue", "n", "profit_after_tax")})
+                          .where(F.month("period_start") > 1).withColumn("period_start", F.to_date(F.date_trunc("year", "period_start"))))
+    end = F.date_sub("next", 1)
     pat, rev = F.col("profit_after_tax"), F.col("revenue")
     return g.withColumns({
-        "period_end": end, "disclosed_at": F.expr("cast(date_add(add_months(period_start, 3), 29) as timestamp) + interval 12 hours"),
+        "period_end": end, "disclosed_at": F.expr("cast(date_add(next, 29) as timestamp) + interval 12 hours"),
         "eps_basic": pat / 1e6, "paid_up_capital": F.col("n") * 1e5, "face_value": F.when(F.col("n") % 11 != 0, 10.0),
-        "profit_before_tax": pat * 1.3, "finance_costs": rev * 0.02, "depreciation": rev * 0.03, "tax_expense": pat * 0.3})
+        "profit_before_tax": pat * 1.3, "finance_costs": rev * 0.02, "depreciation": rev * 0.03, "tax_expense": pat * 0.3}).drop("next")
 
 
 def contracts(spark, sf) -> DataFrame:

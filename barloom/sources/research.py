@@ -18,10 +18,10 @@ PERIOD_START, PERIOD_END = "DateOfStartOfReportingPeriod", "DateOfEndOfReporting
 KINDS = {
     "result": (("symbol", "audited", "consolidated", "broadCastDate", "exchdisstime", "filingDate", "fromDate", "toDate", "period", "xbrl", "isin"),
                ("broadCastDate", "exchdisstime", "filingDate")),
-    "announcement": (("symbol", "desc", "an_dt", "exchdisstime", "attchmntText"), ("an_dt", "exchdisstime")),
+    "announcement": (("symbol", "desc", "an_dt", "sort_date", "exchdisstime", "attchmntText", "attchmntFile"), ("an_dt", "sort_date", "exchdisstime")),
     "board_meeting": (("symbol", "bm_date", "bm_purpose", "bm_desc", "bm_timestamp", "exchdisstime"), ("bm_timestamp", "exchdisstime")),
     "shareholding": (("symbol", "date", "broadcastDate", "systemDate", "pr_and_prgrp", "public_val", "employeeTrusts"), ("broadcastDate", "systemDate")),
-    "insider_deal": (("symbol", "acqName", "acqMode", "afterAcqSharesNo", "afterAcqSharesPer", "acqfromDt", "acqtoDt", "date", "exchdisstime", "intimDt"),
+    "insider_deal": (("symbol", "acqName", "acqMode", "afterAcqSharesNo", "afterAcqSharesPer", "acqfromDt", "acqtoDt", "date", "exchdisstime", "intimDt", "anex"),
                      ("date", "exchdisstime", "intimDt")),
     "event": (("symbol", "company", "purpose", "bm_desc", "date"), ("date",)),
 }
@@ -56,7 +56,7 @@ def results(rows: DataFrame) -> DataFrame:
     return r.select("symbol", "disclosed_at", F.to_date(first_timestamp(["fromDate"], FORMATS)).alias("period_start"),
                     F.to_date(first_timestamp(["toDate"], FORMATS)).alias("period_end"), tri_state("audited", "Audited", "Un-Audited").alias("audited"),
                     tri_state("consolidated", "Consolidated", "Non-Consolidated").alias("consolidated"),
-                    F.when(~x.endswith("/-"), x).alias("xbrl_url"), as_text("isin").alias("isin"))
+                    F.when(~x.endswith("/-"), x).alias("xbrl_url"), as_text("isin").alias("isin"), result_period("period").alias("period"))
 
 
 def shareholding(rows: DataFrame) -> DataFrame:
@@ -66,14 +66,30 @@ def shareholding(rows: DataFrame) -> DataFrame:
 
 
 def insider_deals(rows: DataFrame) -> DataFrame:
+    """Deals by the time they were made known, which comes after ``to_date``, the day the deal was done."""
     return rows.where("disclosed_at IS NOT NULL").select(
         "symbol", "disclosed_at", as_text("acqName").alias("acquirer"), as_text("acqMode").alias("mode"),
-        as_double("afterAcqSharesNo").alias("shares_after"), as_double("afterAcqSharesPer").alias("pct_after"))
+        as_double("afterAcqSharesNo").alias("shares_after"), as_double("afterAcqSharesPer").alias("pct_after"),
+        F.to_date(first_timestamp(["acqfromDt"], FORMATS)).alias("from_date"), F.to_date(first_timestamp(["acqtoDt"], FORMATS)).alias("to_date"),
+        as_text("anex").alias("regulation"))
+
+
+def announcements(rows: DataFrame) -> DataFrame:
+    return rows.where("disclosed_at IS NOT NULL").select(
+        "symbol", "disclosed_at", as_text("desc").alias("category"), as_text("attchmntText").alias("text"), as_text("attchmntFile").alias("attachment_url"))
+
+
+def result_period(c) -> Column:
+    """Quarter, half year or year, from the source's wording."""
+    t = F.lower(F.coalesce(as_text(c), F.lit("")))
+    return (F.when(t.startswith("quarter"), "quarterly").when(t.contains("half"), "half_yearly")
+            .when(t.startswith("annual") | t.startswith("year"), "annual").otherwise("unknown"))
 
 
 def board_meetings(rows: DataFrame) -> DataFrame:
     return rows.where("disclosed_at IS NOT NULL").select(
-        "symbol", "disclosed_at", F.to_date(first_timestamp(["bm_date"], FORMATS)).alias("meeting_date"), as_text("bm_purpose").alias("purpose"))
+        "symbol", "disclosed_at", F.to_date(first_timestamp(["bm_date"], FORMATS)).alias("meeting_date"), as_text("bm_purpose").alias("purpose"),
+        as_text("bm_desc").alias("description"))
 
 
 def events(rows: DataFrame) -> DataFrame:

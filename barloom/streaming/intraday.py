@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import ratio
 from ..session import shared_folder
@@ -30,13 +33,39 @@ def session_vwap(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
     return g.select("symbol", F.to_date("w.start").alias("session"), ratio("pv", "v").alias("vwap"), F.col("v").alias("size"))
 
 
-def distinct_stories(items: DataFrame, within: str = "30 days") -> DataFrame:
-    """First item of each normalised title inside the watermark."""
-    return items.withColumn("norm", normalise("title")).withWatermark("published_at", within).dropDuplicatesWithinWatermark(["norm"])
+def distinct_stories(items: DataFrame, within_days: float = 30.0, late: str = "1 day") -> DataFrame:
+    """Items whose normalised title has not been seen in the ``within_days`` before; after that it is news again.
 
-
-def upsert_sessions(path: str):
-    """foreachBatch sink: a batch replaces its symbols inside their sessions.
+    The state of a title is when it was last let through. A timer drops it once
+    the watermark is past the time in which it could hold an item back, so titles
+    that do not come again leave nothing behind. Items of a title that arrive
+    together are taken by time, then by their other columns.
+    """
+    named = items.withColumn("norm", normalise("title")).withWatermark("published_at", late)
+    span = int(within_days * 86_400_000)
+    order = ["published_at", *[c for c in items.columns if c != "published_at"]]
+
+    def fresh(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(order, ignore_index=True)
+        keep = []
+        for k, at in enumerate(rows["published_at"].astype("datetime64[ms]").astype("int64")):
+            if last is None or abs(at - last) >= span:
+                last = at if last is None else max(at, last)
+                keep.append(k)
+        if last is not None:
+            state.update((int(last),))
+            state.setTimeoutTimestamp(max(int(last) + span, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[keep]
+
+    return named.groupBy("norm").applyInPandasWithState(fresh, named.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def upsert_sessions(path: str, keys: tuple[str, ...] = ("symbol",)):
+    """foreachBatch sink: the rows of a batch replace the stored ones with their ``keys`` inside their sessions.
 
     Only the sessions the batch touches are read and rewritten. The merged rows
     are stored aside first, since a partition cannot be read while it is replaced;
@@ -50,7 +79,7 @@ def upsert_sessions(path: str):
             stored = spark.read.schema(batch.schema).parquet(path)
             touched = batch.select("session").distinct()
             kept = (stored.join(touched, "session", "left_semi")
-                    .join(batch.select("session", "symbol").distinct(), ["session", "symbol"], "left_anti"))
+                    .join(batch.select("session", *keys).distinct(), ["session", *keys], "left_anti"))
             fresh = kept.unionByName(batch)
         except Exception as e:  # first batch: nothing stored yet
             if "PATH_NOT_FOUND" not in str(e):
@@ -62,6 +91,19 @@ def upsert_sessions(path: str):
     return write
 
 
+def keep_sessions(bars: DataFrame, path: str, state: str) -> None:
+    """Drive the upsert from a stream of bars until all that has arrived is stored.
+
+    Every batch brings the bars that it changed; each replaces its earlier form.
+    ``state`` holds the stream's progress: a restart goes on behind the last batch,
+    and one that was cut off is done again.
+    """
+    rows = bars.withColumn("session", F.to_date("bar_ts"))
+    q = (rows.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
+         .foreachBatch(upsert_sessions(path, ("symbol", "bar_ts"))).start())
+    q.awaitTermination()
+
+
 def run_once(stream: DataFrame, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
     """Drain what is available and return the resulting table.
 

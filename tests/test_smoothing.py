@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions import ewm as ew
 from barloom.functions import frames as W
+from barloom.functions import order_stats
+from barloom.functions.order_stats import Quantile, Rank, with_order_stats
 
 
 def dense(panel, field="close"):
@@ -49,14 +51,39 @@ def test_frames_count_empty_sessions(panel):
 
 def test_rolling_rank_and_quantile(panel):
     d = dense(panel)
-    got = spread(panel.withColumn("y", W.rolling_rank_pct("close", 55, 20)), "y")
+    got = spread(with_order_stats(panel, {"y": Rank("close", 55, 20)}), "y")
     want = d.rolling(55, min_periods=20).rank(pct=True)
     np.testing.assert_allclose(got.to_numpy(), want.where(d.notna()).reindex(got.index).to_numpy(), rtol=1e-10)
-    got = spread(panel.withColumn("y", W.rolling_quantile("close", 0.2, 60, 40)), "y")
+    got = spread(with_order_stats(panel, {"y": Quantile("close", 0.2, 60, 40)}), "y")
     want = d.rolling(60, min_periods=40).quantile(0.2)
     np.testing.assert_allclose(got.to_numpy(), want.where(d.notna()).reindex(got.index).to_numpy(), rtol=1e-10)
 
 
+def test_order_stats_with_ties_and_absent_values(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    v = pd.Series(rng.integers(0, 6, 90).astype(float))
+    v[rng.random(90) < .2] = np.nan
+    rows = [("A", i, None if x != x else x) for i, x in enumerate(v) if i % 11]  # some sessions have no row, some a null
+    v[np.arange(90) % 11 == 0] = np.nan
+    df = spark.createDataFrame(rows, "symbol string, idx int, v double")
+    stats = {"avg": Rank("v", 9, 3), "top": Rank("v", 9, 3, "max"), "wide": Rank("v", 200, 1), "q": Quantile("v", 0.35, 9, 2), "whole": Quantile("v", 0.5, 30)}
+    got = with_order_stats(df, stats).toPandas().sort_values("idx").set_index("idx")
+    w = v.rolling(9, min_periods=3)
+    want = {"avg": w.rank(pct=True), "top": w.rank(method="max", pct=True), "wide": v.rolling(200, min_periods=1).rank(pct=True),
+            "q": v.rolling(9, min_periods=2).quantile(0.35), "whole": v.rolling(30).quantile(0.5)}
+    for name, s in want.items():
+        np.testing.assert_allclose(got[name].to_numpy(float), s.reindex(got.index).to_numpy(), rtol=1e-12, err_msg=name)
+    assert with_order_stats(df.where("false"), stats).count() == 0
+
+
+def test_a_pass_is_one_sort_and_four_windows(panel):
+    plan = ew.ewm(panel, {"y": ("close", 0.1), "z": ("volume", 0.3)})._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 4
+    done = ew.ewm(panel, {"y": ("close", 0.1)})._jdf.queryExecution().executedPlan().toString()
+    assert done.count("Sort [") == 1
+
+
 def test_nothing_looks_ahead(panel):
     """Every window column at t is the same with and without the rows after t."""
     from barloom.operators import indicators as ind

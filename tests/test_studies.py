@@ -1,5 +1,6 @@
 """Statistics with a known answer or a brute-force twin."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -21,7 +22,7 @@ def test_tails_at_published_points():
 
 
 def series(spark, cols):
-    rows = [(s, pd.Timestamp("2020-01-01").date() + pd.Timedelta(days=i), i, float(x)) for s, v in cols.items() for i, x in enumerate(v)]
+    rows = [(s, pd.Timestamp("2020-01-01").date() + pd.Timedelta(days=i), i, float(x)) for s, v in cols.items() for i, x in enumerate(v) if x == x]
     return spark.createDataFrame([(a, b, c, d) for a, b, c, d in rows], "symbol string, session date, idx int, close double")
 
 
@@ -67,6 +68,64 @@ def test_clusters_equal_linkage_over_the_whole_universe(spark):
     assert all(l.startswith("CORR:") for l in got["label"])
 
 
+def walks(rng, names, days):
+    """Prices of three groups of names that move together, and of names on their own."""
+    common = rng.normal(size=(3, days))
+    return {f"n{k:03d}": 100 * np.exp(np.cumsum(0.01 * (common[k % 4] * 1.5 + rng.normal(size=days) if k % 4 < 3 else rng.normal(size=days)))) for k in range(names)}
+
+
+@pytest.mark.parametrize("threshold,delta", [(0.5, 0.0), (0.05, 0.0), (0.3, 0.3)])
+def test_linkage_by_rounds_equals_plain_linkage(spark, threshold, delta):
+    rng = np.random.default_rng(16)
+    raw = rng.normal(size=(60, 80)) + rng.normal(size=(4, 80))[np.arange(60) % 4] * np.linspace(0.2, 1.6, 60)[:, None]
+    V = (raw - raw.mean(1, keepdims=True)) / raw.std(1, keepdims=True)
+    names = [f"n{k:02d}" for k in range(60)]
+    df = spark.createDataFrame(list(zip(names, V.tolist())), "symbol string, v array<double>")
+    cut = math.sqrt((1 - threshold) / 2)
+    shrunk = (1 - delta) * (V @ V.T / V.shape[1])
+    D = np.sqrt(np.clip((1 - shrunk) / 2, 0, 1))
+    owner = cl._average_linkage(D, cut)
+    want = {frozenset(names[i] for i in np.flatnonzero(owner == o)) for o in set(owner)}
+    for one_task in (0, 2000):  # all components by rounds, all in one task
+        got = cl.cluster_map(df, threshold, delta, one_task=one_task, block=13).toPandas()
+        assert {frozenset(g["symbol"]) for _, g in got.groupby("label")} == want
+    assert 1 < len(want) < 60
+
+
+def test_names_that_cannot_be_measured_have_a_reason(spark):
+    rng = np.random.default_rng(17)
+    px = walks(rng, 12, 300)
+    px["n001"][:250] = np.nan
+    px["n002"][:] = 100.0
+    got = {r.symbol: r for r in cl.clusters(series(spark, px)).collect()}
+    assert len(got) == 12 and got["n001"].reason == "too few prices in the window" and got["n002"].reason == "the price did not move"
+    assert all((r.label is None) == (r.reason is not None) for r in got.values()) and {r.n_obs for r in got.values()} == {249}
+    assert got["n000"].label == got["n004"].label == "CORR:n000+2"
+    cut = {r.symbol: (r.label, r.reason, r.n_obs) for r in cl.clusters(series(spark, px), as_of="2020-09-10").collect()}
+    early = {n: v[:(dt.date(2020, 9, 10) - dt.date(2020, 1, 1)).days + 1] for n, v in px.items()}
+    assert cut == {r.symbol: (r.label, r.reason, r.n_obs) for r in cl.clusters(series(spark, early)).collect()}
+    short = cl.clusters(series(spark, {n: v[-150:] for n, v in px.items()})).collect()
+    assert {r.reason for r in short} == {"too few sessions in which all names traded"} and len(short) == 12
+    few = cl.clusters(series(spark, {n: px[n] for n in ("n000", "n003")})).collect()
+    assert {r.reason for r in few} == {"too few names with enough prices"}
+
+
+def test_gaps_on_the_same_days_are_no_correlation(spark):
+    rng = np.random.default_rng(18)
+    px = {f"x{k}": 100 * np.exp(np.cumsum(0.01 * rng.normal(size=300))) for k in range(6)}
+    for n in ("x4", "x5"):
+        px[n][50:90] = np.nan
+    got = {r.symbol: r.label for r in cl.clusters(series(spark, px), completeness=0.8).collect()}
+    assert got["x4"] != got["x5"]
+
+
+def test_collisions_count_labels_alone(spark):
+    top = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "c"), (2, "d"), (3, "c"), (3, "d")], "session int, symbol string")
+    labels = spark.createDataFrame([("a", "L"), ("b", "L"), ("c", None), ("z", "L")], "symbol string, label string")
+    got = {r.session: tuple(r)[1:] for r in cl.collisions(top, labels).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 2, False), 3: (2, 2, False)}
+
+
 def test_fdr_matches_the_step_up_rule(spark):
     p = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, None]
     df = spark.createDataFrame([(f"y{i}", "x", v, 1.0, 10.0) for i, v in enumerate(p)], "y string, x string, pvalue double, beta double, half_life double")
