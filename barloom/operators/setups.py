@@ -185,7 +185,7 @@ def _walk(g: pd.DataFrame, cfg: RiskConfig, max_trades: int) -> list[tuple]:
             continue
         why, qty = _size(row, book, cfg)
         value, risk = qty * row.entry, qty * abs(row.entry - row.stop)
-        out.append((day, row.symbol, row.rank, why is None, why, qty, round(value, 2) if qty else 0.0, round(risk, 2) if qty else 0.0,
+        out.append((day, row.symbol, row.rank, why is None, why, qty, value, risk,
                     len(book.positions), book.today, book.equity, book.drawdown_pct))
         if why is None:
             stood += 1
@@ -233,7 +233,8 @@ def allocate(candidates: DataFrame, cfg: RiskConfig = RiskConfig(), max_trades:
     flat = candidates.withColumns({"event": F.lit(False), "risk_off": F.lit(False), "exit_on": F.lit(None).cast("date"),
                                    "exit_value": F.lit(None).cast("double"), "__day": F.col("session")})
     return walk_book(flat, cfg, max_trades, top, ["__day"]).select(
-        "session", "symbol", "rank", "approved", "reason", "qty", "position_value", "capital_at_risk")
+        "session", "symbol", "rank", "approved", "reason", "qty", F.round("position_value", 2).alias("position_value"),
+        F.round("capital_at_risk", 2).alias("capital_at_risk"))
 
 
 def exposure(positions: DataFrame, keys=("session",)) -> DataFrame:

@@ -107,10 +107,10 @@ def allocation_by_session(spark, sf):
 
 
 #: Tight enough that every cap is met, on an account of ten million.
-BOOK = setups.RiskConfig(capital=10_000_000.0, risk_pct=1.0, max_position_pct=12.0, max_sector_pct=18.0, max_correlated_pct=14.0, max_open_risk_pct=5.0,
-                         max_open_positions=6, max_adv_participation_pct=25.0, max_daily_loss_pct=0.6, max_drawdown_pct=6.0,
+BOOK = setups.RiskConfig(capital=10_000_000.0, risk_pct=3.0, max_position_pct=8.0, max_sector_pct=9.0, max_correlated_pct=10.0, max_open_risk_pct=12.5,
+                         max_open_positions=9, max_adv_participation_pct=25.0, max_daily_loss_pct=4.0, max_drawdown_pct=20.0,
                          vol_reference_atr_pct=60.0, risk_off_exposure_pct=50.0, max_instrument_atr_pct=150.0, max_stop_distance_pct=60.0)
-BOOK_TRADES, BOOK_TOP, BOOK_BARS = 3, 12, 4
+BOOK_TRADES, BOOK_TOP, BOOK_BARS = 3, 25, 4
 
 
 def book_candidates(spark, sf):
@@ -123,7 +123,7 @@ def book_candidates(spark, sf):
         "sid", F.col("exit_date").alias("exit_on"), (F.col("exit_price") - F.col("entry_price")).alias("exit_value"))
     score = ranking.stage2(f, ranking.REVERSAL_FACTORS, flagged_only=False).select("session", "symbol", "score")
     digit = F.substring("symbol", 7, 2).cast("int") % 10
-    ev = t.table(spark, sf, "part").where("p_size = 50").select(F.col("p_brand").alias("symbol"), F.expr("date_add(date'1992-01-01', int(p_partkey % 2500))").alias("event_date"),
+    ev = t.table(spark, sf, "part").select(F.col("p_brand").alias("symbol"), F.expr("date_add(date'1997-06-01', int(p_partkey % 2500))").alias("event_date"),
                                                                 F.lit("results").alias("purpose"), F.lit(True).alias("moving"))
     asks = g.select("symbol", F.col("session").alias("as_of")).distinct().withColumn("ask", F.lit(0))
     near = ev_ops.next_event(asks, ev).where(ev_ops.blocks(5)).select("symbol", F.col("as_of").alias("session"), F.lit(True).alias("near"))
@@ -136,7 +136,7 @@ _C = BOOK.capital
 BOOK_SQL = [
     "sigs AS (SELECT symbol || '@' || idx AS sid, symbol, session AS decided_on, stop, target, CAST(1 AS BIGINT) AS qty FROM setups WHERE close IS NOT NULL)",
     *sim_sql(horizon=BOOK_BARS),
-    "pev AS (SELECT p_brand AS symbol, DATE '1992-01-01' + CAST(p_partkey % 2500 AS INTEGER) AS d FROM part WHERE p_size = 50)",
+    "pev AS (SELECT p_brand AS symbol, DATE '1997-06-01' + CAST(p_partkey % 2500 AS INTEGER) AS d FROM part)",
     f"""cand AS (SELECT *, row_number() OVER (ORDER BY session, rank) AS rn FROM (SELECT g.session, g.symbol, g.entry, g.stop, g.atr_pct, g.adv_shares, g.gate,
           substr(g.symbol, 7, 1) AS sector, CASE WHEN CAST(substr(g.symbol, 7, 2) AS INTEGER) % 10 <= 3 THEN 'CORR:' || (CAST(substr(g.symbol, 7, 2) AS INTEGER) % 10) END AS cluster,
           EXISTS (SELECT 1 FROM pev WHERE pev.symbol = g.symbol AND d BETWEEN g.session AND g.session + 5) AS event, month(g.session) IN (3, 9) AS risk_off,
