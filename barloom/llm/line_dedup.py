@@ -26,6 +26,7 @@ verified on the texts by banded bit-parallel edit distance.
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,8 @@ MAP_BITS = (1 << 16, 1 << 27)
 SEEN = 200_000
 #: Characters of the texts that are worked on at once.
 AT_ONCE = 1 << 20
-#: Members of one class under one key are dealt into this many lists.
-LISTS = 64
+#: Lines of one key that are compared at once.
+BLOCK = 512
 #: A line that stands this often is joined with its copies without a shuffle, if there are not more than HOT_LINES such lines.
 HOT_COPIES, HOT_LINES = 100_000, 10_000
 _B = 0x9E3779B97F4A7C15
@@ -104,34 +105,47 @@ def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """(line, key, own, tag) of all keys of the lines: the line's number, whether the key is one of its segments, limit and parity bits."""
     split = [s.split() for s in lines]
     worded = [len(w) >= WORDS for w in split]
-    size = np.array([len(w) if by else len(s) for w, s, by in zip(split, lines, worded)], np.int64)
-    table = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=7) for w in set().union(*(w for w, by in zip(split, worded) if by))}
-    parts = [np.fromiter(map(table.__getitem__, w), np.uint64, len(w)) if by
-             else _mixed(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) for w, s, by in zip(split, lines, worded)]
-    number = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    words = list(chain.from_iterable(w for w, by in zip(split, worded) if by))
+    table = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=7) for w in set(words)}
+    letters = "".join(s for s, by in zip(lines, worded) if not by).encode("utf-32-le", "surrogatepass")
+    # all word lines, then all character lines, as one sequence of numbers
+    number = np.concatenate((np.fromiter(map(table.__getitem__, words), np.uint64, len(words)),
+                             _mixed(np.frombuffer(letters, np.uint32).astype(np.uint64) + np.uint64(1))))
+    order = [k for k, by in enumerate(worded) if by] + [k for k, by in enumerate(worded) if not by]
+    size = np.array([len(split[k]) if worded[k] else len(lines[k]) for k in order], np.int64)
+    by_line = np.arange(len(order)) < sum(worded)
     begin = np.cumsum(size) - size
     up, down = _powers(len(number) + 1)
     ahead = np.concatenate((np.zeros(1, np.uint64), np.cumsum(number * up[:len(number)])))
-    patterns = [_pattern(int(n), by) if by or n >= PER_CHARACTER else None for n, by in zip(size, worded)]
-    asked = [k for k, pat in enumerate(patterns) if pat is not None]
-    many = np.array([len(patterns[k][0]) for k in asked], np.int64)
-    line = np.repeat(np.array(asked, np.int64), many)
-    join = lambda c, kind: np.concatenate([patterns[k][c] for k in asked]) if asked else np.zeros(0, kind)
-    start, length, seed = join(0, np.int64) + begin[line], join(1, np.int64), join(2, np.uint64)
+    # lines of one kind and length have one pattern of starts, lengths and seeds
+    kind = size * 2 + by_line
+    kinds, which = np.unique(kind, return_inverse=True)
+    patterns = [_pattern(int(k) >> 1, bool(k & 1)) if k & 1 or k >> 1 >= PER_CHARACTER else None for k in kinds.tolist()]
+    width = np.array([0 if pat is None else len(pat[0]) for pat in patterns], np.int64)
+    flat = [np.concatenate([pat[c] for pat in patterns if pat is not None] or [np.zeros(0, np.int64)]) for c in range(3)]
+    base, owned = np.cumsum(width) - width, np.array([0 if pat is None else pat[3] for pat in patterns], np.int64)
+    many = width[which]
+    row = np.repeat(np.arange(len(order)), many)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    at = base[which[row]] + within
+    start, length, seed = flat[0][at] + begin[row], flat[1][at], flat[2][at].astype(np.uint64)
     key = _mixed((ahead[start + length] - ahead[start]) * down[start] + seed)
-    own = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many) < np.repeat(np.array([patterns[k][3] for k in asked], np.int64), many)
+    own = within < owned[which[row]]
     # parity bits: of words, or of neighbouring characters; an edit changes two or four of them
-    by = np.repeat(np.array(worded, bool), size)
-    who = np.repeat(np.arange(len(lines)), size)
-    pair = np.zeros(len(number), np.uint64)
-    pair[:-1] = _mixed(number[:-1] * np.uint64(_B) + number[1:])
-    counts = by | np.append(who[:-1] == who[1:], False)[:len(number)]
-    bit = (np.where(by, _mixed(number), pair) % np.uint64(BITS)).astype(np.int64)
-    odd = np.zeros((len(lines), 64), np.uint8)
-    odd[:, 8:] = np.bincount(who[counts] * BITS + bit[counts], minlength=BITS * len(lines)).reshape(-1, BITS) & 1
+    worded_elements = int(size[by_line].sum())
+    who = np.repeat(np.arange(len(order)), size)
+    bit = np.empty(len(number), np.uint64)
+    bit[:worded_elements] = _mixed(number[:worded_elements])
+    tail = number[worded_elements:]
+    bit[worded_elements:-1] = _mixed(tail[:-1] * np.uint64(_B) + tail[1:])
+    counts = np.ones(len(number), bool)
+    ends = np.cumsum(size[~by_line]) - 1 + worded_elements
+    counts[ends] = False  # the last character of a line has no neighbour
+    odd = np.zeros((len(order), 64), np.uint8)
+    odd[:, 8:] = np.bincount(who[counts] * BITS + (bit[counts] % np.uint64(BITS)).astype(np.int64), minlength=BITS * len(order)).reshape(-1, BITS) & 1
     tag = np.packbits(odd, axis=1).view(">i8").ravel().astype(np.int64)
-    tag |= np.array([allowed(int(n), by) * (2 if by else 4) for n, by in zip(size, worded)], np.int64) << BITS
-    return line, key.view(np.int64), own, tag[line]
+    tag |= np.array([allowed(int(k) >> 1, bool(k & 1)) * (2 if k & 1 else 4) for k in kinds.tolist()], np.int64)[which] << BITS
+    return np.array(order, np.int64)[row], key.view(np.int64), own, tag[row]
 
 
 def alike(tag: Column, other: Column) -> Column:
@@ -245,6 +259,59 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(made, "key long, line long, own boolean, tag long")
 
 
+class _Shared:
+    """Passes on the rows of keys under which several lines meet, one of them by a segment, from rows in the order of key, segments first, line.
+
+    A key's rows are held back only until its second line comes, however many
+    there are; a line that several tasks sent counts once.
+    """
+
+    def __init__(self) -> None:
+        self.key: int | None = None
+        self.line = 0
+        self.state = "first"  # or "several", or "skip" if no line has the key as a segment
+        self.held: tuple | None = None
+
+    def rows(self, key: np.ndarray, line: np.ndarray, own: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, ...]:
+        if not len(key):
+            return key, line, own, tag
+        if self.key is not None and self.state == "first" and self.key == key[0]:  # the line that waits goes first
+            key, line, own, tag = (np.concatenate(([h], c)) for h, c in zip(self.held, (key, line, own, tag)))
+            goes_on = None
+        else:
+            goes_on = self.state if self.key == key[0] else None
+        repeat = np.concatenate(([goes_on is not None and self.line == line[0]], (key[1:] == key[:-1]) & (line[1:] == line[:-1])))
+        key, line, own, tag = (c[~repeat] for c in (key, line, own, tag))
+        if not len(key):
+            return key, line, own, tag
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begins, len(key)))
+        differ = np.minimum.reduceat(line, begins) != np.maximum.reduceat(line, begins)  # a line can both have a key and ask for it
+        good = own[begins] & differ
+        if goes_on is not None and key[0] == self.key:
+            good[0] = goes_on == "several"
+        last = begins[-1]
+        ongoing = len(begins) == 1 and goes_on is not None and key[0] == self.key
+        self.state = goes_on if ongoing else "skip" if not own[last] else "several" if differ[-1] else "first"
+        self.key, self.line, self.held = int(key[-1]), int(line[-1]), (key[last], line[last], own[last], tag[last])
+        keep = np.repeat(good, size)
+        return tuple(c[keep] for c in (key, line, own, tag))
+
+
+def _met(docs: DataFrame) -> DataFrame:
+    """Rows (key, line, own, tag) of lines that meet others; keys are dealt and put in order once."""
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = _Shared()
+        for batch in batches:
+            found = shared.rows(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["key", "line", "own", "tag"])
+
+    dealt = _keys(docs).repartition("key").sortWithinPartitions("key", F.desc("own"), "line")
+    return cut_lineage(dealt.mapInArrow(several, "key long, line long, own boolean, tag long"))
+
+
 def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(tid, line, s) of the lines with these hashes; the texts are read past a bit map of bounded size."""
     names = cut_lineage(names)
@@ -284,24 +351,53 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(both.where(F.pandas_udf(close, "boolean")("x", "y")).select("u", "v"))
 
 
+def _popcount(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.astype(np.uint64))
+
+
+def alike_pairs(xs: list[tuple], ys: list[tuple] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of lines (tid, root, own, tag) of different classes that may be near, one of each list, or both of ``xs``."""
+    a = np.array(xs, np.int64).reshape(-1, 4)
+    b = a if ys is None else np.array(ys, np.int64).reshape(-1, 4)
+    apart = _popcount((a[:, 3][:, None] ^ b[:, 3][None, :]) & np.int64((1 << BITS) - 1))
+    ok = (apart <= np.minimum(a[:, 3][:, None] >> BITS, b[:, 3][None, :] >> BITS)) & (a[:, 1][:, None] != b[:, 1][None, :])
+    ok &= (a[:, 2][:, None] | b[:, 2][None, :]) != 0
+    if ys is None:
+        ok = np.triu(ok, 1)
+    i, j = np.nonzero(ok)
+    return np.minimum(a[i, 0], b[j, 0]), np.maximum(a[i, 0], b[j, 0])
+
+
 def _pairs_of_classes(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines of different classes that meet under a key and have alike tags, from rows (key, tid, own, tag, root)."""
-    several = met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    lists = cut_lineage(met.join(several, "key", "left_semi").groupBy("key", "root", F.pmod("tid", F.lit(LISTS)).alias("part"))
-                        .agg(F.collect_list(F.struct("tid", "own", "tag")).alias("xs")))
-    other = lists.select("key", F.col("root").alias("root2"), F.col("xs").alias("ys"))
-    each = (lists.join(other, "key").where("root < root2").select(F.explode("xs").alias("x"), "ys")
-            .select("x", F.explode("ys").alias("y")).where("x.own OR y.own").where(alike(F.col("x.tag"), F.col("y.tag"))))
-    return each.select(F.least("x.tid", "y.tid").alias("u"), F.greatest("x.tid", "y.tid").alias("v")).distinct()
+    """Pairs (u, v) of lines of different classes that meet under a key and have alike tags, from rows (key, tid, own, tag, root).
+
+    The lines of a key are dealt into blocks, and blocks meet inside tasks; of
+    the comparisons only the pairs that their parity bits allow leave a task.
+    """
+    several = (met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+               .where("a <> b").select("key", "blocks"))
+    member = F.struct("tid", "root", F.col("own").cast("long").alias("own"), "tag")
+    lists = cut_lineage(met.join(several, "key").groupBy("key", "blocks", F.pmod(F.xxhash64("tid"), F.col("blocks")).alias("block"))
+                        .agg(F.collect_list(member).alias("xs")))
+    other = lists.where("blocks > 1").select("key", F.col("block").alias("block2"), F.col("xs").alias("ys"))
+    each = (lists.select("xs", F.lit(None).cast(lists.schema["xs"].dataType).alias("ys"))
+            .unionByName(lists.where("blocks > 1").join(other, "key").where("block < block2").select("xs", "ys")))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                xs, ys = (None if v is None else [tuple(r.values()) for r in v] for v in (batch.column(c)[k].as_py() for c in range(2)))
+                u, v = alike_pairs(xs, ys)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return each.mapInArrow(compared, "u long, v long").distinct()
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """(m, root): the digest of each line that has another line near it, and the number of its class."""
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    keys = cut_lineage(_keys(docs))
-    shared = (keys.groupBy("key").agg(F.max("own").alias("own"), F.min("line").alias("lo"), F.max("line").alias("hi"))
-              .where("own AND lo <> hi").select("key"))
-    met = cut_lineage(keys.join(shared, "key", "left_semi").groupBy("key", "line").agg(F.max("own").alias("own"), F.max("tag").alias("tag")))
+    met = _met(docs)
     texts = _texts_of(docs, met.select("line").distinct())
     met = cut_lineage(met.join(texts.select("line", "tid"), "line").select("key", "tid", "own", "tag"))
     first = F.when(F.col("own"), F.col("tid"))
@@ -318,26 +414,28 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
 
 def digest(s: Column) -> Column:
-    return F.md5(F.encode(s, "UTF-8"))
+    return F.unhex(F.md5(F.encode(s, "UTF-8")))
 
 
 def _row_key() -> Column:
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    """Sixteen bytes that tell documents with another id or text apart."""
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return digest(name)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(row, drops): for each document with lines to drop, an array of (pos, first) by pos.
 
     ``first`` is doc_id:pos of the line that stays, the class's first in the
-    order of doc_id (null last), text digest and position. ``row`` is made of
+    order of doc_id (null last), a digest of the row and position. ``row`` is made of
     doc_id and the text's digest: repeated rows are treated alike.
     """
     named = docs.select(_row_key().alias("row"), F.col("doc_id").cast("long").alias("doc"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("all"))
-    lines = (named.select("row", "doc", F.posexplode("all").alias("pos", "s"))  # the text's digest once, not once a line
-             .where(F.col("s").rlike(r"\S")).select("row", "doc", "pos", digest(F.col("s")).alias("m")))
+    lines = cut_lineage(named.select("row", "doc", F.posexplode("all").alias("pos", "s"))  # the text's digest once, not once a line
+                        .where(F.col("s").rlike(r"\S")).select("row", "doc", "pos", digest(F.col("s")).alias("m")))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "pos")
     each = lines.groupBy("m").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    each = cut_lineage(each.join(line_classes(docs), "m", "left").withColumn("class", F.coalesce(F.col("root").cast("string"), F.col("m"))).drop("root"))
+    each = cut_lineage(each.join(line_classes(docs), "m", "left").withColumn("class", F.coalesce(F.encode(F.col("root").cast("string"), "UTF-8"), F.col("m"))).drop("root"))
     kept = each.groupBy("class").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where("all > 1")
     multi = each.join(kept, "class").select("m", "n", F.col("kept.row").alias("row0"), F.col("kept.pos").alias("pos0"),
                                             F.concat_ws(":", F.coalesce(F.col("kept.doc").cast("string"), F.lit("")), F.col("kept.pos").cast("string")).alias("first"))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from helpers import SF, no_docs, odd_docs, small
 
@@ -146,7 +147,7 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_of_words(spark, monkeypatch):
-    monkeypatch.setattr(ld, "LISTS", 3)
+    monkeypatch.setattr(ld, "BLOCK", 3)
     monkeypatch.setattr(ld, "HOT_COPIES", 5)
     rng = random.Random(14)
     vocabulary = ["w%d" % k for k in range(60)]
@@ -166,6 +167,23 @@ def test_line_dedup_of_words(spark, monkeypatch):
     assert got == want and any(len(v.split(",")) > 3 for v in want.values())
 
 
+def test_keys_met_by_several_lines_pass_in_any_batches():
+    rng = random.Random(16)
+    for _ in range(300):
+        rows = [(rng.randrange(6), rng.randrange(4), rng.random() < .4, 0) for _ in range(rng.randint(0, 40))]
+        rows.sort(key=lambda r: (r[0], not r[2], r[1]))
+        shared, got, at = ld._Shared(), [], 0
+        while at < len(rows):
+            n = rng.randint(1, 7)
+            cols = list(zip(*rows[at:at + n]))
+            got += zip(*(c.tolist() for c in shared.rows(*(np.array(c, t) for c, t in zip(cols, (np.int64, np.int64, bool, np.int64))))))
+            at += n
+        for key in range(6):
+            lines = {(x, o) for k, x, o, _ in rows if k == key}
+            met = any(o for _, o in lines) and len({x for x, _ in lines}) > 1
+            assert {x for k, x, _, _ in got if k == key} == ({x for x, _ in lines} if met else set()), (rows, got)
+
+
 def test_line_dedup_of_documents(spark):
     docs = read(spark, SF, "documents").where("doc_id < 400")  # a fixture: every pair is compared
     got = {r.doc_id: r.drops for r in ld.line_dedup(docs).collect() if r.drops}
