@@ -34,8 +34,12 @@ from barloom.llm.common import running_start, stored, tokenizer_path
 SEQUENCE = 1024
 #: Sequences of a window: shares hold to within a token over this many, and a source's turn in it is one run of tokens.
 WINDOW = 16
-#: Distinct words whose ids a worker keeps; emptied when full, which costs time only.
+#: Distinct words whose ids a worker keeps; the rarer ones go when it is full, which costs time only.
 KEPT_WORDS = 500_000
+#: Stands between words that the library is asked for together.
+BETWEEN = "\n"
+#: Tables of (queue, partition) totals of up to so many rows are sent to the ids; larger ones are joined with them.
+SENT_ROWS = 100_000
 
 # letters, digits and signs on which every Unicode version agrees; texts with others are left to the library as a whole
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -62,17 +66,35 @@ class Ids:
     def _asked(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space but one blank before them, from one text with a line feed between any two.
+
+        The split never joins a line feed with what stands beside it, so its id
+        parts the words.
+        """
+        mark = self._asked([BETWEEN])[0]
+        ids = np.frombuffer(self._asked([BETWEEN.join(words)])[0], self.type)
+        ends = np.flatnonzero(ids == np.frombuffer(mark, self.type)[0]) if len(mark) == self.type.itemsize else ids
+        if len(ends) != len(words) - 1:
+            return self._asked(words)
+        raw, wide = ids.tobytes(), self.type.itemsize
+        return [raw[b * wide:e * wide] for b, e in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)])]
+
     def batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split: dict[int, list[str]] = {}
         for k, t in enumerate(texts):
             if self.by_word and _PLAIN(t) and not any(s in t for s in self.special):
                 split[k] = _SPLIT(t)
-        new = {w for words in split.values() for w in words}.difference(self.words)
-        if len(new) + len(self.words) > KEPT_WORDS:
-            self.words, new = {}, {w for words in split.values() for w in words}
-        new = sorted(new)
-        self.words.update(zip(new, self._asked(new)))
+        here = set().union(*split.values())
+        new = here.difference(self.words)
+        if len(new) + len(self.words) > KEPT_WORDS:  # what these texts need again stays, and with it what is common
+            self.words = {w: self.words[w] for w in here.difference(new)}
+        blank = sorted(filter(str.isspace, new))
+        plain = sorted(new.difference(blank))
+        self.words.update(zip(blank, self._asked(blank)))
+        for k in range(0, len(plain), 1000):
+            self.words.update(zip(plain[k:k + 1000], self._together(plain[k:k + 1000])))
         for k, words in split.items():
             out[k] = b"".join(map(self.words.__getitem__, words))
         rest = [k for k in range(len(texts)) if k not in split]
@@ -175,7 +197,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence: int =
 
     Texts are read once; their ids are kept in the shared folder. Only (queue,
     partition) totals are shuffled and added up, so a hot source is spread over
-    all partitions that read it.
+    all partitions that read it. The totals are sent to the ids where they are
+    few enough (``SENT_ROWS``), otherwise joined with them.
     """
     docs_ids = stored(_tokenized(docs, tokenizer))
     parts = docs_ids.groupBy("queue", "part").agg(F.sum("size").alias("n"))
@@ -196,6 +219,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence: int =
     plan = plan.select(F.col("queue").alias("q"), "x0", "x1", "lo", "total", "base")
     ahead = parts.select(F.col("queue").alias("q2"), F.col("part").alias("p2"), "ahead")
     begin = F.col("ahead") + F.col("start")
+    ahead, plan = (F.broadcast(d) if d.count() <= SENT_ROWS else d for d in (ahead, plan))
     where = (docs_ids.join(ahead, (F.col("queue") == F.col("q2")) & (F.col("part") == F.col("p2")))
              .join(plan, (F.col("queue") == F.col("q")) & (begin < F.col("x1")) & (begin + F.col("size") > F.col("x0")))
              .select("doc_id", begin.alias("begin"), "size", "x0", "x1", "lo", "total", "base", "ids"))

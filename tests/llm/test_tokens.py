@@ -47,6 +47,19 @@ def test_counts_of_odd_rows(spark):
     assert prefix_counts(small(spark, ["ab", None])).orderBy("doc_id").collect()[1].counts == [0]
 
 
+def test_ids_equal_the_library():
+    tok, rng = pk.Ids(pk.tokenizer_path("byte_bpe_50k.json")), random.Random(3)
+    texts = ["".join(rng.choice(PARTS + ["'s", " 'll", "\n\n", " \n", "É", "1 000"]) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    for t, ids in zip(texts, tok.batch(texts)):
+        assert np.frombuffer(ids, tok.type).tolist() == tok.library.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_joins_totals_that_are_too_many_to_send(spark, monkeypatch):
+    monkeypatch.setattr(pk, "SENT_ROWS", -1)
+    docs = read(spark, SF, "documents").where("doc_id < 100")
+    check_pieces(docs, pk.pack(docs).collect())
+
+
 def check_pieces(docs, pieces, sequence=1024):
     tok = pk.opened("byte_bpe_50k.json").library
     from collections import Counter, defaultdict
