@@ -45,16 +45,16 @@ def chunks(text: bytes) -> np.ndarray:
 
 
 def maxima(rows: np.ndarray, tables: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """Largest answer of every filter in every chunk, at each second place, at least 0."""
+    """Largest answer of every filter in every chunk, over all its places, at least 0."""
     out = np.empty((len(rows), FILTERS), np.float32)
-    for k in range(0, len(rows), 64):
-        part = rows[k:k + 64]
+    for k in range(0, len(rows), 32):
+        part = rows[k:k + 32]
         pair = part[:, :-1] * 257 + part[:, 1:]
         last = CHUNK - WIDTH + 1
-        answer = tables[0][pair[:, 0:last:2]]
-        answer += tables[1][pair[:, 2:last + 2:2]]
-        answer += tables[2][pair[:, 4:last + 4:2]]
-        out[k:k + 64] = answer.max(axis=1)
+        answer = tables[0][pair[:, 0:last]]
+        answer += tables[1][pair[:, 2:last + 2]]
+        answer += tables[2][pair[:, 4:last + 4]]
+        out[k:k + 32] = answer.max(axis=1)
     return np.maximum(out + bias, 0)
 
 
@@ -103,7 +103,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Net:
     for label in (0, 1):
         weight[target == label] /= max(weight[target == label].sum(), 1e-9)
     weight *= len(x) / 2
-    learn(net, x, target, weight, rng, ROUNDS, stride=2)
+    learn(net, x, target, weight, rng, ROUNDS)
     tables = pair_tables(net)
     mean = np.array([logits(net, maxima(chunks(texts[i]), tables, net.bias)).mean() for i in held])
     net.a, net.b = logistic(mean, y[held])

@@ -11,7 +11,9 @@ it: 4,096 cells at first, and wherever a cut could still fall, 256 finer ones in
 place of a cell. The best cut at whole cells bounds the capacity from above, the
 mean and the largest group bound it from below, and both bounds together tell
 which cells a cut can reach. When each of those holds a single group, greedy
-filling over cells is greedy filling over groups, so the result is exact.
+filling over cells is greedy filling over groups, so the capacity is exact. The
+shards are then cut at cells: each near the mean of what is left, none above the
+capacity.
 """
 
 from __future__ import annotations
@@ -84,6 +86,32 @@ def minimax(sizes: list[int], shards: int, low: int = 0) -> tuple[int, list[int]
     return low, greedy(ends, low, shards)
 
 
+def even_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
+    """Indexes after which shards end that are near the mean of what is left, never above ``capacity``, which must be feasible.
+
+    A shard ends where its sum comes nearest to that mean, unless the rest would
+    then need more shards than are left.
+    """
+    ends = list(accumulate(sizes))
+    needed = [0] * (len(sizes) + 1)  # shards of that capacity that the groups from k on need
+    for k in range(len(sizes) - 1, -1, -1):
+        needed[k] = 1 + needed[bisect_right(ends, (ends[k - 1] if k else 0) + capacity)]
+    cuts, at, base = [], 0, 0
+    for left in range(shards, 0, -1):
+        if at == len(sizes):
+            break
+        last = bisect_right(ends, base + capacity)
+        want = base + (ends[-1] - base) / left
+        end = min(max(bisect_right(ends, want), at + 1), last)
+        if end < last and abs(ends[end] - want) < abs(want - ends[end - 1]):
+            end += 1
+        while needed[end] > left - 1:
+            end += 1
+        cuts.append(end)
+        at, base = end, ends[end - 1]
+    return cuts
+
+
 def _reachable(cells: list[Cell], shards: int, low: int, high: int) -> list[Cell]:
     """Cells of several groups in which greedy filling could cut for some capacity from ``low`` to ``high``."""
     ends = list(accumulate(c.size for c in cells))
@@ -120,6 +148,7 @@ def plan(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         cells = [c for c in cells if c not in keep]
         for bits in sorted({c.bits for c in looked}):
             cells += _cells(groups, min(64, bits + MORE_BITS), [c for c in looked if c.bits == bits])
+    cuts = even_cuts([c.size for c in cells], shards, high)
     return high, [cells[k].low for k in cuts[:-1]]
 
 
@@ -132,8 +161,9 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     with a third of all bytes makes a shard of at least that size, which no
     order can avoid. Null and empty texts have size 1 and are two groups.
     Repeated rows and null doc_ids are rows like others; other columns are
-    ignored; an empty table gives no rows. A shard can stay empty if a few
-    groups hold most bytes.
+    ignored; an empty table gives no rows. Cuts stand near the mean of what is
+    left, so that the shards beside that of a large text share the rest evenly; a
+    shard stays empty only if there are fewer groups than shards.
 
     Group sizes are summed map-side before their one shuffle. Slots are numbered
     in parts of a shard, with the parts' counts added up in a small window, so a

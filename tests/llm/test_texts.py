@@ -145,6 +145,26 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_quality_scores_equal_a_plain_network():
+    """Every filter at every byte of every chunk, one after another."""
+    net = ql.random_net(np.random.default_rng(4), 257, ql.EMBED, ql.WIDTH, ql.FILTERS, ql.HIDDEN)
+    net.bias = np.random.default_rng(5).normal(0, .1, ql.FILTERS)
+    net.a, net.b = 1.3, -0.2
+    texts = [b"", b"x", "héllo wörld ".encode() * 40, bytes(range(256)) * 2, b"a" * 193]
+    want = []
+    for text in texts:
+        logits = []
+        for begin in range(0, max(1, len(text) - ql.OVERLAP), ql.CHUNK - ql.OVERLAP):
+            codes = list(text[begin:begin + ql.CHUNK])
+            codes += [256] * (ql.CHUNK - len(codes))
+            peak = np.array([max(max(sum(net.embed[codes[p + k]] @ net.conv[k, :, f] for k in range(ql.WIDTH)) + net.bias[f]
+                                     for p in range(ql.CHUNK - ql.WIDTH + 1)), 0) for f in range(ql.FILTERS)])
+            logits.append(np.maximum(peak @ net.w1 + net.b1, 0) @ net.w2 + net.b2)
+        want.append(1 / (1 + math.exp(-(net.a * np.mean(logits) + net.b))))
+    got = ql.scores(net, texts, ql.pair_tables(net))
+    np.testing.assert_allclose(got, want, rtol=1e-4)
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (4, 0, 0), (6, 0, 0), (8, 0, 1), (None, 1, 0), (5, None, 0), (7, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
     rows = ql.quality(odd_docs(spark), labels).collect()
@@ -180,6 +200,21 @@ def test_minimax():
         assert capacity == fewest(sizes, shards) and len(cuts) <= shards and cuts[-1] == len(sizes)
 
 
+def test_even_cuts():
+    rng = random.Random(10)
+    for _ in range(300):
+        sizes = [rng.randint(1, 40) for _ in range(rng.randint(1, 30))]
+        shards = rng.randint(1, 9)
+        capacity, greedy = sh.minimax(sizes, shards)
+        cuts = sh.even_cuts(sizes, shards, capacity)
+        runs = [sum(sizes[a:b]) for a, b in zip([0, *cuts], cuts)]
+        assert cuts[-1] == len(sizes) and len(greedy) <= len(cuts) <= shards and max(runs) <= capacity and min(runs) > 0
+    sizes = [1] * 1000 + [1500] + [1] * 2000
+    cuts = sh.even_cuts(sizes, 16, sh.minimax(sizes, 16)[0])
+    runs = [sum(sizes[a:b]) for a, b in zip([0, *cuts], cuts)]
+    assert len(runs) == 16 and max(runs) == 1500 and max(sorted(runs)[:-1]) < 1.35 * min(runs)
+
+
 @pytest.mark.parametrize("bits", [(1, 1), (3, 2), (12, 8)])
 def test_shards(spark, monkeypatch, bits):
     monkeypatch.setattr(sh, "FIRST_BITS", bits[0])
