@@ -22,42 +22,52 @@ from barloom.llm.token_files import token_files
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token count of every document."""
     return token_counts(read(spark, sf_dir, "documents"))
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest neighbours of every fiftieth vector, among all vectors."""
     return nearest(read(spark, sf_dir, "embeddings"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, or are near, a line before."""
     return line_dedup(read(spark, sf_dir, "documents"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of full sequences."""
     return pack(read(spark, sf_dir, "documents"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and suffix-tree score of every document."""
     return lm_scores(read(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality probability of every document."""
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and a slot for every document."""
     return shard(read(spark, sf_dir, "documents"))
 
 

@@ -89,9 +89,19 @@ def minimax(sizes: list[int], shards: int, low: int = 0) -> tuple[int, list[int]
 def even_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
     """Indexes after which shards end that are near the mean of what is left, never above ``capacity``, which must be feasible.
 
-    A shard ends where its sum comes nearest to that mean, unless the rest would
-    then need more shards than are left.
+    Groups above the mean have a shard of their own and do not count in it. A
+    shard ends where its sum comes nearest to the mean, unless the rest would then
+    need more shards than are left.
     """
+    def mean(rest: list[int], parts: int) -> float:
+        while True:
+            total = sum(rest)
+            small = [x for x in rest if x * parts <= total]
+            large = len(rest) - len(small)
+            if not large or large >= parts or not small:
+                return total / parts
+            rest, parts = small, parts - large
+
     ends = list(accumulate(sizes))
     needed = [0] * (len(sizes) + 1)  # shards of that capacity that the groups from k on need
     for k in range(len(sizes) - 1, -1, -1):
@@ -101,7 +111,7 @@ def even_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
         if at == len(sizes):
             break
         last = bisect_right(ends, base + capacity)
-        want = base + (ends[-1] - base) / left
+        want = base + mean(sizes[at:], left)
         end = min(max(bisect_right(ends, want), at + 1), last)
         if end < last and abs(ends[end] - want) < abs(want - ends[end - 1]):
             end += 1

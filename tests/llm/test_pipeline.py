@@ -1,7 +1,9 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+from collections import Counter
+
 import corpus_pipeline as cp
-from helpers import SF, no_docs
+from helpers import SF, no_docs, odd_docs
 from test_lines import brute_links, classes, expected_drops
 from test_texts import words
 
@@ -49,3 +51,20 @@ def test_empty_table(spark):
     for _, stage in cp.STAGES:
         docs = stored(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and clashing columns pass through; what leaves a stage was in it."""
+    docs = odd = stored(odd_docs(spark))
+    for name, stage in cp.STAGES[:-1]:
+        kept = stored(stage(spark, docs, SF))
+        assert kept.columns == odd.columns, name
+        before, after = Counter(r.doc_id for r in docs.collect()), Counter(r.doc_id for r in kept.collect())
+        assert not after - before, name
+        docs = kept
+    pieces = cp.STAGES[-1][1](spark, docs, SF).collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in docs.collect()}
+    # a stage on its own input: texts without words are no copies of others' lines and hold no benchmark window
+    lined = {r.doc_id: r.text for r in cp.STAGES[1][1](spark, odd, SF).collect()}
+    assert lined[1] is None and lined[2] == "" and lined[3] == "  \n\n " and 5 not in lined and lined[11] == "short"
+    assert cp.STAGES[3][1](spark, odd, SF).count() == odd.count()
