@@ -65,7 +65,7 @@ def main() -> None:
         "market_regime": lambda: regime.regime_series(weekly),
         "latest_filings": lambda: fundamentals.latest_filing(filings, "1998-05-10"),
         "fundamentals_table": lambda: fundamentals.build_table(filings, "1998-05-10"),
-        "correlation_clusters": lambda: clusters.cluster_map(clusters.return_vectors(weekly, lookback=60, completeness=0.7, min_overlap=10)),
+        "correlation_clusters": lambda: clusters.cluster_map(clusters.return_vectors(weekly, lookback=60, completeness=0.7, min_overlap=1)),
     }
     only = set(sys.argv[1:])
     took = {}
