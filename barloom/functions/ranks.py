@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def group_rank_pct(df: DataFrame, keys: list[str], value: str, out: str = "rank_pct",
-                   buckets: int = 64) -> DataFrame:
-    """Average rank of ties over the count of values, within ``keys``.
+                   buckets: int = 64, scale: float = 1.0) -> DataFrame:
+    """Average rank of ties, times ``scale``, over the count of values, within ``keys``.
 
     Rows are first reduced to (keys, value, n), so a tie shared by a third of
     the table is one row. Approximate quantiles then cut each group into value
@@ -33,6 +33,6 @@ def group_rank_pct(df: DataFrame, keys: list[str], value: str, out: str = "rank_
     ranks = (binned.withColumn("__cum", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
              .join(offsets, keys + ["__b"])
              .select(*keys, value,
-                     ((F.col("__off") + F.col("__cum") + (F.col("__n") + 1) / 2)
+                     (scale * (F.col("__off") + F.col("__cum") + (F.col("__n") + 1) / 2)
                       / F.col("__tot")).alias(out)))
     return df.join(ranks, keys + [value], "left")

@@ -84,13 +84,15 @@ def stage2(features: DataFrame, factors=DEFAULT_FACTORS, regime: str = "unknown"
                  (f.direction * F.col(f.column)).cast("double").alias("v")) for f in use])).alias("f")
     ).select(*keys, "symbol", "extended", "f.*")
     long = cut_lineage(long)
-    ranked = group_rank_pct(long, keys + ["factor"], "v", "share").withColumn("rank", 100.0 * F.col("share"))
-    score = (F.sum(F.col("rank") * F.col("weight"))
+    ranked = group_rank_pct(long, keys + ["factor"], "v", "rank", scale=100.0)
+    rank = lambda f: F.max(F.when(F.col("factor") == f.name, F.col("rank")))
+    # added up in the order of the factors: a sum over rows takes them as they come
+    score = (sum((F.coalesce(rank(f) * f.weight, F.lit(0.0)) for f in use[1:]), F.coalesce(rank(use[0]) * use[0].weight, F.lit(0.0)))
              / F.sum(F.when(F.col("rank").isNotNull(), F.col("weight"))))
     penalty = F.max(F.when(truth(F.col("extended")), extended_penalty).otherwise(0.0))
     out = ranked.groupBy(*keys, "symbol").agg(
         score.alias("raw"), F.count("rank").alias("factors_used"), penalty.alias("penalty"),
-        *[F.max(F.when(F.col("factor") == f.name, F.col("rank"))).alias(f"rank_{f.name}") for f in use])
+        *[rank(f).alias(f"rank_{f.name}") for f in use])
     return (out.where(F.col("factors_used") >= min_factors)
             .withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("raw") - F.col("penalty"))))
             .drop("raw"))

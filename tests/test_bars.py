@@ -53,3 +53,10 @@ def test_every_source_of_quarters_has_bars(spark):
     for status in "FO":
         b = t.sourced_bars(spark, "/root/testdata/sf0.01", status)
         assert b.where(F.col("open").isNull() | F.col("close").isNull()).count() == 0 and b.count() > 0
+
+
+def test_part_keys_far_apart_order_equal_lines(spark, tmp_path):
+    parts = [(1, 1_000_005), (99_998, 100_001), (99_999, 99_998 + 99_999), (None, 2_000_000)]
+    rows = [(7, 1, p, k + 1, 1.0, float(p or 0), dt.date(2001, 1, 1), "A", "F") for k, pair in enumerate(parts) for p in pair]
+    got = {r.symbol: (r.open, r.close) for r in t.bars(spark, lines(spark, rows, tmp_path), index=False).collect()}
+    assert got == {"S1": (1.0, 1_000_005.0), "S2": (99_998.0, 100_001.0), "S3": (99_999.0, 199_997.0), "S4": (2_000_000.0, 0.0)}

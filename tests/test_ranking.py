@@ -64,3 +64,15 @@ def test_hostile_regime_silences(spark):
     assert [f.name for f in ranking.active_factors(df, ranking.DEFAULT_FACTORS, "crisis")] == ["participation"]
     status = {r.factor: r.status for r in ranking.factor_status(df, ranking.DEFAULT_FACTORS, "range").collect()}
     assert status["momentum"] == "active" and status["trend"] == "column is absent"
+
+
+def test_ranks_and_scores_are_the_doubles_of_their_formula(spark):
+    rows = [("d", f"s{k:02d}", *[float((k * m) % 53) for m in (1, 7, 11, 19, 23)], False, 1) for k in range(53)]
+    df = spark.createDataFrame(rows, "session string, symbol string, ret_20d_pct double, dist_sma50_pct double, pos_52w_pct double, rel_volume double, atr_pct_rank double, extended boolean, flag_count int")
+    for r in ranking.stage2(df.repartition(7)).collect():
+        k = int(r.symbol[1:])
+        up = [100.0 * ((k * m) % 53 + 1) / 53 for m in (1, 7, 11, 19)] + [100.0 * (53 - (k * 23) % 53) / 53]
+        total = 0.0
+        for x, f in zip(up, ranking.DEFAULT_FACTORS):
+            total += x * f.weight
+        assert [r[f"rank_{f.name}"] for f in ranking.DEFAULT_FACTORS] == up and r.score == total / 3.75
