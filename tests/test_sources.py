@@ -185,3 +185,14 @@ def test_opposed_headlines(spark):
     pairs = [("Stocks rise on data", "Stocks fall on data", True), ("Stocks rise then fall", "Stocks fall", False), ("Stocks rise", "Stocks rally", False)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", news.opposed(news.tokens("a"), news.tokens("b")).alias("got"))
     assert all(r.got == r.want for r in df.collect())
+
+
+def test_titles_of_the_same_words_meet_once_and_only_near_pairs_are_made(spark, monkeypatch):
+    rows = [(k, f"merger talks stall {k % 100} {'again' if k % 2 else 'in'} {k // 100}") for k in range(400)]
+    rows += [(1000 + k, f"zinc {' '.join(f'w{k}x{j}' for j in range(12))}") for k in range(60)]
+    items = spark.createDataFrame(rows, "item_id long, title string").withColumns(
+        {"published_at": F.timestamp_seconds("item_id"), "tier": F.lit(1), "source": F.lit("s")})
+    met, plain = [], news.near_pairs
+    monkeypatch.setattr(news, "near_pairs", lambda g, s: met.append((g.count(), plain(g, s).count())) or plain(g, s))
+    got = {r.item_id: r["items"] for r in news.cluster(items, 0.6).collect()}
+    assert met == [(62, 1)] and got == {0: 400, **{1000 + k: 1 for k in range(60)}}
