@@ -33,15 +33,18 @@ def session_vwap(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
     return g.select("symbol", F.to_date("w.start").alias("session"), ratio("pv", "v").alias("vwap"), F.col("v").alias("size"))
 
 
-def distinct_stories(items: DataFrame, within_days: float = 30.0, late: str = "1 day") -> DataFrame:
+def distinct_stories(items: DataFrame, within_days: float = 30.0, late: str = "1 day", shelves: int = 16_384) -> DataFrame:
     """Items whose normalised title has not been seen in the ``within_days`` before; after that it is news again.
 
-    The state of a title is when it was last let through. A timer drops it once
+    The state of a title is when it was last let through. It is dropped once
     the watermark is past the time in which it could hold an item back, so titles
     that do not come again leave nothing behind. Items of a title that arrive
-    together are taken by time, then by their other columns.
+    together are taken by time, then by their other columns. Titles lie on
+    ``shelves`` by their hash, since a call for each title would cost more than
+    its work: the state of a shelf is its titles and their times, and a timer
+    clears it when its last one is over.
     """
-    named = items.withColumn("norm", normalise("title")).withWatermark("published_at", late)
+    named = items.withColumn("norm", normalise("title")).withColumn("__shelf", F.pmod(F.xxhash64("norm"), F.lit(shelves))).withWatermark("published_at", late)
     span = int(within_days * 86_400_000)
     order = ["published_at", *[c for c in items.columns if c != "published_at"]]
 
@@ -49,19 +52,28 @@ def distinct_stories(items: DataFrame, within_days: float = 30.0, late: str = "1
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(order, ignore_index=True)
+        now = state.getCurrentWatermarkMs()
+        last = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat(list(frames))
+        if len(rows) > 1:
+            rows = rows.sort_values(order, ignore_index=True)
         keep = []
-        for k, at in enumerate(rows["published_at"].astype("datetime64[ms]").astype("int64")):
-            if last is None or abs(at - last) >= span:
-                last = at if last is None else max(at, last)
+        norms = [None if t is None or t != t else t for t in rows["norm"]]  # a null title is one title
+        for k, (title, at) in enumerate(zip(norms, rows["published_at"].astype("datetime64[ms]").astype("int64").tolist())):
+            seen = last.get(title)
+            if seen is None or abs(at - seen) >= span:
+                last[title] = at if seen is None else max(at, seen)
                 keep.append(k)
-        if last is not None:
-            state.update((int(last),))
-            state.setTimeoutTimestamp(max(int(last) + span, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[keep]
+        last = {t: at for t, at in last.items() if at + span > now}  # what the next batch brings is not older than this watermark
+        if last:
+            state.update((list(last.keys()), list(last.values())))
+            state.setTimeoutTimestamp(max(max(last.values()) + span, now + 1))
+        elif state.exists:
+            state.remove()
+        yield rows if len(keep) == len(rows) else rows.iloc[keep]
 
-    return named.groupBy("norm").applyInPandasWithState(fresh, named.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = named.groupBy("__shelf").applyInPandasWithState(fresh, named.schema, "titles array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.drop("__shelf")
 
 
 def upsert_sessions(path: str, keys: tuple[str, ...] = ("symbol",)):

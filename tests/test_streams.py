@@ -80,3 +80,19 @@ def test_a_title_is_news_again_after_thirty_days(spark, tmp_path):
         return sorted(r.id for r in st.run_once(st.distinct_stories(stream), mode="append").collect())
 
     assert drained(1) == [1, 3, 4, 6, 7, 8, 9] and drained(100) == [1, 3, 4, 6, 7, 8, 9]
+
+
+def test_titles_that_share_a_shelf_stay_apart(spark, tmp_path):
+    """A thousand titles and two shelves: a title's time is its own, and the empty and the null title are titles too."""
+    source = tmp_path / "in"
+    days = [[(f"t{k}", 0, k) for k in range(1000)] + [("", 0, 1000), (None, 0, 1001)],
+            [(f"T{k}", 10, 2000 + k) for k in range(0, 1000, 2)] + [("", 10, 3000), (None, 10, 3001), ("new", 10, 3002)],
+            [(f"t{k}!", 31 + k % 2, 4000 + k) for k in range(1000)] + [("new", 31, 5000)]]
+    for k, part in enumerate(days):
+        rows = spark.createDataFrame(part, "title string, day int, id int")
+        arrive(source, k, rows.selectExpr("title", "timestamp(date_add(date'2024-01-01', day)) published_at", "id").coalesce(1))
+    want = [*range(1002), 3002, *range(4000, 5000)]
+    for files in (1, 100):
+        stream = (spark.readStream.schema("title string, published_at timestamp, id int").option("recursiveFileLookup", "true")
+                  .option("maxFilesPerTrigger", files).parquet(str(source)))
+        assert sorted(r.id for r in st.run_once(st.distinct_stories(stream, shelves=2), mode="append").collect()) == want
