@@ -68,8 +68,9 @@ def numbered(trades: DataFrame, session: str, *tie) -> DataFrame:
     Rows are counted per stretch (a value range of the first tie column inside a
     session), the counts are accumulated over sessions and stretches, and rows
     are numbered inside their stretch; a session with most of the rows is many.
+    The trades are stored first: the cuts, the counts and the numbers read them.
     """
-    t = cut_lineage(with_stretch(trades, tie[0]))
+    t = with_stretch(cut_lineage(trades), tie[0])
     unit = [session, "__stretch"]
     per = t.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)  # at most 65 rows a session

@@ -345,7 +345,8 @@ RUIN = f"""SELECT count(*) AS n_paths, {r('100 * (quantile_cont(f, 0.5) - 1)', '
 
 
 def ruin(spark, sf, iid):
-    seq = resample.numbered(taken(spark, sf), "exit_date", "symbol", "sid").select("pos", F.col("r_multiple").alias("r"))
+    trades = taken(spark, sf).select("exit_date", "symbol", "sid", F.col("r_multiple").alias("r"))
+    seq = resample.numbered(trades, "exit_date", "symbol", "sid").select("pos", "r")
     rep = resample.ruin_report(resample.bootstrap_paths(seq, 100, 300, 20, iid=iid))
     return rounded(rep, *[c for c in rep.columns if c != "n_paths"])
 

@@ -96,3 +96,12 @@ def test_binomial_tail_by_the_incomplete_beta(spark, p):
         assert r.t == pytest.approx(tail(*rows[r.i], p), rel=1e-7, abs=1e-12), rows[r.i]
     big = spark.createDataFrame([(5 * 10 ** 11, 10 ** 12), (5, None), (None, 5), (0, 0), (1, 0)], "k long, n long").select(ss.binomial_tail("k", "n", 0.5).alias("t")).collect()
     assert big[0].t == pytest.approx(0.5, abs=1e-6) and [r.t for r in big[1:]] == [None, None, 1.0, 0.0]
+
+
+def test_numbering_reads_stored_trades(spark, monkeypatch):
+    """What comes before the numbers is worked out once: the cuts are taken from stored rows."""
+    read, plain = [], resample.with_stretch
+    monkeypatch.setattr(resample, "with_stretch", lambda d, *a: read.append(len(d.inputFiles())) or plain(d, *a))
+    rows = spark.range(50).selectExpr("date_add(date'2024-01-01', cast(id % 3 as int)) exit_date", "concat('N', id % 7) symbol", "id sid")
+    got = resample.numbered(rows, "exit_date", "symbol", "sid").orderBy("exit_date", "symbol", "sid").collect()
+    assert [r.pos for r in got] == list(range(50)) and len(read) == 1 and read[0] > 0
