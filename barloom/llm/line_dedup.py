@@ -17,11 +17,10 @@ end, by more than the edits right of it. So every near pair meets, at any length
 a line has at most t + 1 entries and some 2 t (t + 1) questions.
 
 Where lines meet, 56 parity bits of their words (or neighbouring characters) are
-compared before their texts are. Groups of near copies are not paired off: every
-line that meets others under a key is first compared with one line of that key;
-the classes that these links make are then compared with each other, under keys
-where several classes meet. A pair of one class needs no comparison, any other is
-verified on the texts by banded bit-parallel edit distance.
+compared first, then histograms of their elements; what they allow is verified on
+the texts by banded bit-parallel edit distance, in the task where a key's lines
+meet. Lines of a key that links have joined are not compared again, so a key of n
+lines gives fewer than n links, however many of its lines are near each other.
 """
 
 from collections.abc import Iterator
@@ -29,7 +28,6 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,10 +45,16 @@ MAP_BITS = (1 << 16, 1 << 27)
 SEEN = 200_000
 #: Characters of the texts that are worked on at once.
 AT_ONCE = 1 << 20
-#: Lines of one key that are compared at once.
-BLOCK = 512
+#: Lines of one key that are compared at once, and about how many characters of them.
+BLOCK, BLOCK_CHARACTERS = 2048, 1 << 22
+#: So many lines are compared without a look at the histograms of their elements.
+FEW = 2
 #: A line that stands this often is joined with its copies without a shuffle, if there are not more than HOT_LINES such lines.
 HOT_COPIES, HOT_LINES = 100_000, 10_000
+#: Words whose hashes a task keeps; emptied when full.
+HELD_WORDS = 100_000
+#: Elements of a sequence whose places are held as bits of one number each.
+MASKED = 1024
 _B = 0x9E3779B97F4A7C15
 _POWER = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -101,12 +105,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWER[0][:n], _POWER[1][:n]
 
 
-def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, own, tag) of all keys of the lines: the line's number, whether the key is one of its segments, limit and parity bits."""
+def keys_of(lines: list[str], table: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, own, tag) of all keys of the lines: the line's number, whether the key is one of its segments, limit and parity bits.
+
+    ``table`` keeps words' hashes from one call to the next.
+    """
     split = [s.split() for s in lines]
     worded = [len(w) >= WORDS for w in split]
     words = list(chain.from_iterable(w for w, by in zip(split, worded) if by))
-    table = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=7) for w in set(words)}
+    table = {} if table is None else table
+    if len(table) > HELD_WORDS:
+        table.clear()
+    table.update((w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=7)) for w in set(words).difference(table))
     letters = "".join(s for s, by in zip(lines, worded) if not by).encode("utf-32-le", "surrogatepass")
     # all word lines, then all character lines, as one sequence of numbers
     number = np.concatenate((np.fromiter(map(table.__getitem__, words), np.uint64, len(words)),
@@ -148,12 +158,6 @@ def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return np.array(order, np.int64)[row], key.view(np.int64), own, tag[row]
 
 
-def alike(tag: Column, other: Column) -> Column:
-    """Whether the parity bits of two tags allow near lines."""
-    apart = F.bit_count(tag.bitwiseXOR(other).bitwiseAND(F.lit((1 << BITS) - 1)))
-    return apart <= F.least(F.shiftright(tag, BITS), F.shiftright(other, BITS))
-
-
 def within(a: str | list[str], b: str | list[str], most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most + 1``.
 
@@ -178,11 +182,19 @@ def within(a: str | list[str], b: str | list[str], most: int) -> int:
     full, edge = (1 << width) - 1, 1 << (width - 1)
     # bit t of the band in column j (from 0) is row j - most + t (from 0); rows above the first are level
     up, down, dist = full & ~((1 << most) - 1), 0, min(most, rows)
+    places: dict | None = None
+    if rows <= MASKED:  # a number for each element, with the bits of its rows
+        places = {}
+        for i, c in enumerate(a):
+            places[c] = places.get(c, 0) | 1 << (i + most)
     for j, c in enumerate(b):
-        match = 0
-        for i in range(max(0, j - most), min(rows, j + most + 1)):
-            if a[i] == c:
-                match |= 1 << (i - j + most)
+        if places is not None:
+            match = places.get(c, 0) >> j & full
+        else:
+            match = 0
+            for i in range(max(0, j - most), min(rows, j + most + 1)):
+                if a[i] == c:
+                    match |= 1 << (i - j + most)
         diag = ((((match & up) + up) ^ up) | match | down) & full
         right = (down | ~(diag | up)) & full
         left = diag & up
@@ -199,16 +211,23 @@ def within(a: str | list[str], b: str | list[str], most: int) -> int:
     return dist if dist <= most else most + 1
 
 
+def elements(line: str) -> tuple[str | list[str], bool]:
+    """What a line is compared by, and whether that is its words."""
+    words = line.split()
+    return (words, True) if len(words) >= WORDS else (line, False)
+
+
+def close(x: tuple[str | list[str], bool], y: tuple[str | list[str], bool]) -> bool:
+    """Whether lines of these elements are near."""
+    if x[1] != y[1]:
+        return False
+    most = allowed(min(len(x[0]), len(y[0])), x[1])
+    return most > 0 and within(x[0], y[0], most) <= most
+
+
 def near(x: str, y: str) -> bool:
     """Whether two lines are near."""
-    a, b = x.split(), y.split()
-    by_words = len(a) >= WORDS
-    if by_words != (len(b) >= WORDS):
-        return False
-    if not by_words:
-        a, b = x, y
-    most = allowed(min(len(a), len(b)), by_words)
-    return x == y or (most > 0 and within(a, b, most) <= most)
+    return x == y or close(elements(x), elements(y))
 
 
 def _name(line: str) -> int:
@@ -240,6 +259,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        table: dict[str, int] = {}
         for texts in _portions(batches):
             names, lines = [], []
             for text in texts:
@@ -252,7 +272,7 @@ def _keys(docs: DataFrame) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             if lines:
-                line, key, own, tag = keys_of(lines)
+                line, key, own, tag = keys_of(lines, table)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(names, np.uint64).view(np.int64)[line]), pa.array(own), pa.array(tag)],
                                                  names=["key", "line", "own", "tag"])
 
@@ -313,7 +333,7 @@ def _met(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(tid, line, s) of the lines with these hashes; the texts are read past a bit map of bounded size."""
+    """(tid, line, n, s) of the lines with these hashes; the texts are read past a bit map of bounded size."""
     names = cut_lineage(names)
     size = MAP_BITS[0]
     while size < min(MAP_BITS[1], 8 * names.count()):
@@ -337,61 +357,97 @@ def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(out.values()), np.uint64).view(np.int64)), pa.array(list(out), pa.string())], names=["line", "s"])
 
     rows = docs.select("text").mapInArrow(found, "line long, s string").join(names, "line", "left_semi").distinct()
-    return cut_lineage(rows.select(F.monotonically_increasing_id().alias("tid"), "line", "s"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of near lines."""
-    both = (pairs.join(texts.select(F.col("tid").alias("u"), F.col("s").alias("x")), "u")
-            .join(texts.select(F.col("tid").alias("v"), F.col("s").alias("y")), "v"))
-
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([near(a, b) for a, b in zip(x, y)], dtype=bool)
-
-    return cut_lineage(both.where(F.pandas_udf(close, "boolean")("x", "y")).select("u", "v"))
+    return cut_lineage(rows.select(F.monotonically_increasing_id().alias("tid"), "line", F.length("s").alias("n"), "s"))
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.astype(np.uint64))
+def _histogram(x: tuple[str | list[str], bool]) -> np.ndarray:
+    """How many of a line's elements fall into each of 256 classes, which differ between processes."""
+    return np.bincount(np.fromiter(map(hash, x[0]), np.int64, len(x[0])) & 255, minlength=256)
 
 
-def alike_pairs(xs: list[tuple], ys: list[tuple] | None) -> tuple[np.ndarray, np.ndarray]:
-    """(u, v) of lines (tid, root, own, tag) of different classes that may be near, one of each list, or both of ``xs``."""
-    a = np.array(xs, np.int64).reshape(-1, 4)
-    b = a if ys is None else np.array(ys, np.int64).reshape(-1, 4)
-    apart = _popcount((a[:, 3][:, None] ^ b[:, 3][None, :]) & np.int64((1 << BITS) - 1))
-    ok = (apart <= np.minimum(a[:, 3][:, None] >> BITS, b[:, 3][None, :] >> BITS)) & (a[:, 1][:, None] != b[:, 1][None, :])
-    ok &= (a[:, 2][:, None] | b[:, 2][None, :]) != 0
-    if ys is None:
-        ok = np.triu(ok, 1)
-    i, j = np.nonzero(ok)
-    return np.minimum(a[i, 0], b[j, 0]), np.maximum(a[i, 0], b[j, 0])
+def links_of(rows: list[tuple[int, bool, int, int, str]], cross: bool) -> list[tuple[int, int]]:
+    """(u, v) of near lines among rows (tid, own, tag, side, text) of one key, segments first; with ``cross`` only lines of two sides are compared.
 
-
-def _pairs_of_classes(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines of different classes that meet under a key and have alike tags, from rows (key, tid, own, tag, root).
-
-    The lines of a key are dealt into blocks, and blocks meet inside tasks; of
-    the comparisons only the pairs that their parity bits allow leave a task.
+    Lines that links have joined are not compared again, so there are fewer links
+    than rows, and every two near lines are joined by them.
     """
-    several = (met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-               .where("a <> b").select("key", "blocks"))
-    member = F.struct("tid", "root", F.col("own").cast("long").alias("own"), "tag")
-    lists = cut_lineage(met.join(several, "key").groupBy("key", "blocks", F.pmod(F.xxhash64("tid"), F.col("blocks")).alias("block"))
-                        .agg(F.collect_list(member).alias("xs")))
-    other = lists.where("blocks > 1").select("key", F.col("block").alias("block2"), F.col("xs").alias("ys"))
-    each = (lists.select("xs", F.lit(None).cast(lists.schema["xs"].dataType).alias("ys"))
-            .unionByName(lists.where("blocks > 1").join(other, "key").where("block < block2").select("xs", "ys")))
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                xs, ys = (None if v is None else [tuple(r.values()) for r in v] for v in (batch.column(c)[k].as_py() for c in range(2)))
-                u, v = alike_pairs(xs, ys)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return each.mapInArrow(compared, "u long, v long").distinct()
+    n, found = len(rows), []
+    if n == 2:  # most keys
+        (u, own, x, one, s), (v, _, y, two, r) = rows
+        if u == v or not own or cross and one == two or ((x ^ y) & ((1 << BITS) - 1)).bit_count() > min(x >> BITS, y >> BITS):
+            return []
+        return [(min(u, v), max(u, v))] if close(elements(s), elements(r)) else []
+    known: list[tuple | None] = [None] * n
+    held: list[np.ndarray | None] = [None] * n
+    label = np.arange(n)
+    tid, tag, side = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3))
+    bits, most = tag & np.int64((1 << BITS) - 1), tag >> BITS
+    for i in range(n - 1):
+        if not rows[i][1]:
+            break  # only rows without the segment follow
+        ok = label[i + 1:] != label[i]
+        if cross:
+            ok &= side[i + 1:] != side[i]
+        at = np.flatnonzero(ok) + i + 1
+        at = at[np.bitwise_count(bits[at] ^ bits[i]) <= np.minimum(most[at], most[i])]
+        if not len(at):
+            continue
+        for k in (i, *at.tolist()):
+            known[k] = known[k] or elements(rows[k][4])
+        if len(at) > FEW:  # no edit adds or removes more than one element
+            for k in (i, *at.tolist()):
+                if held[k] is None:
+                    held[k] = _histogram(known[k])
+            limit = np.minimum(most[at], most[i]) // (2 if known[i][1] else 4)
+            for begin in range(0, len(at), 256):
+                part = slice(begin, begin + 256)
+                apart = np.stack([held[k] for k in at[part].tolist()]) - held[i]
+                limit[part] -= np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+            at = at[limit >= 0]
+        for j in at.tolist():
+            if label[j] == label[i]:
+                continue
+            if tid[i] != tid[j]:
+                if not close(known[i], known[j]):
+                    continue
+                found.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+            label[label == label[j]] = label[i]
+    return found
+
+
+def _links(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that join all near lines, from rows (key, line, own, tag) of lines that meet.
+
+    Texts go to the tasks with their keys and are verified there; of a key with n
+    lines fewer than n links leave a task. A key with many lines or long ones is
+    dealt into blocks, and every two blocks meet in a task.
+    """
+    size = (met.join(texts.select("line", "n"), "line").groupBy("key")
+            .agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_CHARACTERS)).cast("int").alias("blocks")).where("blocks > 1"))
+    rows = met.join(texts, "line").join(cut_lineage(size), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "tid", "own", "tag", "block", "s", other)
+    rows = rows.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "tid", "own", "tag", "block", "s")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, found = None, [], []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                for key, a, b, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (key, a, b) != group:
+                        found += links_of(held, group[1] != group[2]) if held else []
+                        group, held = (key, a, b), []
+                    held.append(row)
+            elif held:
+                found += links_of(held, group[1] != group[2])
+            if found:
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                found = []
+
+    dealt = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", F.desc("own"), "tid")
+    return dealt.mapInArrow(linked, "u long, v long").distinct()
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -399,17 +455,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("text").cast("string").alias("text"))
     met = _met(docs)
     texts = _texts_of(docs, met.select("line").distinct())
-    met = cut_lineage(met.join(texts.select("line", "tid"), "line").select("key", "tid", "own", "tag"))
-    first = F.when(F.col("own"), F.col("tid"))
-    heads = met.groupBy("key").agg(F.min(first).alias("head"), F.min_by("tag", first).alias("head_tag"))
-    stars = cut_lineage(met.join(heads, "key").where("tid <> head").where(alike(F.col("tag"), F.col("head_tag")))
-                        .select(F.least("tid", "head").alias("u"), F.greatest("tid", "head").alias("v")).distinct())
-    links = _verified(stars, texts)
-    roots = cut_lineage(components(links))
-    met = met.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    more = _verified(_pairs_of_classes(met).join(stars, ["u", "v"], "left_anti"), texts)
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    roots = components(_links(met, texts))
     return roots.join(texts.withColumnRenamed("tid", "node"), "node").select(digest(F.col("s")).alias("m"), "root")
 
 

@@ -3,7 +3,7 @@
 import random
 
 from helpers import small
-from test_lines import changed, edits
+from test_lines import changed, classes, edits
 
 from barloom.llm import line_dedup as ld
 
@@ -54,3 +54,19 @@ def test_replaced_words_and_short_repeats(spark):
     got = {r.doc_id: r.drops for r in ld.line_dedup(small(spark, texts)).collect()}
     # "own line 1" differs from "own line 0" by one character of ten, as do the others
     assert got == {0: ""} | {k: "0=0:0" for k in range(1, 30)} | {30 + k: f"0={k}:1,2=0:0" + (",3=30:3" if k else "") for k in range(30)} | {60: "1=30:3"}
+
+
+def test_links_of_a_key_grow_with_its_lines():
+    """Copies that are all near each other give a link less than there are lines, at once and block by block."""
+    rng = random.Random(21)
+    base = sentence(rng, 45)
+    lines = list(dict.fromkeys(replaced(rng, base, rng.randint(0, 2)) for _ in range(120)))
+    tag = [int(ld.keys_of([s])[3][0]) for s in lines]
+    rows = [(k, True, t, k % 2, s) for k, (t, s) in enumerate(zip(tag, lines))]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if ld.near(lines[i], lines[j])]
+    assert len(near) > 5 * len(lines)
+    once = ld.links_of(rows, False)
+    two = ld.links_of(rows[::2], False) + ld.links_of(rows[1::2], False) + ld.links_of(rows, True)
+    for links, most in ((once, len(lines) - 1), (two, 2 * len(lines))):
+        assert len(links) <= most and classes(len(lines), links) == classes(len(lines), near)
+        assert all(ld.near(lines[u], lines[v]) for u, v in links)
