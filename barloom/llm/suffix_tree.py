@@ -32,6 +32,8 @@ START, END = 254, 255  # no bytes of UTF-8
 HEAD = 100_000
 #: Distinct words, and positions, that a task adds up before it sends counts on.
 FLUSH_WORDS, FLUSH_CODES = 400_000, 4_000_000
+#: Contexts of a tree that is scored by tables, of at most three kilobytes a context.
+TABLE_CONTEXTS = 60_000
 HELD = 10
 
 
@@ -165,6 +167,62 @@ def grow(grams: DataFrame) -> Tree:
     return retain([(event[length == k], n[length == k]) for k in range(DEPTH + 1)])
 
 
+class _Table:
+    """The tree as tables over (context, byte): a position walks from context to longer context and looks its probability up.
+
+    The values are those of ``Tree.log10``, made once for each context in the same order of steps.
+    """
+
+    def __init__(self, tree: Tree):
+        self.kind = np.zeros(256, np.intp)  # bytes that the tree has as symbols; all others are the last kind
+        used = np.unique(np.concatenate([e & 255 for e in tree.events] + [c >> 8 * (k - 1) & 255 for k, c in enumerate(tree.contexts) if k]))
+        width = self.width = len(used) + 1
+        self.kind[:] = width - 1
+        self.kind[used] = np.arange(len(used))
+        size = [len(c) for c in tree.contexts]
+        first = np.cumsum([0, *size])
+        self.child = np.full(int(first[-1]) * width, -1, np.int32)
+        p = np.empty((int(first[-1]), width))
+        for length, context in enumerate(tree.contexts):
+            own = np.arange(first[length], first[length + 1])
+            if not len(context):
+                break
+            if length:
+                up = first[length - 1] + np.searchsorted(tree.contexts[length - 1], context & ((1 << 8 * (length - 1)) - 1))
+                self.child[up * width + self.kind[context >> 8 * (length - 1)]] = own
+                before = p[up]
+            else:
+                before = np.full((1, width), 1 / 256)
+            n = np.zeros((len(context), width))
+            event = tree.events[length]
+            n[np.searchsorted(context, event >> 8), self.kind[event & 255]] = tree.counts[length]
+            p[own] = (n + SMOOTHING * before) / (tree.totals[length][:, None] + SMOOTHING)
+        self.value = np.log10(p).ravel()
+
+    @staticmethod
+    def fits(tree: Tree) -> bool:
+        return 0 < len(tree.contexts[0]) and sum(map(len, tree.contexts)) <= TABLE_CONTEXTS
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(code), np.int32)
+        live, deep = np.arange(len(code)), node
+        for length in range(1, DEPTH + 1):
+            deep = self.child[deep.astype(np.intp) * self.width + self.kind[code[live] >> 8 * length & 255]]
+            known = deep >= 0
+            live, deep = live[known], deep[known]
+            if not len(live):
+                break
+            node[live] = deep
+        return self.value[node.astype(np.intp) * self.width + self.kind[code & 255]]
+
+
+def scores_of(tree: Tree) -> "_Table | _Scores":
+    """Log probabilities by tables, or by search where a tree is too large for them."""
+    if "made" not in tree.__dict__:  # once a worker
+        tree.made = _Table(tree) if _Table.fits(tree) else _Scores(tree)
+    return tree.made
+
+
 class _Scores:
     """Log probabilities of positions, remembered in a table of fixed size."""
 
@@ -219,7 +277,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known = held.value
-        of = _Scores(tree)
+        of = scores_of(tree)
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
                 part = batch.slice(k, 100)

@@ -130,6 +130,16 @@ def test_tree_is_a_distribution_and_uses_the_longest_context():
     assert p(b"abrac", b"a") > 0.9 and p(b"abrac", b"b") < 0.05
 
 
+def test_tables_score_as_the_tree_does():
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abcdé ") + rng.choice("ab") for _ in range(400)).encode() for _ in range(30)]
+    code, _ = st.codes(texts)
+    tree = st.retain([np.unique(code & ((1 << 8 * (length + 1)) - 1), return_counts=True) for length in range(st.DEPTH + 1)])
+    asked, _ = st.codes(texts[:3] + [b"", b"never seen: XYZ\x00\xff", "abé漢".encode()])
+    assert st._Table.fits(tree) and len(tree.contexts[2])
+    assert st.scores_of(tree)(asked).tolist() == tree.log10(asked).tolist()
+
+
 def test_lm_scores_of_odd_rows(spark):
     assert st.lm_scores(odd_docs(spark)).count() == 14 and st.lm_scores(no_docs(spark)).count() == 0
     held = next(k for k in range(100) if st.held_out(k))
