@@ -38,23 +38,51 @@ def logits(net: Net, peak: np.ndarray) -> np.ndarray:
     return np.maximum(peak @ net.w1 + net.b1, 0) @ net.w2 + net.b2
 
 
+NAMES = ("embed", "conv", "bias", "w1", "b1", "w2", "b2")
+
+
+class Adam:
+    """The moments of the weights' gradients, and the steps made."""
+
+    def __init__(self, net: Net):
+        self.m = {n: np.zeros_like(getattr(net, n)) for n in NAMES}
+        self.v = {n: np.zeros_like(getattr(net, n)) for n in NAMES}
+        self.t = 0.0
+
+    def step(self, net: Net, x: np.ndarray, y: np.ndarray, weight: np.ndarray, stride: int = 1) -> None:
+        """One step on the weighted log loss of some rows, in place."""
+        grads = gradients(net, x, y, weight, stride)
+        self.t += 1
+        for n in NAMES:
+            self.m[n] = 0.9 * self.m[n] + 0.1 * grads[n]
+            self.v[n] = 0.99 * self.v[n] + 0.01 * grads[n] ** 2
+            step = 0.004 * (self.m[n] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[n] / (1 - 0.99 ** self.t)) + 1e-7)
+            setattr(net, n, getattr(net, n) - step)
+
+    def packed(self, net: Net) -> np.ndarray:
+        """Weights, moments and steps as one row of numbers, which can be averaged with others."""
+        return np.concatenate([np.ravel(a) for n in NAMES for a in (getattr(net, n), self.m[n], self.v[n])] + [[self.t]])
+
+    def unpack(self, net: Net, row: np.ndarray) -> None:
+        """Take weights, moments and steps from such a row."""
+        at = 0
+        for n in NAMES:
+            shape, size = getattr(net, n).shape, getattr(net, n).size
+            part = row[at:at + 3 * size].reshape(3, *shape)
+            setattr(net, n, part[0])
+            self.m[n], self.v[n] = part[1], part[2]
+            at += 3 * size
+        self.t = float(row[at])
+
+
 def learn(net: Net, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, rounds: int, stride: int = 1) -> None:
     """Adam on the weighted log loss, in place; rows of ``x`` are codes."""
-    names = ("embed", "conv", "bias", "w1", "b1", "w2", "b2")
-    m = {n: np.zeros_like(getattr(net, n)) for n in names}
-    v = {n: np.zeros_like(getattr(net, n)) for n in names}
-    t = 0
+    adam = Adam(net)
     for _ in range(rounds):
         perm = rng.permutation(len(x))
         for k in range(0, len(perm), 128):
             at = perm[k:k + 128]
-            grads = gradients(net, x[at], y[at], weight[at], stride)
-            t += 1
-            for n in names:
-                m[n] = 0.9 * m[n] + 0.1 * grads[n]
-                v[n] = 0.99 * v[n] + 0.01 * grads[n] ** 2
-                step = 0.004 * (m[n] / (1 - 0.9 ** t)) / (np.sqrt(v[n] / (1 - 0.99 ** t)) + 1e-7)
-                setattr(net, n, getattr(net, n) - step)
+            adam.step(net, x[at], y[at], weight[at], stride)
 
 
 def gradients(net: Net, x: np.ndarray, y: np.ndarray, weight: np.ndarray, stride: int) -> dict[str, np.ndarray]:
@@ -83,12 +111,14 @@ def gradients(net: Net, x: np.ndarray, y: np.ndarray, weight: np.ndarray, stride
     return {"embed": dembed, "conv": dconv, "bias": dpeak.sum(0), "w1": peak.T @ dh, "b1": dh.sum(0), "w2": h.T @ d, "b2": d.sum()}
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[float, float]:
     """Slope and intercept by Newton steps, drawn a little towards slope 1 so that separable samples stay finite.
 
     The classes count alike, so the probability does not depend on how often a label was drawn.
+    A row stands ``n`` times.
     """
-    w = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    n = np.broadcast_to(n, y.shape)
+    w = n * np.where(y > 0, 0.5 / max((n * y).sum(), 1), 0.5 / max((n * (1 - y)).sum(), 1)) * n.sum()
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))

@@ -12,6 +12,13 @@ logit counts. The probability is calibrated on documents that
 the weights did not see, and the threshold is even odds, or as much lower as is
 needed to find ``RECALL`` of their findings. Candidates over it that no base span overlaps are
 added as spans of kind ``model``.
+
+All candidates of the table take part, those of two thirds of the documents in
+the weights, the others in calibration and threshold. Training is in rounds: the
+candidates are dealt into shards, each shard makes its steps from the weights of
+the round before, and weights and moments are averaged by the shards' windows.
+Calibration and threshold come from how many candidates of each label stand at
+each logit, logits being read in steps of 1 / ``GRADES`` everywhere.
 """
 
 import hashlib
@@ -22,9 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.convnet import Net, learn, logistic, logits, random_net
+from barloom.llm.common import cut_lineage
+from barloom.llm.convnet import Adam, Net, logistic, logits, random_net
 
 KINDS = ("assign", "access", "hex", "model")
 # fixed values: the base patterns of the scan
@@ -34,8 +43,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 or more, which are whole ru
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 INSIDE, CONTEXT, LEAST = 64, 24, 12
 EMBED, WIDTH, FILTERS, HIDDEN, ROUNDS = 8, 5, 24, 12, 12
-#: Documents drawn for training, by the order of a hash of their id, and the most windows of each label that are used of them.
-SAMPLE, WINDOWS = 8000, 2000
+#: Windows of a shard, and the most shards, which then grow; windows that are put in random order together, windows of a step.
+SHARD, SHARDS, BLOCK, STEP = 8000, 64, 4096, 128
+#: Logits are whole numbers of 1 / GRADES, and lie within TOP of zero.
+GRADES, TOP = 512, 64
 RECALL = 0.98
 _AFTER = re.compile(r"[A-Za-z0-9+/_.-]+")
 _DIGIT = re.compile("[0-9]")
@@ -114,7 +125,8 @@ def blanked(rows: np.ndarray) -> np.ndarray:
 
 
 def window_logits(net: Net, rows: np.ndarray) -> np.ndarray:
-    return np.maximum(logits(net, maxima(net, rows)), logits(net, maxima(net, blanked(rows))))
+    value = np.maximum(logits(net, maxima(net, rows)), logits(net, maxima(net, blanked(rows))))
+    return np.floor(np.clip(value, -TOP, TOP) * GRADES) / GRADES
 
 
 def overlaps(union: tuple[list[int], list[int]], begin: int, end: int) -> bool:
@@ -122,32 +134,6 @@ def overlaps(union: tuple[list[int], list[int]], begin: int, end: int) -> bool:
     return k >= 0 and union[1][k] > begin
 
 
-def train(rows: list[tuple[int, bool, int, bytes]], seed: int = 3) -> Scanner:
-    """Fit on (part, label, candidate, codes) rows: part 0 calibrates, the others train. Without both labels nothing is added."""
-    rng = np.random.default_rng(seed)
-    net = random_net(rng, 257, EMBED, WIDTH, FILTERS, HIDDEN)
-    part = np.array([r[0] for r in rows], int)
-    y = np.array([r[1] for r in rows], float)
-    if any(len(set(y[part == 0 if held else part > 0])) < 2 for held in (True, False)):
-        return Scanner(net, 2.0)
-    x = np.stack([np.frombuffer(r[3], np.int32) for r in rows])
-    used = np.flatnonzero(part > 0)
-    both, label = np.concatenate([x[used], blanked(x[used])]), np.tile(y[used], 2)
-    weight = np.where(label > 0, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
-    learn(net, both, label, weight, rng, ROUNDS)
-    held = np.flatnonzero(part == 0)
-    value = window_logits(net, x[held])
-    ids = np.array([r[2] for r in rows])[held]
-    one, where = np.unique(ids, return_inverse=True)
-    top = np.full(len(one), -np.inf)
-    np.maximum.at(top, where, value)
-    truth = np.zeros(len(one))
-    truth[where] = y[held]
-    net.a, net.b = logistic(top, truth)
-    found = np.sort(net.odds(top[truth > 0]))[::-1]
-    return Scanner(net, min(0.5, float(found[min(len(found) - 1, int(np.ceil(RECALL * len(found))) - 1)])))
-
-
 def scan(texts: list[str], scanner: Scanner) -> list[list[tuple[int, int, int]]]:
     """All spans (start, kind, end) of each text, base ones and added ones, in order."""
     out, rows, where = [], [], []
@@ -174,28 +160,125 @@ def scan(texts: list[str], scanner: Scanner) -> list[list[tuple[int, int, int]]]
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
-    """Train on the findings in at most ``sample`` documents, those of smallest id hash, and at most WINDOWS windows of each label."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    drawn = plain.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+FOUND = "doc_id long, n int, label boolean, part string, begin int, stop int"
+
+
+def findings(docs: DataFrame) -> DataFrame:
+    """All candidates (doc_id, n, label, part, begin, stop): ``part`` is the candidate with its context, at begin to stop there."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                union = joined(base_spans(text))
-                for n, (begin, end) in enumerate(candidates(text)):
-                    label = overlaps(union, begin, end)
-                    for w in windows(text, begin, end):
-                        rows.append((doc, n, label, w.tobytes()))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.binary())],
-                                             names=["doc_id", "n", "label", "codes"])
-
-    some = plain.join(F.broadcast(drawn), "doc_id").mapInArrow(found, "doc_id long, n int, label boolean, codes binary")  # at most ``sample`` ids
-    some = some.distinct().select(F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int").alias("part"), "label", F.xxhash64("doc_id", "n").alias("id"), "codes")
-    first = [some.where(F.col("label") == v).orderBy("id", "codes").limit(WINDOWS) for v in (True, False)]
-    return train([tuple(r) for r in first[0].unionByName(first[1]).orderBy("label", "id", "codes").collect()])
+                if text:
+                    union = joined(base_spans(text))
+                    for n, (begin, end) in enumerate(candidates(text)):
+                        first = max(0, begin - CONTEXT)
+                        rows.append((doc, n, overlaps(union, begin, end), text[first:end + CONTEXT], begin - first, end - first))
+            cols = list(zip(*rows)) if rows else [()] * 6
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n", "label", "part", "begin", "stop"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(found, FOUND)
+
+
+class _Shard:
+    """One shard's steps of a round, from the weights that all shards start with."""
+
+    def __init__(self, net: Net, row: np.ndarray, weight: tuple[float, float], seed: tuple[int, ...]):
+        self.net, self.adam, self.weight = Net(**vars(net)), Adam(net), weight
+        self.adam.unpack(self.net, row)
+        self.rng = np.random.default_rng(seed)
+        self.held: list[tuple[np.ndarray, bool]] = []
+        self.waiting = self.n = 0
+
+    def add(self, rows: np.ndarray, label: bool) -> None:
+        for k in range(0, len(rows), BLOCK // 2):
+            part = rows[k:k + BLOCK // 2]
+            self.held += [(part, label), (blanked(part), label)]
+            self.waiting += 2 * len(part)
+            if self.waiting >= BLOCK:
+                self.steps()
+
+    def steps(self) -> None:
+        if not self.held:
+            return
+        x = np.concatenate([r for r, _ in self.held])
+        y = np.repeat([float(v) for _, v in self.held], [len(r) for r, _ in self.held])
+        order = self.rng.permutation(len(x))
+        for k in range(0, len(order), STEP):
+            at = order[k:k + STEP]
+            self.adam.step(self.net, x[at], y[at], np.where(y[at] > 0, self.weight[1], self.weight[0]))
+        self.n += len(x)
+        self.held, self.waiting = [], 0
+
+
+def train(rows: DataFrame, many: dict[bool, int], seed: int = 3) -> Net:
+    """Weights from all these candidates, of which ``many`` windows have each label. The driver gets one row of numbers a shard and round."""
+    rng = np.random.default_rng(seed)
+    net = random_net(rng, 257, EMBED, WIDTH, FILTERS, HIDDEN)
+    adam = Adam(net)
+    total = sum(many.values())
+    weight = (0.5 * total / many[False], 0.5 * total / many[True])
+    shards = min(SHARDS, -(-total // SHARD))
+    order = F.xxhash64("doc_id", "n")
+    dealt = (rows.select(F.pmod(order, F.lit(shards)).cast("int").alias("shard"), order.alias("order"), "label", "part", "begin", "stop")
+             .repartition(shards, "shard").sortWithinPartitions("shard", "order", "part", "begin").drop("order").persist(StorageLevel.MEMORY_AND_DISK))
+    for k in range(ROUNDS):
+        state = adam.packed(net)
+
+        def stepped(batches: Iterator[pa.RecordBatch], state: np.ndarray = state, number: int = k) -> Iterator[pa.RecordBatch]:
+            at, now = None, None
+            out: list[tuple[int, int, bytes]] = []
+
+            def end() -> None:
+                if now is not None:
+                    now.steps()
+                    out.append((at, now.n, now.adam.packed(now.net).tobytes()))
+
+            for batch in batches:
+                for shard, label, part, begin, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                    if shard != at:
+                        end()
+                        at, now = shard, _Shard(net, state, weight, (seed, number, shard))
+                    now.add(windows(part, begin, stop), label)
+            end()
+            cols = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()))], names=["shard", "n", "state"])
+
+        made = sorted(dealt.mapInArrow(stepped, "shard int, n long, state binary").collect())  # SHARDS rows at most
+        adam.unpack(net, sum(r["n"] * np.frombuffer(r["state"]) for r in made) / sum(r["n"] for r in made))
+    dealt.unpersist()
+    return net
+
+
+def calibrated(rows: DataFrame, net: Net) -> Scanner:
+    """Probability and threshold from all these candidates. The driver gets the counts of logits, of which there are 2 * TOP * GRADES at most."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, part, begin, stop = (c.to_pylist() for c in batch.columns)
+            value = [max(float(window_logits(net, w[k:k + BLOCK]).max()) for k in range(0, len(w), BLOCK)) for w in map(windows, part, begin, stop)]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.bool_()), pa.array(value, pa.float64())], names=["label", "logit"])
+
+    counts = (rows.select("label", "part", "begin", "stop").mapInArrow(top, "label boolean, logit double")
+              .groupBy("label", "logit").agg(F.count("*").alias("n")).orderBy(F.desc("logit"), "label").collect())
+    y, x, n = (np.array([r[k] for r in counts], float) for k in range(3))
+    net.a, net.b = logistic(x, y, n)
+    above = np.cumsum(n * y)
+    least = x[np.flatnonzero(above >= np.ceil(RECALL * above[-1]))[0]]
+    return Scanner(net, min(0.5, float(net.odds(least))))
+
+
+def fit(docs: DataFrame) -> Scanner:
+    """Learn from the candidates of all documents; without both labels among them nothing is added. Repeated rows count once."""
+    rows = cut_lineage(findings(docs).distinct().withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0))
+    n = F.greatest(F.ceil((F.col("stop") - F.col("begin") - INSIDE) / (INSIDE // 2)), F.lit(0)) + 1
+    many = {(r["held"], r["label"]): int(r["n"]) for r in rows.groupBy("held", "label").agg(F.sum(n).alias("n")).collect()}
+    if len(many) < 4:
+        return Scanner(random_net(np.random.default_rng(0), 257, EMBED, WIDTH, FILTERS, HIDDEN), 2.0)
+    net = train(rows.where("NOT held"), {label: 2 * many[False, label] for label in (False, True)})
+    return calibrated(rows.where("held"), net)
 
 
 def secret_scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
