@@ -18,7 +18,7 @@ a line has at most t + 1 entries and some 2 t (t + 1) questions.
 
 Where lines meet, 56 parity bits of their words (or neighbouring characters) are
 compared first, then histograms of their elements; what they allow is verified on
-the texts by banded bit-parallel edit distance, in the task where a key's lines
+the texts by the edit distance along the diagonals in reach, in the task where a key's lines
 meet. Lines of a key that links have joined are not compared again, so a key of n
 lines gives fewer than n links, however many of its lines are near each other.
 """
@@ -51,10 +51,8 @@ BLOCK, BLOCK_CHARACTERS = 2048, 1 << 22
 FEW = 2
 #: A line that stands this often is joined with its copies without a shuffle, if there are not more than HOT_LINES such lines.
 HOT_COPIES, HOT_LINES = 100_000, 10_000
-#: Words whose hashes a task keeps; emptied when full.
-HELD_WORDS = 100_000
-#: Elements of a sequence whose places are held as bits of one number each.
-MASKED = 1024
+#: What a blank line consists of, besides its end.
+BLANK = " \t\x0b\f\r"
 _B = 0x9E3779B97F4A7C15
 _POWER = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -105,25 +103,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWER[0][:n], _POWER[1][:n]
 
 
-def keys_of(lines: list[str], table: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, own, tag) of all keys of the lines: the line's number, whether the key is one of its segments, limit and parity bits.
-
-    ``table`` keeps words' hashes from one call to the next.
-    """
-    split = [s.split() for s in lines]
-    worded = [len(w) >= WORDS for w in split]
-    words = list(chain.from_iterable(w for w, by in zip(split, worded) if by))
-    table = {} if table is None else table
-    if len(table) > HELD_WORDS:
-        table.clear()
-    table.update((w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=7)) for w in set(words).difference(table))
+#: Characters that part words, for str.split() as here; the last place stands for all further ones.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def _words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each line has, and a hash of each word of all lines, from sums over their characters."""
+    code = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = ~_SPACE[np.minimum(code, len(_SPACE) - 1)]
+    edge = np.flatnonzero(np.diff(inside, prepend=False))  # a word's first character, then the one after its last
+    begin, end = edge[::2], edge[1::2]
+    line_end = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+    many = np.diff(np.searchsorted(begin, line_end), prepend=0)
+    value = np.empty(len(begin), np.uint64)
+    cut = np.searchsorted(begin, np.arange(0, len(code) + AT_ONCE, AT_ONCE)).tolist()
+    for k, m in zip(cut, cut[1:]):
+        if k < m:
+            first, a, b = begin[k], begin[k:m] - begin[k], end[k:m] - begin[k]
+            number = _mixed(code[first:end[m - 1]].astype(np.uint64) + np.uint64(1))
+            up, down = _powers(len(number) + 1)
+            ahead = np.concatenate((np.zeros(1, np.uint64), np.cumsum(number * up[:len(number)])))
+            value[k:m] = _mixed((ahead[b] - ahead[a]) * down[a] + (b - a).astype(np.uint64))
+    return many, value
+
+
+def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, own, tag) of all keys of the lines: the line's number, whether the key is one of its segments, limit and parity bits."""
+    count, word = _words(lines)
+    by_words = count >= WORDS
+    worded = by_words.tolist()
     letters = "".join(s for s, by in zip(lines, worded) if not by).encode("utf-32-le", "surrogatepass")
     # all word lines, then all character lines, as one sequence of numbers
-    number = np.concatenate((np.fromiter(map(table.__getitem__, words), np.uint64, len(words)),
-                             _mixed(np.frombuffer(letters, np.uint32).astype(np.uint64) + np.uint64(1))))
-    order = [k for k, by in enumerate(worded) if by] + [k for k, by in enumerate(worded) if not by]
-    size = np.array([len(split[k]) if worded[k] else len(lines[k]) for k in order], np.int64)
-    by_line = np.arange(len(order)) < sum(worded)
+    number = np.concatenate((word[np.repeat(by_words, count)], _mixed(np.frombuffer(letters, np.uint32).astype(np.uint64) + np.uint64(1))))
+    order = np.concatenate((np.flatnonzero(by_words), np.flatnonzero(~by_words)))
+    size = np.where(by_words, count, np.fromiter(map(len, lines), np.int64, len(lines)))[order]
+    by_line = by_words[order]
     begin = np.cumsum(size) - size
     up, down = _powers(len(number) + 1)
     ahead = np.concatenate((np.zeros(1, np.uint64), np.cumsum(number * up[:len(number)])))
@@ -155,60 +169,42 @@ def keys_of(lines: list[str], table: dict[str, int] | None = None) -> tuple[np.n
     odd[:, 8:] = np.bincount(who[counts] * BITS + (bit[counts] % np.uint64(BITS)).astype(np.int64), minlength=BITS * len(order)).reshape(-1, BITS) & 1
     tag = np.packbits(odd, axis=1).view(">i8").ravel().astype(np.int64)
     tag |= np.array([allowed(int(k) >> 1, bool(k & 1)) * (2 if k & 1 else 4) for k in kinds.tolist()], np.int64)[which] << BITS
-    return np.array(order, np.int64)[row], key.view(np.int64), own, tag[row]
+    return order[row], key.view(np.int64), own, tag[row]
 
 
 def within(a: str | list[str], b: str | list[str], most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most + 1``.
 
-    Common ends are taken off. The rest is Myers' bit-vector recurrence on the
-    2 * most + 1 cells around the diagonal, which moves down a row a column; the
-    distance is followed along the band's lower edge, then along the last row.
+    On each of the 2 * most + 1 diagonals around the first, the furthest place
+    that so many edits reach is followed, edit by edit; it only moves on, so no
+    more than 2 * most + 1 elements are compared for each place, and hardly more
+    than one where few edits part the sequences.
     """
     if len(a) < len(b):
         a, b = b, a
-    if len(a) - len(b) > most:
+    rows, columns = len(a), len(b)
+    last = rows - columns
+    if last > most:
         return most + 1
-    k = 0
-    while k < len(b) and a[k] == b[k]:
-        k += 1
-    a, b, k = a[k:], b[k:], 0
-    while k < len(b) and a[-1 - k] == b[-1 - k]:
-        k += 1
-    a, b = a[:len(a) - k], b[:len(b) - k]
-    if not b:
-        return len(a) if len(a) <= most else most + 1
-    rows, width = len(a), 2 * most + 1
-    full, edge = (1 << width) - 1, 1 << (width - 1)
-    # bit t of the band in column j (from 0) is row j - most + t (from 0); rows above the first are level
-    up, down, dist = full & ~((1 << most) - 1), 0, min(most, rows)
-    places: dict | None = None
-    if rows <= MASKED:  # a number for each element, with the bits of its rows
-        places = {}
-        for i, c in enumerate(a):
-            places[c] = places.get(c, 0) | 1 << (i + most)
-    for j, c in enumerate(b):
-        if places is not None:
-            match = places.get(c, 0) >> j & full
-        else:
-            match = 0
-            for i in range(max(0, j - most), min(rows, j + most + 1)):
-                if a[i] == c:
-                    match |= 1 << (i - j + most)
-        diag = ((((match & up) + up) ^ up) | match | down) & full
-        right = (down | ~(diag | up)) & full
-        left = diag & up
-        low = j + most  # row of the band's lower edge
-        if low < rows:
-            dist += not diag & edge
-            if dist > 2 * most:  # never falls on the diagonal, and at most by one in each of the last columns
-                return most + 1
-        else:
-            last = 1 << (width - 1 - (low - rows + 1))
-            dist += bool(right & last) - bool(left & last)
-        up = (left | ~(diag >> 1 | right)) & full
-        down = diag >> 1 & right
-    return dist if dist <= most else most + 1
+    # the furthest row on each diagonal (row less column), with -1 for none, from -most - 1 to most + 1
+    mid = most + 1
+    reached = [-1] * (2 * mid + 1)
+    for edits in range(most + 1):
+        before = reached[:]
+        left = most - edits
+        for d in range(max(-edits, last - left), min(edits, last + left) + 1):
+            k = mid + d
+            i = max(before[k] + 1, before[k - 1] + 1, before[k + 1]) if edits else 0  # replaced, left out, put in
+            if i < d or i < 0:
+                continue
+            end = min(rows, columns + d)
+            i = min(i, end)
+            while i < end and a[i] == b[i - d]:
+                i += 1
+            if d == last and i == rows:
+                return edits
+            reached[k] = i
+    return most + 1
 
 
 def elements(line: str) -> tuple[str | list[str], bool]:
@@ -255,11 +251,10 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """Rows (key, line, own, tag) of all lines; a repeated line may come once a task."""
+    """Rows (key, line, tag) of all lines; a repeated line may come once a task. A key's lowest bit is 0 for a segment of the line, else 1."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        table: dict[str, int] = {}
         for texts in _portions(batches):
             names, lines = [], []
             for text in texts:
@@ -272,50 +267,48 @@ def _keys(docs: DataFrame) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             if lines:
-                line, key, own, tag = keys_of(lines, table)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(names, np.uint64).view(np.int64)[line]), pa.array(own), pa.array(tag)],
-                                                 names=["key", "line", "own", "tag"])
+                line, key, own, tag = keys_of(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(key & ~1 | ~own), pa.array(np.array(names, np.uint64).view(np.int64)[line]), pa.array(tag)], names=["key", "line", "tag"])
 
-    return docs.select("text").mapInArrow(made, "key long, line long, own boolean, tag long")
+    return docs.select("text").mapInArrow(made, "key long, line long, tag long")
 
 
 class _Shared:
-    """Passes on the rows of keys under which several lines meet, one of them by a segment, from rows in the order of key, segments first, line.
+    """Passes on the rows of keys under which several lines meet, one of them by a segment, from rows in the order of key, segments first.
 
     A key's rows are held back only until its second line comes, however many
-    there are; a line that several tasks sent counts once.
+    there are; a line that several tasks sent counts once in a batch.
     """
 
     def __init__(self) -> None:
         self.key: int | None = None
-        self.line = 0
         self.state = "first"  # or "several", or "skip" if no line has the key as a segment
-        self.held: tuple | None = None
+        self.held: tuple = ()
 
     def rows(self, key: np.ndarray, line: np.ndarray, own: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, ...]:
         if not len(key):
             return key, line, own, tag
-        if self.key is not None and self.state == "first" and self.key == key[0]:  # the line that waits goes first
+        goes_on = self.state if self.key == key[0] else None
+        if goes_on == "first":  # the line that waits goes first
             key, line, own, tag = (np.concatenate(([h], c)) for h, c in zip(self.held, (key, line, own, tag)))
             goes_on = None
-        else:
-            goes_on = self.state if self.key == key[0] else None
-        repeat = np.concatenate(([goes_on is not None and self.line == line[0]], (key[1:] == key[:-1]) & (line[1:] == line[:-1])))
-        key, line, own, tag = (c[~repeat] for c in (key, line, own, tag))
-        if not len(key):
-            return key, line, own, tag
         begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begins, len(key)))
         differ = np.minimum.reduceat(line, begins) != np.maximum.reduceat(line, begins)  # a line can both have a key and ask for it
         good = own[begins] & differ
-        if goes_on is not None and key[0] == self.key:
+        if goes_on is not None:
             good[0] = goes_on == "several"
         last = begins[-1]
-        ongoing = len(begins) == 1 and goes_on is not None and key[0] == self.key
-        self.state = goes_on if ongoing else "skip" if not own[last] else "several" if differ[-1] else "first"
-        self.key, self.line, self.held = int(key[-1]), int(line[-1]), (key[last], line[last], own[last], tag[last])
+        if len(begins) > 1 or goes_on is None:
+            self.state = "skip" if not own[last] else "several" if differ[-1] else "first"
+        self.key, self.held = int(key[last]), (key[last], line[last], own[last], tag[last])
         keep = np.repeat(good, size)
-        return tuple(c[keep] for c in (key, line, own, tag))
+        key, line, own, tag = (c[keep] for c in (key, line, own, tag))
+        order = np.lexsort((~own, line, key))
+        key, line, own, tag = (c[order] for c in (key, line, own, tag))
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        return key[once], line[once], own[once], tag[once]
 
 
 def _met(docs: DataFrame) -> DataFrame:
@@ -324,11 +317,13 @@ def _met(docs: DataFrame) -> DataFrame:
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = _Shared()
         for batch in batches:
-            found = shared.rows(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
+            key, line, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            found = shared.rows(key >> 1, line, key & 1 == 0, tag)
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["key", "line", "own", "tag"])
 
-    dealt = _keys(docs).repartition("key").sortWithinPartitions("key", F.desc("own"), "line")
+    # one column of numbers is put in order without comparing rows
+    dealt = _keys(docs).repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return cut_lineage(dealt.mapInArrow(several, "key long, line long, own boolean, tag long"))
 
 
@@ -347,13 +342,11 @@ def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _portions(batches):
-            out = {}
-            for text in texts:
-                for s in _lines(text):
-                    h = _name(s)
-                    b = h % size
-                    if int(held.value[b >> 6]) >> (b & 63) & 1:
-                        out[s] = h
+            lines = list(dict.fromkeys(chain.from_iterable(map(_lines, texts))))
+            name = np.fromiter(map(_name, lines), np.uint64, len(lines))
+            bit = name % np.uint64(size)
+            known = held.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)
+            out = {lines[k]: name[k] for k in np.flatnonzero(known).tolist()}
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(out.values()), np.uint64).view(np.int64)), pa.array(list(out), pa.string())], names=["line", "s"])
 
     rows = docs.select("text").mapInArrow(found, "line long, s string").join(names, "line", "left_semi").distinct()
@@ -460,7 +453,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
 
 def digest(s: Column) -> Column:
-    return F.unhex(F.md5(F.encode(s, "UTF-8")))
+    return F.unhex(F.md5(s.cast("binary")))
 
 
 def _row_key() -> Column:
@@ -478,7 +471,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     named = docs.select(_row_key().alias("row"), F.col("doc_id").cast("long").alias("doc"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("all"))
     lines = cut_lineage(named.select("row", "doc", F.posexplode("all").alias("pos", "s"))  # the text's digest once, not once a line
-                        .where(F.col("s").rlike(r"\S")).select("row", "doc", "pos", digest(F.col("s")).alias("m")))
+                        .where(F.ltrim("s", F.lit(BLANK)) != "").select("row", "doc", "pos", digest(F.col("s")).alias("m")))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "pos")
     each = lines.groupBy("m").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     each = cut_lineage(each.join(line_classes(docs), "m", "left").withColumn("class", F.coalesce(F.encode(F.col("root").cast("string"), "UTF-8"), F.col("m"))).drop("root"))

@@ -184,6 +184,41 @@ def test_keys_met_by_several_lines_pass_in_any_batches():
             assert {x for k, x, _, _ in got if k == key} == ({x for x, _ in lines} if met else set()), (rows, got)
 
 
+def test_keys_met_by_lines_in_any_order():
+    rng = random.Random(17)
+    for _ in range(300):
+        rows = [(rng.randrange(6), rng.randrange(4), rng.random() < .4, 0) for _ in range(rng.randint(0, 40))]
+        rows.sort(key=lambda r: (r[0], not r[2]))  # lines as they come
+        for step in (40, 3):
+            shared, got = ld._Shared(), []
+            for at in range(0, len(rows), step):
+                cols = list(zip(*rows[at:at + step]))
+                got += zip(*(c.tolist() for c in shared.rows(*(np.array(c, t) for c, t in zip(cols, (np.int64, np.int64, bool, np.int64))))))
+            for key in range(6):
+                lines = {(x, o) for k, x, o, _ in rows if k == key}
+                met = any(o for _, o in lines) and len({x for x, _ in lines}) > 1
+                found = [(x, o) for k, x, o, _ in got if k == key]
+                assert {x for x, _ in found} == ({x for x, _ in lines} if met else set()), (rows, got)
+                assert step < 40 or len(found) == len({x for x, _ in found})
+                assert {x for x, o in found if o} == ({x for x, o in lines if o} if met else set())
+
+
+def test_words_of_lines_are_those_of_split(monkeypatch):
+    rng = random.Random(18)
+    space = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) != "\n"]
+    for at_once in (1 << 20, 7):
+        monkeypatch.setattr(ld, "AT_ONCE", at_once)
+        hashes = {}
+        for _ in range(40):
+            lines = ["".join(rng.choice(["a", "b", "é", "漢", "🎉", "\ud800", "\u200b", rng.choice(space)]) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 9))]
+            many, value = ld._words(lines)
+            words = [w for s in lines for w in s.split()]
+            assert many.tolist() == [len(s.split()) for s in lines]
+            for w, h in zip(words, value.tolist(), strict=True):
+                assert hashes.setdefault(w, h) == h
+        assert len(set(hashes.values())) == len(hashes) > 200
+
+
 def test_line_dedup_of_documents(spark):
     docs = read(spark, SF, "documents").where("doc_id < 400")  # a fixture: every pair is compared
     got = {r.doc_id: r.drops for r in ld.line_dedup(docs).collect() if r.drops}
