@@ -17,7 +17,7 @@ size; the occurrences of all others meet their counts in a join, by word.
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,19 +42,23 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD == 0
 
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Context and symbol of every position of lower-cased texts, DEPTH + 1 bytes in a number, and where each text begins."""
+def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased texts as one row of bytes, DEPTH starts before each and an end after it, and where each begins among the positions to score."""
     start, end = bytes([START]) * DEPTH, bytes([END])
     x = np.frombuffer(b"".join(start + t + end for t in texts), np.uint8)
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + DEPTH + 1
+    counts = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return x, np.r_[0, np.cumsum(counts)[:-1]]
+
+
+def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Context and symbol of every position of lower-cased texts, DEPTH + 1 bytes in a number, and where each text begins."""
+    x, begin = symbols(texts)
     n = len(x) - DEPTH
     code = np.zeros(n, np.int64)
     for k in range(DEPTH + 1):
         code <<= 8
         code |= x[k:k + n]
-    whole = x[DEPTH:] != START
-    counts = size - DEPTH
-    return code[whole], np.r_[0, np.cumsum(counts)[:-1]]
+    return code[x[DEPTH:] != START], begin
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -181,7 +185,7 @@ class _Table:
         self.kind[used] = np.arange(len(used))
         size = [len(c) for c in tree.contexts]
         first = np.cumsum([0, *size])
-        self.child = np.full(int(first[-1]) * width, -1, np.int32)
+        self.child = np.full(int(first[-1]) * width, -1, np.int32)  # where the longer context's row begins
         p = np.empty((int(first[-1]), width))
         for length, context in enumerate(tree.contexts):
             own = np.arange(first[length], first[length + 1])
@@ -189,7 +193,7 @@ class _Table:
                 break
             if length:
                 up = first[length - 1] + np.searchsorted(tree.contexts[length - 1], context & ((1 << 8 * (length - 1)) - 1))
-                self.child[up * width + self.kind[context >> 8 * (length - 1)]] = own
+                self.child[up * width + self.kind[context >> 8 * (length - 1)]] = own * width
                 before = p[up]
             else:
                 before = np.full((1, width), 1 / 256)
@@ -204,16 +208,26 @@ class _Table:
         return 0 < len(tree.contexts[0]) and sum(map(len, tree.contexts)) <= TABLE_CONTEXTS
 
     def __call__(self, code: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(code), np.int32)
-        live, deep = np.arange(len(code)), node
+        return self._walked(len(code), lambda live, length: self.kind[code[live] >> 8 * length & 255])
+
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of every position of lower-cased texts, and where each text begins."""
+        x, begin = symbols(texts)
+        kind, at = self.kind[x], np.flatnonzero(x != START)
+        return self._walked(len(at), lambda live, length: kind[at[live] - length]), begin
+
+    def _walked(self, n: int, kind: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+        """Log probability of n positions; ``kind`` gives the kind of byte so far before some of them."""
+        row = np.zeros(n, np.intp)  # where the context's row begins
+        live, deep = np.arange(n), row
         for length in range(1, DEPTH + 1):
-            deep = self.child[deep.astype(np.intp) * self.width + self.kind[code[live] >> 8 * length & 255]]
-            known = deep >= 0
-            live, deep = live[known], deep[known]
-            if not len(live):
+            deep = self.child[deep + kind(live, length)]
+            known = np.flatnonzero(deep >= 0)
+            if not len(known):
                 break
-            node[live] = deep
-        return self.value[node.astype(np.intp) * self.width + self.kind[code & 255]]
+            live, deep = live[known], deep[known]
+            row[live] = deep
+        return self.value[row + kind(slice(None), 0)]
 
 
 def scores_of(tree: Tree) -> "_Table | _Scores":
@@ -242,6 +256,10 @@ class _Scores:
             self.value[slot[new]] = out[new]
         return out
 
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        code, begin = codes(texts)
+        return self(code), begin
+
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Scores of every text by a model of the rows that are not held out.
@@ -282,9 +300,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 100):
                 part = batch.slice(k, 100)
                 texts = [(t or "").encode().lower() for t in part.column(1).to_pylist()]
-                code, starts = codes(texts)
-                model = np.add.reduceat(of(code), starts)
-                total, sums, hits, rare = [], [], [], []
+                value, starts = of.of_texts(texts)
+                model = np.add.reduceat(value, starts)
+                total, sums, hits, rare, many, ends = [], [], [], [], [], [0]
                 for t in texts:
                     tokens = t.split()
                     tokens.append(b"")
@@ -293,11 +311,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                     total.append(len(tokens))
                     hits.append(len(tokens) - len(missed))
                     sums.append(sum(filter(None, value)))  # no word has the value 0
-                    rare.append(list(Counter(missed).items()))
+                    few = Counter(missed)
+                    rare += few
+                    many += few.values()
+                    ends.append(len(rare))
                 ids = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([held_out(d) for d in ids]), pa.array(total, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()),
-                     pa.array(model, pa.float64()), pa.array([[{"word": w, "n": n} for w, n in r] for r in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))],
+                     pa.array(model, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(many, pa.int32())], ["word", "n"]))],
                     names=["doc_id", "held_out", "n_tokens", "hits", "sums", "score", "rare"])
 
     shape = "doc_id long, held_out boolean, n_tokens long, hits long, sums double, score double, rare array<struct<word: binary, n: int>>"

@@ -172,6 +172,21 @@ def test_tables_score_as_the_tree_does():
     assert st.scores_of(tree)(asked).tolist() == tree.log10(asked).tolist()
 
 
+def test_texts_are_walked_without_their_codes(monkeypatch):
+    rng = random.Random(19)
+    texts = ["".join(rng.choice("abcé 漢") for _ in range(rng.randint(0, 200))).encode() for _ in range(60)] + [b""]
+    code, _ = st.codes(texts)
+    rows = [(np.unique(code & ((1 << 8 * (k + 1)) - 1), return_counts=True)) for k in range(st.DEPTH + 1)]
+    tree = st.retain([(e, c.astype(np.int64)) for e, c in rows])
+    asked = texts[:4] + [b"", b"never seen: XYZ\x00\xff", b""]
+    code, begin = st.codes(asked)
+    for of in (st._Scores(tree), st._Table(tree)):
+        if isinstance(of, st._Table):
+            monkeypatch.setattr(st, "codes", None)
+        got, starts = of.of_texts(asked)
+        assert got.tolist() == tree.log10(code).tolist() and starts.tolist() == begin.tolist()
+
+
 def test_lm_scores_of_odd_rows(spark):
     assert st.lm_scores(odd_docs(spark)).count() == 14 and st.lm_scores(no_docs(spark)).count() == 0
     held = next(k for k in range(100) if st.held_out(k))
