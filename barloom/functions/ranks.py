@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 
 def group_rank_pct(df: DataFrame, keys: list[str], value: str, out: str = "rank_pct",
                    buckets: int = 64, scale: float = 1.0) -> DataFrame:
@@ -13,13 +15,15 @@ def group_rank_pct(df: DataFrame, keys: list[str], value: str, out: str = "rank_
     the table is one row. Approximate quantiles then cut each group into value
     ranges; ranks are counted inside a range and shifted by the exact number of
     rows in lower ranges. The cut points only steer where work lands: any cut
-    gives the same ranks. No task ever holds a whole group.
+    gives the same ranks. They are stored, since they depend on the order in
+    which partial results meet, and counts and ranks need the same ones. No task
+    ever holds a whole group.
     """
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")))
     share = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, share, 1000).alias("__cuts"))
+    cuts = cut_lineage(counts.groupBy(*keys).agg(
+        F.percentile_approx(value, share, 1000).alias("__cuts")))
     binned = (counts.join(cuts, keys)
               .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
               .drop("__cuts"))

@@ -23,13 +23,14 @@ def group_quantiles(df: DataFrame, keys, value: str, shares: dict[str, float], b
     the table shares is one row. Approximate quantiles cut a group into value
     ranges whose exact counts tell in which of them each wanted rank falls; only
     those ranges are put in order. The cuts steer where work lands, and any cut
-    gives the same result. Null values are left out; a group of nulls has no row.
+    gives the same result; they are stored, since computed again they may differ.
+    Null values are left out; a group of nulls has no row.
     """
     names = [f"__g{i}" for i in range(max(1, len(keys)))]
     key_cols = [F.col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(0).alias(names[0])]
     rows = df.where(F.col(value).isNotNull()).select(*key_cols, F.col(value).cast("double").alias("__v"))
     counts = cut_lineage(rows.groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__n")))
-    cuts = counts.groupBy(*names).agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 1000).alias("__cuts"))
+    cuts = cut_lineage(counts.groupBy(*names).agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 1000).alias("__cuts")))
     binned = join_on(counts, cuts, names).select(*names, "__v", "__n", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__b"))
     group = Window.partitionBy(*names)
     bins = binned.groupBy(*names, "__b").agg(F.sum("__n").alias("__size"))

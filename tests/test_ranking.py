@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import group_rank_pct
+from barloom.functions.selection import group_quantiles
 from barloom.operators import features as ft, ranking
 
 
@@ -76,3 +77,36 @@ def test_ranks_and_scores_are_the_doubles_of_their_formula(spark):
         for x, f in zip(up, ranking.DEFAULT_FACTORS):
             total += x * f.weight
         assert [r[f"rank_{f.name}"] for f in ranking.DEFAULT_FACTORS] == up and r.score == total / 3.75
+
+
+@pytest.fixture
+def restless_cuts(spark, monkeypatch):
+    """Cut points that come out differently every time they are computed, as merged sketches may; no broadcast keeps the first ones."""
+    @F.pandas_udf("array<double>")
+    def some(v: pd.Series) -> list:
+        return sorted(np.random.default_rng().choice(v.to_numpy(), 20).tolist())
+
+    monkeypatch.setattr(F, "percentile_approx", lambda c, share, accuracy: some(F.col(c)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def values_in_groups(spark):
+    pdf = pd.DataFrame({"g": ["a", "b"] * 1000, "i": range(2000), "v": np.random.default_rng(5).normal(size=2000).round(3)})
+    return pdf, spark.createDataFrame(pdf)
+
+
+def test_ranks_hold_when_cuts_come_out_differently(spark, restless_cuts):
+    pdf, df = values_in_groups(spark)
+    got = group_rank_pct(df, ["g"], "v", "p").toPandas().sort_values("i")
+    np.testing.assert_allclose(got["p"].to_numpy(float), pdf.groupby("g")["v"].rank(pct=True).to_numpy(), rtol=1e-12)
+
+
+def test_quantiles_hold_when_cuts_come_out_differently(spark, restless_cuts):
+    pdf, df = values_in_groups(spark)
+    shares = {f"q{k}": k / 100 for k in range(1, 100, 7)}
+    got = group_quantiles(df, ["g"], "v", shares).toPandas().set_index("g").sort_index()
+    for name, share in shares.items():
+        np.testing.assert_allclose(got[name], pdf.groupby("g")["v"].quantile(share).to_numpy(), rtol=1e-12)
