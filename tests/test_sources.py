@@ -196,3 +196,16 @@ def test_titles_of_the_same_words_meet_once_and_only_near_pairs_are_made(spark,
     monkeypatch.setattr(news, "near_pairs", lambda g, s: met.append((g.count(), plain(g, s).count())) or plain(g, s))
     got = {r.item_id: r["items"] for r in news.cluster(items, 0.6).collect()}
     assert met == [(62, 1)] and got == {0: 400, **{1000 + k: 1 for k in range(60)}}
+
+
+def test_words_of_near_copies_meet_their_leader_alone(spark, monkeypatch):
+    rows = [(k, f"harbour crane lifts seven copper rings beside quiet granite tower every morning item{k}", "s") for k in range(40)]
+    rows += [(100, "wholly other matter entirely", None)]
+    items = spark.createDataFrame(rows, "item_id long, title string, source string").withColumns({"published_at": F.timestamp_seconds("item_id"), "tier": F.lit(1)})
+    stored, plain = [], news.cut_lineage
+    monkeypatch.setattr(news, "cut_lineage", lambda df: stored.append(plain(df)) or stored[-1])
+    got = {r.item_id: (r["items"], list(r.sources)) for r in news.cluster(items, 0.6).collect()}
+    assert got == {0: (40, ["s"]), 100: (1, [])}  # a story whose source is not known stays
+    assert sum("title" in d.columns for d in stored) == 1
+    assert sum(d.count() for d in stored if {"tok", "words"} & set(d.columns) and "title" not in d.columns) <= 40
+    assert sum(d.where("now = 'near'").count() for d in stored if "now" in d.columns) == 39  # of 780 pairs
