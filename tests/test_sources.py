@@ -209,3 +209,17 @@ def test_words_of_near_copies_meet_their_leader_alone(spark, monkeypatch):
     assert sum("title" in d.columns for d in stored) == 1
     assert sum(d.count() for d in stored if {"tok", "words"} & set(d.columns) and "title" not in d.columns) <= 40
     assert sum(d.where("now = 'near'").count() for d in stored if "now" in d.columns) == 39  # of 780 pairs
+
+
+def test_copies_of_an_early_leader_make_no_pairs(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    rows = [(k, f"harbour crane lifts seven copper rings beside quiet granite tower every morning item{k}") for k in range(0, 80, 2)]
+    rows += [(k, " ".join(f"word{j}" for j in sorted(rng.choice(14, 6, replace=False)))) for k in range(1, 80, 2)]
+    items = spark.createDataFrame(rows, "item_id long, title string").withColumns({"published_at": F.timestamp_seconds("item_id"), "tier": F.lit(1), "source": F.lit("s")})
+    want = sorted((r.item_id, r["items"]) for r in news.cluster(items, 0.5).collect())
+    met, plain = [], news.near_pairs
+    monkeypatch.setattr(news, "near_pairs", lambda g, s: met.append(plain(g, s).count()) or plain(g, s))
+    monkeypatch.setattr(news, "_SEEDS", 10, raising=False)
+    assert sorted((r.item_id, r["items"]) for r in news.cluster(items, 0.5).collect()) == want
+    assert (0, 40) in want and sum(met) < 780  # pairs of the forty copies alone
